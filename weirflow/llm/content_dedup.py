@@ -44,8 +44,12 @@ def content_sort_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     slim = cut(sorted_rows)
     groups = slim.where("_rank = 1").groupBy("text_sha256").agg(F.sum("_n").alias("group_size"), best("_best").alias("keep_id"))
-    # the run that holds the kept row; null ids fall into one salt, so that run is the whole group
-    out = slim.join(groups, "text_sha256")
+    # only groups of two or more rows are joined back: by broadcast if few, else by a shuffle that
+    # AQE can split at a hot group, as both sides are written tables
+    several = cut(groups.where("group_size > 1"))
+    out = slim.join(small(several, 200_000), "text_sha256", "left")
+    out = out.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    # a row is kept in the run that holds the kept id; null ids fall into one salt, so that run is the whole group
     return out.select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size",
         ((F.col("_rank") == 1) & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
