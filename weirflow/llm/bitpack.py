@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 HEAD = struct.Struct("<4sBBHIIQII")
 MAGIC, VERSION = b"WFBP", 1
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 
 
 def width_for(vocabulary: int) -> int:
@@ -100,7 +100,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, end = Encoder(file, joins_space), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        tokens, shard, end = encoder(file, joins_space), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         held: list[bytes] = []
         size = before = segment = 0
@@ -114,9 +114,9 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     names.append(doc_id)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, joins_space: bool = F
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream = Encoder(path, joins_space), SumOfSquares(window)
+        tokens, stream = encoder(path, joins_space), SumOfSquares(window)
         end, sequence = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # row: id, its ids, tokens still open
         rows: list[tuple] = []
@@ -122,10 +122,10 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, joins_space: bool = F
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     held[n_row] = [doc_id, ids, n]

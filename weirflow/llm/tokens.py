@@ -7,7 +7,7 @@ space-separated parts; most parts recur. Texts with other white space go to the
 from __future__ import annotations
 
 import os
-from collections import ChainMap
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,15 +22,16 @@ def default_path(name: str) -> str:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts. joins_space: a token may begin with one space (byte-level BPE)."""
 
-    def __init__(self, path: str, joins_space: bool, cached_words: int = 700_000):
+    def __init__(self, path: str, joins_space: bool, cached_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.joins_space, self.lead = joins_space, " " if joins_space else ""
+        self.folds = self._direct("Aa") == self._direct("aa")  # lower-cases
         # two generations: what is used again moves to the young one, the old one is dropped as a whole
         self.half, self.young, self.old = cached_words // 2, {}, {}
-        self.marks = {c: self._direct(c) for c in ".,"}
+        self.marks = {c: self._direct(c) for c in (".", ",", "")}
         # the ids that begin a spaced word, or that end a word: where a vocabulary marks one of them
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -61,31 +62,35 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(begin, [*begin[1:], len(ids)], strict=True)]
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't cached. A full stop or comma after a letter or digit is a token of its own."""
         found: dict[str, bytes] = {}
         fresh: set[str] = set()
-        marked: list[str] = []
-        young, old, marks = self.young, self.old, self.marks
+        derived: list[tuple[str, str, str]] = []
+        young, old, marks, folds = self.young, self.old, self.marks, self.folds
         for w in words:
             ids = old.get(w)
             if ids is not None:
                 found[w] = ids
-            elif w[-1:] in marks and w[-2:-1].isalnum():
-                stem = w[:-1]
-                ids = young.get(stem) or old.get(stem)
-                if ids is None:
-                    marked.append(w)
-                    fresh.add(stem)
-                else:
-                    found[w] = ids + marks[w[-1]]
-            else:
+                continue
+            mark = w[-1:] if w[-1:] in marks and w[-2:-1].isalnum() else ""
+            stem = w[:-1] if mark else w
+            if folds and stem.isascii():
+                stem = stem.lower()
+            if stem == w:
                 fresh.add(w)
+                continue
+            ids = young.get(stem) or old.get(stem)
+            if ids is None:
+                derived.append((w, stem, mark))
+                fresh.add(stem)
+            else:
+                found[w] = ids + marks[mark]
         for cut, some in ((self._letters, [w for w in fresh if w.isalpha()]), (self._joined, [w for w in fresh if not w.isalpha()])):
             for at in range(0, len(some), 2000):
                 part = some[at : at + 2000]
                 found.update(zip(part, cut(part), strict=True))
-        found.update((w, found[w[:-1]] + marks[w[-1]]) for w in marked)
+        found.update((w, found[stem] + marks[mark]) for w, stem, mark in derived)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -99,16 +104,21 @@ class Encoder:
                 plans.append((self._direct(head), parts))
             else:
                 plans.append((b"", text.replace("\n", " ").split(" ")))
-        young = self.young
-        unknown = set(chain.from_iterable(parts for _, parts in plans)).difference(young)
-        if not unknown:
-            get = young.__getitem__
-        else:
+        # each distinct word of the call is looked up once in the large cache, all others in a small one
+        words = list(set(chain.from_iterable(parts for _, parts in plans)))
+        local = dict(zip(words, map(self.young.get, words), strict=True))
+        unknown = [w for w, x in local.items() if x is None]
+        if unknown:
             found = self._learn(unknown)
-            if len(young) + len(found) > self.half:
-                self.old, self.young = young, {w: x for w, x in found.items() if len(w) <= 64}
-                get = ChainMap(found, young).__getitem__
-            else:
-                young.update(found)
-                get = young.__getitem__
+            if len(self.young) + len(found) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update((w, x) for w, x in found.items() if len(w) <= 64)
+            local.update(found)
+        get = local.__getitem__
         return [first + b"".join(map(get, parts)) for first, parts in plans]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, joins_space: bool) -> Encoder:
+    """The encoder of this Python worker: its words stay known from task to task."""
+    return Encoder(path, joins_space)
