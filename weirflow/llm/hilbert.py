@@ -36,18 +36,20 @@ def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
 
     if steps:
         x = F.aggregate(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(a).alias("axis")) for q, a in steps]), x, step)
+    # each step binds its input once: F.transform over a list of one
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     # Gray code along the axes, then the parity correction from the last axis
-    gray = F.transform(x, lambda v, i: F.aggregate(F.slice(x, 1, i + F.lit(1)), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
+    gray = let(x, lambda s: F.transform(s, lambda v, i: F.aggregate(F.slice(s, 1, i + F.lit(1)), F.lit(0), lambda a, b: a.bitwiseXOR(b))))
     qs = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]).cast("array<int>")
-    fix = F.aggregate(qs, F.lit(0), lambda t, q: F.when(F.element_at(gray, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - F.lit(1))).otherwise(t))
-    axes = F.transform(gray, lambda v: v.bitwiseXOR(fix).cast("long"))
+    fix = lambda s: F.aggregate(qs, F.lit(0), lambda t, q: F.when(F.element_at(s, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - F.lit(1))).otherwise(t))
+    axes = let(gray, lambda s: let(fix(s), lambda f: F.transform(s, lambda v: v.bitwiseXOR(f).cast("long"))))
     places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a + 1).alias("a")) for b in range(bits - 1, -1, -1) for a in range(n)])
 
-    def place(index: Column, p: Column) -> Column:
-        bit = F.call_function("shiftright", F.element_at(axes, p["a"]), p["b"]).bitwiseAND(F.lit(1).cast("long"))
+    def place(s: Column, index: Column, p: Column) -> Column:
+        bit = F.call_function("shiftright", F.element_at(s, p["a"]), p["b"]).bitwiseAND(F.lit(1).cast("long"))
         return F.call_function("shiftleft", index, F.lit(1)).bitwiseOR(bit)
 
-    return F.aggregate(places, F.lit(0).cast("long"), place)
+    return let(axes, lambda s: F.aggregate(places, F.lit(0).cast("long"), lambda index, p: place(s, index, p)))
 
 
 def quantised(docs: DataFrame, bits: int) -> list[Column]:
