@@ -22,22 +22,27 @@ WORD_GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BITS = 64
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with name bound to value, which is computed once (a plain column may be inlined into each use)."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _words(col: str) -> str:
     return f"array_remove(split(lower(coalesce(CAST({col} AS STRING), '')), '{WORD_GAP}'), '')"
 
 
 def _shingles(words: str, k: int) -> str:
-    own = ", ".join(f"{words}[i + {j}]" if j else f"{words}[i]" for j in range(k))
-    return f"IF(size({words}) >= {k}, transform(sequence(0, greatest(size({words}) - {k}, 0)), i -> xxhash64({own})), CAST(array() AS array<bigint>))"
+    own = ", ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return _let(words, "w", f"IF(size(w) >= {k}, transform(sequence(0, greatest(size(w) - {k}, 0)), i -> xxhash64({own})), CAST(array() AS array<bigint>))")
 
 
 def _simhash(arr: str) -> str:
-    return f"aggregate(sequence(0, {BITS - 1}), 0L, (acc, b) -> acc | shiftleft(IF(2 * aggregate({arr}, 0, (s, h) -> s + CAST(shiftright(h, b) & 1L AS INT)) > size({arr}), 1L, 0L), b))"
+    return _let(arr, "v", f"aggregate(sequence(0, {BITS - 1}), 0L, (acc, b) -> acc | shiftleft(IF(2 * aggregate(v, 0, (s, h) -> s + CAST(shiftright(h, b) & 1L AS INT)) > size(v), 1L, 0L), b))")
 
 
 def _labelled(arr: str) -> str:
     """Shingles with the number of their occurrence: sets of these intersect as multisets do."""
-    return f"transform({arr}, (h, i) -> xxhash64(h, size(filter(slice({arr}, 1, i), o -> o = h))))"
+    return _let(arr, "v", "transform(v, (h, i) -> xxhash64(h, size(filter(slice(v, 1, i), o -> o = h))))")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
