@@ -1,10 +1,378 @@
-"""All queries of the library with their SQL."""
+"""Queries of the flow and request operators on the driver's tables, each with its SQL where SQL can say it.
+
+lineitem stands for flows (four features, label l_returnflag), events for requests (value is the
+duration, 'error' an error status).
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as X
+from ..operators import analyze, clean, evaluate, forest, metrics, split
+from ..sources import flows as S
+from .flagship import FEATURES, flagship, flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+CLASSES = ["A", "N", "R"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 4) AS tax FROM lineitem GROUP BY ALL")
+def scan_project(spark, d):
+    rows = clean.drop_columns(_t(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"])
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_tax"), 4).alias("tax"))
+
+
+def _with_inf(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    return rows.withColumns({"rate": F.when(F.col("l_tax") == 0, float("inf")).otherwise(F.col("l_quantity") / F.when(F.col("l_tax") != 0, F.col("l_tax"))), "share": F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_discount"))})
+
+
+_INF = "(SELECT l_returnflag, l_quantity, CASE WHEN l_tax = 0 THEN NULL ELSE l_quantity / l_tax END AS rate, CASE WHEN l_discount = 0 THEN NULL ELSE l_discount END AS share FROM lineitem)"
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, count(rate) AS n_rate, count(share) AS n_share, round(sum(rate), 1) AS rate FROM {_INF} GROUP BY ALL")
+def clean_inf(spark, d):
+    return clean.infinite_to_null(_with_inf(spark, d)).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count("rate").alias("n_rate"), F.count("share").alias("n_share"), F.round(F.sum("rate"), 1).alias("rate"))
+
+
+@query(f"SELECT l_returnflag, count(*) AS n, round(sum(share), 3) AS share FROM {_INF} WHERE rate IS NOT NULL AND share IS NOT NULL GROUP BY ALL")
+def clean_dropna(spark, d):
+    return clean.drop_any_null(clean.infinite_to_null(_with_inf(spark, d))).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("share"), 3).alias("share"))
+
+
+@query(f"SELECT * FROM (SELECT 'rate' AS \"column\", count(*) - count(rate) AS n_null FROM {_INF} UNION ALL SELECT 'share', count(*) - count(share) FROM {_INF}) WHERE n_null > 0")
+def null_counts(spark, d):
+    return clean.null_counts(clean.infinite_to_null(_with_inf(spark, d)))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_tax FROM lineitem")
+def dedup(spark, d):
+    return _t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_tax").dropDuplicates()
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY ALL")
+def label_filter(spark, d):
+    return clean.keep_labels(_t(spark, d, "events"), "event_type", ["error", "click"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_tax, round(l_tax / CASE WHEN l_discount = 0 THEN 0.1 ELSE l_discount END, 8) AS ratio,
+          round(l_quantity / CASE WHEN l_tax = 0 THEN 1 ELSE l_tax END, 6) AS unit_ratio FROM lineitem""")
+def safe_ratio(spark, d):
+    c = F.col
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.round(X.safe_ratio(c("l_tax"), c("l_discount")), 8).alias("ratio"), F.round(X.safe_ratio(c("l_quantity"), c("l_tax"), 1.0), 6).alias("unit_ratio"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, 0) + coalesce(l_extendedprice, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0), 4) AS total FROM lineitem")
+def row_sum(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(X.row_sum([F.col(c) for c in NUM]), 4).alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity > 0)::INT + (l_extendedprice > 0)::INT + (l_discount > 0)::INT + (l_tax > 0)::INT AS positive FROM lineitem")
+def row_count_pos(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.count_positive([F.col(c) for c in NUM]).alias("positive"))
+
+
+@query(r"""SELECT event_id, CASE WHEN regexp_matches(k, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(k AS DOUBLE) END AS k,
+          CASE WHEN regexp_matches(event_type, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(event_type AS DOUBLE) END AS bad
+          FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)""")
+def coerce_numeric(spark, d):
+    return _t(spark, d, "events").select("event_id", X.coerce_numeric(F.get_json_object("props", "$.k")).alias("k"), X.coerce_numeric(F.col("event_type")).alias("bad"))
+
+
+@query(f"SELECT l_returnflag, round(sum(coalesce(rate, 0)), 1) AS rate, round(avg(coalesce(share, 0)), 6) AS share FROM {_INF} GROUP BY ALL")
+def fill_zero(spark, d):
+    return clean.infinite_to_null(_with_inf(spark, d)).na.fill(0).groupBy("l_returnflag").agg(F.round(F.sum("rate"), 1).alias("rate"), F.round(F.avg("share"), 6).alias("share"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price32 FROM lineitem")
+def float32_cast(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", X.float32(F.col("l_extendedprice")).alias("price32"))
+
+
+@query("""SELECT feature, round(variance, 8) AS variance FROM (SELECT 'l_quantity' AS feature, var_samp(l_quantity) AS variance FROM lineitem UNION ALL SELECT 'l_extendedprice', var_samp(l_extendedprice) FROM lineitem
+          UNION ALL SELECT 'l_discount', var_samp(l_discount) FROM lineitem UNION ALL SELECT 'l_tax', var_samp(l_tax) FROM lineitem) WHERE variance < 0.01""")
+def low_variance(spark, d):
+    return analyze.low_variance(_t(spark, d, "lineitem"), NUM).select("feature", F.round("variance", 8).alias("variance"))
+
+
+_NET = "(SELECT *, l_extendedprice * (1 - l_discount) AS net, -l_extendedprice AS owed FROM lineitem)"
+
+
+def _net(spark, d):
+    return _t(spark, d, "lineitem").select(*NUM, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (-F.col("l_extendedprice")).alias("owed"))
+
+
+def _pairs_sql(cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{cols[j]}' AS feature_a, '{cols[i]}' AS feature_b, corr({cols[j]}, {cols[i]}) AS r FROM {_NET}" for j in range(len(cols)) for i in range(j))
+
+
+_COLS = ["l_quantity", "l_extendedprice", "l_tax", "net", "owed"]
+
+
+@query(f"SELECT feature_a, feature_b, round(r, 6) AS r FROM ({_pairs_sql(_COLS)}) WHERE abs(r) > 0.95")
+def high_corr(spark, d):
+    return analyze.correlations(_net(spark, d), _COLS).where(F.abs("r") > 0.95).select("feature_a", "feature_b", F.round("r", 6).alias("r"))
+
+
+@query(f"""SELECT feature FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_tax'), ('net'), ('owed')) f(feature)
+          WHERE feature NOT IN (SELECT feature_a FROM ({_pairs_sql(_COLS)}) WHERE r > 0.95)
+          AND NOT (feature = 'l_tax' AND (SELECT var_samp(l_tax) FROM lineitem) < 0.01)""")
+def feature_keep(spark, d):
+    return spark.createDataFrame([(c,) for c in analyze.kept_features(_net(spark, d), _COLS)], "feature string")
+
+
+@query("SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code, (SELECT count(DISTINCT event_type) FROM events) AS n_classes FROM (SELECT DISTINCT event_type FROM events)")
+def label_index(spark, d):
+    rows = _t(spark, d, "events")
+    return forest.label_index(rows, "event_type").crossJoin(F.broadcast(rows.agg(F.countDistinct("event_type").alias("n_classes"))))
+
+
+@query("""SELECT label, coalesce(n, 0) AS n FROM (SELECT DISTINCT event_type AS label FROM events UNION SELECT 'absent') LEFT JOIN (SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL) USING (label)""")
+def label_counts_zero_fill(spark, d):
+    return evaluate.label_counts(_t(spark, d, "events").select(F.col("event_type").alias("label")), "label", ["absent"])
+
+
+@query("""SELECT l_linestatus, l_returnflag, count(*)::DOUBLE AS weight, round(count(*) / sum(count(*)) OVER (PARTITION BY l_linestatus), 8) AS share FROM lineitem GROUP BY l_linestatus, l_returnflag""")
+def class_hist(spark, d):
+    return split.class_histogram(_t(spark, d, "lineitem"), "l_linestatus", "l_returnflag").withColumn("share", F.round("share", 8))
+
+
+@query("SELECT l_linestatus, round(1 - sum(n * n) / (sum(n) * sum(n)), 8) AS gini, sum(n)::BIGINT AS n FROM (SELECT l_linestatus, l_returnflag, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL) GROUP BY ALL")
+def gini(spark, d):
+    return split.gini(_t(spark, d, "lineitem"), "l_linestatus", "l_returnflag").withColumn("gini", F.round("gini", 8))
+
+
+@query("SELECT * FROM (SELECT l_linestatus, v AS l_quantity, lead(v) OVER (PARTITION BY l_linestatus ORDER BY v) AS next_value FROM (SELECT DISTINCT l_linestatus, l_quantity AS v FROM lineitem)) WHERE next_value - l_quantity > 1e-7")
+def adjacent_values(spark, d):
+    return split.adjacent_values(_t(spark, d, "lineitem"), ["l_linestatus"], "l_quantity")
+
+
+_SPLIT = """WITH v AS (SELECT l_linestatus, l_extendedprice AS x, count(*) FILTER (l_returnflag = 'A')::DOUBLE a, count(*) FILTER (l_returnflag = 'N')::DOUBLE b, count(*) FILTER (l_returnflag = 'R')::DOUBLE c FROM lineitem GROUP BY ALL),
+ w AS (SELECT *, lead(x) OVER o AS y, sum(a) OVER (o ROWS UNBOUNDED PRECEDING) la, sum(b) OVER (o ROWS UNBOUNDED PRECEDING) lb, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) lc,
+  sum(a) OVER p ta, sum(b) OVER p tb, sum(c) OVER p tc FROM v WINDOW o AS (PARTITION BY l_linestatus ORDER BY x), p AS (PARTITION BY l_linestatus)),
+ s AS (SELECT *, la + lb + lc AS nl, ta + tb + tc AS n, ta + tb + tc - la - lb - lc AS nr, (la*la + lb*lb + lc*lc) AS ql, (ta-la)*(ta-la) + (tb-lb)*(tb-lb) + (tc-lc)*(tc-lc) AS qr, ta*ta + tb*tb + tc*tc AS q FROM w WHERE y - x > 1e-7),
+ b AS (SELECT *, ql / nl + qr / nr AS proxy, row_number() OVER (PARTITION BY l_linestatus ORDER BY round(ql / nl + qr / nr, 6) DESC, x) AS k FROM s) """
+
+
+def _best(spark, d):
+    return split.best_split(split.split_candidates(_t(spark, d, "lineitem"), "l_linestatus", ["l_extendedprice"], "l_returnflag", CLASSES), "l_linestatus")
+
+
+@query(_SPLIT + "SELECT l_linestatus, round(x / 2 + y / 2, 6) AS threshold, nl, nr, round(proxy, 4) AS proxy FROM b WHERE k = 1")
+def best_split(spark, d):
+    return _best(spark, d).select("l_linestatus", F.round("threshold", 6).alias("threshold"), "nl", "nr", F.round("proxy", 4).alias("proxy"))
+
+
+@query(_SPLIT + "SELECT l_linestatus, round(n / (SELECT count(*) FROM lineitem) * ((1 - q / (n * n)) - nr / n * (1 - qr / (nr * nr)) - nl / n * (1 - ql / (nl * nl))), 8) AS gain FROM b WHERE k = 1")
+def split_gain(spark, d):
+    total = _t(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("_all"))
+    return _best(spark, d).crossJoin(F.broadcast(total)).select("l_linestatus", F.round(split.gain(F.col("_all")), 8).alias("gain"))
+
+
+@query(_SPLIT + "SELECT l.l_linestatus, CASE WHEN l.l_extendedprice <= b.x / 2 + b.y / 2 THEN 0 ELSE 1 END AS side, count(*) AS n FROM lineitem l JOIN b ON l.l_linestatus = b.l_linestatus AND b.k = 1 GROUP BY ALL")
+def node_route(spark, d):
+    best = _best(spark, d).select("l_linestatus", "threshold")  # one row for each node
+    rows = _t(spark, d, "lineitem").join(F.broadcast(best), "l_linestatus")
+    return split.route(rows, F.col("l_extendedprice"), F.col("threshold")).groupBy("l_linestatus", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r AS row, count(*) AS times FROM (SELECT (event_id * 7919 + 104729) % 5000 AS r FROM events) GROUP BY ALL")
+def bootstrap(spark, d):
+    return _t(spark, d, "events").select(((F.col("event_id") * 7919 + 104729) % 5000).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bootstrap_draw(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return forest.bootstrap(rows.select("l_orderkey", "l_linenumber").withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber")), "row_key", rows.count(), trees=2)
+
+
+QUERIES["bootstrap_draw"] = bootstrap_draw
+
+
+@query("""WITH a AS (SELECT event_id, CASE WHEN event_id = 0 THEN 1 ELSE event_id END & 4294967295 AS x FROM events), b AS (SELECT event_id, xor(x, x << 13) & 4294967295 AS x FROM a),
+ c AS (SELECT event_id, xor(x, x >> 17) AS x FROM b), e AS (SELECT event_id, xor(x, x << 5) & 4294967295 AS x FROM c) SELECT event_id, x % 2147483648 AS r FROM e""")
+def xorshift(spark, d):
+    return _t(spark, d, "events").select("event_id", X.xorshift32(F.col("event_id")).alias("r"))
+
+
+def _ruled(spark, d):
+    return _t(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_linestatus") == "O", "N").when(F.col("l_discount") > 0.05, "A").otherwise("R").alias("predicted"))
+
+
+_RULED = "(SELECT l_returnflag AS y, CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_discount > 0.05 THEN 'A' ELSE 'R' END AS p FROM lineitem)"
+
+
+@query(f"SELECT y AS l_returnflag, count(*) FILTER (p = 'A') AS \"pred_A\", count(*) FILTER (p = 'N') AS \"pred_N\", count(*) FILTER (p = 'R') AS \"pred_R\" FROM {_RULED} GROUP BY ALL")
+def confusion(spark, d):
+    return evaluate.confusion(_ruled(spark, d), "l_returnflag", "predicted", CLASSES)
+
+
+@query(f"""WITH c AS (SELECT c AS class, (SELECT count(*) FROM {_RULED} WHERE y = c AND p = c) AS hit, (SELECT count(*) FROM {_RULED} WHERE p = c) AS called, (SELECT count(*) FROM {_RULED} WHERE y = c) AS support FROM (VALUES ('A'), ('N'), ('R')) v(c)),
+ m AS (SELECT *, coalesce(hit / nullif(called, 0), 0) AS precision, coalesce(hit / nullif(support, 0), 0) AS recall FROM c), f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)
+ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM f
+ UNION ALL SELECT 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), sum(support)::BIGINT FROM f
+ UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM f
+ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM f""")
+def class_report(spark, d):
+    found = evaluate.class_report(_ruled(spark, d), "l_returnflag", "predicted")
+    return found.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+#: Two small trees over (l_quantity, l_extendedprice, l_discount, l_tax).
+NODES = [
+    (0, 0, 1, 2, 0, 25.0, 0.64, 100, 100.0, [0.3, 0.4, 0.3]), (0, 1, -1, -1, -2, -2.0, 0.32, 40, 40.0, [0.8, 0.2, 0.0]), (0, 2, 3, 4, 2, 0.05, 0.5, 60, 60.0, [0.0, 0.5, 0.5]),
+    (0, 3, -1, -1, -2, -2.0, 0.18, 35, 35.0, [0.0, 0.9, 0.1]), (0, 4, -1, -1, -2, -2.0, 0.0, 25, 25.0, [0.0, 0.0, 1.0]),
+    (1, 0, 1, 2, 3, 0.04, 0.6, 100, 100.0, [0.2, 0.5, 0.3]), (1, 1, -1, -1, -2, -2.0, 0.42, 50, 50.0, [0.3, 0.7, 0.0]), (1, 2, -1, -1, -2, -2.0, 0.46, 50, 50.0, [0.1, 0.3, 0.6]),
+]
+_NODES_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"[{', '.join(f'{v}::DOUBLE' for v in x)}]" if isinstance(x, list) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in n) + ")" for n in NODES) + ") n(tree_id, node_id, l, r, feature, threshold, impurity, n_node_samples, weighted_n, value)"
+_X = "[q::FLOAT::DOUBLE, p::FLOAT::DOUBLE, s::FLOAT::DOUBLE, t::FLOAT::DOUBLE]"
+_DESCENT = f"""WITH RECURSIVE n AS (SELECT * FROM {_NODES_SQL}), x AS (SELECT event_id AS id, [(event_id % 50 + 1)::FLOAT::DOUBLE, value::FLOAT::DOUBLE, (event_id % 11 / 100)::FLOAT::DOUBLE, (event_id % 9 / 100)::FLOAT::DOUBLE] AS x FROM events),
+ w AS (SELECT id, x, tree_id, 0 AS node_id FROM x, (SELECT DISTINCT tree_id FROM n) UNION ALL
+  SELECT w.id, w.x, w.tree_id, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l >= 0),
+ leaf AS (SELECT w.id, w.tree_id, w.node_id, n.value FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l < 0) """
+
+
+def _nodes(spark):
+    return spark.createDataFrame(NODES, S.NODE_SCHEMA)
+
+
+def _leaves(spark, d):
+    rows = _t(spark, d, "events").select("event_id", (F.col("event_id") % 50 + 1).alias("q"), F.col("value").alias("p"), (F.col("event_id") % 11 / 100).alias("s"), (F.col("event_id") % 9 / 100).alias("t"))
+    return forest.descend(rows, _nodes(spark), "event_id", ["q", "p", "s", "t"], depth=2)
+
+
+@query(_DESCENT + "SELECT id AS event_id, tree_id, node_id FROM leaf")
+def tree_descend(spark, d):
+    return _leaves(spark, d)
+
+
+@query(_DESCENT + "SELECT id AS event_id, tree_id, value[1] AS p0, value[2] AS p1, value[3] AS p2 FROM leaf")
+def tree_predict_proba(spark, d):
+    return forest.leaf_values(_leaves(spark, d), _nodes(spark)).select("event_id", "tree_id", *[F.col("value")[i].alias(f"p{i}") for i in range(3)])
+
+
+@query(_DESCENT + ", m AS (SELECT id, round(avg(value[1]), 6) AS p0, round(avg(value[2]), 6) AS p1, round(avg(value[3]), 6) AS p2 FROM leaf GROUP BY id) SELECT id AS event_id, p0, p1, p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS label_predicted FROM m")
+def forest_vote(spark, d):
+    votes = forest.vote(forest.leaf_values(_leaves(spark, d), _nodes(spark)), "event_id", CLASSES)
+    return votes.select("event_id", *[F.round(f"p{i}", 6).alias(f"p{i}") for i in range(3)], "label_predicted")
+
+
+_IMPORTANCE = f"""WITH n AS (SELECT * FROM {_NODES_SQL}), g AS (SELECT p.tree_id, p.feature, (p.weighted_n * p.impurity - a.weighted_n * a.impurity - b.weighted_n * b.impurity) / (SELECT weighted_n FROM n r WHERE r.tree_id = p.tree_id AND r.node_id = 0) AS gain
+ FROM n p JOIN n a ON a.tree_id = p.tree_id AND a.node_id = p.l JOIN n b ON b.tree_id = p.tree_id AND b.node_id = p.r),
+ t AS (SELECT tree_id, feature, sum(gain) / sum(sum(gain)) OVER (PARTITION BY tree_id) AS importance FROM g GROUP BY tree_id, feature), f AS (SELECT feature, sum(importance) / (SELECT count(DISTINCT tree_id) FROM t) AS importance FROM t GROUP BY feature) """
+
+
+@query(_IMPORTANCE + "SELECT tree_id, feature, round(importance, 8) AS importance FROM t")
+def tree_importance(spark, d):
+    return forest.tree_importance(_nodes(spark)).withColumn("importance", F.round("importance", 8))
+
+
+@query(_IMPORTANCE + "SELECT feature, round(importance, 8) AS importance FROM f WHERE importance >= 0.3")
+def importance_select(spark, d):
+    return analyze.select_by_importance(forest.forest_importance(_nodes(spark)), 0.3).withColumn("importance", F.round("importance", 8))
+
+
+@query(_IMPORTANCE + "SELECT feature, round(importance, 8) AS importance FROM f ORDER BY f.importance DESC, feature LIMIT 2")
+def top_n(spark, d):
+    return forest.forest_importance(_nodes(spark)).orderBy(F.desc("importance"), "feature").limit(2).withColumn("importance", F.round("importance", 8))
+
+
+def model_nodes(spark, d):
+    model, _ = forest.fit_forest(flows(spark, d), FEATURES, "l_returnflag", n_estimators=3, max_depth=4)
+    return forest.node_table(spark, model)
+
+
+QUERIES["model_nodes"] = model_nodes
+QUERIES["forest_train_predict"] = flagship
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events GROUP BY ALL")
+def req_per_minute(spark, d):
+    return metrics.requests_per_minute(_t(spark, d, "events"))
+
+
+@query("SELECT round(coalesce(avg(value), 0), 6) AS avg_duration, count(*) AS n FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)")
+def last_n_avg(spark, d):
+    return metrics.last_n_average(_t(spark, d, "events"), "value", ["ts", "event_id"]).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@query("SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 999 PRECEDING) + 1e-9, 5) AS rolling_avg FROM events")
+def rolling_avg(spark, d):
+    return metrics.rolling_average(_t(spark, d, "events"), ["event_type"], "value", ["ts", "event_id"]).select("event_id", "event_type", F.round(F.col("rolling_avg") + 1e-9, 5).alias("rolling_avg"))
+
+
+@query("""SELECT minute, requests, age FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, (epoch((SELECT max(ts) FROM events))::BIGINT - epoch(date_trunc('minute', min(ts)))::BIGINT) AS age FROM events GROUP BY 1) WHERE age <= 3600""")
+def state_ttl(spark, d):
+    rows = _t(spark, d, "events")
+    now = rows.agg(F.date_trunc("second", F.max("ts")).alias("_now"))
+    minutes = metrics.requests_per_minute(rows).crossJoin(F.broadcast(now))
+    return metrics.live_minutes(minutes, F.col("_now")).select("minute", "requests", "age")
+
+
+@query("""WITH g AS (SELECT event_id, user_id, ts, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS gauge FROM events)
+ SELECT event_id, gauge, gauge - least(0, min(gauge) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS active FROM g""")
+def active_gauge(spark, d):
+    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    return metrics.running_gauge(_t(spark, d, "events"), ["user_id"], change, ["ts", "event_id"]).select("event_id", "gauge", "active")
+
+
+@query("SELECT count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS errors, (SELECT round(avg(value), 6) FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)) AS avg_duration FROM events")
+def metrics_snapshot(spark, d):
+    return metrics.snapshot(_t(spark, d, "events"), "value", F.col("event_type") == "error", ["ts", "event_id"]).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@query("SELECT event_id, '{\"received\":{\"k\":' || json_extract_string(props, '$.k') || '},\"status\":\"ok\"}' AS body FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL UNION ALL SELECT event_id, '{\"received\":{},\"status\":\"ok\"}' FROM events WHERE json_extract_string(props, '$.k') IS NULL")
+def json_echo(spark, d):
+    parsed = F.from_json("props", "k long")
+    return _t(spark, d, "events").select("event_id", F.to_json(F.struct(F.coalesce(parsed, F.from_json(F.lit("{}"), "k long")).alias("received"), F.lit("ok").alias("status"))).alias("body"))
+
+
+@query("SELECT event_id, least(coalesce(CAST(json_extract_string(props, '$.k') AS INT), 1), 10) AS seconds FROM events")
+def clamp_param(spark, d):
+    return _t(spark, d, "events").select("event_id", X.clamp_param(F.get_json_object("props", "$.k")).alias("seconds"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'took ' || printf('%.3f', value) AS message FROM events")
+def log_parse(spark, d):
+    rows = _t(spark, d, "events").withColumns({"message": F.concat(F.lit("took "), F.format_string("%.3f", "value")), "level": F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")})
+    lines = rows.select("event_id", F.concat_ws(" - ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "level", "message").alias("value"))
+    p = r"^(.{19}) - ([A-Z]+) - (.*)$"
+    return lines.select("event_id", F.regexp_extract("value", p, 1).alias("at"), F.regexp_extract("value", p, 2).alias("level"), F.regexp_extract("value", p, 3).alias("message"))
+
+
+def stream_detect(spark, d):
+    """Each lineitem file as a micro-batch; a rule stands for the model so that counts are known."""
+    from ..streaming.detect import detect
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    base = f"{named}/detect" if named else "file://" + tempfile.mkdtemp(prefix="weirflow-")
+    base = f"{base}-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    schema = _t(spark, d, "lineitem").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").parquet(d)
+    rule = lambda df: df.withColumn("label_predicted", F.when(F.col("l_linestatus") == "O", "N").otherwise("A"))
+    detect(stream, rule, CLASSES, f"{base}/out", f"{base}/checkpoint", remove=["l_orderkey", "l_partkey"]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("batch_id", "label", "n")
+
+
+QUERIES["stream_detect"] = stream_detect
