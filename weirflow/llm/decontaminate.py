@@ -96,7 +96,8 @@ def _for_size(docs: DataFrame, items: DataFrame, k: int, threshold: float, radiu
     windows = cut(windows.groupBy("doc_id", "_key", "_m").agg(F.array_distinct(F.flatten(F.collect_list("_s"))).alias("_s")))
     windows = windows.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_own"), "_m", "_s")
     # the texts of the few documents that have such windows are read again
-    own = hashed.join(small(windows), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")))
+    again = docs.select("doc_id", F.xxhash64("text").alias("_key"), "text").join(small(windows), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")))
+    own = again.select("doc_id", "_key", "_m", F.expr(_shingles(_words("text"), k)).alias("_sh"), "_s")
     own = own.select("doc_id", "_key", "_m", "_sh", F.explode("_s").alias("_start")).where("_start <= greatest(0, size(_sh) - _m)")
     own = own.select("doc_id", "_key", "_m", "_start", F.expr("slice(_sh, _start + 1, _m)").alias("_win")).withColumn("_fp", F.expr(_simhash("_win")))
 
