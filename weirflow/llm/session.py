@@ -41,3 +41,10 @@ def table_path(spark: SparkSession, name: str) -> str:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a checkpointed frame if its count allows; else it joins by a shuffle that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same as cut() by a compressed table, for what has many rows."""
+    path = table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
