@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,3 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints of frames that nothing refers to any more.
+
+    It acts on garbage collections of the driver, which a long series of small jobs may not cause.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
