@@ -41,7 +41,7 @@ def test_drop_marked(odd, nothing):
 
 
 def test_dedup_sql(spark):
-    from conftest import against_sql
+    from sqlcheck import against_sql
 
     mine, theirs = against_sql(spark, "op8_content_sort_dedup")
     assert mine == theirs
