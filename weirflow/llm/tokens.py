@@ -7,7 +7,6 @@ space-separated parts; most parts recur. Texts with other white space go to the
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ def default_path(name: str) -> str:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts. joins_space: a token may begin with one space (byte-level BPE)."""
 
-    def __init__(self, path: str, joins_space: bool, cached_words: int = 500_000):
+    def __init__(self, path: str, joins_space: bool, cached_words: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -116,9 +115,3 @@ class Encoder:
             local.update(found)
         get = local.__getitem__
         return [first + b"".join(map(get, parts)) for first, parts in plans]
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str, joins_space: bool) -> Encoder:
-    """The encoder of this Python worker: its words stay known from task to task."""
-    return Encoder(path, joins_space)
