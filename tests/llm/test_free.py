@@ -11,7 +11,7 @@ from weirflow.llm import bitpack, components, licenses, order_minhash, packing,
 from weirflow.llm.tokens import Encoder, default_path
 
 SF = "/root/testdata/sf0.001"
-TEXTS = ["", " ", "a b", "a  b\n c", "\n", " x", "a\tb", "it's don't  ", "é ̈ x", "a b c", "x\n\ny z", "Word, word. WORD! É.", "İstanbul ǅ ﬁ"]
+TEXTS = ["", " ", "a b", "a  b\n c", "\n", " x", "a\tb", "it's don't  ", "é ̈ x", "a b c", "x\n\ny z", "Word, word. WORD! É.", "İstanbul ǅ ﬁ", None, "ab### cd%%%\nEf. <|endoftext|>. x<|endoftext|>\ny", "a\u3000b", "a\x1fb", "1st... 2²! x'. 's", "a \nb", "\na b", "İ# \u0958, x"]
 
 
 @pytest.mark.parametrize("name,joins", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -23,7 +23,7 @@ def test_cached_ids_are_the_library_s(documents, name, joins):
     encoder = Encoder(default_path(name), joins, cached_words=500)
     for _ in range(2):
         got = encoder.encode(texts)
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)

@@ -116,7 +116,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1)), strict=True):
                     names.append(doc_id)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

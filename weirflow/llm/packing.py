@@ -124,8 +124,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, joins_space: bool = F
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(texts), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1)), strict=True):
                     ids += end
                     n = len(ids) // 4
                     held[n_row] = [doc_id, ids, n]

@@ -7,9 +7,16 @@ space-separated parts; most parts recur. Texts with other white space go to the
 from __future__ import annotations
 
 import os
-from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Marks that, after a letter or digit (also once it is normalised), end a word. Special tokens end with another character.
+MARKS = ".,;:!?%&#$*"
+#: White space other than single spaces and newlines between words.
+UNEVEN = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
 def default_path(name: str) -> str:
@@ -21,7 +28,7 @@ def default_path(name: str) -> str:
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts. joins_space: a token may begin with one space (byte-level BPE)."""
 
-    def __init__(self, path: str, joins_space: bool, cached_words: int = 150_000):
+    def __init__(self, path: str, joins_space: bool, cached_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,7 +37,8 @@ class Encoder:
         self.folds = self._direct("Aa") == self._direct("aa")  # lower-cases
         # two generations: what is used again moves to the young one, the old one is dropped as a whole
         self.half, self.young, self.old = cached_words // 2, {}, {}
-        self.marks = {c: self._direct(c) for c in (".", ",", "")}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.newline = int.from_bytes(self._direct("\n"), "little")  # of byte-level vocabularies
         # the ids that begin a spaced word, or that end a word: where a vocabulary marks one of them
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -61,57 +69,90 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(begin, [*begin[1:], len(ids)], strict=True)]
 
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """The same for words that each begin with the only newline they have."""
+        ids = np.frombuffer(self._direct("".join(words)), "<u4")
+        begin = np.flatnonzero(ids == self.newline)
+        return self._cut(ids, begin.tolist()) if len(begin) == len(words) else list(map(self._direct, words))
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't cached. A full stop or comma after a letter or digit is a token of its own."""
+        """Ids of words that aren't cached. Marks after a letter or digit, up to the end, are tokens of their own."""
         found: dict[str, bytes] = {}
         fresh: set[str] = set()
-        derived: list[tuple[str, str, str]] = []
+        derived: list[tuple[str, str, bytes]] = []
         young, old, marks, folds = self.young, self.old, self.marks, self.folds
         for w in words:
             ids = old.get(w)
             if ids is not None:
                 found[w] = ids
                 continue
-            mark = w[-1:] if w[-1:] in marks and w[-2:-1].isalnum() else ""
-            stem = w[:-1] if mark else w
+            stem = w.rstrip(MARKS)
+            last = stem[-1:]
+            if not (last if last.isascii() else normalize("NFC", last.lower())[-1]).isalnum():
+                stem = w
+            mark = w[len(stem) :]
             if folds and stem.isascii():
                 stem = stem.lower()
             if stem == w:
                 fresh.add(w)
                 continue
+            end = marks.get(mark)
+            if end is None:
+                end = self._direct(mark)
+                if len(marks) < 10_000 and len(mark) <= 16:
+                    marks[mark] = end
             ids = young.get(stem) or old.get(stem)
             if ids is None:
-                derived.append((w, stem, mark))
+                derived.append((w, stem, end))
                 fresh.add(stem)
             else:
-                found[w] = ids + marks[mark]
-        for cut, some in ((self._letters, [w for w in fresh if w.isalpha()]), (self._joined, [w for w in fresh if not w.isalpha()])):
+                found[w] = ids + end
+        letters, lines, others = [], [], []
+        for w in fresh:
+            (letters if w.isalpha() else lines if w[0] == "\n" else others).append(w)
+        for cut, some in ((self._letters, letters), (self._lines, lines), (self._joined, others)):
             for at in range(0, len(some), 2000):
                 part = some[at : at + 2000]
                 found.update(zip(part, cut(part), strict=True))
-        found.update((w, found[stem] + marks[mark]) for w, stem, mark in derived)
+        found.update((w, found[stem] + end) for w, stem, end in derived)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plans = []
-        for text in texts:
-            if self.joins_space:
-                if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-                    plans.append((self._direct(text), []))
-                    continue
-                head, *parts = text.split(" ")
-                plans.append((self._direct(head), parts))
-            else:
-                plans.append((b"", text.replace("\n", " ").split(" ")))
-        # each distinct word of the call is looked up once in the large cache, all others in a small one
-        words = list(set(chain.from_iterable(parts for _, parts in plans)))
-        local = dict(zip(words, map(self.young.get, words), strict=True))
-        unknown = [w for w, x in local.items() if x is None]
-        if unknown:
-            found = self._learn(unknown)
-            if len(self.young) + len(found) > self.half:
-                self.old, self.young = self.young, {}
-            self.young.update((w, x) for w, x in found.items() if len(w) <= 64)
-            local.update(found)
-        get = local.__getitem__
-        return [first + b"".join(map(get, parts)) for first, parts in plans]
+    def _words(self, words: list[str], times: list[int]) -> list[bytes]:
+        """Ids of distinct words with how often they occur; those that do so once aren't worth a place in the cache."""
+        ids = list(map(self.young.get, words))
+        unknown = [i for i, (w, x) in enumerate(zip(words, ids, strict=True)) if x is None and w]
+        found = self._learn([words[i] for i in unknown])
+        again: dict[str, bytes] = {}
+        for i in unknown:
+            w = words[i]
+            ids[i] = x = found[w]
+            if times[i] > 1 and len(w) <= 64:
+                again[w] = x
+        if len(self.young) + len(again) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update(again)
+        return [x or b"" for x in ids]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """A null text has no ids, like an empty one. Splitting, counting and joining are Arrow's."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        whole: dict[int, bytes] = {}
+        if self.joins_space:
+            odd = pc.match_substring_regex(texts, UNEVEN)
+            whole = {i: self._direct(texts[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+            texts = pc.if_else(odd, "", texts)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.joins_space else " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = self._words(words, np.bincount(places, minlength=len(words)).tolist())
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        at, raw = np.frombuffer(joined.buffers()[1], "<i8"), memoryview(joined.buffers()[2] or b"")
+        first, stop = parts.offsets[:-1].to_numpy(), at[parts.offsets[1:].to_numpy()].tolist()
+        if not self.joins_space:
+            return [bytes(raw[a:b]) for a, b in zip(at[first].tolist(), stop, strict=True)]
+        # the first word of a text has no space before it
+        heads = {j: self._direct(words[j]) for j in np.unique(places[first]).tolist()}
+        out = [heads[j] + bytes(raw[a:b]) for j, a, b in zip(places[first].tolist(), at[first + 1].tolist(), stop, strict=True)]
+        for i, x in whole.items():
+            out[i] = x
+        return out
