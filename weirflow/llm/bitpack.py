@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .session import small_batches
 from .tokens import Encoder, default_path
 
 HEAD = struct.Struct("<4sBBHIIQII")
@@ -125,6 +126,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
         if names:
             yield flush()
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     ordered.mapInArrow(run, "shard int, segment int, ids_before long, n_ids long, n_docs long, data binary").write.mode("overwrite").parquet(path)
@@ -147,4 +149,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 raw = memoryview(ids.tobytes())
                 yield pa.record_batch([pa.array(s.doc_ids, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=schema)
 
+    small_batches(spark)
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

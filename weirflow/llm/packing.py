@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import small_batches
 from .tokens import Encoder, default_path
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -136,4 +137,5 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, joins_space: bool = F
         emit(stream.close())
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

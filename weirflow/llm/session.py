@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send Python workers at most 8 MB (or one row) at once, unless the cluster names a size: a batch is held several times, by both sides."""
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints of frames that nothing refers to any more.
 
