@@ -27,6 +27,8 @@ from .tokens import Encoder, default_path
 HEAD = struct.Struct("<4sBBHIIQII")
 MAGIC, VERSION = b"WFBP", 1
 SEGMENT_IDS = 1 << 18
+#: Parquet's reader holds a row group's rows at once (up to thousands), so groups are kept to a few megabytes.
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 2, "parquet.block.size.row.check.max": 2, "parquet.page.size.row.check.min": 2}
 
 
 def width_for(vocabulary: int) -> int:
@@ -129,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
     small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, segment int, ids_before long, n_ids long, n_docs long, data binary").write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(run, "shard int, segment int, ids_before long, n_ids long, n_docs long, data binary").write.options(**ROW_GROUPS).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
