@@ -147,9 +147,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Segment(data.as_buffer())
-                ids, at = s.ids().astype("<u4"), s.starts.astype(np.int64)
-                raw = memoryview(ids.tobytes())
-                yield pa.record_batch([pa.array(s.doc_ids, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=schema)
+                at = s.starts.astype(np.int64)
+                # views of a buffer given to pa.array would never be freed
+                ids = pa.Array.from_buffers(pa.binary(), s.n_docs, [None, pa.py_buffer((4 * at).astype("<i4")), pa.py_buffer(s.ids())])
+                yield pa.record_batch([pa.array(s.doc_ids, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), ids], schema=schema)
 
     small_batches(spark)
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
