@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .session import small_batches
-from .tokens import Encoder, default_path
+from .tokens import default_path, worker_encoder
 
 HEAD = struct.Struct("<4sBBHIIQII")
 MAGIC, VERSION = b"WFBP", 1
@@ -103,7 +103,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, shard, end = Encoder(file, joins_space), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        tokens, shard, end = worker_encoder(file, joins_space), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         names: list[int | None] = []
         held: list[bytes] = []
         size = before = segment = 0

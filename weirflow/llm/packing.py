@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import small_batches
-from .tokens import Encoder, default_path
+from .tokens import default_path, worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, joins_space: bool = F
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, stream = Encoder(path, joins_space), SumOfSquares(window)
+        tokens, stream = worker_encoder(path, joins_space), SumOfSquares(window)
         end, sequence = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # row: id, its ids, tokens still open
         rows: list[tuple] = []

@@ -7,6 +7,7 @@ space-separated parts; most parts recur. Texts with other white space go to the
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -156,3 +157,9 @@ class Encoder:
         for i, x in whole.items():
             out[i] = x
         return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, joins_space: bool) -> Encoder:
+    """The encoder of a Python worker: loaded once, its bounded cache serves all tasks that the worker runs."""
+    return Encoder(path, joins_space)
