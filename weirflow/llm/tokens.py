@@ -78,8 +78,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't cached. Marks after a letter or digit, up to the end, are tokens of their own."""
-        found: dict[str, bytes] = {}
-        fresh: set[str] = set()
+        found: dict[str, bytes] = {"": b""}
+        letters: list[str] = []
+        stems: set[str] = set()
         derived: list[tuple[str, str, bytes]] = []
         young, old, marks, folds = self.young, self.old, self.marks, self.folds
         for w in words:
@@ -87,6 +88,9 @@ class Encoder:
             if ids is not None:
                 found[w] = ids
                 continue
+            if w.isalpha() and not folds:  # most words: nothing to take off
+                letters.append(w)
+                continue
             stem = w.rstrip(MARKS)
             last = stem[-1:]
             if not (last if last.isascii() else normalize("NFC", last.lower())[-1]).isalnum():
@@ -95,7 +99,7 @@ class Encoder:
             if folds and stem.isascii():
                 stem = stem.lower()
             if stem == w:
-                fresh.add(w)
+                stems.add(w)
                 continue
             end = marks.get(mark)
             if end is None:
@@ -105,12 +109,12 @@ class Encoder:
             ids = young.get(stem) or old.get(stem)
             if ids is None:
                 derived.append((w, stem, end))
-                fresh.add(stem)
+                stems.add(stem)
             else:
                 found[w] = ids + end
-        letters, lines, others = [], [], []
-        for w in fresh:
-            (letters if w.isalpha() else lines if w[0] == "\n" else others).append(w)
+        lines, others = [], []
+        for w in stems.difference(letters) if letters else stems:
+            (letters if w.isalpha() else lines if w[:1] == "\n" else others if w else []).append(w)
         for cut, some in ((self._letters, letters), (self._lines, lines), (self._joined, others)):
             for at in range(0, len(some), 2000):
                 part = some[at : at + 2000]
@@ -121,18 +125,16 @@ class Encoder:
     def _words(self, words: list[str], times: list[int]) -> list[bytes]:
         """Ids of distinct words with how often they occur; those that do so once aren't worth a place in the cache."""
         ids = list(map(self.young.get, words))
-        unknown = [i for i, (w, x) in enumerate(zip(words, ids, strict=True)) if x is None and w]
-        found = self._learn([words[i] for i in unknown])
-        again: dict[str, bytes] = {}
-        for i in unknown:
-            w = words[i]
-            ids[i] = x = found[w]
-            if times[i] > 1 and len(w) <= 64:
-                again[w] = x
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        fresh = [words[i] for i in unknown]
+        learnt = list(map(self._learn(fresh).__getitem__, fresh))
+        for i, x in zip(unknown, learnt, strict=True):
+            ids[i] = x
+        again = {w: x for i, w, x in zip(unknown, fresh, learnt, strict=True) if times[i] > 1 and len(w) <= 64}
         if len(self.young) + len(again) > self.half:
             self.old, self.young = self.young, {}
         self.young.update(again)
-        return [x or b"" for x in ids]
+        return ids
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """A null text has no ids, like an empty one. Splitting, counting and joining are Arrow's."""
@@ -144,7 +146,7 @@ class Encoder:
             texts = pc.if_else(odd, "", texts)
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.joins_space else " "), " ")
         coded = parts.flatten().dictionary_encode()
-        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         ids = self._words(words, np.bincount(places, minlength=len(words)).tolist())
         joined = pa.array(ids, pa.large_binary()).take(coded.indices)
         at, raw = np.frombuffer(joined.buffers()[1], "<i8"), memoryview(joined.buffers()[2] or b"")
