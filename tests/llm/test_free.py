@@ -190,6 +190,17 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing, documents):
     assert order_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_single_link_in_a_group_below_the_threshold(spark):
+    """Form letters at 0.77 to each other and one pair at 0.85, which shares no bucket's ends."""
+    rng = np.random.default_rng(5)
+    form, own = [f"t5x{i}" for i in range(400)], [[f"g5d{d}w{i}" for i in range(47)] for d in range(300)]
+    a, b = (int(x) for x in rng.choice(np.arange(5, 295), 2, replace=False))
+    own[b][:18] = own[a][:18]
+    letters = spark.createDataFrame([(1500 + d, " ".join(form[:180] + own[d] + form[227:])) for d in range(300)], "doc_id long, text string")
+    classes = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(letters).collect()}
+    assert classes == {i: i for i in range(1500, 1800)} | {1500 + max(a, b): 1500 + min(a, b)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

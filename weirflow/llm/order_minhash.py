@@ -3,9 +3,10 @@
 Order MinHash (Marcais and others, 2019): each sketch takes the few smallest of the document's
 occurrence-labelled k-mers under a hash of its own and keeps them in text order, so it is
 sensitive to the order of the text, as the edit similarity is. k-mers are runs of five words.
-Documents that agree in a sketch meet in its bucket. A bucket of any size is compared with one
-or two of its members; members that aren't connected by that meet again in the smaller buckets
-of two and three sketches.
+Documents that agree in a sketch meet in its bucket. A bucket of any size is compared with its
+smallest id; members that aren't connected by that meet again in the smaller buckets of two and
+three sketches, with four of each. What is still unconnected in a bucket then is joined exactly,
+by the rarest k-mers of each text: two texts that reach the threshold share one of these.
 """
 
 from __future__ import annotations
@@ -122,10 +123,11 @@ def _kmers(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return named.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, seq binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    seqs = _kmers(docs, ids, k)
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float, seqs: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the threshold; seqs: the k-mers of all of them, if they were read before."""
+    if seqs is None:
+        ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+        seqs = _kmers(docs, ids, k)
     left = seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
     right = seqs.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
 
@@ -155,12 +157,105 @@ def _joined(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    several = members.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("bucket")
+def _unsettled(members: DataFrame, least: int = 2) -> DataFrame:
+    """Members of the buckets that hold more than one component and at least so many members."""
+    several = members.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where((F.col("_lo") < F.col("_hi")) & (F.col("_n") >= least)).select("bucket")
     return members.join(small(cut(several)), "bucket")
 
 
+#: k-mers are counted by their highest bits; a k-mer's list is joined in blocks of about so many documents.
+SLOT_BITS, BLOCK = 20, 1000
+
+
+def _flat(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All k-mers of a batch and the offsets of each row's."""
+    offsets = np.frombuffer(seqs.buffers()[1], np.int32)[seqs.offset : seqs.offset + len(seqs) + 1].astype(np.int64)
+    body = seqs.buffers()[2]
+    kmers = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]].view("<u4") if body is not None and body.size else np.zeros(0, "<u4")
+    return kmers, (offsets - offsets[0]) // 4
+
+
+def _rarity(seqs: DataFrame) -> np.ndarray:
+    """For each slot of k-mers how often they occur, in quarters of a power of two: a megabyte, however many there are."""
+    shift = np.uint32(32 - SLOT_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch.column(0))[0] >> shift, minlength=len(total))
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 1 << 16):
+            some = used[at : at + (1 << 16)]
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+
+    found = seqs.select("seq").mapInArrow(run, "slot int, n long").groupBy("slot").agg((F.log2(F.sum("n")) * 4).cast("short").alias("level")).toArrow()
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    levels[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return levels
+
+
+def _close(seqs: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of different components that their k-mers don't rule out: no other pair reaches the threshold.
+
+    In any order of all k-mers, places counted from 0, all that two texts share lies at or behind
+    the first k-mer that they share, so from there each must have the t/(1 + t) of the sum of both
+    lengths that an alignment at t needs. That k-mer lies in the first 1 - t of each text. The
+    rarest come first, hence lists of a k-mer are short and hold hardly any text of a shared form.
+    """
+    levels, shift = _rarity(seqs), np.uint32(32 - SLOT_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmers, offsets = _flat(batch.column(1))
+            keys = (levels[kmers >> shift].astype(np.uint64) << np.uint64(32)) | kmers
+            sizes = np.diff(offsets)
+            heads = [np.sort(keys[a:b])[: b - a - int(np.ceil(threshold * (b - a) - 1e-9)) + 1] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            lengths = np.array([len(h) for h in heads], np.int64)
+            place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            own = np.repeat(np.arange(len(heads)), lengths)
+            kmer = (np.concatenate([*heads, np.zeros(0, np.uint64)]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            yield pa.record_batch([pa.array(kmer), batch.column(0).take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), pa.array((sizes[own] - place).astype(np.int32))], names=["kmer", "id", "n", "rest"])
+
+    heads = written(_joined(seqs.select("id", "seq").mapInArrow(run, "kmer long, id long, n int, rest int"), comps), "heads")
+    lists = heads.groupBy("kmer").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("_lo < _hi").select("kmer", "blocks")
+    listed = heads.join(lists, "kmer")
+    left = listed.select("kmer", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    right = listed.select("kmer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    met = left.join(right, (left["kmer"] == right["kmer"]) & (left["block"] == right["block"]) & (F.col("ca") < F.col("cb")) & (F.col("ra") >= need) & (F.col("rb") >= need))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb").distinct()
+
+
+def _exact(buckets: DataFrame, comps: DataFrame, links: DataFrame, tested: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """comps after all pairs that share a bucket, aren't connected and weren't tested are compared or ruled out.
+
+    Of what may be links between two components one is tested first, then all that are left.
+    """
+    # the two of a bucket of two have been compared
+    ids = cut(_unsettled(_joined(buckets, comps), 3).select("id").distinct())
+    if ids.isEmpty():
+        return comps
+    seqs = written(_kmers(docs, ids, k), "kmers")
+    pairs = cut(_close(seqs, comps, threshold).join(tested, ["a", "b"], "left_anti"))
+    release(docs.sparkSession)
+    for first in (True, False):
+        now = pairs
+        if first:
+            now = pairs.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        now = cut(now.select("a", "b"))
+        if now.isEmpty():
+            break
+        more = _verified(now, docs, k, threshold, seqs)
+        if not more.isEmpty():
+            links = cut(links.unionAll(more))
+            comps = components(links)
+        if first:
+            left = pairs.select("a", "b").join(now, ["a", "b"], "left_anti")
+            ends = [comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+            pairs = cut(left.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return comps
+
+
 #: Sketches, counted from the last one of a bucket, by which it is dealt again: second and third level.
 REFINE = ((1, 2, 3), (1, 2))
 
@@ -177,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
     no others; if all of a class are null, class_id is null. Rows that share a doc_id are one
     document for links. Other columns are not looked at. Empty in, empty out.
     16 sketches of 3 k-mers find a pair at a Jaccard similarity of 0.8 with 1 - (1 - 0.8**3)**16,
-    that is 0.99999; two to three of them also meet by a chain of others.
+    that is 0.99999; every pair that is found so and reaches the threshold is in one class.
     """
     small_batches(docs.sparkSession)
     rows = cut(_sketches(docs, k, sketches, size))
@@ -193,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
     shared = in_bucket.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("_most")).where("rep < _most").select("bucket", "rep")
     # written first, so that the join can be split at a hot bucket
     with_rep = written(in_bucket.join(small(cut(shared)), "bucket").select("bucket", "id", "rep"), "buckets")
-    members = with_rep.select("bucket", "id")
+    buckets = members = with_rep.select("bucket", "id")
     tested = cut(_fitting(with_rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), unique, threshold))
     links = _verified(tested, docs, k, threshold)
     comps = components(links)
@@ -221,6 +316,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
         if not more.isEmpty():
             links = cut(links.unionAll(more))
             comps = components(links)
+    comps = _exact(buckets, comps, links, tested, docs, k, threshold)
     out = copies.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     cls = F.coalesce("comp", "rep")
     return out.select("doc_id", cls.alias("class_id"), F.col("doc_id").eqNullSafe(cls).alias("representative"))
