@@ -98,6 +98,43 @@ def test_license_places(odd, documents, nothing):
     assert licenses.scan_licenses(nothing).count() == 0 and len(licenses.rules()) > 200
 
 
+def _alternatives(parts):
+    """An example of every alternative of a parsed pattern; of a set of characters the first."""
+    out = [""]
+    for op, v in parts:
+        match str(op):
+            case "LITERAL":
+                own = [chr(v)]
+            case "IN":
+                kind, x = v[0]
+                own = [chr(x) if str(kind) == "LITERAL" else chr(x[0]) if str(kind) == "RANGE" else "w"]
+            case "ANY":
+                own = ["x"]
+            case "BRANCH":
+                own = [e for branch in v[1] for e in _alternatives(branch)]
+            case "SUBPATTERN":
+                own = _alternatives(v[3])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                own = [""] * (v[0] == 0) + _alternatives(v[2])
+            case _:
+                continue
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_alternative_of_a_license_rule_passes_its_keywords(spark):
+    missed = set()
+    for rule in licenses.rules():
+        for text in map(str.encode, _alternatives(re._parser.parse(rule.pattern.pattern.decode()))):
+            assert rule.pattern.fullmatch(text)
+            if not set(rule.keywords) & set(text.split()):
+                missed.add((rule.label, text))
+    assert not missed
+    texts = {"licensed under the gplv2": "gpl-2.0", "released under lgplv3": "lgpl-3.0", "distributed under FreeBSD license": "bsd-2-clause", "license 0BSD": "0bsd", "licensed under the SIL Open Font License version 1.1": "ofl-1.1", "the universal permissive license license": "upl-1.0", "public domain dedication and license license": "pddl-1.0", "license: MPL-1.1": "mpl-1.1"}
+    found = licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "text string, label string").selectExpr("monotonically_increasing_id() AS doc_id", "text"))
+    assert sorted(r.labels for r in found.collect()) == sorted(texts.values())
+
+
 def test_contained_detections_are_suppressed():
     rules = licenses.rules()
     found = [(0, 10, rules[5]), (2, 8, rules[0]), (0, 10, rules[2]), (5, 15, rules[9])]

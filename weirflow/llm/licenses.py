@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
-Hand-written regular expressions over lower-cased words, each behind a keyword that the text must
-hold; rules have a priority, and of overlapping detections the one contained in another (or, of
+Hand-written regular expressions over lower-cased words, each behind keywords of which the text must
+hold one; rules have a priority, and of overlapping detections the one contained in another (or, of
 equal intervals, the later rule) is suppressed.
 """
 
@@ -24,76 +24,76 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 # Signatures run over the words of a text joined by single spaces.
 _LICENSE = "(?:licen[cs]e|licen[cs]es|licen[cs]ing)"
 _V = "(?: version| v)?"
-#: label, keyword, identifier, name: each gives rules for the tag, the notice and the reference.
+#: label, keywords (each alternative of identifier and name holds one as a whole word), identifier, name: each gives rules for the tag, the notice and the reference.
 FAMILIES = (
     ("mit", "mit", "mit", "mit"),
     ("mit-0", "mit", "mit 0", "mit no attribution"),
     ("x11", "x11", "x11", "(?:mit )?x11"),
     ("isc", "isc", "isc", "isc"),
-    ("0bsd", "bsd", "0bsd", "(?:bsd zero clause|zero clause bsd)"),
+    ("0bsd", "bsd 0bsd", "0bsd", "(?:bsd zero clause|zero clause bsd)"),
     ("bsd-1-clause", "bsd", "bsd 1 clause", "(?:bsd 1 clause|1 clause bsd|one clause bsd)"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd freebsd", "bsd 2 clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", "bsd 3 clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"),
     ("bsd-3-clause-clear", "bsd", "bsd 3 clause clear", "(?:clear bsd|bsd 3 clause clear)"),
     ("apache-1.0", "apache", "apache 1 0", f"apache(?: software)?(?: {_LICENSE})?{_V} 1 0"),
     ("apache-1.1", "apache", "apache 1 1", f"apache(?: software)?(?: {_LICENSE})?{_V} 1 1"),
     ("apache-2", "apache", "apache 2 0", f"apache(?: software)?(?: {_LICENSE})?{_V} 2(?: 0)?"),
-    ("gpl-1.0", "gnu", "gpl 1 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {_LICENSE}){_V} 1(?: 0)?"),
-    ("gpl-2.0", "gpl", "gpl 2 0(?: only)?", "(?:gnu )?gpl ?v?2(?: 0)?(?: only)?"),
-    ("gpl-2.0+", "gpl", "gpl 2 0 (?:or later|plus)", "(?:gnu )?gpl ?v?2(?: 0)? or later"),
-    ("gpl-3.0", "gpl", "gpl 3 0(?: only)?", "(?:gnu )?gpl ?v?3(?: 0)?(?: only)?"),
-    ("gpl-3.0+", "gpl", "gpl 3 0 (?:or later|plus)", "(?:gnu )?gpl ?v?3(?: 0)? or later"),
-    ("gpl-2.0", "general", "gplv2", f"gnu general public {_LICENSE}{_V} 2(?: 0)?"),
-    ("gpl-3.0", "general", "gplv3", f"gnu general public {_LICENSE}{_V} 3(?: 0)?"),
-    ("lgpl-2.0", "lgpl", "lgpl 2 0(?: only| or later)?", "(?:gnu )?lgpl ?v?2(?: 0)?"),
-    ("lgpl-2.1", "lgpl", "lgpl 2 1(?: only| or later)?", "(?:gnu )?lgpl ?v?2 1"),
-    ("lgpl-3.0", "lgpl", "lgpl 3 0(?: only| or later)?", "(?:gnu )?lgpl ?v?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", "lgplv2 1", f"gnu lesser general public {_LICENSE}{_V} 2 1"),
-    ("lgpl-3.0", "lesser", "lgplv3", f"gnu lesser general public {_LICENSE}{_V} 3(?: 0)?"),
-    ("agpl-1.0", "affero", "agpl 1 0", f"affero general public {_LICENSE}{_V} 1(?: 0)?"),
-    ("agpl-3.0", "agpl", "agpl 3 0(?: only| or later)?", "(?:gnu )?agpl ?v?3(?: 0)?"),
-    ("agpl-3.0", "affero", "agplv3", f"(?:gnu )?affero general public {_LICENSE}{_V} 3(?: 0)?"),
-    ("gfdl-1.2", "documentation", "gfdl 1 2(?: only| or later)?", f"gnu free documentation {_LICENSE}{_V} 1 2"),
-    ("gfdl-1.3", "documentation", "gfdl 1 3(?: only| or later)?", f"gnu free documentation {_LICENSE}{_V} 1 3"),
-    ("mpl-1.0", "mozilla", "mpl 1 0", f"mozilla public {_LICENSE}{_V} 1 0"),
-    ("mpl-1.1", "mozilla", "mpl 1 1", f"mozilla public {_LICENSE}{_V} 1 1"),
-    ("mpl-2.0", "mozilla", "mpl 2 0", f"mozilla public {_LICENSE}{_V} 2(?: 0)?"),
-    ("mpl-2.0", "mpl", "mplv2", f"mpl{_V} 2(?: 0)?"),
-    ("epl-1.0", "eclipse", "epl 1 0", f"eclipse public {_LICENSE}{_V} 1 0"),
-    ("epl-2.0", "eclipse", "epl 2 0", f"eclipse public {_LICENSE}{_V} 2 0"),
-    ("edl-1.0", "eclipse", "edl 1 0", f"eclipse distribution {_LICENSE}{_V} 1 0"),
+    ("gpl-1.0", "gpl general", "gpl 1 0(?: only| or later)?", f"(?:gnu )?(?:gpl|general public {_LICENSE}){_V} 1(?: 0)?"),
+    ("gpl-2.0", "gpl gplv2 gpl2", "gpl 2 0(?: only)?", "(?:gnu )?gpl ?v?2(?: 0)?(?: only)?"),
+    ("gpl-2.0+", "gpl gplv2 gpl2", "gpl 2 0 (?:or later|plus)", "(?:gnu )?gpl ?v?2(?: 0)? or later"),
+    ("gpl-3.0", "gpl gplv3 gpl3", "gpl 3 0(?: only)?", "(?:gnu )?gpl ?v?3(?: 0)?(?: only)?"),
+    ("gpl-3.0+", "gpl gplv3 gpl3", "gpl 3 0 (?:or later|plus)", "(?:gnu )?gpl ?v?3(?: 0)? or later"),
+    ("gpl-2.0", "general gplv2", "gplv2", f"gnu general public {_LICENSE}{_V} 2(?: 0)?"),
+    ("gpl-3.0", "general gplv3", "gplv3", f"gnu general public {_LICENSE}{_V} 3(?: 0)?"),
+    ("lgpl-2.0", "lgpl lgplv2 lgpl2", "lgpl 2 0(?: only| or later)?", "(?:gnu )?lgpl ?v?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl lgplv2 lgpl2", "lgpl 2 1(?: only| or later)?", "(?:gnu )?lgpl ?v?2 1"),
+    ("lgpl-3.0", "lgpl lgplv3 lgpl3", "lgpl 3 0(?: only| or later)?", "(?:gnu )?lgpl ?v?3(?: 0)?"),
+    ("lgpl-2.1", "lesser lgplv2", "lgplv2 1", f"gnu lesser general public {_LICENSE}{_V} 2 1"),
+    ("lgpl-3.0", "lesser lgplv3", "lgplv3", f"gnu lesser general public {_LICENSE}{_V} 3(?: 0)?"),
+    ("agpl-1.0", "affero agpl", "agpl 1 0", f"affero general public {_LICENSE}{_V} 1(?: 0)?"),
+    ("agpl-3.0", "agpl agplv3 agpl3", "agpl 3 0(?: only| or later)?", "(?:gnu )?agpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "affero agplv3", "agplv3", f"(?:gnu )?affero general public {_LICENSE}{_V} 3(?: 0)?"),
+    ("gfdl-1.2", "documentation gfdl", "gfdl 1 2(?: only| or later)?", f"gnu free documentation {_LICENSE}{_V} 1 2"),
+    ("gfdl-1.3", "documentation gfdl", "gfdl 1 3(?: only| or later)?", f"gnu free documentation {_LICENSE}{_V} 1 3"),
+    ("mpl-1.0", "mozilla mpl", "mpl 1 0", f"mozilla public {_LICENSE}{_V} 1 0"),
+    ("mpl-1.1", "mozilla mpl", "mpl 1 1", f"mozilla public {_LICENSE}{_V} 1 1"),
+    ("mpl-2.0", "mozilla mpl", "mpl 2 0", f"mozilla public {_LICENSE}{_V} 2(?: 0)?"),
+    ("mpl-2.0", "mpl mplv2", "mplv2", f"mpl{_V} 2(?: 0)?"),
+    ("epl-1.0", "eclipse epl", "epl 1 0", f"eclipse public {_LICENSE}{_V} 1 0"),
+    ("epl-2.0", "eclipse epl", "epl 2 0", f"eclipse public {_LICENSE}{_V} 2 0"),
+    ("edl-1.0", "eclipse edl", "edl 1 0", f"eclipse distribution {_LICENSE}{_V} 1 0"),
     ("cddl-1.0", "cddl", "cddl 1 0", "cddl(?: 1 0)?"),
     ("cddl-1.1", "cddl", "cddl 1 1", "cddl 1 1"),
-    ("cddl-1.0", "development", "cddl", f"common development and distribution {_LICENSE}"),
-    ("cpl-1.0", "common", "cpl 1 0", f"common public {_LICENSE}{_V}(?: 1 0)?"),
-    ("ipl-1.0", "ibm", "ipl 1 0", f"ibm public {_LICENSE}"),
-    ("eupl-1.1", "eupl", "eupl 1 1", "(?:eupl|european union public licence)(?: v)? 1 1"),
-    ("eupl-1.2", "eupl", "eupl 1 2", "(?:eupl|european union public licence)(?: v)? 1 2"),
-    ("osl-3.0", "open", "osl 3 0", f"open software {_LICENSE}(?: v)? 3 0"),
-    ("afl-3.0", "academic", "afl 3 0", f"academic free {_LICENSE}(?: v)? 3 0"),
+    ("cddl-1.0", "development cddl", "cddl", f"common development and distribution {_LICENSE}"),
+    ("cpl-1.0", "common cpl", "cpl 1 0", f"common public {_LICENSE}{_V}(?: 1 0)?"),
+    ("ipl-1.0", "ibm ipl", "ipl 1 0", f"ibm public {_LICENSE}"),
+    ("eupl-1.1", "eupl european", "eupl 1 1", "(?:eupl|european union public licence)(?: v)? 1 1"),
+    ("eupl-1.2", "eupl european", "eupl 1 2", "(?:eupl|european union public licence)(?: v)? 1 2"),
+    ("osl-3.0", "open osl", "osl 3 0", f"open software {_LICENSE}(?: v)? 3 0"),
+    ("afl-3.0", "academic afl", "afl 3 0", f"academic free {_LICENSE}(?: v)? 3 0"),
     ("artistic-1.0", "artistic", "artistic 1 0(?: perl| cl8)?", f"artistic {_LICENSE} 1 0"),
     ("artistic-2.0", "artistic", "artistic 2 0", f"artistic {_LICENSE} 2 0"),
     ("zlib", "zlib", "zlib", "zlib"),
     ("libpng", "libpng", "libpng(?: 2 0)?", "libpng"),
-    ("bsl-1.0", "boost", "bsl 1 0", f"boost software {_LICENSE}(?: version)?(?: 1 0)?"),
-    ("busl-1.1", "business", "busl 1 1", f"business source {_LICENSE}(?: 1 1)?"),
-    ("sspl-1.0", "side", "sspl 1 0", f"server side public {_LICENSE}"),
+    ("bsl-1.0", "boost bsl", "bsl 1 0", f"boost software {_LICENSE}(?: version)?(?: 1 0)?"),
+    ("busl-1.1", "business busl", "busl 1 1", f"business source {_LICENSE}(?: 1 1)?"),
+    ("sspl-1.0", "side sspl", "sspl 1 0", f"server side public {_LICENSE}"),
     ("elastic-2.0", "elastic", "elastic 2 0", f"elastic {_LICENSE}(?: 2 0)?"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl", "(?:wtfpl|do what the fuck you want to public license)"),
+    ("wtfpl", "wtfpl fuck", "wtfpl", "(?:wtfpl|do what the fuck you want to public license)"),
     ("cc0-1.0", "cc0", "cc0 1 0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "by", "cc by(?: [1-4] 0)?", "(?:cc by|creative commons attribution)(?: [1-4] 0)?(?: international)?"),
-    ("cc-by-sa", "sa", "cc by sa(?: [1-4] 0)?", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?(?: international)?"),
-    ("cc-by-nd", "nd", "cc by nd(?: [1-4] 0)?", "(?:cc by nd|creative commons attribution no ?derivatives)(?: [1-4] 0)?(?: international)?"),
-    ("cc-by-nc", "nc", "cc by nc(?: [1-4] 0)?", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?(?: international)?"),
-    ("cc-by-nc-sa", "nc", "cc by nc sa(?: [1-4] 0)?", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "nc", "cc by nc nd(?: [1-4] 0)?", "(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] 0)?"),
-    ("odbl-1.0", "odbl", "odbl 1 0", f"(?:odbl|open (?:data commons open )?database {_LICENSE})(?: v)?(?: 1 0)?"),
-    ("pddl-1.0", "pddl", "pddl 1 0", "(?:pddl|public domain dedication and license)"),
-    ("odc-by-1.0", "odc", "odc by 1 0", f"(?:odc by|open data commons attribution {_LICENSE})"),
-    ("ofl-1.1", "ofl", "ofl 1 1(?: rfn| no rfn)?", "(?:ofl|sil open font license)(?: version)?(?: 1 1)?"),
-    ("psf-2.0", "python", "psf 2 0", f"(?:python software foundation|psf) {_LICENSE}(?: version 2)?"),
+    ("cc-by", "by attribution", "cc by(?: [1-4] 0)?", "(?:cc by|creative commons attribution)(?: [1-4] 0)?(?: international)?"),
+    ("cc-by-sa", "sa attribution", "cc by sa(?: [1-4] 0)?", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?(?: international)?"),
+    ("cc-by-nd", "nd attribution", "cc by nd(?: [1-4] 0)?", "(?:cc by nd|creative commons attribution no ?derivatives)(?: [1-4] 0)?(?: international)?"),
+    ("cc-by-nc", "nc attribution", "cc by nc(?: [1-4] 0)?", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] 0)?(?: international)?"),
+    ("cc-by-nc-sa", "nc attribution", "cc by nc sa(?: [1-4] 0)?", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?"),
+    ("cc-by-nc-nd", "nc attribution", "cc by nc nd(?: [1-4] 0)?", "(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] 0)?"),
+    ("odbl-1.0", "odbl database", "odbl 1 0", f"(?:odbl|open (?:data commons open )?database {_LICENSE})(?: v)?(?: 1 0)?"),
+    ("pddl-1.0", "pddl dedication", "pddl 1 0", "(?:pddl|public domain dedication and license)"),
+    ("odc-by-1.0", "odc attribution", "odc by 1 0", f"(?:odc by|open data commons attribution {_LICENSE})"),
+    ("ofl-1.1", "ofl sil", "ofl 1 1(?: rfn| no rfn)?", "(?:ofl|sil open font license)(?: version)?(?: 1 1)?"),
+    ("psf-2.0", "python psf", "psf 2 0", f"(?:python software foundation|psf) {_LICENSE}(?: version 2)?"),
     ("python-2.0", "python", "python 2 0", f"python {_LICENSE}"),
     ("php-3.0", "php", "php 3 0", f"php {_LICENSE}{_V} 3 0"),
     ("php-3.01", "php", "php 3 01", f"php {_LICENSE}{_V} 3 01"),
@@ -105,20 +105,20 @@ FAMILIES = (
     ("ssleay", "ssleay", "ssleay", "ssleay"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("ncsa", "ncsa", "ncsa", f"(?:ncsa|university of illinois ncsa open source) {_LICENSE}"),
-    ("ms-pl", "microsoft", "ms pl", f"microsoft public {_LICENSE}"),
-    ("ms-rl", "microsoft", "ms rl", f"microsoft reciprocal {_LICENSE}"),
-    ("lppl-1.3c", "lppl", "lppl 1 3c", "(?:lppl|latex project public license)(?: version)?(?: 1 3c?)?"),
-    ("qpl-1.0", "qpl", "qpl 1 0", "(?:qpl|q public license)(?: 1 0)?"),
+    ("ms-pl", "microsoft ms", "ms pl", f"microsoft public {_LICENSE}"),
+    ("ms-rl", "microsoft ms", "ms rl", f"microsoft reciprocal {_LICENSE}"),
+    ("lppl-1.3c", "lppl latex", "lppl 1 3c", "(?:lppl|latex project public license)(?: version)?(?: 1 3c?)?"),
+    ("qpl-1.0", "qpl q", "qpl 1 0", "(?:qpl|q public license)(?: 1 0)?"),
     ("sleepycat", "sleepycat", "sleepycat", "sleepycat"),
-    ("upl-1.0", "upl", "upl 1 0", "(?:upl|universal permissive license)(?: 1 0)?"),
-    ("mulan-psl-2.0", "mulan", "mulanpsl 2 0", "mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?(?: v)? ?2"),
-    ("ecl-2.0", "educational", "ecl 2 0", f"educational community {_LICENSE}(?: version)? 2 0"),
+    ("upl-1.0", "upl permissive", "upl 1 0", "(?:upl|universal permissive license)(?: 1 0)?"),
+    ("mulan-psl-2.0", "mulan mulanpsl", "mulanpsl 2 0", "mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?(?: v)? ?2"),
+    ("ecl-2.0", "educational ecl", "ecl 2 0", f"educational community {_LICENSE}(?: version)? 2 0"),
     ("w3c", "w3c", "w3c", "w3c(?: software)?(?: notice and)?"),
     ("unicode", "unicode", "unicode dfs 201[56]", "unicode"),
     ("icu", "icu", "icu", "icu"),
-    ("beerware", "beer", "beerware", "(?:beerware|beer ware)"),
+    ("beerware", "beer beerware", "beerware", "(?:beerware|beer ware)"),
     ("json", "json", "json", "json"),
-    ("blueoak-1.0.0", "oak", "blueoak 1 0 0", f"blue oak model {_LICENSE}(?: 1 0 0)?"),
+    ("blueoak-1.0.0", "oak blueoak", "blueoak 1 0 0", f"blue oak model {_LICENSE}(?: 1 0 0)?"),
     ("polyform-noncommercial-1.0.0", "polyform", "polyform noncommercial 1 0 0", f"polyform noncommercial {_LICENSE}"),
     ("commons-clause", "commons", "commons clause", f"commons clause(?: {_LICENSE})?"),
     ("openrail", "openrail", "(?:creativeml )?openrail", "(?:creativeml |bigscience )?openrail"),
@@ -129,7 +129,7 @@ PASSAGES = (
     ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 0.9),
     ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file", 1.0),
     ("apache-2", "apache", "www apache org licenses license 2 0", 1.0),
-    ("isc", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", 0.9),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee", 0.9),
     ("bsd-3-clause", "endorse", "neither the name of .{1,80}? may be used to endorse or promote products", 0.9),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software", 0.95),
     ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 0.8),
@@ -163,7 +163,7 @@ PASSAGES = (
 class Rule:
     priority: int
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
     score: float
 
@@ -178,7 +178,7 @@ def rules() -> list[Rule]:
     raw += [(label, key, f"{_LICENSE} (?:is |type )?(?:{tag}|{name})", 0.75) for label, key, tag, name in FAMILIES]
     raw += [p for p in PASSAGES if p[3] < 0.8]
     raw += [(label, phrase.split()[-1] if label != "cc-by-nc" else "nc", phrase, 0.9) for phrase, label in BASE]
-    return [Rule(i, label, key.encode(), re.compile(rb"(?<![^ ])(?:" + text.encode() + rb")(?![^ ])"), score) for i, (label, key, text, score) in enumerate(raw)]
+    return [Rule(i, label, tuple(key.encode().split()), re.compile(rb"(?<![^ ])(?:" + text.encode() + rb")(?![^ ])"), score) for i, (label, key, text, score) in enumerate(raw)]
 
 
 def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -212,7 +212,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         ordered = rules()
         by_key: dict[bytes, list[Rule]] = {}
         for r in ordered:
-            by_key.setdefault(r.keyword, []).append(r)
+            for key in r.keywords:
+                by_key.setdefault(key, []).append(r)
         longest = max(map(len, by_key))
         gate = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, by_key), key=lambda k: -len(k))) + rb")(?![0-9a-z\x80-\xff])")
         assert longest < 64
@@ -248,7 +249,7 @@ def _detect(lower: bytes, words: Words, a: int, b: int, keys: set[bytes], by_key
         places += hits
         if hits:
             base_labels.add(label)
-    found = [(m.start(), m.end(), r) for k in keys for r in by_key[k] for m in r.pattern.finditer(joined)]
+    found = [(m.start(), m.end(), r) for r in {r.priority: r for k in keys for r in by_key[k]}.values() for m in r.pattern.finditer(joined)]
     stay = suppressed(found)
     spans = [{"label": r.label, "word": word_at(s), "words": word_at(e - 1) - word_at(s) + 1, "score": r.score} for s, e, r in stay]
     labels = base_labels | {r.label for _, _, r in stay}
