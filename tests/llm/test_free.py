@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weirflow.llm import bitpack, components, licenses, order_minhash, packing, quality, queries, session, toxicity
+from weirflow.llm import bitpack, components, licenses, order_minhash, packing, quality, queries, session, textbytes, toxicity
 from weirflow.llm.tokens import Encoder, default_path
 
 SF = "/root/testdata/sf0.001"
@@ -159,6 +159,13 @@ def test_toxicity(spark, odd, nothing):
     assert {r.predicted for r in toxicity.score(docs, one_sided).collect()} == {0}
 
 
+def test_all_offending_sentences_are_reported(spark):
+    data = np.frombuffer(b"vile", np.uint8)
+    model = toxicity.Model(textbytes.Words(data, np.array([0, 4])).hashes(), np.array([9.0]), -4.0, 0.5)
+    many = spark.createDataFrame([(1, "a vile day. all kind here. " * 7)], "doc_id long, text string")
+    assert [len(toxicity.score(many, model, **top).first().worst) for top in ({}, {"top": 3})] == [7, 3]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -126,10 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: in
     return fit(strings(table["text"]).take(pa.array(order)), np.array(table["y"].to_pylist(), float)[order])
 
 
-def score(docs: DataFrame, model: Model, *, modulus: int = 5, remainder: int = 0, top: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, modulus: int = 5, remainder: int = 0, top: int | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted and the worst sentences of every whole text.
 
-    worst: up to `top` sentences with a score of 0.5 or more, as (start, end, score), in bytes of
+    worst: all sentences with a score of 0.5 or more (with `top` so many at most), largest first, as (start, end, score), in bytes of
     the UTF-8 text from its first to its last word. Null and empty texts and texts without words
     have a score of 0. Null ids aren't held out. Repeated rows are scored each. labels, lang,
     source and doc_id aren't used. Empty in, empty out.
