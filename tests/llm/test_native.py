@@ -99,6 +99,13 @@ def test_widely_copied_secrets_are_examples(spark, nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_a_secret_of_one_owner_stays_live_in_many_documents(spark):
+    key = "ghp_" + "a1B2c3D4e5F6g7H8i9J0" * 2
+    df = spark.createDataFrame([(i, f"use {key} here", "s1") for i in range(12)], "doc_id long, text string, source string")
+    assert {(r.n_live, r.n_example, len(r.spans)) for r in secrets.scan_secrets(df).collect()} == {(1, 0, 1)}
+    assert {r.n_live for r in secrets.scan_secrets(df, example_repos=10).collect()} == {0}
+
+
 WORDS = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 

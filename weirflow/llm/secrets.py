@@ -60,13 +60,14 @@ def _random(value: str) -> str:
     return f"({kinds} >= least(10, length({value}) / 2.0) AND {value} RLIKE '[0-9]' AND NOT {value} RLIKE '(?i)example|changeme|placeholder|your|dummy|xxxx|1234567')"
 
 
-def scan_secrets(docs: DataFrame, *, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 3, example_repos: int = 10) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = 3, example_repos: int | None = None) -> DataFrame:
     """One row for each input row: doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_example.
 
     base_spans and spans are arrays of (start, kind_no, kind, end, hash, verdict), ordered by start,
     then kind; offsets are code points. Base spans always stay. A span of an extra kind is added
-    if its value is live: carried by fewer than example_owners owners and example_repos
-    repositories (owner, repo), and random to look at. Everything else is an example.
+    if its value is live: carried by fewer than example_owners owners, in any number of
+    repositories (owner, repo) unless example_repos limits it to fewer than that, and random to
+    look at. Everything else is an example.
     A null text counts as empty; null owners or repositories count as one of their own; rows with
     the same id and text have the same result. Other columns are not looked at.
     """
@@ -86,7 +87,9 @@ def scan_secrets(docs: DataFrame, *, owner_col: str = "source", repo_col: str =
     by_owner = pairs.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"))
     owners = by_owner.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repos"))
     judged = found.withColumn("_hash", F.col("_span.hash")).join(owners, "_hash")
-    live = (F.col("owners") < example_owners) & (F.col("repos") < example_repos) & F.col("_span.random")
+    live = (F.col("owners") < example_owners) & F.col("_span.random")
+    if example_repos is not None:
+        live &= F.col("repos") < example_repos
     span = F.struct("_span.start", "_span.kind_no", "_span.kind", "_span.end", "_span.hash", "_span.base", live.alias("live"), "owners", "repos")
     by_doc = judged.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(span)).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "_key": "_own_key"})
     joined = with_any.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own_key")))
