@@ -1,53 +1,57 @@
-"""Shared storage, lineage cuts and size-checked broadcasts for the operators."""
+"""Size-checked broadcasts, joins that split hot keys, and written tables for the operators."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A frame is broadcast only when it was counted and has at most this many rows (of a few numbers each).
-BROADCAST_ROWS = 500_000
+from ..storage import cut, fresh, remove, shared_dir, table_path
 
+__all__ = ["cut", "fresh", "lookup", "release", "remove", "shared_dir", "small", "small_batches", "table_path", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weirflow-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+#: A frame is broadcast only when it was measured and holds at most so much.
+BROADCAST_BYTES = 48 << 20
+#: Rows of one key that a join sends to one task.
+TASK_ROWS = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder: computed once, survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small(df: DataFrame, row_bytes: int | Column = 100) -> DataFrame:
+    """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a shuffle that AQE can split."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).cast("long")).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str, how: str = "inner", row_bytes: int = 100, most: int | None = None) -> DataFrame:
+    """left joined with right, which has each key once and in `times` how many rows of left have it.
 
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a checkpointed frame if its count allows; else it joins by a shuffle that AQE can split."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same as cut() by a compressed table, for what has many rows."""
+    right is broadcast if it is small: if it has at most `most` rows by what the caller knows, else
+    it is checkpointed and counted. If it is large, the rows of a hot key are dealt over several
+    tasks by a hash of all their columns, and its row of right goes to each of these. Null keys meet
+    nothing. The column `times` doesn't come back.
+    """
+    if most is None or most * row_bytes > BROADCAST_BYTES:
+        right = cut(right)
+        most = right.count()
+    if most * row_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.drop(times)), list(keys), how)
+    name = fresh(left, right)
+    pieces, salt = name + "pieces", name + "salt"
+    hot = cut(right.where(F.col(times) > TASK_ROWS).select(*keys, F.ceil(F.col(times) / TASK_ROWS).cast("int").alias(pieces)))
+    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce(pieces, F.lit(1))).cast("int")
+    dealt = left.join(small(hot), list(keys), "left").withColumn(salt, spread).drop(pieces)
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(times) / TASK_ROWS).cast("int"), F.lit(1)) - 1)))
+    return dealt.join(many.drop(times), [*keys, salt], how).drop(salt)
+
+
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The same as cut() by a compressed table, for what has many rows; its path is added to `made`."""
     path = table_path(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -55,7 +59,11 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send Python workers at most 8 MB (or one row) at once, unless the cluster names a size: a batch is held several times, by both sides."""
+    """Send Python workers at most 8 MB (or one row) at once, unless the cluster names a size.
+
+    A batch is held several times, by both sides. Results are lazy and the setting is read when they
+    are computed, so it stays for the session.
+    """
     if not spark.sparkContext.getConf().contains(BATCH_BYTES):
         spark.conf.set(BATCH_BYTES, "8m")
 
