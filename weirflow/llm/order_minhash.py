@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .session import cut, release, small, small_batches, written
+from .components import components, joined
+from .session import cut, fresh, lookup, release, remove, small, small_batches, written
 from .textbytes import Words, chunks, labelled, mix, shingles, strings
 
 
@@ -194,7 +194,7 @@ def _rarity(seqs: DataFrame) -> np.ndarray:
     return levels
 
 
-def _close(seqs: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+def _close(seqs: DataFrame, comps: DataFrame, threshold: float, made: list[str]) -> DataFrame:
     """The pairs (a, b) of different components that their k-mers don't rule out: no other pair reaches the threshold.
 
     In any order of all k-mers, places counted from 0, all that two texts share lies at or behind
@@ -216,7 +216,7 @@ def _close(seqs: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
             kmer = (np.concatenate([*heads, np.zeros(0, np.uint64)]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             yield pa.record_batch([pa.array(kmer), batch.column(0).take(pa.array(own)), pa.array(sizes[own].astype(np.int32)), pa.array((sizes[own] - place).astype(np.int32))], names=["kmer", "id", "n", "rest"])
 
-    heads = written(_joined(seqs.select("id", "seq").mapInArrow(run, "kmer long, id long, n int, rest int"), comps), "heads")
+    heads = written(_joined(seqs.select("id", "seq").mapInArrow(run, "kmer long, id long, n int, rest int"), comps), "heads", made)
     lists = heads.groupBy("kmer").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("_lo < _hi").select("kmer", "blocks")
     listed = heads.join(lists, "kmer")
     left = listed.select("kmer", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
@@ -226,7 +226,7 @@ def _close(seqs: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "ca", "cb").distinct()
 
 
-def _exact(buckets: DataFrame, comps: DataFrame, links: DataFrame, tested: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+def _exact(buckets: DataFrame, comps: DataFrame, tested: DataFrame, docs: DataFrame, k: int, threshold: float, made: list[str]) -> DataFrame:
     """comps after all pairs that share a bucket, aren't connected and weren't tested are compared or ruled out.
 
     Of what may be links between two components one is tested first, then all that are left.
@@ -235,8 +235,8 @@ def _exact(buckets: DataFrame, comps: DataFrame, links: DataFrame, tested: DataF
     ids = cut(_unsettled(_joined(buckets, comps), 3).select("id").distinct())
     if ids.isEmpty():
         return comps
-    seqs = written(_kmers(docs, ids, k), "kmers")
-    pairs = cut(_close(seqs, comps, threshold).join(tested, ["a", "b"], "left_anti"))
+    seqs = written(_kmers(docs, ids, k), "kmers", made)
+    pairs = cut(_close(seqs, comps, threshold, made).join(tested, ["a", "b"], "left_anti"))
     release(docs.sparkSession)
     for first in (True, False):
         now = pairs
@@ -247,8 +247,7 @@ def _exact(buckets: DataFrame, comps: DataFrame, links: DataFrame, tested: DataF
             break
         more = _verified(now, docs, k, threshold, seqs)
         if not more.isEmpty():
-            links = cut(links.unionAll(more))
-            comps = components(links)
+            comps = joined(comps, more)
         if first:
             left = pairs.select("a", "b").join(now, ["a", "b"], "left_anti")
             ends = [comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
@@ -275,11 +274,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
     that is 0.99999; every pair that is found so and reaches the threshold is in one class.
     """
     small_batches(docs.sparkSession)
+    made: list[str] = []
     rows = cut(_sketches(docs, k, sketches, size))
-    first = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = rows.select("doc_id", "d1", "d2").join(first, ["d1", "d2"]).select("doc_id", "rep")
-    unique = rows.where("n > 0 AND doc_id IS NOT NULL").join(first.where("rep IS NOT NULL"), ["d1", "d2"]).where("doc_id = rep")
-    unique = cut(unique.select(F.col("doc_id").alias("id"), "n", "sk").dropDuplicates(["id", "sk"]))
+    # only words that several rows have are joined back; a large group of copies is dealt over tasks
+    several = cut(rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1"))
+    copies = lookup(rows.select("doc_id", "d1", "d2", "n", "sk"), several.withColumn("copied", F.lit(True)), ["d1", "d2"], "times", "left", 48)
+    copies = copies.withColumn("rep", F.when(F.col("copied"), F.col("rep")).otherwise(F.col("doc_id")))
+    unique = copies.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), "n", "sk")
+    unique = cut(unique.dropDuplicates(["id", "sk"]))
+    copies = copies.select("doc_id", "rep")
 
     # a bucket's number holds in its lowest bits which sketch it is of
     low = (1 << (sketches - 1).bit_length()) - 1
@@ -287,11 +290,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
     in_bucket = unique.select("id", F.posexplode("sk").alias("last", "v")).select("id", number(F.col("last"), "last", "v").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("_most")).where("rep < _most").select("bucket", "rep")
     # written first, so that the join can be split at a hot bucket
-    with_rep = written(in_bucket.join(small(cut(shared)), "bucket").select("bucket", "id", "rep"), "buckets")
+    with_rep = written(in_bucket.join(small(cut(shared)), "bucket").select("bucket", "id", "rep"), "buckets", made)
     buckets = members = with_rep.select("bucket", "id")
     tested = cut(_fitting(with_rep.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), unique, threshold))
-    links = _verified(tested, docs, k, threshold)
-    comps = components(links)
+    comps = components(_verified(tested, docs, k, threshold))
 
     # buckets with members that aren't connected yet are dealt again by a second and a third sketch:
     # documents at 0.8 agree in many of these (12 and 13 on average), documents that share a passage
@@ -301,23 +303,26 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sket
         turn = F.explode(F.array(*[F.pmod(F.col("bucket").bitwiseAND(F.lit(low)) + F.lit(d), F.lit(sketches)).cast("int") for d in steps]))
         dealt = rest.join(unique.select("id", "sk"), "id").select("id", "sk", "bucket", turn.alias("last"))
         dealt = dealt.select("id", number(F.col("last"), "bucket", "last", F.get("sk", F.col("last"))).alias("bucket"))
-        now = written(_unsettled(_joined(dealt, comps)).select("bucket", "id", "comp"), "buckets")
+        now = written(_unsettled(_joined(dealt, comps)).select("bucket", "id", "comp"), "buckets", made)
         if now.isEmpty():
             break
         members = now.select("bucket", "id")
         by_id, by_hash = F.struct("id", "comp"), F.struct(F.xxhash64("id").alias("h"), "id", "comp")
         ends = now.groupBy("bucket").agg(F.min(by_id).alias("a"), F.max(by_id).alias("b"), F.min(by_hash).alias("c"), F.max(by_hash).alias("d"))
         ends = ends.select("bucket", F.array("a", "b", *[F.struct(f"{x}.id", f"{x}.comp") for x in "cd"]).alias("ends"))
-        pairs = now.join(small(cut(ends), 100_000), "bucket").select("id", "comp", F.explode("ends").alias("end")).where(F.col("comp") != F.col("end.comp"))
+        pairs = now.join(small(cut(ends), 150), "bucket").select("id", "comp", F.explode("ends").alias("end")).where(F.col("comp") != F.col("end.comp"))
         pairs = pairs.select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b")).distinct()
         pairs = cut(_fitting(pairs.join(tested, ["a", "b"], "left_anti"), unique, threshold))
         more = _verified(pairs, docs, k, threshold)
         tested = cut(tested.unionAll(pairs))
         if not more.isEmpty():
-            links = cut(links.unionAll(more))
-            comps = components(links)
-    comps = _exact(buckets, comps, links, tested, docs, k, threshold)
-    out = copies.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+            comps = joined(comps, more)
+    comps = _exact(buckets, comps, tested, docs, k, threshold, made)
+    remove(docs.sparkSession, *made)  # what is left to compute reads checkpoints only
+    # all copies of a text meet its component in one row: their number is that row's weight
+    times = several.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("times").alias("times"))
+    found = cut(comps.withColumnRenamed("id", "rep").join(times, "rep", "left").withColumn("times", F.coalesce("times", F.lit(1))))
+    out = lookup(copies, found, ["rep"], "times", "left", 48)
     cls = F.coalesce("comp", "rep")
     return out.select("doc_id", cls.alias("class_id"), F.col("doc_id").eqNullSafe(cls).alias("representative"))
 
@@ -326,7 +331,7 @@ def keep_representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs without the documents that aren't the representative of their class.
 
     Rows with a null doc_id stay, as do repeated rows of a representative: equal rows are the exact
-    stage's task.
+    stage's task. Columns of any name come back as they are. Empty in, empty out.
     """
-    gone = cut(classes.where("NOT representative AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(classes.where("NOT representative AND doc_id IS NOT NULL").select(F.col("doc_id").alias(fresh(docs) + "id")).distinct())
+    return docs.join(small(gone, 24), F.col("doc_id") == gone[gone.columns[0]], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
