@@ -15,10 +15,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, fold: Column, rows:
     """(doc_id, y, text) of at most `rows` labelled documents outside the fold, the first by a hash of the id.
 
     The labels alone are ranked; the ids taken are few (their bound is `rows`) and are broadcast
-    to one scan of the documents. Of conflicting labels for an id, 1 counts. Null ids, labels and
-    repeated ids are left out.
+    to one scan of the documents. Of conflicting labels for an id, 1 counts; of repeated ids, the
+    text with the smallest hash. Null ids and labels are left out; a null text counts as empty.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~fold)
     known = known.groupBy("doc_id").agg(F.max(target).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     taken = known.select(F.col("doc_id"), F.col("y").cast("double"))
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(taken), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

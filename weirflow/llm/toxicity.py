@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .session import small_batches
+from .session import cut, small_batches
 from .textbytes import Words, chunks, strings
 
 PREFIX = 5
@@ -69,47 +69,44 @@ class Model:
         return self._bits
 
 
-def noisy_or(z: np.ndarray, text_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """log(1 - p) of each text and the probability of each sentence."""
+def noisy_or(z: np.ndarray, text_of: np.ndarray, n: int, times: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """log(1 - p) of each text and the probability of each sentence, which stands `times` times in its text."""
     s = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    return np.bincount(text_of, -np.logaddexp(0, np.clip(z, -60, 60)), n), s
+    return np.bincount(text_of, -np.logaddexp(0, np.clip(z, -60, 60)) * times, n), s
 
 
-def fit(texts: pa.Array, y: np.ndarray, *, least_texts: int = 5, rounds: int = 250, rate: float = 0.15, shrink: float = 2e-4) -> Model:
-    """Proximal Adam on the noisy-or likelihood; terms of fewer than least_texts texts weigh nothing."""
-    n = len(texts)
-    prior = (float(y.sum()) + 0.5) / (n + 1) if n else 0.0
-    if n == 0 or y.min() == y.max():
+@dataclass
+class Bags:
+    """Training documents as sentences: each is a bag of terms that stands `times` times in its document."""
+
+    terms: np.ndarray  # places of terms, sentence after sentence
+    sentence_of: np.ndarray
+    times: np.ndarray
+    text_of: np.ndarray
+    y: np.ndarray
+
+
+def gradient(bags: Bags, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """Mean loss of the noisy-or likelihood and its slopes by the weights and the bias."""
+    n = len(bags.y)
+    z = bias + np.bincount(bags.sentence_of, w[bags.terms], len(bags.times))
+    log_clean, s = noisy_or(z, bags.text_of, n, bags.times)
+    p = np.clip(-np.expm1(log_clean), 1e-9, 1.0)
+    loss = -float(np.sum(np.where(bags.y > 0.5, np.log(p), log_clean))) / n
+    slope = bags.times * s * ((p - bags.y) / p)[bags.text_of] / n
+    return loss, np.bincount(bags.terms, slope[bags.sentence_of], len(w)), float(slope.sum())
+
+
+def fit(bags: Bags, keys: np.ndarray, *, rounds: int = 250, rate: float = 0.15, shrink: float = 2e-4) -> Model:
+    """Proximal Adam on the noisy-or likelihood. keys: sorted hashes of the terms."""
+    n = len(bags.y)
+    prior = (float(bags.y.sum()) + 0.5) / (n + 1) if n else 0.0
+    if n == 0 or bags.y.min() == bags.y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0 if prior < 0.5 else 20.0, prior)
-    hashes, sentence_of, text_of, first, n_sent = [], [], [], 0, 0
-    for at, end, data, offsets in chunks(texts):
-        words = Words(data, offsets)
-        of, owner = sentences(words, offsets)
-        own, word = terms(words)
-        hashes.append(own)
-        sentence_of.append(of[word] + n_sent)
-        text_of.append(owner + at)
-        n_sent += len(owner)
-    hashes, sentence_of, text_of = map(np.concatenate, (hashes, sentence_of, text_of))
-    keys, word = np.unique(hashes, return_inverse=True)
-    del hashes
-    pair = np.unique(word.astype(np.int64) * n + text_of[sentence_of])
-    spread = np.bincount(pair // n, minlength=len(keys))
-    positive = np.bincount(pair // n, y[pair % n], len(keys))
-    base = y.mean()
-    # words that are no likelier in positive texts can't raise a noisy-or
-    useful = (spread >= least_texts) & (positive > spread * min(0.5, 2 * base))
-    place = np.cumsum(useful) - 1
-    keys, on = keys[useful], useful[word]
-    word, sent = place[word[on]].astype(np.int32), sentence_of[on].astype(np.int32)
-    del pair, on, sentence_of
     w, bias, m, v = np.zeros(len(keys)), -4.0, np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(sent, w[word], n_sent)
-        log_clean, s = noisy_or(z, text_of, n)
-        p = np.clip(-np.expm1(log_clean), 1e-9, 1.0)
-        slope = s * ((p - y) / p)[text_of] / n  # of the loss, by z
-        g = np.concatenate((np.bincount(word, slope[sent], len(keys)), [slope.sum()]))
+        _, by_weight, by_bias = gradient(bags, w, bias)
+        g = np.concatenate((by_weight, [by_bias]))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w = w - step[:-1]
@@ -119,11 +116,74 @@ def fit(texts: pa.Array, y: np.ndarray, *, least_texts: int = 5, rounds: int = 2
     return Model(keys[used], w[used], bias, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, rows: int = 4000) -> Model:
-    """Fit on at most `rows` labelled documents whose crc32(doc_id) mod modulus isn't remainder."""
-    table = sample(docs, labels, "toxic", held_out(F.col("doc_id"), modulus, remainder), rows).toArrow()
-    order = np.argsort(np.array(table["doc_id"].to_pylist(), np.int64), kind="stable")
-    return fit(strings(table["text"]).take(pa.array(order)), np.array(table["y"].to_pylist(), float)[order])
+def _useful(taken: DataFrame, least_texts: int) -> np.ndarray:
+    """Sorted hashes of the terms that least_texts documents hold and that positive ones hold more often; counted by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, _, data, offsets in chunks(strings(batch.column(2))):
+                words = Words(data, offsets)
+                own, word = terms(words)
+                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))[word]
+                order = np.lexsort((own, owner))
+                own, owner = own[order], owner[order]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
+                yield pa.record_batch([pa.array(own[new].view(np.int64)), pa.array(y[owner[new] + at])], names=["term", "y"])
+
+    base = taken.agg(F.avg("y")).first()[0]
+    if base in (None, 0.0, 1.0):
+        return np.zeros(0, np.uint64)
+    held = taken.mapInArrow(run, "term long, y double").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))
+    # words that are no likelier in positive texts can't raise a noisy-or
+    found = held.where((F.col("n") >= least_texts) & (F.col("positive") > F.col("n") * min(0.5, 2 * base))).select("term").toArrow()
+    return np.sort(np.array(found["term"].to_numpy()).astype(np.int64).view(np.uint64))
+
+
+def _bags(taken: DataFrame, keys: np.ndarray) -> Bags:
+    """The documents' sentences as bags of the terms in keys; equal sentences of a document, with none of them for example, are one bag."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            for at, end, data, offsets in chunks(strings(batch.column(2))):
+                words = Words(data, offsets)
+                of, owner = sentences(words, offsets)
+                own, word = terms(words)
+                place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                hit = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+                place, sent = place[hit], of[word[hit]]
+                order = np.lexsort((place, sent))
+                place, sent = place[order].tolist(), sent[order]
+                first = np.searchsorted(sent, np.arange(len(owner) + 1)).tolist()
+                bags: list[dict] = [{} for _ in range(end - at)]
+                for j, text in enumerate(owner.tolist()):
+                    bag = tuple(place[first[j] : first[j + 1]])
+                    bags[text][bag] = bags[text].get(bag, 0) + 1
+                rows += [{"sizes": list(map(len, b)), "terms": [t for bag in b for t in bag], "times": list(b.values())} for b in bags]
+            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array([r[c] for r in rows], pa.list_(pa.int32())) for c in ("sizes", "terms", "times")]], names=["doc_id", "y", "sizes", "terms", "times"])
+
+    table = taken.mapInArrow(run, "doc_id long, y double, sizes array<int>, terms array<int>, times array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    n_bags = np.array([len(x) for x in table["sizes"]], np.int64)
+    sizes = flat("sizes")
+    return Bags(flat("terms"), np.repeat(np.arange(len(sizes)), sizes), flat("times").astype(float), np.repeat(np.arange(len(n_bags)), n_bags), table["y"].to_numpy().astype(float))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, remainder: int = 0, rows: int = 20000, least_texts: int = 5) -> Model:
+    """Fit on at most `rows` labelled documents whose crc32(doc_id) mod modulus isn't remainder.
+
+    No text leaves the executors: they count the documents of each term, and send the sentences as
+    numbers of useful terms, which are few. Null and empty texts and texts without words have no
+    sentences and are taken for clean. Null ids and null labels are left out; of repeated ids one
+    text counts, of conflicting labels 1. Without rows, or with one label only, every text gets that
+    label. Other columns are not looked at.
+    """
+    small_batches(docs.sparkSession)
+    taken = cut(sample(docs, labels, "toxic", held_out(F.col("doc_id"), modulus, remainder), rows).select(F.col("doc_id").cast("long"), "y", "text"))
+    keys = _useful(taken, least_texts)
+    return fit(_bags(taken, keys), keys)
 
 
 def score(docs: DataFrame, model: Model, *, modulus: int = 5, remainder: int = 0, top: int | None = None) -> DataFrame:
@@ -163,7 +223,11 @@ def score(docs: DataFrame, model: Model, *, modulus: int = 5, remainder: int = 0
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
-    """docs with the columns it has, without the rows that score the threshold or more: one scan, no shuffle."""
+    """docs with the columns it has, without the rows that score the threshold or more: one scan, no shuffle.
+
+    Null and empty texts and texts without words score 0 and stay; repeated rows go or stay together.
+    Only text is looked at, and columns of any name come back as they are. Empty in, empty out.
+    """
 
     schema = docs.schema
     at = docs.columns.index("text")
