@@ -1,13 +1,14 @@
 """License scan by ordered signature rules.
 
 Hand-written regular expressions over lower-cased words, each behind keywords of which the text must
-hold one; rules have a priority, and of overlapping detections the one contained in another (or, of
-equal intervals, the later rule) is suppressed.
+hold one; rules have a priority, and of overlapping detections the one contained in another is
+suppressed, then of equal intervals or partial overlaps the one of the later rule.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,7 +124,7 @@ FAMILIES = (
     ("commons-clause", "commons", "commons clause", f"commons clause(?: {_LICENSE})?"),
     ("openrail", "openrail", "(?:creativeml )?openrail", "(?:creativeml |bigscience )?openrail"),
 )
-#: label, keyword, signature, score: sentences of the license texts themselves and unversioned mentions.
+#: label, keywords (each alternative of the signature holds one), signature, score: sentences of the license texts themselves, addresses, and unversioned mentions.
 PASSAGES = (
     ("mit", "merge", "to use copy modify merge publish distribute sublicense and or sell", 1.0),
     ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 0.9),
@@ -148,6 +149,156 @@ PASSAGES = (
     ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] [05]", 1.0),
     ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] [05]", 1.0),
     ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]", 1.0),
+    # permissive
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("mit", "software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit-0", "sell", "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", 1.0),
+    ("mit", "opensource", "(?:www )?opensource org licenses mit(?: license)?(?: php)?", 1.0),
+    ("x11", "advertising", "except as contained in this notice the name of .{1,60}? shall not be used in advertising or otherwise to promote the sale", 0.95),
+    ("isc", "opensource", "(?:www )?opensource org licenses isc(?: license)?", 1.0),
+    ("isc", "author", "the software is provided as is and the author disclaims all warranties with regard to this software", 0.9),
+    ("0bsd", "opensource", "(?:www )?opensource org licenses 0bsd", 1.0),
+    ("bsd-2-clause", "opensource", "(?:www )?opensource org licenses bsd 2 clause", 1.0),
+    ("bsd-3-clause", "opensource", "(?:www )?opensource org licenses bsd 3 clause", 1.0),
+    ("bsd", "opensource", "(?:www )?opensource org licenses bsd license(?: php)?", 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 0.85),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that", 0.9),
+    ("bsd-2-clause", "freebsd", "interpreted as representing official policies either expressed or implied of the freebsd project", 0.95),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license", 0.95),
+    ("bsd-4-clause", "berkeley", "this product includes software developed by the university of california berkeley and its contributors", 0.9),
+    ("zlib", "origin", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", 0.95),
+    ("zlib", "zlib", "(?:www )?zlib net zlib license html", 1.0),
+    ("libpng", "png", "the png reference library is supplied as is", 0.95),
+    ("curl", "curl", "curl (?:se|haxx se) docs copyright html", 1.0),
+    ("ntp", "ntp", "the name .{1,60}? not be used in advertising or publicity pertaining to distribution of the ntp software", 0.85),
+    ("postgresql", "postgresql", "postgresql database management system formerly known as postgres", 0.9),
+    ("ncsa", "ncsa", "university of illinois ncsa open source license", 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 0.95),
+    ("ssleay", "eric", "this product includes cryptographic software written by eric young", 0.95),
+    ("beerware", "beer", "you can buy me a beer in return", 0.95),
+    ("json", "evil", "the software shall be used for good not evil", 1.0),
+    ("wtfpl", "fuck", "you just do what the fuck you want to", 1.0),
+    ("wtfpl", "wtfpl", "(?:www )?wtfpl net", 0.95),
+    ("unlicense", "unlicense", "(?:for more information please refer to )?(?:http |https )?unlicense org", 0.95),
+    ("unlicense", "dedicate", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain", 0.95),
+    ("bsl-1.0", "boost", "www boost org license 1 0 txt", 1.0),
+    ("bsl-1.0", "executable", "machine executable object code generated by a source language processor", 0.95),
+    ("w3c", "w3", "www w3 org consortium legal .{0,40}?copyright software", 0.95),
+    ("unicode", "unicode", "www unicode org (?:copyright html|license(?: html| txt)?)", 1.0),
+    ("unicode", "unicode", "unicode inc license agreement data files and software", 1.0),
+    ("icu", "icu", "icu license icu 1 8 1 and later", 1.0),
+    ("vim", "vim", "vim is charityware", 0.9),
+    ("ruby", "ruby", "you can redistribute it and or modify it under the same terms as ruby(?: itself)?", 0.9),
+    ("perl", "perl", "under the same terms as (?:the )?perl (?:5 )?(?:programming language )?(?:system )?itself", 0.95),
+    ("python-2.0", "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license", 0.95),
+    ("php-3.01", "php", "this product includes php software freely available from", 0.9),
+    ("afl-3.0", "academic", "licensed under the academic free license version 3 0", 1.0),
+    ("upl-1.0", "larger", "larger works? .{1,80}? to which the software is contributed by such licensors", 0.85),
+    ("ecl-2.0", "educational", "licensed under the educational community license version 2 0", 1.0),
+    ("blueoak-1.0.0", "blueoakcouncil", "blueoakcouncil org license 1 0 0", 1.0),
+    ("mulan-psl-2.0", "mulan mulanpsl2", "license coscl org cn mulanpsl2|you can use this software according to the terms and conditions of the mulan psl v2", 1.0),
+    ("ms-pl", "microsoft", "this license governs use of the accompanying software .{0,200}? microsoft public license", 0.9),
+    # Apache
+    ("apache-2", "apache", "www apache org licenses", 0.85),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 0.9),
+    ("apache-2", "limitations", "see the license for the specific language governing permissions and limitations under the license", 0.9),
+    ("apache-2", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", 0.95),
+    ("apache-2", "apache", "apache license version 2 0 january 2004", 1.0),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 0.9),
+    ("apache-2", "asf", "licensed to the apache software foundation asf under one or more contributor license agreements", 0.95),
+    # reciprocal
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with", 0.85),
+    ("gpl", "gnu", "www gnu org (?:licenses|copyleft) gpl(?: html| txt)?", 0.85),
+    ("gpl-2.0", "gnu", "www gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?", 1.0),
+    ("gpl-3.0", "gnu", "www gnu org licenses gpl 3 0(?: html| txt| en html)?", 1.0),
+    ("gpl-2.0", "june", "gnu general public license version 2 june 1991", 1.0),
+    ("gpl-3.0", "june", "gnu general public license version 3 29 june 2007", 1.0),
+    ("gpl-2.0", "only", "gnu general public license version 2 only", 1.0),
+    ("gpl", "freedom", "the licenses for most software (?:and other practical works )?are designed to take away your freedom to share and change", 0.95),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", 0.9),
+    ("gpl-2.0-classpath", "classpath", "(?:gpl ?v?2(?: 0)? )?with (?:the )?classpath exception", 0.95),
+    ("gcc-exception", "gcc", "gcc runtime library exception(?: version 3 1)?", 0.95),
+    ("lgpl", "gnu", "www gnu org licenses lgpl(?: html| txt)?", 0.85),
+    ("lgpl-2.1", "gnu", "www gnu org licenses (?:old licenses )?lgpl 2 1(?: html| txt)?", 1.0),
+    ("lgpl-3.0", "gnu", "www gnu org licenses lgpl 3 0(?: html| txt| en html)?", 1.0),
+    ("lgpl-2.0", "library", "gnu library general public license(?: version 2)?(?: june 1991)?", 0.95),
+    ("lgpl-2.1", "february", "gnu lesser general public license version 2 1 february 1999", 1.0),
+    ("lgpl-2.1+", "either", "either version 2 1 of the license or at your option any later version", 1.0),
+    ("agpl-3.0", "affero", "gnu affero general public license version 3 19 november 2007", 1.0),
+    ("agpl", "affero", "under the terms of the gnu affero general public license", 0.95),
+    ("agpl-3.0", "gnu", "www gnu org licenses agpl(?: 3 0)?(?: html| txt)?", 0.95),
+    ("agpl-3.0", "remotely", "interacting with it remotely through a computer network", 0.9),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 1.0),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts", 0.95),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("mpl-2.0", "mozilla", "(?:www )?mozilla org mpl 2 0|mozilla org (?:en us )?mpl 2 0", 1.0),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 1.0),
+    ("mpl-1.1", "mozilla", "www mozilla org mpl(?: mpl 1 1 html)?", 0.85),
+    ("epl-1.0", "eclipse", "www eclipse org legal epl v10(?: html)?", 1.0),
+    ("epl-2.0", "eclipse", "www eclipse org legal epl (?:2 0|v20)(?: html)?", 1.0),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v1 0", 1.0),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license (?:v )?2 0", 1.0),
+    ("edl-1.0", "eclipse", "www eclipse org org documents edl v10(?: php| html)?", 1.0),
+    ("cddl-1.0", "cddl development", "subject to the terms of the common development and distribution license the license|glassfish dev java net public cddl", 0.95),
+    ("cpl-1.0", "common", "provided under the terms of this common public license", 0.95),
+    ("ipl-1.0", "ibm", "provided under the terms of this ibm public license", 0.95),
+    ("eupl-1.2", "eupl", "joinup ec europa eu (?:[a-z0-9]+ ){0,6}eupl", 0.95),
+    ("eupl-1.2", "eupl", "licensed under the eupl(?: version| v)? 1 2", 1.0),
+    ("osl-3.0", "open", "licensed under the open software license version 3 0", 1.0),
+    ("cecill-2.1", "cecill", "(?:governed by|under) the cecill(?: 2 1)? license|www cecill info", 0.95),
+    ("cecill-b", "cecill", "governed by the cecill b license", 1.0),
+    ("cecill-c", "cecill", "governed by the cecill c license", 1.0),
+    ("artistic-2.0", "artistic", "(?:www )?(?:perlfoundation org|opensource org licenses) artistic (?:license )?2 0", 1.0),
+    ("artistic-1.0", "artistic", "the artistic license preamble the intent of this document", 1.0),
+    ("lppl-1.3c", "lppl", "www latex project org lppl(?: txt)?|may be distributed and or modified under the conditions of the latex project public license lppl", 0.95),
+    ("sleepycat", "sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code .{0,120}? sleepycat", 0.9),
+    ("rpl-1.5", "reciprocal", "reciprocal public license(?: version)? 1 5", 0.95),
+    ("nasa-1.3", "nasa", "nasa open source agreement(?: version)? 1 3", 0.95),
+    # source available
+    ("busl-1.1", "business", "business source license 1 1 .{0,60}? parameters", 1.0),
+    ("busl-1.1", "licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 0.95),
+    ("sspl-1.0", "sspl mongodb", "mongodb com licensing server side public license|licensed under the (?:terms of the )?sspl", 0.95),
+    ("elastic-2.0", "elastic", "www elastic co licensing elastic license", 1.0),
+    ("elastic-2.0", "managed", "you may not provide the software to third parties as a hosted or managed service", 0.9),
+    ("commons-clause", "clause", "commons clause license condition v1 0", 1.0),
+    ("polyform", "polyformproject", "polyformproject org licenses", 0.95),
+    ("confluent-community", "confluent", "confluent community license(?: agreement)?(?: version)?(?: 1 0)?", 0.95),
+    ("openrail", "responsible rail openrail", "(?:responsible ai license|open rail m|openrail m)", 0.85),
+    ("llama", "llama", "llama (?:2|3|3 1|3 2)? ?community license(?: agreement)?", 0.95),
+    ("gemma", "gemma", "gemma terms of use", 0.9),
+    # documents, data and fonts
+    ("cc-by", "creative", "licensed under a creative commons attribution [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc-by-sa", "creative", "licensed under a creative commons attribution share ?alike [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc-by-nc", "creative", "licensed under a creative commons attribution non ?commercial [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc-by-nd", "creative", "licensed under a creative commons attribution no ?deriv(?:ative)?s [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc-by-nc-sa", "creative", "licensed under a creative commons attribution non ?commercial share ?alike [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc-by-nc-nd", "creative", "licensed under a creative commons attribution non ?commercial no ?deriv(?:ative)?s [1-4] [05](?: international| unported| generic)? license", 1.0),
+    ("cc0-1.0", "waived", "has waived all copyright and related or neighboring rights", 0.95),
+    ("cc0-1.0", "cc0", "to the extent possible under law .{1,120}? cc0", 0.95),
+    ("cc-pdm", "mark", "creativecommons org publicdomain mark 1 0|public domain mark 1 0", 0.95),
+    ("odbl-1.0", "opendatacommons", "opendatacommons org licenses odbl", 1.0),
+    ("pddl-1.0", "opendatacommons", "opendatacommons org licenses pddl", 1.0),
+    ("odc-by-1.0", "opendatacommons", "opendatacommons org licenses by", 1.0),
+    ("cdla-permissive", "cdla", "cdla permissive(?: [12] 0)?|cdla dev permissive", 0.95),
+    ("ogl-uk-3.0", "government", "open government licence(?: v| version)?(?: 3 0)?", 0.9),
+    ("etalab-2.0", "etalab", "(?:licence ouverte )?etalab(?: 2 0| v2 0)?", 0.8),
+    ("ofl-1.1", "sil", "scripts sil org ofl|this font software is licensed under the sil open font license version 1 1", 1.0),
+    ("ofl-1.1", "font", "neither the font software nor any of its individual components .{0,60}? may be sold by itself", 0.95),
+    ("bitstream-vera", "vera", "bitstream vera is a trademark of bitstream", 0.95),
+    ("gust-font", "gust", "gust font license", 0.95),
+    # rights that are kept
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", 0.9),
+    ("proprietary", "reproduced", "no part of this (?:publication|book|document|work|website) may be reproduced", 0.7),
+    ("proprietary", "permission", "without (?:the )?(?:prior|express|prior express) written permission of (?:the )?(?:publisher|author|copyright (?:holder|owner))", 0.6),
+    ("proprietary", "trade", "contains (?:proprietary|confidential) (?:information and )?trade secrets", 0.7),
+    ("proprietary", "evaluation", "licensed for evaluation purposes only", 0.8),
+    ("proprietary", "personal", "for personal(?: and| or)? non ?commercial use only", 0.6),
+    ("proprietary", "reverse", "you may not reverse engineer decompile or disassemble", 0.7),
+    ("eula", "eula user", "end user license agreement(?: eula)?|eula", 0.6),
+    ("us-government", "government", "(?:this is a work of the|work of the) (?:u s|united states) government", 0.8),
+    ("us-government", "rights", "u s government restricted rights", 0.8),
+    ("no-license", "license", "no license (?:is granted|express or implied)", 0.5),
+    # mentions
     ("gpl", "general", f"(?:gnu )?general public {_LICENSE}", 0.6),
     ("lgpl", "lesser", f"(?:gnu )?lesser general public {_LICENSE}", 0.6),
     ("apache", "apache", f"apache {_LICENSE}", 0.6),
@@ -182,17 +333,23 @@ def rules() -> list[Rule]:
 
 
 def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Without detections inside another one; of equal intervals the first rule stays.
+    """Without detections inside another one; of equal intervals, and of two that overlap in part, the first rule stays.
 
-    Detections that only overlap all stay. Sorted by start, longest first, an interval lies in an
-    earlier one exactly if it ends no later than the furthest end so far.
+    Sorted by start, longest first, an interval lies in an earlier one exactly if it ends no later
+    than the furthest end so far. What is left has rising starts and ends; in the order of the rules
+    each of these stays unless it overlaps one that has stayed.
     """
-    out, reach = [], -1
+    outer, reach = [], -1
     for a, b, rule in sorted(found, key=lambda d: (d[0], -d[1], d[2].priority)):
         if b > reach:
-            out.append((a, b, rule))
+            outer.append((a, b, rule))
             reach = b
-    return out
+    stay: list[tuple[int, int, Rule]] = []
+    for d in sorted(outer, key=lambda d: (d[2].priority, d[0])):
+        at = bisect_left(stay, d[0], key=lambda s: s[0])
+        if (at == 0 or stay[at - 1][1] <= d[0]) and (at == len(stay) or stay[at][0] >= d[1]):
+            stay.insert(at, d)
+    return stay
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
