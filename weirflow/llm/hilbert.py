@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, fresh
 
 
 def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
@@ -68,9 +68,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame
     """doc_id, size, text_crc32, hilbert, shard, slot for each row; runs of the curve of equal row counts.
 
     Law `rows`: the counts of shards differ by one at most. Size is the UTF-8 bytes of the text
-    plus 1; a null text has none. Rows in the same cell go by doc_id, crc and size, so a cell may
-    hold any share of the table and its copies may lie in neighbouring shards. Repeated rows each
-    get a slot. Null metadata is a value of its own; missing columns raise. Empty in, empty out.
+    plus 1; a null text has none. Rows in the same cell go by crc, size and doc_id, so copies of a
+    text lie next to each other and are cut only where a shard ends, and a cell may hold any share
+    of the table. Repeated rows each get a slot. Null metadata is a value of its own; missing columns raise. Empty in, empty out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lang, source, size = quantised(docs, bits)
@@ -78,7 +78,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame
         "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         hilbert_index([lang, source, size], bits).alias("hilbert"),
     )
-    order = ["hilbert", "doc_id", "text_crc32", "size"]
+    order = ["hilbert", "text_crc32", "size", "doc_id"]
     # the id's lower half is the place in the sorted partition: a global rank without a window over all rows
     placed = cut(slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
@@ -94,10 +94,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame
     return out.select("doc_id", "size", "text_crc32", "hilbert", F.least(F.col("_shard"), k - 1).cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, shards: int = 8) -> None:
-    """The rows as one folder of files for each shard, in slot order, for pruning by file statistics.
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, *, files: int = 4, key: str = "doc_id", shards: int = 8) -> None:
+    """The rows as a folder for each shard with `files` files, each a run of the curve in slot order.
 
-    doc_id must identify a row here.
+    A file's statistics bound the metadata of its run, so that filters on several dimensions skip
+    most files. key must identify a row here; a null key isn't written. Columns of any name come back
+    as they are, but for `shard`, which the folders carry: if docs has such a column this raises.
     """
-    placed = docs.join(assigned.select("doc_id", "shard", "slot", "hilbert"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    if "shard" in docs.columns:
+        raise ValueError("docs has a column shard")
+    p = fresh(docs)
+    slots = assigned.select(F.col("doc_id").alias(p + "id"), "shard", F.col("slot").alias(p + "slot"))
+    placed = docs.join(slots, F.col(f"`{key}`") == F.col(p + "id")).drop(p + "id")
+    placed.repartitionByRange(shards * files, "shard", p + "slot").sortWithinPartitions("shard", p + "slot").drop(p + "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
