@@ -21,8 +21,9 @@ class SumOfSquares:
 
     levels[h] counts the open windows filled to h. A piece goes to the level that makes the sum of
     the squared counts least (Csirik and others, 2006); equal choices take the fullest window.
-    Beyond max_open windows, and at the end, the contents of the emptiest windows are cut to fill
-    the gaps of the fullest, so that memory is bounded and one window stays partly filled.
+    At the end the contents of the emptiest windows are cut to fill the gaps of the fullest, so that
+    one window stays partly filled. Beyond max_open windows the fullest one alone is filled so, which
+    bounds memory; the other windows and their levels stay as they are.
     """
 
     def __init__(self, size: int, max_open: int = 4096):
@@ -44,44 +45,50 @@ class SumOfSquares:
             self.n_open += 1
         else:
             level = best + 1
-            window = self.windows[level].pop()
-            levels[level] -= 1
+            window = self._take(level)
+            self.n_open += 1
         window.append(piece)
         if level + n == size:
             self.n_open -= 1
             return [window]
         levels[level + n] += 1
         self.windows.setdefault(level + n, []).append(window)
-        return self.close(last=False) if self.n_open > self.max_open else []
-
-    def close(self, last: bool = True) -> list[list]:
-        """All open windows, the emptiest emptied into the gaps of the fullest; the partly filled one only if last."""
-        rest = [w for level in sorted(self.windows, reverse=True) for w in self.windows[level]]
-        full, i, j = [], 0, len(rest) - 1
-        while i < j:
-            gap = self.size - sum(p[2] for p in rest[i])
-            while gap and i < j:
-                row, start, n = piece = rest[j].pop()
+        return [w for _ in range(self.n_open - self.max_open) for w in self.settle()]
+
+    def _take(self, level: int) -> list:
+        window = self.windows[level].pop()
+        if not self.windows[level]:
+            del self.windows[level]
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return window
+
+    def settle(self) -> list[list]:
+        """The fullest open window, its gap filled by cutting pieces off the emptiest ones; if they can't fill it, all there is."""
+        top = max(self.windows)
+        window, gap = self._take(top), self.size - top
+        while gap and self.windows:
+            level = min(self.windows)
+            other = self._take(level)
+            while gap and other:
+                row, start, n = other.pop()
                 if n > gap:
-                    rest[j].append([row, start + gap, n - gap])
-                    piece = [row, start, gap]
-                rest[i].append(piece)
-                gap -= piece[2]
-                if not rest[j]:
-                    j -= 1
-            if not gap:
-                full.append(rest[i])
-                i += 1
-        self.levels[1 : self.size] = 0
-        self.windows, self.n_open = {}, 0
-        for w in rest[i : j + 1]:
-            filled = sum(p[2] for p in w)
-            if last or filled == self.size:
-                full.append(w)
-            else:
-                self.levels[filled] += 1
-                self.windows[filled] = [w]
-                self.n_open = 1
+                    other.append([row, start + gap, n - gap])
+                    n = gap
+                window.append([row, start, n])
+                gap -= n
+                level -= n
+            if other:
+                self.windows.setdefault(level, []).append(other)
+                self.levels[level] += 1
+                self.n_open += 1
+        return [window]
+
+    def close(self) -> list[list]:
+        """All open windows, settled one after another: at most one stays partly filled."""
+        full = []
+        while self.windows:
+            full += self.settle()
         return full
 
 
