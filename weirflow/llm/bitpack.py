@@ -12,7 +12,9 @@ lost executors) whose rows are self-contained binary segments in ascending doc_i
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +102,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
     id alone. A document lies in one segment whole. Only doc_id and text are read.
     """
     file, bits = tokenizer or default_path("byte_bpe_50k.json"), width_for(vocabulary)
-    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, shard, end = worker_encoder(file, joins_space), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
@@ -110,7 +112,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
 
         def flush() -> pa.RecordBatch:
             nonlocal size, before, segment
-            out = pa.record_batch([pa.array([x], t) for x, t in zip((shard, segment, before, size, len(names), write_segment(names, held, bits)), schema.types, strict=True)], schema=schema)
+            out = pa.record_batch([pa.array([x], t) for x, t in zip((shard, segment, before, size, len(names), next((d for d in names if d is not None), None), names[-1], write_segment(names, held, bits)), schema.types, strict=True)], schema=schema)
             before, size, segment = before + size, 0, segment + 1
             names.clear()
             held.clear()
@@ -131,11 +133,15 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, jo
     small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_tie", F.xxhash64("text"))
     ordered = plain.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, segment int, ids_before long, n_ids long, n_docs long, data binary").write.options(**ROW_GROUPS).mode("overwrite").parquet(path)
+    ordered.mapInArrow(run, "shard int, segment int, ids_before long, n_ids long, n_docs long, first_doc long, last_doc long, data binary").write.options(**ROW_GROUPS).mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit) from the files."""
+    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit) from the files.
+
+    A null doc_id comes back as null, a repeated one as often as it was written; a null or empty text
+    is its end id. An empty table gives no rows.
+    """
     table = spark.read.parquet(path)
     # one row for each shard, that is each partition of the writer
     shards = table.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
@@ -154,3 +160,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     small_batches(spark)
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def fetch_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of these documents only: the segments whose range holds one are read, and of them the blocks that it touches.
+
+    The statistics of first_doc and last_doc let Parquet skip all other row groups. An id that stands
+    several times has a row for each; one that isn't there has none.
+    """
+    wanted = sorted(set(doc_ids))
+    if not wanted:
+        return spark.createDataFrame([], "doc_id long, n_tokens long, ids binary")
+    near = reduce(or_, [(F.col("first_doc") <= d) & (F.col("last_doc") >= d) for d in wanted])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for data in batch.column(0):
+                s = Segment(data.as_buffer())
+                for i, d in enumerate(s.doc_ids):
+                    if d in wanted:
+                        rows.append((d, int(s.starts[i + 1] - s.starts[i]), s.ids(int(s.starts[i]), int(s.starts[i + 1])).tobytes()))
+            yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_tokens", "ids"])
+
+    return spark.read.parquet(path).where(near).select("data").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
