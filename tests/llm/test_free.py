@@ -1,6 +1,7 @@
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,6 +37,39 @@ def test_sum_of_squares_places_everything_once(sizes):
     assert spots == [(i, j) for i, n in enumerate(sizes) for j in range(n)]
 
 
+def _least_squares_of_counts(size, pieces):
+    """The level that each piece goes to, by the sum of the squared counts of every choice; of equal ones the fullest, a new window last."""
+    open_, choices = Counter(), []
+    for n in pieces:
+        best = None
+        for level in [*sorted((k for k in open_ if open_[k] and k + n <= size), reverse=True), 0]:
+            after = open_.copy()
+            after[level] -= level > 0
+            after[level + n] += level + n < size
+            cost = sum(c * c for c in after.values())
+            if best is None or cost < best[0]:
+                best = (cost, level, after)
+        _, level, open_ = best
+        choices.append(level)
+    return choices
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 23), max_size=60))
+def test_pieces_go_where_the_squares_are_least(sizes):
+    class Spy(packing.SumOfSquares):
+        def _take(self, level):
+            chosen.append(level)
+            return super()._take(level)
+
+    stream, got = Spy(24), []
+    for i, n in enumerate(sizes):
+        chosen = []
+        stream.place([i, 0, n])
+        got.append(chosen[0] if chosen else 0)
+    assert got == _least_squares_of_counts(24, sizes)
+
+
 def test_packed_pieces(odd, nothing):
     rows = packing.pack(odd, window=16).collect()
     by_seq, by_doc = {}, {}
@@ -79,6 +113,15 @@ def test_token_files(spark, odd, nothing, documents):
             at += r.n_tokens
 
 
+def test_one_document_is_fetched(spark, odd):
+    path = session.table_path(spark, "test-tokens")
+    bitpack.write_tokens(odd, path, segment_ids=40)
+    whole = {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in bitpack.read_tokens(spark, path).collect()}
+    got = [(r.doc_id, r.n_tokens, bytes(r.ids)) for r in bitpack.fetch_tokens(spark, path, [7, 4, 77]).collect()]
+    assert sorted(d for d, *_ in got) == [4, 4, 7] and set(got) <= whole
+    assert bitpack.fetch_tokens(spark, path, []).count() == 0
+
+
 def test_license_places(odd, documents, nothing):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     columns = ["doc_id", "text"]
@@ -138,7 +181,8 @@ def test_every_alternative_of_a_license_rule_passes_its_keywords(spark):
 def test_contained_detections_are_suppressed():
     rules = licenses.rules()
     found = [(0, 10, rules[5]), (2, 8, rules[0]), (0, 10, rules[2]), (5, 15, rules[9])]
-    assert licenses.suppressed(found) == [(0, 10, rules[2]), (5, 15, rules[9])]
+    assert licenses.suppressed(found) == [(0, 10, rules[2])]
+    assert licenses.suppressed([(0, 10, rules[7]), (10, 15, rules[9]), (5, 9, rules[1]), (12, 20, rules[3])]) == [(0, 10, rules[7]), (12, 20, rules[3])]
 
 
 def test_toxicity(spark, odd, nothing):
@@ -159,6 +203,53 @@ def test_toxicity(spark, odd, nothing):
     assert {r.predicted for r in toxicity.score(docs, one_sided).collect()} == {0}
 
 
+def test_sample_is_bounded_and_whole(spark):
+    from pyspark.sql import functions as F
+
+    from weirflow.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1), (1, None)], "doc_id long, toxic int")
+    rows = sample(docs, labels, "toxic", F.lit(False), 10).collect()
+    assert sorted((r.doc_id, r.y, r.text in ("a", "b", "")) for r in rows) == [(1, 1.0, True), (2, 0.0, True)]
+    assert len(sample(docs, labels, "toxic", F.lit(False), 1).collect()) <= 1
+
+
+def test_noisy_or_gradient():
+    rng = np.random.default_rng(0)
+    n_sent, n_terms = 40, 6
+    sent = np.sort(rng.integers(0, n_sent, 90))
+    bags = toxicity.Bags(rng.integers(0, n_terms, 90), sent, rng.integers(1, 4, n_sent).astype(float), np.sort(rng.integers(0, 12, n_sent)), rng.integers(0, 2, 12).astype(float))
+    w, bias = rng.normal(size=n_terms), -1.3
+    _, by_weight, by_bias = toxicity.gradient(bags, w, bias)
+
+    def loss(w, bias):
+        total = 0.0
+        for d in range(12):
+            clean = 1.0
+            for j in np.flatnonzero(bags.text_of == d):
+                clean *= (1 - 1 / (1 + np.exp(-(bias + w[bags.terms[bags.sentence_of == j]].sum())))) ** bags.times[j]
+            total -= np.log(max(1 - clean, 1e-9)) if bags.y[d] else np.log(clean)
+        return total / 12
+
+    assert toxicity.gradient(bags, w, bias)[0] == pytest.approx(loss(w, bias))
+    for j in range(n_terms):
+        step = np.eye(n_terms)[j] * 1e-5
+        assert by_weight[j] == pytest.approx((loss(w + step, bias) - loss(w - step, bias)) / 2e-5, abs=1e-6)
+    held = np.isin(np.arange(12), bags.text_of)  # a text without sentences has no slope
+    assert held.any() and by_bias == pytest.approx((loss(w, bias + 1e-5) - loss(w, bias - 1e-5)) / 2e-5, abs=1e-6)
+
+
+def test_bags_are_the_sentences(spark):
+    rows = [(1, 1.0, "vile day. kind day. vile day! kind"), (2, 0.0, None), (3, 0.0, "kind. kind."), (4, 1.0, "vile vile")]
+    df = spark.createDataFrame(rows, "doc_id long, y double, text string").repartition(3)
+    vile = textbytes.Words(np.frombuffer(b"vile", np.uint8), np.array([0, 4])).hashes()
+    bags = toxicity._bags(df, vile)
+    found = sorted((int(bags.text_of[j]), int((bags.sentence_of == j).sum()), int(bags.times[j])) for j in range(len(bags.times)))
+    assert found == [(0, 0, 2), (0, 1, 2), (2, 0, 2), (3, 2, 1)] and bags.y.tolist() == [1, 0, 0, 1]
+    assert vile[0] in toxicity._useful(df, 2)
+
+
 def test_all_offending_sentences_are_reported(spark):
     data = np.frombuffer(b"vile", np.uint8)
     model = toxicity.Model(textbytes.Words(data, np.array([0, 4])).hashes(), np.array([9.0]), -4.0, 0.5)
@@ -184,6 +275,22 @@ def test_quality_edges(spark, odd, nothing):
     assert (np.diff(levels) >= 0).all() and len(knots) == 6
 
 
+def test_fourier_features_and_normal_equations(spark):
+    rng = np.random.default_rng(1)
+    d, n = 4000, quality.N_STATS
+    model = quality.Model(np.zeros(n), np.ones(n), rng.normal(size=(n, d)) / 3.0, rng.uniform(0, 2 * np.pi, d), *[np.zeros(0)] * 3)
+    x = rng.normal(size=(30, n)) * 0.7
+    z = model.features(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * 3.0**2))
+    assert np.abs(z @ z.T - kernel).max() < 0.1
+    small = quality.Model(np.zeros(n), np.ones(n), model.omega[:, :20], model.phase[:20], *[np.zeros(0)] * 3)
+    y = rng.integers(0, 2, 30).astype(float)
+    df = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(y, x, strict=True)], "y double, stats array<double>").repartition(4)
+    gram, right = quality._sums(df, small, 3)
+    f = small.features(x)
+    assert np.allclose(gram, f.T @ f) and np.allclose(right, f.T @ y)
+
+
 def _alignment(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, j in itertools.product(range(len(a)), range(len(b))):
@@ -210,6 +317,22 @@ def test_components(spark):
     found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 10: 8}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    more = [(4, 8), (20, 21), (5, 20), (1, 3)]
+    both = dict(map(tuple, components.components(spark.createDataFrame(links + more, "a long, b long")).collect()))
+    first = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert dict(map(tuple, components.joined(first, spark.createDataFrame(more, "a long, b long")).collect())) == both
+
+
+def test_lookup_deals_hot_keys_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    left = spark.range(1000).selectExpr("IF(id < 600, 0, id) AS k", "id")
+    right = left.groupBy("k").count().selectExpr("k", "k * 2 AS v", "`count` AS n").where("k <> 700")
+    rows = session.lookup(left, right, ["k"], "n").collect()
+    assert len(rows) == 999 and all(r.v == 2 * r.k for r in rows)
+    assert session.lookup(left, right, ["k"], "n", "left").where("v IS NULL").count() == 1
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(500, 501)], "a long, b long")
+    assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(300)} | {(500, 500), (501, 500)}
 
 
 def test_near_duplicates_against_brute_force(spark, odd, nothing, documents):
@@ -234,6 +357,36 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing, documents):
     assert order_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_classes_are_the_components_of_all_links(spark, documents):
+    """Every pair of documents that shares a k-mer is aligned: the same classes, so neither a missed link nor a false merge."""
+    words = lambda t: textbytes.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hashes()
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    more = []
+    for i in range(120):
+        own = list(base)
+        at, n = rng.integers(0, 140), rng.integers(1, 22)
+        own[at : at + n] = [f"n{i}x{j}" for j in range(n)]
+        more.append((2000 + i, " ".join(own)))
+    df = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()}
+    kmers = {r.doc_id: textbytes.labelled(textbytes.shingles(words(r.text or ""), 5)).astype("<u4") for r in df.collect()}
+    sets, texts = {d: set(k.tolist()) for d, k in kmers.items()}, {r.doc_id: r.text or "" for r in df.collect()}
+    parent = {d: d for d in rows}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(rows), 2):
+        same = kmers[a].tolist() == kmers[b].tolist() if len(kmers[a]) else texts[a] == texts[b]
+        if same or (sets[a] & sets[b] and order_minhash.alignment_similarity(kmers[a], kmers[b], 0.8) >= 0.8):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert rows == {d: root(d) for d in rows}
+
+
 def test_single_link_in_a_group_below_the_threshold(spark):
     """Form letters at 0.77 to each other and one pair at 0.85, which shares no bucket's ends."""
     rng = np.random.default_rng(5)

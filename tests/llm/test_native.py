@@ -27,10 +27,14 @@ def test_dedup_keeps_one_of_each(odd, keep):
     assert [r.kept for r in rows if r.doc_id is None] == [True]
 
 
-def test_dedup_splits_a_hot_group(spark):
-    df = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same', concat('text ', id)) AS text")
-    rows = content_dedup.content_sort_dedup(df, salts=8).collect()
-    assert sum(r.kept for r in rows) == 2001 and max(r.group_size for r in rows) == 1000
+def test_dedup_splits_a_hot_group_between_ids(spark):
+    df = spark.range(30000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same', concat('text ', id)) AS text")
+    hot = content_dedup._hot_groups(df.selectExpr("doc_id AS _id", "text AS _text")).collect()
+    assert len(hot) == 1 and len(hot[0]._bounds) >= 2 and hot[0]._bounds == sorted(hot[0]._bounds)
+    for keep, id_ in (("smallest", 0), ("largest", 29997)):
+        rows = content_dedup.content_sort_dedup(df, keep=keep)
+        assert [tuple(r) for r in rows.where("group_size > 1 AND kept").select("doc_id", "keep_id", "group_size").collect()] == [(id_, id_, 10000)]
+        assert rows.where("kept").count() == 20001 and rows.select("doc_id").distinct().count() == 30000
 
 
 def test_drop_marked(odd, nothing):
@@ -40,6 +44,39 @@ def test_drop_marked(odd, nothing):
     assert content_dedup.content_sort_dedup(nothing).count() == 0
 
 
+CLASHES = ["_id", "_sha", "_any", "_times", "_own", "_hit", "_key", "_text", "_mark_id", "shard_", "slot", "hilbert", "rep", "comp", "y", "held_out", "kept", "group_size"]
+
+
+@pytest.fixture
+def clashing(odd):
+    """Columns with working names, and a text of 20,000 words."""
+    long = " ".join(f"w{i % 5000}" for i in range(20000))
+    more = odd.sparkSession.createDataFrame([(50, long, "en", "a", 1, None), (51, long, "en", "a", 1, None)], odd.schema)
+    return odd.unionByName(more).selectExpr("doc_id", "text", "lang", "source", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES])
+
+
+def test_stages_keep_clashing_columns(spark, clashing, nothing):
+    from weirflow.llm import order_minhash, toxicity
+
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id long, text string")
+    one_sided = toxicity.fit(toxicity.Bags(*[toxicity.np.zeros(0, int)] * 5), toxicity.np.zeros(0, "u8"))
+    for name, out, ids in (
+        ("exact", content_dedup.drop_marked(clashing, content_dedup.content_sort_dedup(clashing)), [-1, 1, 3, 5, 6, 7, 8, 9, 50]),
+        ("near", order_minhash.keep_representatives(clashing, order_minhash.near_duplicates(clashing)), [-1, 1, 3, 5, 6, 7, 8, 9, 50]),
+        ("decontamination", decontaminate.drop_contaminated(clashing, decontaminate.decontaminate(clashing, bench)), [-1, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]),
+        ("toxicity", toxicity.drop_toxic(clashing, one_sided), [-1, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 50, 51]),
+    ):
+        assert out.columns == clashing.columns, name
+        rows = out.collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == ids, name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASHES), name
+    none = nothing.selectExpr("*", "'x' AS _sha")
+    assert content_dedup.drop_marked(none, content_dedup.content_sort_dedup(none)).count() == 0
+    assert order_minhash.keep_representatives(none, order_minhash.near_duplicates(none)).count() == 0
+    assert decontaminate.drop_contaminated(none, decontaminate.decontaminate(none, bench)).count() == 0
+    assert secrets.scan_secrets(clashing).count() == clashing.count() and secrets.scan_secrets(none).count() == 0
+
+
 def test_dedup_sql(spark):
     from sqlcheck import against_sql
 
@@ -68,6 +105,32 @@ def test_shards(odd, nothing, documents):
     assert hilbert.hilbert_shards(nothing).count() == 0
 
 
+def test_equal_texts_lie_together(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 9) AS text", "'en' AS lang", "'a' AS source")
+    rows = sorted(hilbert.hilbert_shards(df, shards=4).collect(), key=lambda r: (r.shard, r.slot))
+    changes = sum(a.text_crc32 != b.text_crc32 for a, b in zip(rows, rows[1:], strict=False))
+    assert changes == 8
+
+
+def test_written_shards_can_be_pruned(spark, documents, tmp_path):
+    placed = hilbert.hilbert_shards(documents, shards=4)
+    docs = documents.withColumn("slot", documents.n_chars)
+    hilbert.write_shards(docs, placed, f"file://{tmp_path}/shards", files=6, shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted(back.drop("shard").columns) == sorted(docs.columns) and back.count() == documents.count()
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in placed.collect()}
+    import pyarrow.parquet as pq
+
+    files = [pq.read_table(p) for p in tmp_path.glob("shards/*/*.parquet")]
+    assert len(files) >= 12
+    # a filter on language and source needs few files; in the order of ids every file holds all of them
+    for lang, source in {(r.lang, r.source) for r in documents.collect()}:
+        holds = sum((lang, source) in set(zip(f["lang"].to_pylist(), f["source"].to_pylist(), strict=True)) for f in files)
+        assert holds <= len(files) / 2
+    with pytest.raises(ValueError):
+        hilbert.write_shards(documents.selectExpr("*", "1 AS shard"), placed, f"file://{tmp_path}/x")
+
+
 def _brute_spans(text):
     found = []
     for k, (kind, pattern, group, least) in enumerate((("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))):
@@ -141,3 +204,58 @@ def test_decontamination_against_brute_force(spark, documents):
     some = {d: t for d, t in _docs(documents).items() if len(t) < 3000}
     rows = queries.op7_simhash_decontamination(spark, SF).collect()
     assert {(r.doc_id, r.item_id) for r in rows if r.doc_id in some} == _brute_windows(some, items)
+
+
+def _native(spark, column, sql):
+    return spark.createDataFrame([(column,)], "v array<bigint>").selectExpr(f"{sql} AS x").first().x
+
+
+def test_simhash_is_the_majority_of_bits(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 64, 200):
+        hashes = rng.integers(-(2**63), 2**63, n).tolist()
+        words = spark.createDataFrame([(h,) for h in hashes], "h bigint").selectExpr("h", "xxhash64(h, 1) AS b", "xxhash64(h, 2) AS c", "xxhash64(h, 3) AS d").collect()
+        got = _native(spark, hashes, decontaminate._simhash("v", 200))
+        for i in range(4):
+            bits = [sum(r[i] >> b & 1 for r in words) * 2 > n for b in range(64)]
+            assert got[i] & (2**64 - 1) == sum(1 << b for b in range(64) if bits[b])
+
+
+def test_index_holds_its_guarantee_and_selects(spark):
+    """Any two fingerprints within the radius agree in a block but for 3 bits; of random ones 16 % do, and none is within the radius."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    blocks, width, radius = decontaminate.BLOCKS, decontaminate.BLOCK_BITS, decontaminate.RADIUS
+    for _ in range(2000):
+        wrong = rng.choice(256, radius, replace=False)
+        assert min(np.bincount(wrong // width, minlength=blocks)) <= decontaminate.BLOCK_RADIUS
+    assert len(decontaminate.near_values()) == 697
+    apart = rng.integers(0, 2, (20000, 256))
+    meets = (apart.reshape(-1, blocks, width).sum(axis=2) <= decontaminate.BLOCK_RADIUS).any(axis=1).mean()
+    assert 0.14 < meets < 0.18 and (apart.sum(axis=1) > radius).all()
+
+
+def test_recall_near_the_threshold(spark):
+    import random
+
+    rng = random.Random(4)
+    items = {i: " ".join(f"i{i}w{rng.randrange(10**6)}" for _ in range(30 + i)) for i in range(40)}
+    texts, expected = {}, set()
+    sh = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for d in range(600):
+        item = rng.randrange(40)
+        own = items[item].split()
+        at, n = rng.randrange(len(own)), rng.randrange(1, 6)
+        own[at : at + n] = [f"x{rng.randrange(10**6)}" for _ in range(n)]
+        pad = [f"p{rng.randrange(10**6)}" for _ in range(120)]
+        texts[d] = " ".join(pad[:60] + own + pad[60:])
+        a, b = sh(own), sh(items[item].split())
+        if 0.8 <= sum((a & b).values()) / sum((a | b).values()):
+            expected.add((d, item))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(expected) > 100 and found >= expected
+    assert found == expected | {(d, i) for d, i in found if (d, i) in _brute_windows({d: texts[d]}, {i: items[i]})}
