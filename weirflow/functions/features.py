@@ -35,9 +35,30 @@ def float32(c: Column) -> Column:
     return c.cast("float").cast("double")
 
 
-def clamp_param(c: Column, most: int = 10) -> Column:
-    """An integer parameter: 1 if absent, `most` at most; other text is an error."""
-    return F.least(F.coalesce(c, F.lit("1")).cast("int"), F.lit(most))
+def clamp_param(c: Column, most: float = 10, kind: str = "int") -> Column:
+    """A numeric parameter from text, of kind int or double: 1 if absent, `most` at most; other text is an error."""
+    return F.least(F.coalesce(c, F.lit("1")).cast(kind), F.lit(most).cast(kind))
+
+
+def first_header(*names: Column) -> Column:
+    """The first header that is there, of several that may carry a value (the forwarded client before the peer's address)."""
+    return F.coalesce(*names)
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two timestamps, with fractions to the microsecond."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp_ltz"))
+    return (micros(end) - micros(start)) / F.lit(1e6)
+
+
+def tolerant_json(c: Column, schema: str) -> Column:
+    """The parsed body; text that can't be parsed, and none at all, is an empty document."""
+    return F.coalesce(F.from_json(c, schema), F.from_json(F.lit("{}"), schema))
+
+
+def echo_body(received: Column) -> Column:
+    """The JSON answer that repeats what was received."""
+    return F.to_json(F.struct(received.alias("received"), F.lit("ok").alias("status")))
 
 
 def xorshift32(state: Column) -> Column:
@@ -52,6 +73,8 @@ def xorshift32(state: Column) -> Column:
 
 def engineer(df: DataFrame) -> DataFrame:
     """The six derived features where their inputs exist, text coerced to numbers, missing as 0."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    df = df.select(*[(coerce_numeric(F.col(f"`{c}`")) if c in text else F.col(f"`{c}`")).alias(c) for c in df.columns])
     have, col = set(df.columns), lambda c: F.col(f"`{c}`")
     new: dict[str, Column] = {}
     if {"Fwd IAT Mean", "Bwd IAT Mean"} <= have:
@@ -64,9 +87,9 @@ def engineer(df: DataFrame) -> DataFrame:
     if len(flags) > 1:
         new["Total_Flags"] = row_sum([col(c) for c in flags])
         new["Flag_Diversity"] = count_positive([col(c) for c in flags])
-        control = ["SYN Flag Count", "FIN Flag Count", "RST Flag Count"]
-        if set(control) <= have:
-            new["Control_Flag_Ratio"] = safe_ratio(reduce(lambda x, y: x + y, map(col, control)), new["Total_Flags"], 1.0)
     rows = df.withColumns(new)
-    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-    return rows.select(*[(coerce_numeric(col(c)) if c in text else col(c)).alias(c) for c in rows.columns]).na.fill(0)
+    control = ["SYN Flag Count", "FIN Flag Count", "RST Flag Count"]
+    if len(flags) > 1 and set(control) <= have:
+        # a step of its own: the total is computed once
+        rows = rows.withColumn("Control_Flag_Ratio", safe_ratio(row_sum([col(c) for c in control]), F.col("Total_Flags"), 1.0))
+    return rows.na.fill(0)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, wide_plans
+
 
 def low_variance(df: DataFrame, cols: Sequence[str], below: float = 0.01) -> DataFrame:
     """(feature, variance) with a sample variance below the limit, from one aggregate."""
@@ -16,17 +20,24 @@ def low_variance(df: DataFrame, cols: Sequence[str], below: float = 0.01) -> Dat
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, r) for all pairs in one aggregate; a constant column has no correlation (null)."""
-    pairs = [(b, a) for a, b in combinations(cols, 2)]
-
-    def r(a: str, b: str):
-        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
-
-    one = df.agg(*[r(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows))
+    """(feature_a, feature_b, r) for all pairs, a later column first, from one pass that sums a matrix in each partition.
+
+    A constant column has no correlation (null). Rows with a null or NaN among the columns are left
+    out: fill them before. The matrix has the square of the number of columns, whatever the rows.
+    """
+    schema = "feature_a string, feature_b string, r double"
+    names = [(b, a) for a, b in combinations(cols, 2)]
+    with wide_plans(df.sparkSession):
+        x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        # read several times: cut, so that cleaning isn't done over
+        vectors = cut(VectorAssembler(inputCols=x.columns, outputCol="x", handleInvalid="skip").transform(x).select("x"))
+        if not names or vectors.isEmpty():
+            return df.sparkSession.createDataFrame([(b, a, None) for b, a in names], schema)
+        matrix = Correlation.corr(vectors, "x").first()[0].toArray()
+        flat = {i for i, spread in enumerate(vectors.select(Summarizer.variance(F.col("x"))).first()[0]) if not spread > 0}
+    place = {c: i for i, c in enumerate(cols)}
+    r = lambda i, j: None if {i, j} & flat or matrix[i, j] != matrix[i, j] else float(matrix[i, j])
+    return df.sparkSession.createDataFrame([(b, a, r(place[a], place[b])) for b, a in names], schema)
 
 
 def correlated_to_drop(pairs: Sequence[tuple[str, str, float]], order: Sequence[str], above: float = 0.95) -> list[str]:

@@ -8,8 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Identifiers and constant columns that are never features (fixed values).
-REMOVE = ("Flow ID", "Src IP", "Src Port", "Dst IP", "Dst Port", "Protocol", "Timestamp")
+#: Identifiers, metadata and redundant columns that are never features (fixed values).
+REMOVE = (
+    "Flow ID",
+    "Src IP",
+    "Dst IP",
+    "Src Port",
+    "Dst Port",
+    "Protocol",
+    "Timestamp",
+    "Fwd Segment Size Avg",
+    "Bwd Segment Size Avg",
+    "Fwd IAT Total",
+    "Bwd PSH Flags",
+    "Fwd URG Flags",
+)
 #: Labels used in training (fixed values).
 LABELS = ("BENIGN", "DoS Hulk", "DoS GoldenEye", "DoS slowloris")
 

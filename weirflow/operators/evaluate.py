@@ -36,7 +36,7 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def label_counts(df: DataFrame, label: str, dimension: Sequence[str]) -> DataFrame:
-    """Counts of all labels of the dimension, zero where absent; labels outside it keep a row too."""
-    names = df.sparkSession.createDataFrame([(c,) for c in dimension], f"{label} string")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(names), label, "full").select(label, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """Counts of all labels of the dimension, zero where absent; labels outside it keep a row too. One aggregate, no join."""
+    zeros = df.sparkSession.createDataFrame([(c, 0) for c in dimension], "label string, n long")
+    ones = df.select(F.col(label).alias("label"), F.lit(1).cast("long").alias("n"))
+    return ones.unionAll(zeros).groupBy(F.col("label").alias(label)).agg(F.sum("n").alias("n"))

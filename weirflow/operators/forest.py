@@ -1,17 +1,27 @@
-"""Random forests: MLlib training, node tables, scoring and importances."""
+"""Random forests: MLlib or exact training, node tables, scoring and importances."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.flows import NODE_SCHEMA
+from ..functions.features import xorshift32
+from ..sources.flows import save_nodes
+from ..storage import cut, remove, table_path
+from .prefix import ranked
+
+#: A node table is broadcast if it has at most so many nodes (about 100 bytes each).
+BROADCAST_NODES = 400_000
+MLLIB_DEPTH = 30
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
@@ -19,11 +29,37 @@ def label_index(df: DataFrame, label: str) -> DataFrame:
     return df.select(label).distinct().select(label, (F.dense_rank().over(W.orderBy(label)) - 1).alias("code"))
 
 
-def bootstrap(df: DataFrame, key: str, n_rows: int, seed: int = 42, trees: int = 1) -> DataFrame:
-    """(tree_id, row, times): rows drawn with replacement by a hash, as many as there are."""
-    draws = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), F.col(key))
-    draws = draws.select("tree_id", F.pmod(F.xxhash64(F.lit(seed), "tree_id", key), F.lit(n_rows)).alias("row"))
-    return draws.groupBy("tree_id", "row").agg(F.count(F.lit(1)).alias("times"))
+def samples_drawn(n_rows: int, max_samples: int | float | None) -> int:
+    """Rows drawn for a tree: all, so many (not above n_rows), or a rounded share, 1 at least."""
+    if max_samples is None:
+        return n_rows
+    if isinstance(max_samples, int):
+        if max_samples > n_rows:
+            raise ValueError(f"max_samples={max_samples} is above the number of rows, {n_rows}")
+        return max_samples
+    return max(round(n_rows * max_samples), 1)
+
+
+def drawn_row(tree: Column, slot: Column, n_rows: int, seed: int) -> Column:
+    """The number of the row that a slot of a tree's sample draws: two xorshift steps over a mixed counter."""
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    state = (slot.cast("long") * F.lit(40503).cast("long") + tree.cast("long") * F.lit(69069).cast("long") + F.lit(seed).cast("long")).bitwiseAND(mask)
+    return xorshift32(xorshift32(state) * F.lit(2).cast("long") + F.lit(1).cast("long")) % F.lit(n_rows).cast("long")
+
+
+def bootstrap(df: DataFrame, order: Sequence[str], *, trees: int = 1, seed: int = 42, max_samples: int | float | None = None, n_rows: int | None = None) -> DataFrame:
+    """df's rows with tree_id and `times`, how often each tree's sample with replacement holds the row (rows it doesn't hold are left out).
+
+    Rows are numbered densely in `order` (which should identify them) without a global window; the
+    draws are counted before they are joined, so a tree costs one row for each distinct draw.
+    """
+    numbered = ranked(df.withColumn("_all", F.lit(1)), ["_all"], order, "_row").withColumn("_row", F.col("_row") - 1).drop("_all")
+    n = df.count() if n_rows is None else n_rows
+    if not n:
+        return numbered.drop("_row").select(F.lit(0).alias("tree_id"), "*", F.lit(0).cast("long").alias("times"))
+    slots = df.sparkSession.range(samples_drawn(n, max_samples)).select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), F.col("id").alias("_slot"))
+    draws = slots.select("tree_id", drawn_row(F.col("tree_id"), F.col("_slot"), n, seed).alias("_row")).groupBy("tree_id", "_row").agg(F.count(F.lit(1)).alias("times"))
+    return numbered.join(draws, "_row").select("tree_id", *df.columns, "times")
 
 
 def max_features(rule: str | int | float | None, n: int) -> int:
@@ -34,89 +70,218 @@ def max_features(rule: str | int | float | None, n: int) -> int:
         return max(1, int(math.sqrt(n)))
     if rule == "log2":
         return max(1, int(math.log2(n)))
+    if isinstance(rule, str):
+        raise ValueError(f"max_features: {rule!r}")
     return max(1, int(rule * n)) if isinstance(rule, float) else int(rule)
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], label: str, *, n_estimators: int = 100, max_depth: int | None = 20, min_samples_leaf: int = 1, min_impurity_decrease: float = 0.0, features_rule: str | int | float | None = "sqrt", bootstrap: bool = True, max_samples: float | None = None, seed: int = 42, weight: str | None = None) -> tuple[RandomForestClassificationModel, list[str]]:
-    """MLlib forest over float32 features; returns it with the labels in the order of its codes."""
-    if n_estimators <= 0:
-        raise ValueError("n_estimators must be positive")
-    if max_samples is not None and not bootstrap:
-        raise ValueError("max_samples needs bootstrap")
-    codes = label_index(df, label)
-    classes = [r[0] for r in codes.orderBy("code").collect()]
-    rows = df.join(F.broadcast(codes), label).withColumn("_y", F.col("code").cast("double"))
-    rows = rows.withColumns({c: F.col(f"`{c}`").cast("float").cast("double") for c in features})
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
+def class_weights(df: DataFrame, label: str, rule: str | dict[str, float] | None) -> dict[str, float]:
+    """Weight of each label: given, or "balanced": all labels weigh the same together."""
+    if rule is None or isinstance(rule, dict):
+        return rule or {}
+    if rule != "balanced":
+        raise ValueError(f"class_weight: {rule!r}")
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}  # one row for each label
+    return {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
+
+
+@dataclass(frozen=True)
+class ForestParams:
+    """Parameters of a forest, by the names that its users know.
+
+    n_jobs and verbose have no effect: Spark schedules, and the library prints nothing. Only "gini"
+    grows trees exactly; MLlib takes "entropy" too. Pruning (ccp_alpha) and max_leaf_nodes aren't
+    offered and raise. oob_score is an accuracy that fit_exact_forest reports.
+    """
+
+    n_estimators: int = 100
+    criterion: str = "gini"
+    max_depth: int | None = None
+    min_samples_split: int = 2
+    min_samples_leaf: int = 1
+    min_weight_fraction_leaf: float = 0.0
+    max_features: str | int | float | None = "sqrt"
+    max_leaf_nodes: int | None = None
+    min_impurity_decrease: float = 0.0
+    bootstrap: bool = True
+    oob_score: bool = False
+    n_jobs: int | None = None
+    random_state: int = 42
+    verbose: int = 0
+    class_weight: str | dict[str, float] | None = None
+    ccp_alpha: float = 0.0
+    max_samples: int | float | None = None
+
+    def checked(self, exact: bool) -> ForestParams:
+        if self.n_estimators <= 0:
+            raise ValueError("n_estimators must be positive")
+        if not self.bootstrap and self.max_samples is not None:
+            raise ValueError("max_samples needs bootstrap")
+        if not self.bootstrap and self.oob_score:
+            raise ValueError("oob_score needs bootstrap")
+        if self.max_leaf_nodes is not None or self.ccp_alpha:
+            raise ValueError("max_leaf_nodes and ccp_alpha aren't offered")
+        if self.criterion not in (("gini",) if exact else ("gini", "entropy")):
+            raise ValueError(f"criterion: {self.criterion!r}")
+        if not exact and (self.max_depth or 0) > MLLIB_DEPTH:
+            raise ValueError(f"MLlib's trees have a depth of {MLLIB_DEPTH} at most")
+        if not exact and (self.min_samples_split > max(2, 2 * self.min_samples_leaf) or self.oob_score):
+            raise ValueError("min_samples_split and oob_score need an exact forest")
+        return self
+
+
+def fit_forest(df: DataFrame, features: Sequence[str], label: str, *, n_estimators: int = 100, max_depth: int | None = 20, seed: int = 42, weight: str | None = None, **params) -> tuple[RandomForestClassificationModel, list[str]]:
+    """MLlib forest over float32 features; returns it with the labels in the order of its codes. max_depth None: MLlib's most, 30."""
+    p = ForestParams(n_estimators=n_estimators, max_depth=max_depth, random_state=seed, **params).checked(exact=False)
+    classes = [r[0] for r in label_index(df, label).orderBy("code").collect()]
+    # few labels: a literal map instead of a join
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col(f"`{label}`")) - 1
+    by_class = class_weights(df, label, p.class_weight)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    if by_class:
+        w = w * F.coalesce(F.element_at(F.create_map(*[x for c, v in by_class.items() for x in (F.lit(c), F.lit(float(v)))]), F.col(f"`{label}`")), F.lit(1.0))
+    rows = df.select(*[F.col(f"`{c}`").cast("float").cast("double").alias(c) for c in features], code.cast("double").alias("_y"), w.alias("_w"))
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows).select("_x", "_y", "_w")
+    share = 1.0
+    if p.max_samples is not None:
+        n = rows.count()
+        share = samples_drawn(n, p.max_samples) / max(n, 1)
     forest = RandomForestClassifier(
-        featuresCol="_x", labelCol="_y", numTrees=n_estimators, maxDepth=min(30, max_depth or 30), minInstancesPerNode=min_samples_leaf, minInfoGain=min_impurity_decrease,
-        featureSubsetStrategy=str(max_features(features_rule, len(features))), bootstrap=bootstrap, subsamplingRate=max_samples or 1.0, seed=seed, maxBins=64, cacheNodeIds=True,
+        featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=p.n_estimators, impurity=p.criterion, maxDepth=MLLIB_DEPTH if p.max_depth is None else p.max_depth,
+        minInstancesPerNode=p.min_samples_leaf, minWeightFractionPerNode=p.min_weight_fraction_leaf, minInfoGain=p.min_impurity_decrease,
+        featureSubsetStrategy=str(max_features(p.max_features, len(features))), bootstrap=p.bootstrap, subsamplingRate=share, seed=p.random_state, maxBins=64, cacheNodeIds=True,
     )
-    if weight:
-        forest = forest.setWeightCol(weight)
     return forest.fit(assembled), classes
 
 
-def score(model: RandomForestClassificationModel, df: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
-    """df with label_predicted; features are taken by name."""
-    rows = df.withColumns({c: F.col(f"`{c}`").cast("float").cast("double") for c in features})
-    scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows))
+def fit_exact_forest(df: DataFrame, features: Sequence[str], label: str, params: ForestParams, order: Sequence[str], weight: str | None = None) -> tuple[DataFrame, list[str], float | None]:
+    """(node table, labels, out-of-bag accuracy if asked for): trees of exact splits over samples with replacement.
+
+    Each tree weighs a row by how often its sample holds it. One pass over the rows for each level of
+    each tree; for large forests over large tables use fit_forest.
+    """
+    from .tree import Tree
+
+    p = params.checked(exact=True)
+    by_class = class_weights(df, label, p.class_weight)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    if by_class:
+        w = w * F.coalesce(F.element_at(F.create_map(*[x for c, v in by_class.items() for x in (F.lit(c), F.lit(float(v)))]), F.col(f"`{label}`")), F.lit(1.0))
+    rows = cut(ranked(df.withColumn("_all", F.lit(1)), ["_all"], order, "_row").drop("_all").withColumn("_w", w))
+    n = rows.count()
+    classes = [r[0] for r in label_index(rows, label).orderBy("code").collect()]
+    tables, votes = [], None
+    for t in range(p.n_estimators):
+        own = rows
+        if p.bootstrap and n:
+            slots = df.sparkSession.range(samples_drawn(n, p.max_samples))
+            draws = slots.select((drawn_row(F.lit(t), F.col("id"), n, p.random_state) + 1).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_times"))
+            own = cut(rows.join(draws, "_row", "left").withColumn("_times", F.coalesce("_times", F.lit(0))).withColumn("_w", F.col("_w") * F.col("_times")))
+        tree = Tree(p.max_depth, p.min_samples_split, p.min_samples_leaf, p.min_weight_fraction_leaf, p.max_features, p.min_impurity_decrease, p.random_state + t)
+        nodes = tree.fit(own, features, label, "_w")
+        # a sample may lack a class: its share is 0
+        place = {c: i for i, c in enumerate(tree.classes)}
+        shares = F.array(*[F.get("value", F.lit(place[c])) if c in place else F.lit(0.0) for c in classes])
+        nodes = cut(nodes.withColumns({"tree_id": F.lit(t), "value": shares}))
+        tables.append(nodes)
+        if p.oob_score:
+            out = own.where("_times = 0")
+            seen = leaf_values(descend(out, nodes, "_row", features), nodes).select("_row", "tree_id", "value")
+            votes = seen if votes is None else votes.unionAll(seen)
+    table = tables[0]
+    for more in tables[1:]:
+        table = table.unionAll(more)
+    accuracy = None
+    if votes is not None:
+        said = vote(votes, "_row", classes).join(rows.select("_row", F.col(f"`{label}`").alias("_true")), "_row")
+        accuracy = said.agg(F.avg((F.col("label_predicted") == F.col("_true")).cast("double"))).first()[0]
+    return table, classes, accuracy
+
+
+def score(model: RandomForestClassificationModel, df: DataFrame, features: Sequence[str], classes: Sequence[str], proba: bool = False) -> DataFrame:
+    """df with label_predicted, and with proba an array `probability` in the order of classes; features are taken by name."""
+    names = [f"_x{i}" for i in range(len(features))]
+    rows = df.withColumns({n: F.col(f"`{c}`").cast("float").cast("double") for n, c in zip(names, features, strict=True)})
+    scored = model.transform(VectorAssembler(inputCols=names, outputCol="_x").transform(rows))
     named = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
-    return scored.withColumn("label_predicted", named).drop("_x", "rawPrediction", "probability", "prediction")
-
-
-def node_table(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
-    """The model's nodes, numbered in pre-order; leaves have -1, -1, -2, -2.0. Its size is the model's."""
-    rows: list[tuple] = []
-
-    def walk(tree_id: int, node, at: int) -> int:
-        stats = [float(x) for x in node.impurityStats().stats()]
-        total = sum(stats) or 1.0
-        value = [x / total for x in stats]
-        n = int(node.impurityStats().count())
-        leaf = node.subtreeDepth() == 0
-        spot = len(rows)
-        rows.append(())
-        if leaf:
-            rows[spot] = (tree_id, at, -1, -1, -2, -2.0, float(node.impurity()), n, total, value)
-            return at + 1
-        after = walk(tree_id, node.leftChild(), at + 1)
-        end = walk(tree_id, node.rightChild(), after)
-        rows[spot] = (tree_id, at, at + 1, after, int(node.split().featureIndex()), float(node.split().threshold()), float(node.impurity()), n, total, value)
-        return end
-
-    for t, tree in enumerate(model._call_java("trees")):
-        walk(t, tree.rootNode(), 0)
-    return spark.createDataFrame(rows, NODE_SCHEMA)
-
-
-def descend(rows: DataFrame, nodes: DataFrame, key: str, features: Sequence[str], depth: int) -> DataFrame:
+    out = scored.withColumn("label_predicted", named)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "label_predicted", *([vector_to_array("probability").alias("probability")] if proba else []))
+
+
+def save_forest(spark: SparkSession, path: str, model: RandomForestClassificationModel, features: Sequence[str], classes: Sequence[str], params: ForestParams | None = None) -> None:
+    """The model, the names that it needs, and its nodes, in one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    about = json.dumps({"features": list(features), "classes": list(classes), "params": asdict(params) if params else None})
+    spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    save_nodes(node_table(spark, model, f"{path}/model"), f"{path}/nodes")
+
+
+def load_forest(spark: SparkSession, path: str) -> tuple[RandomForestClassificationModel, list[str], list[str]]:
+    """(model, features, classes) of save_forest."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    return RandomForestClassificationModel.load(f"{path}/model"), about["features"], about["classes"]
+
+
+def node_table(spark: SparkSession, model: RandomForestClassificationModel, saved: str | None = None) -> DataFrame:
+    """The model's nodes, numbered in pre-order; leaves have -1, -1, -2, -2.0. Read from the model as MLlib saves it."""
+    path = saved or table_path(spark, "model")
+    if saved is None:
+        model.write().overwrite().save(path)
+    tree = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    stats, total = F.col("impurityStats"), F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
+    inner = F.col("leftChild") >= 0
+    nodes = tree.select(
+        F.col("treeID").cast("int").alias("tree_id"), F.col("id").cast("int").alias("node_id"), F.when(inner, F.col("leftChild")).otherwise(-1).cast("int").alias("left"), F.when(inner, F.col("rightChild")).otherwise(-1).cast("int").alias("right"),
+        F.when(inner, F.col("split.featureIndex")).otherwise(-2).cast("int").alias("feature"), F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).otherwise(-2.0).alias("threshold"),
+        "impurity", F.col("rawCount").cast("long").alias("n_node_samples"), total.alias("weighted_n"), F.transform(stats, lambda x: F.when(total > 0, x / total).otherwise(0.0)).alias("value"),
+    )
+    nodes = cut(nodes)
+    if saved is None:
+        remove(spark, path)
+    return nodes
+
+
+def descend(rows: DataFrame, nodes: DataFrame, key: str, features: Sequence[str], depth: int | None = None) -> DataFrame:
     """(key, tree_id, node_id) of the leaf that each row reaches in each tree.
 
-    depth joins with the node table, which is a model (checked to be small) and is broadcast; rows
-    stay where they are.
+    Every step joins the rows with the node table; a table that is small enough is broadcast and the
+    rows stay where they are, else the join shuffles. The number of steps is the depth of the model,
+    which is found from the nodes; a depth that is given must not be smaller.
     """
-    model = nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold")
-    if model.count() > 1_000_000:
-        raise ValueError("a model of over a million nodes: score it with MLlib instead")
+    model = cut(nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold"))
+    own = F.broadcast(model) if model.count() <= BROADCAST_NODES else model
+    inner, deep = model.where("left >= 0 AND node_id = 0").select("tree_id", "left", "right"), 0
+    while not inner.isEmpty():
+        deep += 1
+        below = cut(inner.select("tree_id", F.explode(F.array("left", "right")).alias("node_id")).join(own, ["tree_id", "node_id"]))
+        inner = below.where("left >= 0").select("tree_id", "left", "right")
+    if depth is not None and depth < deep:
+        raise ValueError(f"the model has a depth of {deep}, not {depth}")
     x = rows.select(key, F.array(*[F.col(f"`{c}`").cast("float").cast("double") for c in features]).alias("_x"))
     trees = [r[0] for r in model.select("tree_id").distinct().orderBy("tree_id").collect()]
-    at = x.select("*", F.explode(F.array(*map(F.lit, trees))).alias("tree_id")).withColumn("node_id", F.lit(0))
-    for _ in range(depth):
-        step = at.join(F.broadcast(model), ["tree_id", "node_id"])
+    at = x.select("*", F.explode(F.array(*map(F.lit, trees)).cast("array<int>")).alias("tree_id")).withColumn("node_id", F.lit(0))
+    for _ in range(deep):
+        step = at.join(own, ["tree_id", "node_id"])
         goes = F.when(F.get("_x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
         at = step.select(key, "_x", "tree_id", F.when(F.col("left") < 0, F.col("node_id")).otherwise(goes).alias("node_id"))
     return at.select(key, "tree_id", "node_id")
 
 
 def leaf_values(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    return leaves.join(F.broadcast(nodes.select("tree_id", "node_id", "value")), ["tree_id", "node_id"])
+    """leaves with the class shares of their node; the node table is broadcast if it is small enough."""
+    values = nodes.select("tree_id", "node_id", "value")
+    return leaves.join(F.broadcast(values) if values.count() <= BROADCAST_NODES else values, ["tree_id", "node_id"])
 
 
 def vote(values: DataFrame, key: str, classes: Sequence[str]) -> DataFrame:
-    """Mean of the trees' class shares; the label with the largest, the first of equal ones."""
-    means = values.groupBy(key).agg(*[F.avg(F.col("value")[i]).alias(f"p{i}") for i in range(len(classes))])
-    shares = F.array(*[F.round(f"p{i}", 9) for i in range(len(classes))])
+    """Mean of the trees' class shares; the label with the largest, the first of equal ones.
+
+    Shares are summed in the order of the trees, so that equal votes are equal to the last bit.
+    """
+    ordered = values.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("tree_id", "value"))).alias("_v"))
+    mean = lambda i: F.aggregate("_v", F.lit(0.0), lambda s, v: s + F.get(v["value"], F.lit(i))) / F.size("_v")
+    means = ordered.select(key, *[mean(i).alias(f"p{i}") for i in range(len(classes))])
+    shares = F.array(*[F.col(f"p{i}") for i in range(len(classes))])
     named = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(shares, F.array_max(shares)).cast("int"))
     return means.withColumn("label_predicted", named)
 
@@ -138,3 +303,11 @@ def forest_importance(nodes: DataFrame) -> DataFrame:
     means = by_tree.groupBy("feature").agg(F.sum("importance").alias("_s")).join(F.broadcast(trees)).select("feature", (F.col("_s") / F.col("_n")).alias("_m"))
     total = means.agg(F.sum("_m").alias("_t"))
     return means.join(F.broadcast(total)).select("feature", F.when(F.col("_t") > 0, F.col("_m") / F.col("_t")).otherwise(0.0).alias("importance"))
+
+
+def named_importance(importance: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_name, importance) of all features, 0 for one that no split uses; `feature` is its place among features."""
+    names = importance.sparkSession.createDataFrame(list(enumerate(features)), "feature int, feature_name string")
+    return names.join(importance, "feature", "left").select("feature_name", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+

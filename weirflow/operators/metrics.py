@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import ranked
+
 KEPT_DURATIONS = 1000
 KEPT_SECONDS = 3600
 
@@ -25,9 +27,25 @@ def last_n_average(df: DataFrame, value: str, order: Sequence[str], n: int = KEP
     return last_durations(df, order, n).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_duration"), F.count(F.lit(1)).alias("n"))
 
 
-def rolling_average(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], n: int = KEPT_DURATIONS) -> DataFrame:
-    """Mean over each row and the n - 1 before it, for each key."""
-    return df.withColumn("rolling_avg", F.avg(value).over(W.partitionBy(*key).orderBy(*order).rowsBetween(1 - n, 0)))
+def rolling_average(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], n: int = KEPT_DURATIONS, block: int = 100_000) -> DataFrame:
+    """Mean over each row and the n - 1 before it, for each key; null values don't count.
+
+    A row's sum is the running sum less that of n rows before. The running sums are exact decimals
+    (12 places) and start anew in each block of a key's rows, to which the n rows before it go too:
+    a key of any size is dealt over tasks, and a row costs the same for any n.
+    """
+    block = max(block, n)
+    at = F.floor((F.col("_rank") - 1) / block)
+    rows = ranked(df, key, order).withColumn("_block", at)
+    last = F.col("_rank") - F.col("_block") * block > block - n
+    rows = rows.withColumn("_in", F.explode(F.when(last, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))))
+    own = W.partitionBy(*key, "_in").orderBy("_rank")
+    upto = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({"_sum": F.sum(F.col(value).try_cast("decimal(28,12)")).over(upto), "_count": F.count(value).over(upto)})
+    rows = rows.withColumns({"_less": F.lag("_sum", n).over(own), "_fewer": F.lag("_count", n).over(own)}).where("_in = _block")
+    total = F.coalesce("_sum", F.lit(0)) - F.coalesce("_less", F.lit(0))
+    mean = F.try_divide(total.cast("double"), F.col("_count") - F.coalesce("_fewer", F.lit(0)))
+    return rows.select(*df.columns, mean.alias("rolling_avg"))
 
 
 def live_minutes(minutes: DataFrame, now: Column, seconds: int = KEPT_SECONDS) -> DataFrame:
@@ -43,6 +61,22 @@ def running_gauge(df: DataFrame, key: Sequence[str], change: Column, order: Sequ
     return rows.withColumn("active", F.col("gauge") - F.least(F.lit(0), F.min("gauge").over(w)))
 
 
-def snapshot(df: DataFrame, value: str, error: Column, order: Sequence[str]) -> DataFrame:
-    totals = df.agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(error).alias("errors"), F.max("ts").alias("_now"))
-    return totals.crossJoin(F.broadcast(last_n_average(df, value, order).select("avg_duration"))).drop("_now")  # one row each
+def current_minute(df: DataFrame, now: Column, ts: str = "ts") -> DataFrame:
+    """(minute, requests): one row, the requests of the minute that `now` lies in, 0 if there are none."""
+    asked = df.sparkSession.range(1).select(F.date_format(F.date_trunc("minute", now), "yyyy-MM-dd HH:mm").alias("minute"))
+    return asked.join(requests_per_minute(df, ts), "minute", "left").select("minute", F.coalesce("requests", F.lit(0).cast("long")).alias("requests"))
+
+
+def snapshot(df: DataFrame, value: str, error: Column, order: Sequence[str], ts: str = "ts") -> DataFrame:
+    """One row: total_requests, errors, avg_duration of the last 1000, requests_per_minute of the latest minute."""
+    totals = df.agg(F.count(F.lit(1)).alias("total_requests"), F.count_if(error).alias("errors"))
+    minute = df.groupBy(F.date_trunc("minute", ts).alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    rate = minute.agg(F.coalesce(F.max_by("_n", "_minute"), F.lit(0).cast("long")).alias("requests_per_minute"))
+    # one row each
+    return totals.crossJoin(F.broadcast(last_n_average(df, value, order).select("avg_duration"))).crossJoin(F.broadcast(rate))
+
+
+def status_json(snapshots: DataFrame, uptime: Column, resources: Column | None = None) -> DataFrame:
+    """`status`: the JSON document of a running server from its snapshot: status, uptime in seconds, metrics, resources."""
+    parts = [F.lit("running").alias("status"), uptime.alias("uptime"), F.struct(*snapshots.columns).alias("metrics")]
+    return snapshots.select(F.to_json(F.struct(*parts, *([] if resources is None else [resources.alias("resources")]))).alias("status"))

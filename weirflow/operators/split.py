@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import CHUNK, before, chunked, upto
+
+#: Values no further apart count as one (fixed value).
+GAP = 1e-7
+
 
 def class_histogram(df: DataFrame, node: str, label: str, weight: Column | None = None) -> DataFrame:
     """(node, label, weight, share) of rows with a weight other than zero."""
@@ -16,47 +21,82 @@ def class_histogram(df: DataFrame, node: str, label: str, weight: Column | None
     return sums.withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy(node)))
 
 
-def gini(df: DataFrame, node: str, label: str) -> DataFrame:
-    counts = df.groupBy(node, label).agg(F.count(F.lit(1)).alias("n"))
+def gini(df: DataFrame, node: str, label: str, weight: Column | None = None) -> DataFrame:
+    """(node, gini, n): n is the weight of the node's rows, their number without weights."""
+    counts = df.groupBy(node, label).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     return counts.groupBy(node).agg((F.lit(1.0) - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("gini"), F.sum("n").alias("n"))
 
 
-def adjacent_values(df: DataFrame, partition: Sequence[str], value: str, gap: float = 1e-7) -> DataFrame:
+def _next_value(chunks: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """chunks of distinct values with `above`, the next larger value of the key, also across the border of a chunk."""
+    firsts = chunks.groupBy(*key, CHUNK).agg(F.min(value).alias("_first"))
+    after = firsts.select(*key, CHUNK, F.lead("_first").over(W.partitionBy(*key).orderBy(CHUNK)).alias("_after"))
+    inside = F.lead(value).over(W.partitionBy(CHUNK, *key).orderBy(value))
+    return chunks.withColumn("_inside", inside).join(after, [*key, CHUNK]).withColumn("above", F.coalesce("_inside", "_after")).drop("_inside", "_after")
+
+
+def adjacent_values(df: DataFrame, partition: Sequence[str], value: str, gap: float = GAP) -> DataFrame:
     """Distinct values with the next larger one, where they are further apart than the gap."""
-    values = df.select(*partition, value).distinct()
-    return values.withColumn("next_value", F.lead(value).over(W.partitionBy(*partition).orderBy(value))).where(F.col("next_value") - F.col(value) > gap)
+    chunks = chunked(df.select(*partition, value).where(F.col(value).isNotNull()).distinct(), partition, [value])
+    return _next_value(chunks, partition, value).select(*partition, value, F.col("above").alias("next_value")).where(F.col("next_value") - F.col(value) > gap)
 
 
-def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: str, classes: Sequence[str]) -> DataFrame:
-    """Every threshold of every node and feature with its class counts to the left and right.
+def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Every threshold of every node and feature with the class weights to its left and right.
 
-    Rows are summed for each value first (with map-side combine), so the window sees distinct values
-    and its partitions are (node, feature).
+    Rows are summed for each value first (with map-side combine); the running sums of a node and
+    feature, the root's too, are dealt over tasks by ranges of the value. nl, nr and n are weights,
+    cl and cr numbers of rows. Rows with a weight of zero and null values don't count.
     """
-    long = df.unpivot([node, label], list(features), "feature", "value") if len(features) > 1 else df.select(node, label, F.lit(features[0]).alias("feature"), F.col(features[0]).alias("value"))
-    counts = long.groupBy(node, "feature", "value").agg(*[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(classes)])
-    own = W.partitionBy(node, "feature")
-    upto = own.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df if weight is None else df.where(F.col(weight) != 0)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = rows.select(node, label, w.alias("_w"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    places = [f"f{i}" for i in range(len(features))]
+    long = rows.unpivot([node, label, "_w"], places, "feature", "value") if len(features) > 1 else rows.select(node, label, "_w", F.lit("f0").alias("feature"), F.col("f0").alias("value"))
     k = range(len(classes))
-    rows = counts.select(node, "feature", "value", F.lead("value").over(own.orderBy("value")).alias("above"), *[F.sum(f"n{i}").over(upto).alias(f"l{i}") for i in k], *[F.sum(f"n{i}").over(own).alias(f"t{i}") for i in k])
-    total = lambda p: sum((F.col(f"{p}{i}") for i in k[1:]), F.col(f"{p}0")).cast("double")
-    rows = rows.where(F.col("above") - F.col("value") > 1e-7).withColumns({"nl": total("l"), "n": total("t")}).withColumn("nr", F.col("n") - F.col("nl"))
-    square = lambda e: sum((e(i) * e(i) for i in k[1:]), e(0) * e(0)).cast("double")
-    left, right, whole = square(lambda i: F.col(f"l{i}")), square(lambda i: F.col(f"t{i}") - F.col(f"l{i}")), square(lambda i: F.col(f"t{i}"))
+    counts = long.where("value IS NOT NULL").groupBy(node, "feature", "value").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.when(F.col(label) == c, F.col("_w")).otherwise(0.0)).alias(f"n{i}") for i, c in enumerate(classes)])
+    key, sums = [node, "feature"], ["c", *[f"n{i}" for i in k]]
+    chunks = chunked(counts, key, ["value"])
+    earlier = before(chunks, key, {f"b_{s}": F.sum(s) for s in sums})
+    totals = chunks.groupBy(*key).agg(*[F.sum(s).alias(f"t_{s}") for s in sums])
+    run = upto(["value"], key)
+    rows = _next_value(chunks.withColumns({f"l_{s}": F.sum(s).over(run) for s in sums}), key, "value").where(F.col("above") - F.col("value") > GAP)
+    rows = rows.join(earlier, [*key, CHUNK]).join(totals, key)
+    left, all_ = lambda i: F.col(f"l_n{i}") + F.col(f"b_n{i}"), lambda i: F.col(f"t_n{i}")
+    total = lambda e: sum((e(i) for i in k[1:]), e(0))
+    square = lambda e: sum((e(i) * e(i) for i in k[1:]), e(0) * e(0))
+    names = F.array(*map(F.lit, features))
+    rows = rows.select(
+        node, F.substring("feature", 2, 10).cast("int").alias("place"), "value", "above",
+        total(all_).alias("n"), total(left).alias("nl"), (F.col("l_c") + F.col("b_c")).alias("cl"), (F.col("t_c") - F.col("l_c") - F.col("b_c")).alias("cr"),
+        square(left).alias("_ql"), square(lambda i: all_(i) - left(i)).alias("_qr"), square(all_).alias("_q"),
+        F.array(*[left(i) for i in k]).alias("left_weights"), F.array(*[all_(i) - left(i) for i in k]).alias("right_weights"),
+    ).withColumn("nr", F.col("n") - F.col("nl"))
     middle = F.col("value") / 2 + F.col("above") / 2
     return rows.select(
-        node, "feature", F.when((middle == F.col("above")) | (F.abs(middle) == float("inf")), F.col("value")).otherwise(middle).alias("threshold"), "n", "nl", "nr",
-        (left / F.col("nl") + right / F.col("nr")).alias("proxy"),
-        (F.lit(1.0) - whole / (F.col("n") * F.col("n"))).alias("impurity"),
-        (F.lit(1.0) - left / (F.col("nl") * F.col("nl"))).alias("impurity_left"), (F.lit(1.0) - right / (F.col("nr") * F.col("nr"))).alias("impurity_right"),
+        node, F.get(names, F.col("place")).alias("feature"), "place", F.when((middle == F.col("above")) | (F.abs(middle) == float("inf")), F.col("value")).otherwise(middle).alias("threshold"),
+        "n", "nl", "nr", "cl", "cr", (F.col("_ql") / F.col("nl") + F.col("_qr") / F.col("nr")).alias("proxy"),
+        (F.lit(1.0) - F.col("_q") / (F.col("n") * F.col("n"))).alias("impurity"),
+        (F.lit(1.0) - F.col("_ql") / (F.col("nl") * F.col("nl"))).alias("impurity_left"), (F.lit(1.0) - F.col("_qr") / (F.col("nr") * F.col("nr"))).alias("impurity_right"),
+        "left_weights", "right_weights",
     )
 
 
-def best_split(candidates: DataFrame, node: str, min_leaf: int = 1) -> DataFrame:
-    """The candidate with the largest proxy of each node; ties: first feature, least threshold."""
-    order = F.struct((-F.round("proxy", 6)).alias("p"), "feature", "threshold")
+def best_split(candidates: DataFrame, node: str, min_leaf: int = 1, min_weight_leaf: float = 0.0, max_features: int | None = None, seed: int = 0) -> DataFrame:
+    """The candidate with the largest proxy of each node; equal ones: first feature, least threshold. Proxies are compared as they are.
+
+    max_features: only so many features of a node, drawn by a hash of (seed, node, feature) among
+    those that aren't constant in it.
+    """
+    order = F.struct((-F.col("proxy")).alias("p"), "place", "threshold")
     rest = [c for c in candidates.columns if c != node]
-    best = candidates.where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf)).groupBy(node).agg(F.min_by(F.struct(*rest), order).alias("_best"))
+    allowed = (F.col("cl") >= min_leaf) & (F.col("cr") >= min_leaf) & (F.col("nl") >= min_weight_leaf) & (F.col("nr") >= min_weight_leaf)
+    one = F.min_by(F.struct(*rest), F.when(allowed, order)).alias("_best")
+    if max_features is not None:
+        each = candidates.groupBy(node, "place").agg(one)  # a constant feature has no candidate
+        draw = F.row_number().over(W.partitionBy(node).orderBy(F.xxhash64(F.lit(seed), node, "place"), "place"))
+        candidates = each.withColumn("_draw", draw).where((F.col("_draw") <= max_features) & F.col("_best").isNotNull()).select(node, *[f"_best.{c}" for c in rest])
+    best = candidates.where(allowed).groupBy(node).agg(one)
     return best.select(node, *[f"_best.{c}" for c in rest])
 
 

@@ -6,15 +6,16 @@ duration, 'error' an error status).
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as X
-from ..operators import analyze, clean, evaluate, forest, metrics, split
+from ..operators import analyze, clean, evaluate, forest, metrics, split, tree
 from ..sources import flows as S
+from ..storage import remove, table_path
+from ..streaming import detect
 from .flagship import FEATURES, flagship, flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,7 +173,7 @@ _SPLIT = """WITH v AS (SELECT l_linestatus, l_extendedprice AS x, count(*) FILTE
  w AS (SELECT *, lead(x) OVER o AS y, sum(a) OVER (o ROWS UNBOUNDED PRECEDING) la, sum(b) OVER (o ROWS UNBOUNDED PRECEDING) lb, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) lc,
   sum(a) OVER p ta, sum(b) OVER p tb, sum(c) OVER p tc FROM v WINDOW o AS (PARTITION BY l_linestatus ORDER BY x), p AS (PARTITION BY l_linestatus)),
  s AS (SELECT *, la + lb + lc AS nl, ta + tb + tc AS n, ta + tb + tc - la - lb - lc AS nr, (la*la + lb*lb + lc*lc) AS ql, (ta-la)*(ta-la) + (tb-lb)*(tb-lb) + (tc-lc)*(tc-lc) AS qr, ta*ta + tb*tb + tc*tc AS q FROM w WHERE y - x > 1e-7),
- b AS (SELECT *, ql / nl + qr / nr AS proxy, row_number() OVER (PARTITION BY l_linestatus ORDER BY round(ql / nl + qr / nr, 6) DESC, x) AS k FROM s) """
+ b AS (SELECT *, ql / nl + qr / nr AS proxy, row_number() OVER (PARTITION BY l_linestatus ORDER BY ql / nl + qr / nr DESC, x) AS k FROM s) """
 
 
 def _best(spark, d):
@@ -197,17 +198,28 @@ def node_route(spark, d):
     return split.route(rows, F.col("l_extendedprice"), F.col("threshold")).groupBy("l_linestatus", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT r AS row, count(*) AS times FROM (SELECT (event_id * 7919 + 104729) % 5000 AS r FROM events) GROUP BY ALL")
-def bootstrap(spark, d):
-    return _t(spark, d, "events").select(((F.col("event_id") * 7919 + 104729) % 5000).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+def _xorshift_sql(x: str) -> str:
+    """One step over the column x, modulo 2**31, as a chain of subqueries' expressions."""
+    a = f"(CASE WHEN ({x}) = 0 THEN 1 ELSE ({x}) END & 4294967295)"
+    b = f"(xor({a}, {a} << 13) & 4294967295)"
+    c = f"xor({b}, {b} >> 17)"
+    return f"((xor({c}, {c} << 5) & 4294967295) % 2147483648)"
 
 
-def bootstrap_draw(spark, d):
-    rows = _t(spark, d, "lineitem")
-    return forest.bootstrap(rows.select("l_orderkey", "l_linenumber").withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber")), "row_key", rows.count(), trees=2)
+def _draws_sql(trees: int, slots: str) -> str:
+    first = f"SELECT tree_id, {_xorshift_sql('(slot * 40503 + tree_id * 69069 + 42) & 4294967295')} AS r FROM range({trees}) t(tree_id), (SELECT unnest(range({slots})) AS slot)"
+    return f"""WITH d AS (SELECT tree_id, {_xorshift_sql('r * 2 + 1')} % (SELECT count(*) FROM orders) AS row FROM ({first})), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders)
+ SELECT tree_id::INT AS tree_id, o_orderkey, count(*) AS times FROM d JOIN o USING (row) GROUP BY ALL"""
+
+
+@query(_draws_sql(1, "(SELECT round(count(*) * 0.5)::BIGINT FROM orders)"))
+def bootstrap(spark, d):
+    return forest.bootstrap(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], max_samples=0.5)
 
 
-QUERIES["bootstrap_draw"] = bootstrap_draw
+@query(_draws_sql(2, "(SELECT count(*) FROM orders)"))
+def bootstrap_draw(spark, d):
+    return forest.bootstrap(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], trees=2)
 
 
 @query("""WITH a AS (SELECT event_id, CASE WHEN event_id = 0 THEN 1 ELSE event_id END & 4294967295 AS x FROM events), b AS (SELECT event_id, xor(x, x << 13) & 4294967295 AS x FROM a),
@@ -259,7 +271,7 @@ def _nodes(spark):
 
 def _leaves(spark, d):
     rows = _t(spark, d, "events").select("event_id", (F.col("event_id") % 50 + 1).alias("q"), F.col("value").alias("p"), (F.col("event_id") % 11 / 100).alias("s"), (F.col("event_id") % 9 / 100).alias("t"))
-    return forest.descend(rows, _nodes(spark), "event_id", ["q", "p", "s", "t"], depth=2)
+    return forest.descend(rows, _nodes(spark), "event_id", ["q", "p", "s", "t"])
 
 
 @query(_DESCENT + "SELECT id AS event_id, tree_id, node_id FROM leaf")
@@ -299,6 +311,7 @@ def top_n(spark, d):
 
 
 def model_nodes(spark, d):
+    """MLlib's trees are drawn at random, so there is no SQL; tests hold the table against the model's own predictions."""
     model, _ = forest.fit_forest(flows(spark, d), FEATURES, "l_returnflag", n_estimators=3, max_depth=4)
     return forest.node_table(spark, model)
 
@@ -337,15 +350,49 @@ def active_gauge(spark, d):
     return metrics.running_gauge(_t(spark, d, "events"), ["user_id"], change, ["ts", "event_id"]).select("event_id", "gauge", "active")
 
 
-@query("SELECT count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS errors, (SELECT round(avg(value), 6) FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)) AS avg_duration FROM events")
+_SNAPSHOT = """SELECT count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS errors, (SELECT round(avg(value), 6) FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)) AS avg_duration,
+ (SELECT count(*) FROM events WHERE date_trunc('minute', ts) = (SELECT max(date_trunc('minute', ts)) FROM events)) AS requests_per_minute FROM events"""
+
+
+@query(_SNAPSHOT)
 def metrics_snapshot(spark, d):
     return metrics.snapshot(_t(spark, d, "events"), "value", F.col("event_type") == "error", ["ts", "event_id"]).withColumn("avg_duration", F.round("avg_duration", 6))
 
 
+@query("SELECT '2031-01-01 00:00' AS minute, 0::BIGINT AS requests UNION ALL SELECT strftime(max(ts), '%Y-%m-%d %H:%M'), (SELECT count(*) FROM events WHERE date_trunc('minute', ts) = (SELECT max(date_trunc('minute', ts)) FROM events)) FROM events")
+def current_minute(spark, d):
+    rows = _t(spark, d, "events")
+    now = rows.agg(F.max("ts")).first()[0]
+    return metrics.current_minute(rows, F.lit("2031-01-01 00:00:30").cast("timestamp_ntz")).unionAll(metrics.current_minute(rows, F.lit(now)))
+
+
+@query(f"""SELECT '{{"status":"running","uptime":12.5,"metrics":{{"total_requests":' || total_requests || ',"errors":' || errors || ',"requests_per_minute":' || requests_per_minute || '}},"resources":{{"cpu_percent":0.0,"memory_mb":64.0}}}}' AS status FROM ({_SNAPSHOT})""")
+def status_json(spark, d):
+    shot = metrics.snapshot(_t(spark, d, "events"), "value", F.col("event_type") == "error", ["ts", "event_id"]).drop("avg_duration")
+    uptime = X.elapsed_seconds(F.lit("2030-01-01 00:00:00").cast("timestamp"), F.lit("2030-01-01 00:00:12.5").cast("timestamp"))
+    return metrics.status_json(shot, uptime, F.struct(F.lit(0.0).alias("cpu_percent"), F.lit(64.0).alias("memory_mb")))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'f' || user_id END, CASE WHEN event_id % 2 = 0 THEN 'p' || user_id END, 'none') AS client FROM events")
+def first_header(spark, d):
+    c = F.col
+    forwarded, peer = F.when(c("event_id") % 3 == 0, F.concat(F.lit("f"), c("user_id"))), F.when(c("event_id") % 2 == 0, F.concat(F.lit("p"), c("user_id")))
+    return _t(spark, d, "events").select("event_id", X.first_header(forwarded, peer, F.lit("none")).alias("client"))
+
+
+@query("SELECT event_id, round((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1e6, 6) AS seconds FROM events")
+def elapsed(spark, d):
+    return _t(spark, d, "events").select("event_id", F.round(X.elapsed_seconds(F.date_trunc("day", "ts").cast("timestamp"), F.col("ts").cast("timestamp")), 6).alias("seconds"))
+
+
 @query("SELECT event_id, '{\"received\":{\"k\":' || json_extract_string(props, '$.k') || '},\"status\":\"ok\"}' AS body FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL UNION ALL SELECT event_id, '{\"received\":{},\"status\":\"ok\"}' FROM events WHERE json_extract_string(props, '$.k') IS NULL")
 def json_echo(spark, d):
-    parsed = F.from_json("props", "k long")
-    return _t(spark, d, "events").select("event_id", F.to_json(F.struct(F.coalesce(parsed, F.from_json(F.lit("{}"), "k long")).alias("received"), F.lit("ok").alias("status"))).alias("body"))
+    return _t(spark, d, "events").select("event_id", X.echo_body(X.tolerant_json(F.col("props"), "k long")).alias("body"))
+
+
+@query("SELECT event_id, least(value * 7, 10.0) AS delay FROM events")
+def clamp_float(spark, d):
+    return _t(spark, d, "events").select("event_id", X.clamp_param((F.col("value") * 7).cast("string"), 10.0, "double").alias("delay"))
 
 
 @query("SELECT event_id, least(coalesce(CAST(json_extract_string(props, '$.k') AS INT), 1), 10) AS seconds FROM events")
@@ -355,24 +402,140 @@ def clamp_param(spark, d):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'took ' || printf('%.3f', value) AS message FROM events")
 def log_parse(spark, d):
-    rows = _t(spark, d, "events").withColumns({"message": F.concat(F.lit("took "), F.format_string("%.3f", "value")), "level": F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")})
-    lines = rows.select("event_id", F.concat_ws(" - ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "level", "message").alias("value"))
-    p = r"^(.{19}) - ([A-Z]+) - (.*)$"
-    return lines.select("event_id", F.regexp_extract("value", p, 1).alias("at"), F.regexp_extract("value", p, 2).alias("level"), F.regexp_extract("value", p, 3).alias("message"))
+    level, message = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.concat(F.lit("took "), F.format_string("%.3f", "value"))
+    lines = _t(spark, d, "events").select("event_id", S.log_line(F.col("ts"), level, message).alias("value"))
+    return S.parse_log(lines).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "level", "message")
+
 
+def _streamed(spark, d, name, run) -> DataFrame:
+    """What run(stream, sink, checkpoint) leaves in a fresh sink of the shared folder, from a table read as a stream to its end."""
+    base = table_path(spark, "stream")
+    run(S.stream_table(spark, f"{d}/{name}.parquet"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    remove(spark, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
 
+
+@query("SELECT 0::BIGINT AS batch_id, label, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END AS label, 1 AS n FROM (SELECT DISTINCT * FROM lineitem) UNION ALL SELECT unnest(['A', 'N', 'R']), 0) GROUP BY ALL")
 def stream_detect(spark, d):
-    """Each lineitem file as a micro-batch; a rule stands for the model so that counts are known."""
-    from ..streaming.detect import detect
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{named}/detect" if named else "file://" + tempfile.mkdtemp(prefix="weirflow-")
-    base = f"{base}-{spark.sparkContext.applicationId}-{abs(hash(d))}"
-    schema = _t(spark, d, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").parquet(d)
+    """The table as one micro-batch; a rule stands for the model so that counts are known."""
     rule = lambda df: df.withColumn("label_predicted", F.when(F.col("l_linestatus") == "O", "N").otherwise("A"))
-    detect(stream, rule, CLASSES, f"{base}/out", f"{base}/checkpoint", remove=["l_orderkey", "l_partkey"]).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("batch_id", "label", "n")
+    found = _streamed(spark, d, "lineitem", lambda s, sink, at: detect.detect(s, rule, CLASSES, sink, at, remove=["l_orderkey", "l_partkey"]))
+    return found.select(F.col("batch_id").cast("long").alias("batch_id"), "label", "n")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events GROUP BY ALL")
+def stream_minutes(spark, d):
+    def run(stream, sink, at):
+        keep = lambda df, batch_id: df.write.mode("overwrite").parquet(sink)
+        return detect.minute_counts(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+
+    return _streamed(spark, d, "events", run)
+
+
+@query("""SELECT event_type, count(*) AS total_requests, count(*) FILTER (value > 1) AS errors, 0::BIGINT AS active, round(avg(value) FILTER (k <= 1000), 6) AS avg_duration
+ FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k FROM events) GROUP BY ALL""")
+def stream_state(spark, d):
+    def run(stream, sink, at):
+        requests = stream.select("event_type", "ts", F.col("value").alias("duration"), F.when(F.col("value") > 1, 500).otherwise(200).alias("status"), F.lit(-1).alias("change"))
+        keep = lambda df, batch_id: df.write.mode("append").parquet(sink)
+        return detect.server_state(requests, "event_type").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+
+    return _streamed(spark, d, "events", run).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@query(_SNAPSHOT)
+def stream_snapshot(spark, d):
+    found = _streamed(spark, d, "events", lambda s, sink, at: detect.snapshots(s, "value", F.col("event_type") == "error", ["ts", "event_id"], sink, at))
+    return found.select("total_requests", "errors", F.round("avg_duration", 6).alias("avg_duration"), "requests_per_minute")
+
+
+#: lineitem in the shape of a flow file: name, Spark expression, SQL expression.
+_FLOW = (
+    ("Flow ID", "concat(l_orderkey, '-', l_linenumber)", "l_orderkey || '-' || l_linenumber"),
+    ("Src IP", "concat('10.0.0.', l_suppkey)", "'10.0.0.' || l_suppkey"),
+    ("Dst IP", "'10.0.1.1'", "'10.0.1.1'"),
+    ("Src Port", "l_partkey", "l_partkey"),
+    ("Dst Port", "80", "80"),
+    ("Protocol", "6", "6"),
+    ("Timestamp", "CAST(l_shipdate AS string)", "l_shipdate::VARCHAR"),
+    ("Flow Duration", "l_extendedprice", "l_extendedprice"),
+    ("Flow Bytes/s", "IF(l_tax = 0, double('inf'), l_extendedprice / nullif(l_tax, 0))", "CASE WHEN l_tax = 0 THEN 'inf'::DOUBLE ELSE l_extendedprice / l_tax END"),
+    ("Fwd IAT Total", "l_extendedprice", "l_extendedprice"),
+    ("Fwd IAT Mean", "l_quantity", "l_quantity"),
+    ("Bwd IAT Mean", "l_discount", "l_discount"),
+    ("Fwd Packet Length Mean", "l_quantity * 2", "l_quantity * 2"),
+    ("Bwd Packet Length Mean", "l_quantity * 2 + l_tax", "l_quantity * 2 + l_tax"),
+    ("Packet Length Std", "l_tax", "l_tax"),
+    ("Packet Length Mean", "IF(l_linenumber = 3, 0D, l_quantity)", "CASE WHEN l_linenumber = 3 THEN 0::DOUBLE ELSE l_quantity END"),
+    ("Bwd PSH Flags", "0", "0"),
+    ("Fwd URG Flags", "0", "0"),
+    ("FIN Flag Count", "l_linenumber % 2", "l_linenumber % 2"),
+    ("SYN Flag Count", "IF(l_linenumber = 5, 0, l_linenumber % 3)", "CASE WHEN l_linenumber = 5 THEN 0 ELSE l_linenumber % 3 END"),
+    ("RST Flag Count", "0", "0"),
+    ("ACK Flag Count", "l_linenumber - 1", "l_linenumber - 1"),
+    ("Fwd Segment Size Avg", "l_quantity", "l_quantity"),
+    ("Bwd Segment Size Avg", "l_quantity", "l_quantity"),
+    ("Label", "CASE l_returnflag WHEN 'A' THEN 'BENIGN' WHEN 'N' THEN 'DoS Hulk' WHEN 'R' THEN IF(l_linestatus = 'F' AND l_discount > 0.05, 'DoS slowloris', 'PortScan') END", "CASE l_returnflag WHEN 'A' THEN 'BENIGN' WHEN 'N' THEN 'DoS Hulk' WHEN 'R' THEN CASE WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN 'DoS slowloris' ELSE 'PortScan' END END"),
+)
+_FLOW_SQL = "(SELECT " + ", ".join(f'{sql} AS "{name}"' for name, _, sql in _FLOW) + " FROM lineitem)"
+_CLEAN_SQL = f"""(SELECT DISTINCT * FROM {_FLOW_SQL} WHERE NOT isinf("Flow Bytes/s") AND "Label" IN ('BENIGN', 'DoS Hulk', 'DoS GoldenEye', 'DoS slowloris'))"""
+
+
+def flow_table(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").select(*[F.expr(e).alias(name) for name, e, _ in _FLOW])
+
+
+@query(f"""SELECT "Label" AS label, "Flow Duration" AS duration, "Flow Bytes/s" AS rate, "ACK Flag Count" AS acks FROM {_CLEAN_SQL}""")
+def flow_clean(spark, d):
+    rows = clean.clean_flows(flow_table(spark, d))
+    assert not set(clean.REMOVE) & set(rows.columns)
+    return rows.select(F.col("Label").alias("label"), F.col("Flow Duration").alias("duration"), F.col("Flow Bytes/s").alias("rate"), F.col("ACK Flag Count").alias("acks"))
+
+
+_ENGINEER_SQL = f"""(SELECT "Flow Duration", "Flow Bytes/s", "Fwd IAT Mean", "Bwd IAT Mean", "Fwd Packet Length Mean", "Bwd Packet Length Mean", "Packet Length Std", "Packet Length Mean", "FIN Flag Count", "SYN Flag Count", "RST Flag Count", "ACK Flag Count",
+ "Fwd IAT Mean" / CASE WHEN "Bwd IAT Mean" = 0 THEN 0.1 ELSE "Bwd IAT Mean" END AS "IAT_ratio", "Fwd Packet Length Mean" / CASE WHEN "Bwd Packet Length Mean" = 0 THEN 0.1 ELSE "Bwd Packet Length Mean" END AS "Packet_Length_Ratio",
+ "Packet Length Std" / CASE WHEN "Packet Length Mean" = 0 THEN 0.1 ELSE "Packet Length Mean" END AS "Packet_Size_CV", ("FIN Flag Count" + "SYN Flag Count" + "RST Flag Count" + "ACK Flag Count")::DOUBLE AS "Total_Flags",
+ ("FIN Flag Count" > 0)::INT + ("SYN Flag Count" > 0)::INT + ("RST Flag Count" > 0)::INT + ("ACK Flag Count" > 0)::INT AS "Flag_Diversity",
+ ("FIN Flag Count" + "SYN Flag Count" + "RST Flag Count")::DOUBLE / CASE WHEN "FIN Flag Count" + "SYN Flag Count" + "RST Flag Count" + "ACK Flag Count" = 0 THEN 1 ELSE "FIN Flag Count" + "SYN Flag Count" + "RST Flag Count" + "ACK Flag Count" END AS "Control_Flag_Ratio" FROM {_CLEAN_SQL})"""
+_DERIVED = ["IAT_ratio", "Packet_Length_Ratio", "Packet_Size_CV", "Total_Flags", "Flag_Diversity", "Control_Flag_Ratio"]
+
+
+def _engineered(spark, d) -> DataFrame:
+    return X.engineer(clean.clean_flows(flow_table(spark, d)).drop("Label"))
+
+
+@query(f"SELECT {', '.join(f'round({c}, 8) AS {c}' if c != 'Flag_Diversity' else c for c in _DERIVED)} FROM {_ENGINEER_SQL}")
+def flow_engineer(spark, d):
+    return _engineered(spark, d).select(*[F.round(c, 8).alias(c) if c != "Flag_Diversity" else F.col(c) for c in _DERIVED])
+
+
+_FLOW_COLS = ["Flow Duration", "Flow Bytes/s", "Fwd IAT Mean", "Bwd IAT Mean", "Fwd Packet Length Mean", "Bwd Packet Length Mean", "Packet Length Std", "Packet Length Mean", "FIN Flag Count", "SYN Flag Count", "RST Flag Count", "ACK Flag Count", *_DERIVED]
+_FLOW_PAIRS = " UNION ALL ".join(f"""SELECT '{b}' AS a, corr("{b}", "{a}") AS r, var_samp("{a}") > 0 AND var_samp("{b}") > 0 AS ok FROM e""" for i, b in enumerate(_FLOW_COLS) for a in _FLOW_COLS[:i])
+_FLOW_VARS = " UNION ALL ".join(f"""SELECT '{c}' AS feature, var_samp("{c}") AS v FROM e""" for c in _FLOW_COLS)
+
+
+@query(f"WITH e AS MATERIALIZED (SELECT * FROM {_ENGINEER_SQL}) SELECT feature FROM ({_FLOW_VARS}) WHERE NOT v < 0.01 AND feature NOT IN (SELECT a FROM ({_FLOW_PAIRS}) WHERE ok AND r > 0.95)")
+def flow_select(spark, d):
+    """The features that variance and correlation leave, of a flow file with all derived ones."""
+    return spark.createDataFrame([(c,) for c in analyze.kept_features(_engineered(spark, d).select(*[f"`{c}`" for c in _FLOW_COLS]), _FLOW_COLS)], "feature string")
+
+
+_LONG = " UNION ALL ".join(f"SELECT {i} AS place, {c}::FLOAT::DOUBLE AS x, l_returnflag AS y FROM lineitem" for i, c in enumerate(NUM))
 
 
-QUERIES["stream_detect"] = stream_detect
+@query(f"""WITH v AS (SELECT place, x, count(*) FILTER (y = 'A')::DOUBLE a, count(*) FILTER (y = 'N')::DOUBLE b, count(*) FILTER (y = 'R')::DOUBLE c FROM ({_LONG}) GROUP BY ALL),
+ w AS (SELECT place, x, lead(x) OVER o AS z, sum(a) OVER (o ROWS UNBOUNDED PRECEDING) la, sum(b) OVER (o ROWS UNBOUNDED PRECEDING) lb, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) lc, sum(a) OVER p ta, sum(b) OVER p tb, sum(c) OVER p tc FROM v WINDOW o AS (PARTITION BY place ORDER BY x), p AS (PARTITION BY place)),
+ s AS (SELECT *, la + lb + lc AS nl, ta + tb + tc AS n, ta + tb + tc - (la + lb + lc) AS nr FROM w WHERE z - x > 1e-7),
+ k AS (SELECT * FROM s ORDER BY (la*la + lb*lb + lc*lc) / nl + ((ta-la)*(ta-la) + (tb-lb)*(tb-lb) + (tc-lc)*(tc-lc)) / nr DESC, place, x LIMIT 1)
+ SELECT 0 AS node_id, place AS feature, round(x / 2 + z / 2, 6) AS threshold, n::BIGINT AS n_node_samples, round(1 - (ta*ta + tb*tb + tc*tc) / (n * n), 8) AS impurity, round(ta / n, 8) AS p0 FROM k
+ UNION ALL SELECT 1, -2, -2.0, nl::BIGINT, round(1 - (la*la + lb*lb + lc*lc) / (nl * nl), 8), round(la / nl, 8) FROM k
+ UNION ALL SELECT 2, -2, -2.0, nr::BIGINT, round(1 - ((ta-la)*(ta-la) + (tb-lb)*(tb-lb) + (tc-lc)*(tc-lc)) / (nr * nr), 8), round((ta - la) / nr, 8) FROM k""")
+def tree_fit(spark, d):
+    """An exact tree of depth 1; deeper ones and all stopping rules are tested against brute force."""
+    nodes = tree.Tree(max_depth=1).fit(_t(spark, d, "lineitem"), NUM, "l_returnflag")
+    return nodes.select("node_id", "feature", F.round("threshold", 6).alias("threshold"), "n_node_samples", F.round("impurity", 8).alias("impurity"), F.round(F.get("value", F.lit(0)), 8).alias("p0"))
+
+
+@query(_IMPORTANCE + "SELECT x.name AS feature_name, round(coalesce(importance, 0), 8) AS importance FROM (VALUES (0, 'l_quantity'), (1, 'l_extendedprice'), (2, 'l_discount'), (3, 'l_tax')) x(feature, name) LEFT JOIN f USING (feature)")
+def named_importance(spark, d):
+    return forest.named_importance(forest.forest_importance(_nodes(spark)), NUM).withColumn("importance", F.round("importance", 8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,14 +12,58 @@ from pyspark.sql import types as T
 MISSING = ("", "NA", "N/A", "NaN", "nan", "None", "null", "NULL")
 
 
-def read_flows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A flow CSV with header; the schema is given, so nothing is inferred and columns are pruned."""
-    return missing_to_null(spark.read.schema(schema).csv(path, header=True))
+def read_flows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A flow CSV with header, columns by name. Without a schema the types are found from all rows.
 
+    Infinities may be written as inf or Infinity, with a sign. Text that doesn't fit a numeric column
+    of a given schema is null, and so are the words for missing values.
+    """
+    text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return typed(missing_to_null(text), schema or flow_types(text))
 
-def stream_flows(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """The same as a stream over a landing folder; a file is a micro-batch."""
-    return missing_to_null(spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(path))
+
+def flow_types(text: DataFrame) -> T.StructType:
+    """The types of columns of text, from one aggregate: long, else double, else string; a column without values is double."""
+    rows = missing_to_null(text)
+    kinds = []
+    for i, c in enumerate(rows.columns):
+        x = F.col(f"`{c}`")
+        kinds += [F.count_if(x.isNotNull() & ~x.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias(f"l{i}"), F.count_if(x.isNotNull() & x.try_cast("double").isNull()).alias(f"d{i}"), F.count(x).alias(f"n{i}")]
+    found = rows.agg(*kinds).first()
+    pick = lambda i: T.StringType() if found[f"d{i}"] else T.DoubleType() if found[f"l{i}"] or not found[f"n{i}"] else T.LongType()
+    return T.StructType([T.StructField(c, pick(i)) for i, c in enumerate(rows.columns)])
+
+
+def typed(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of the schema, cast from text."""
+    if missing := [f.name for f in schema if f.name not in text.columns]:
+        raise KeyError(f"no such columns: {missing}")
+    cast = lambda f: F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType)
+    return text.select(*[cast(f).alias(f.name) for f in schema])
+
+
+def stream_flows(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, finished: str | None = None) -> DataFrame:
+    """The same as a stream over a landing folder, with a given schema; a file is a micro-batch.
+
+    finished: files that have been read are "deleted", or moved to a folder of that name, so that a
+    landing folder of alternating captures doesn't fill up; None leaves them.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    reader = spark.readStream.schema(text).option("header", True).option("maxFilesPerTrigger", files_per_batch)
+    if finished == "deleted":
+        reader = reader.option("cleanSource", "delete")
+    elif finished:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", finished)
+    return typed(missing_to_null(reader.csv(path)), schema)
+
+
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream: a folder of part files or one file (which is found by its name in its folder)."""
+    schema, at = spark.read.parquet(path).schema, spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -27,15 +71,21 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.col(f"`{c}`").isin(*MISSING), None).otherwise(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
 
 
-def log_line(ts: str, level: str, message: str):
+def log_line(ts: Column, level: Column, message: Column) -> Column:
     """`time - LEVEL - message`."""
-    return F.concat_ws(" - ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(level), F.col(message))
+    return F.concat_ws(" - ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), level, message)
 
 
 def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
-    pattern = r"^(.{19}) - ([A-Z]+) - (.*)$"
-    part = lambda i: F.regexp_extract(F.col(col), pattern, i)
-    return lines.select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").alias("ts"), part(2).alias("level"), part(3).alias("message"))
+    """lines with ts, level and message of the log line in col; null where it isn't one."""
+    pattern = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d{3})? - ([A-Z]+) - (.*)$"
+    part = lambda i: F.when(F.col(col).rlike(pattern), F.regexp_extract(F.col(col), pattern, i))
+    return lines.withColumns({"ts": F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss"), "level": part(2), "message": part(3)})
+
+
+def metrics_message(metrics: DataFrame) -> Column:
+    """The log message of a snapshot (total_requests, active, avg_duration, requests_per_minute, errors)."""
+    return F.format_string("Server metrics - Requests: %d | Active: %d | Avg Response: %.4fs | Rate: %d/min | Errors: %d", *[metrics[c] for c in ("total_requests", "active", "avg_duration", "requests_per_minute", "errors")])
 
 
 NODE_SCHEMA = "tree_id int, node_id int, left int, right int, feature int, threshold double, impurity double, n_node_samples long, weighted_n double, value array<double>"
@@ -45,8 +95,12 @@ def save_nodes(nodes: DataFrame, path: str) -> None:
     nodes.select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]).write.mode("overwrite").parquet(path)
 
 
-def load_nodes(spark: SparkSession, path: str, required: Sequence[str] = ("tree_id", "node_id", "left", "right", "feature", "threshold", "value")) -> DataFrame:
+def load_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The table of save_nodes; another schema, or a table without nodes, is an error."""
     nodes = spark.read.parquet(path)
-    if missing := set(required) - set(nodes.columns):
-        raise ValueError(f"not a node table, without {sorted(missing)}")
+    wanted = {tuple(c.split()[:2]) for c in NODE_SCHEMA.split(", ")}
+    if missing := sorted(wanted - {(n, t.replace("bigint", "long")) for n, t in nodes.dtypes}):
+        raise ValueError(f"not a node table, without {missing}")
+    if nodes.isEmpty():
+        raise ValueError("a model without nodes")
     return nodes

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,19 @@ def fresh(*taken: DataFrame) -> str:
         name = f"w{uuid.uuid4().hex[:8]}_"
         if not any(c.startswith(name) for c in columns):
             return name
+
+
+@contextmanager
+def wide_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans of wide tables without inferred filters, restored at the end.
+
+    Spark rewrites every filter for every column that a later projection renames, which doubles the
+    set for each of them: a filter on all columns of a wide table takes longer to plan than to run.
+    """
+    name = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)

@@ -2,57 +2,120 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.clean import clean_flows
+from ..functions.features import engineer
+from ..operators.clean import REMOVE, clean_flows
 from ..operators.evaluate import label_counts
+from ..operators.forest import load_forest, score
+from ..operators.metrics import KEPT_DURATIONS, KEPT_SECONDS
+from ..storage import remove as remove_paths
 
 
-def detect(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], labels: Sequence[str], sink: str, checkpoint: str, *, remove: Sequence[str], period: str | None = None) -> StreamingQuery:
+def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, period: str | None) -> StreamingQuery:
+    """period: time between micro-batches; None takes what is there and ends."""
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=period) if period else writer.trigger(availableNow=True)).start()
+
+
+def detect(stream: DataFrame, predict: Callable[[DataFrame], DataFrame], labels: Sequence[str], sink: str, checkpoint: str, *, remove: Sequence[str] = REMOVE, period: str | None = None) -> StreamingQuery:
     """Cleans, scores and counts each micro-batch by itself into a Parquet folder (batch_id, label, n).
 
-    Repeats are dropped within a batch only. A batch that is run again overwrites its own folder.
+    Repeats are dropped within a batch only. A batch that is run again overwrites its own folder. A
+    batch without rows gives zeros.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         scored = predict(clean_flows(df, label=None, remove=remove)).select(F.col("label_predicted").alias("label"))
         label_counts(scored, "label", labels).select(F.lit(batch_id).alias("batch_id"), "label", "n").coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=period) if period else writer.trigger(availableNow=True)).start()
+    return _start(stream, batch, checkpoint, period)
+
+
+def model_predictor(spark: SparkSession, path: str) -> tuple[Callable[[DataFrame], DataFrame], list[str]]:
+    """(predict for detect(), labels) of a saved forest: derived features, then the model's own by name."""
+    model, features, classes = load_forest(spark, path)
+    return lambda df: score(model, engineer(df), features, classes), classes
 
 
-def minute_counts(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Requests for each minute of event time; state older than the watermark is dropped."""
+def clear(spark: SparkSession, *paths: str) -> None:
+    """Remove what earlier runs left: sinks, checkpoints, captures."""
+    remove_paths(spark, *paths)
+
+
+def minute_counts(stream: DataFrame, ts: str = "ts", late: str = f"{KEPT_SECONDS} seconds") -> DataFrame:
+    """Requests for each minute of event time; the state of minutes older than the watermark is dropped."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return timed.groupBy(F.window(ts, "1 minute")).agg(F.count(F.lit(1)).alias("requests")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("minute"), "requests")
 
 
-def server_state(stream: DataFrame, key: str, *, kept: int = 1000) -> DataFrame:
-    """Counters, the mean of the last `kept` durations and the floored gauge for each key, in arrival order.
+def server_state(stream: DataFrame, key: str, *, kept: int = KEPT_DURATIONS) -> DataFrame:
+    """Counters, the mean of the last `kept` durations and the floored gauge for each key, in the order of ts.
 
     stream: (key, ts, duration, status, change); change is +1 for an opened and -1 for a closed request.
-    State is bounded: `kept` durations and four numbers for each key.
+    State is bounded: `kept` durations and three numbers for each key; a micro-batch updates it at once.
     """
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, errors, active, durations = state.get if state.exists else (0, 0, 0, [])
-        durations = list(durations)
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for r in rows.itertuples(index=False):
-            active = max(0, active + int(r.change))
-            if r.change < 0:
-                total += 1
-                errors += int(r.status >= 400)
-                durations = [*durations[-(kept - 1) :], float(r.duration)] if kept > 1 else [float(r.duration)]
+        walk = active + np.cumsum(rows["change"].to_numpy(np.int64))
+        active = int(walk[-1] - min(0, walk.min()))  # a floored walk is the walk less its lowest point below 0
+        closed = rows[rows["change"] < 0]
+        total, errors = total + len(closed), errors + int((closed["status"] >= 400).sum())
+        durations = np.concatenate([np.asarray(durations, float), closed["duration"].to_numpy(float)])[-kept:].tolist()
         state.update((total, errors, active, durations))
-        yield pd.DataFrame({key: [keys[0]], "total_requests": [total], "errors": [errors], "active": [active], "avg_duration": [sum(durations) / len(durations) if durations else 0.0]})
+        yield pd.DataFrame({key: [keys[0]], "total_requests": [total], "errors": [errors], "active": [active], "avg_duration": [float(np.mean(durations)) if durations else 0.0]})
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, total_requests long, errors long, active long, avg_duration double", "total long, errors long, active long, durations array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def snapshots(stream: DataFrame, value: str, error: Column, order: Sequence[str], state: str, checkpoint: str, *, ts: str = "ts", period: str | None = None, kept: int = KEPT_DURATIONS, seconds: int = KEPT_SECONDS) -> StreamingQuery:
+    """A snapshot for each period: total_requests, errors, avg_duration of the last `kept`, requests_per_minute of the latest minute, minutes.
+
+    The state of batch n is one row in the folder state/batch=n, made from that of batch n - 1 and
+    the batch's own totals, so a batch that is run again gives the same row. minutes maps the
+    minutes of the last `seconds` to their requests.
+    """
+    schema = "batch_id long, total_requests long, errors long, avg_duration double, requests_per_minute long, latest array<struct<at: array<string>, value: double>>, minutes map<string, long>"
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        own = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(error).alias("e"), F.max(ts).alias("now")).first()
+        last = df.orderBy(*[F.desc(c) for c in order]).limit(kept).select(F.array(*[F.col(c).cast("string") for c in order]).alias("at"), F.col(value).cast("double").alias("value")).collect()
+        counted = df.groupBy(F.date_trunc("minute", ts).alias("m")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("m")).limit(seconds // 60 + 1).collect()
+        old = spark.read.schema(schema).parquet(f"{state}/batch={batch_id - 1}").first() if batch_id > 0 else None
+        latest = ([(list(r.at), r.value) for r in reversed(last)] + [])[-kept:]
+        latest = ((list(map(tuple, old.latest)) if old else []) + latest)[-kept:]
+        minutes = dict(old.minutes) if old else {}
+        for r in counted:
+            name = r.m.strftime("%Y-%m-%d %H:%M")
+            minutes[name] = minutes.get(name, 0) + r.n
+        if minutes:
+            newest = pd.Timestamp(own.now) if own.now is not None else pd.Timestamp(max(minutes))
+            minutes = {m: n for m, n in minutes.items() if (newest - pd.Timestamp(m)).total_seconds() <= seconds}
+        mean = sum(v for _, v in latest) / len(latest) if latest else 0.0
+        row = (batch_id, (old.total_requests if old else 0) + own.n, (old.errors if old else 0) + own.e, mean, minutes[max(minutes)] if minutes else 0, latest, minutes)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    return _start(stream, batch, checkpoint, period)
+
+
+def resources(seconds: float = 0.1) -> dict[str, float]:
+    """cpu_percent over a short while and memory_mb of this process, for the status document."""
+    used, began = sum(os.times()[:2]), time.perf_counter()
+    time.sleep(seconds)
+    share = (sum(os.times()[:2]) - used) / max(time.perf_counter() - began, 1e-9)
+    with open("/proc/self/statm") as f:
+        pages = int(f.read().split()[1])
+    return {"cpu_percent": 100 * share, "memory_mb": pages * os.sysconf("SC_PAGE_SIZE") / (1 << 20)}
