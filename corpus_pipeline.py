@@ -1,7 +1,8 @@
 """Training-data pipeline: toxicity, exact and near deduplication, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
-last return the columns of documents. A stage's result is written as Parquet and read again.
+last return the columns of documents, whatever other columns there are and however they are named.
+A stage's result is written as Parquet and read again; the one before is deleted then.
 """
 
 from __future__ import annotations
@@ -10,27 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import content_dedup, decontaminate, order_minhash, packing, toxicity
-from weirflow.llm.session import table_path
+from weirflow.llm.session import remove, table_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled rows of its input."""
+    """Trained on the labelled rows of its input. Null and empty texts stay; repeated rows go or stay together; empty in, empty out."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays; null texts equal empty ones, null ids rank last, of repeated rows one stays; empty in, empty out."""
     return content_dedup.drop_marked(docs, content_dedup.content_sort_dedup(docs, keep="smallest"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, the smallest id; rows with a null id stay, texts without words equal those with the same bytes; empty in, empty out."""
     return order_minhash.keep_representatives(docs, order_minhash.near_duplicates(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; null and empty texts hold none; repeated rows go or stay together; empty in, empty out."""
     return decontaminate.drop_contaminated(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences; a null or empty text is its end id, repeated rows are packed each; empty in, empty out."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -42,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = table_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
