@@ -412,4 +412,15 @@ def test_pipeline(spark):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
-    assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def test_pipeline_runs_its_stages_in_order(spark, monkeypatch):
+    import corpus_pipeline
+
+    def stage(least):
+        return lambda spark, docs, sf_dir: docs.where(f"doc_id >= {least} AND '{sf_dir}' = '{SF}'")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage(3)), ("b", stage(7)), ("c", lambda spark, docs, sf_dir: docs.select("doc_id"))])
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == ["doc_id"] and found.agg({"doc_id": "min"}).first()[0] == 7
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["a", "b", "c"] and "/b-" in found.inputFiles()[0]

@@ -12,15 +12,15 @@ from ..storage import cut, fresh, remove, shared_dir, table_path
 
 __all__ = ["cut", "fresh", "lookup", "release", "remove", "shared_dir", "small", "small_batches", "table_path", "written"]
 
-#: A frame is broadcast only when it was measured and holds at most so much.
-BROADCAST_BYTES = 48 << 20
+#: A frame is broadcast only when it was measured and holds at most so much, with what a hash table adds to each row.
+BROADCAST_BYTES, TABLE_ROW = 48 << 20, 100
 #: Rows of one key that a join sends to one task.
 TASK_ROWS = 10_000
 
 
 def small(df: DataFrame, row_bytes: int | Column = 100) -> DataFrame:
     """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a shuffle that AQE can split."""
-    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).cast("long")).first()[0]
+    size = df.agg(F.sum((row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)) + TABLE_ROW).cast("long")).first()[0]
     return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
@@ -32,10 +32,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str, h
     tasks by a hash of all their columns, and its row of right goes to each of these. Null keys meet
     nothing. The column `times` doesn't come back.
     """
-    if most is None or most * row_bytes > BROADCAST_BYTES:
+    if most is None or most * (row_bytes + TABLE_ROW) > BROADCAST_BYTES:
         right = cut(right)
         most = right.count()
-    if most * row_bytes <= BROADCAST_BYTES:
+    if most * (row_bytes + TABLE_ROW) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right.drop(times)), list(keys), how)
     name = fresh(left, right)
     pieces, salt = name + "pieces", name + "salt"
