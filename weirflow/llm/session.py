@@ -19,9 +19,12 @@ TASK_ROWS = 10_000
 
 
 def small(df: DataFrame, row_bytes: int | Column = 100) -> DataFrame:
-    """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a shuffle that AQE can split."""
+    """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a merge that AQE can split.
+
+    The merge is asked for, since Spark takes a checkpoint's size from its plan, where an explode adds nothing.
+    """
     size = df.agg(F.sum((row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)) + TABLE_ROW).cast("long")).first()[0]
-    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str, how: str = "inner", row_bytes: int = 100, most: int | None = None) -> DataFrame:
@@ -43,7 +46,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str, h
     spread = F.pmod(F.xxhash64(*left.columns), F.coalesce(pieces, F.lit(1))).cast("int")
     dealt = left.join(small(hot), list(keys), "left").withColumn(salt, spread).drop(pieces)
     many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(times) / TASK_ROWS).cast("int"), F.lit(1)) - 1)))
-    return dealt.join(many.drop(times), [*keys, salt], how).drop(salt)
+    return dealt.join(many.drop(times).hint("merge"), [*keys, salt], how).drop(salt)
 
 
 def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
