@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, lookup
 
 #: Kinds of the base scan in their order: pattern, group of the value, least length of that group, a test that is cheap and never wrong.
 BASE = (
@@ -83,10 +83,12 @@ def scan_secrets(docs: DataFrame, *, owner_col: str = "source", repo_col: str =
     with_any = scanned.where(F.size("_found") > 0)
     found = with_any.select("doc_id", "_owner", "_repo", "_key", F.explode("_found").alias("_span"))
     # counts before joins: each hash comes down to one row, however many documents carry it
-    pairs = found.select(F.col("_span.hash").alias("_hash"), F.coalesce("_owner", F.lit("\0")).alias("_owner"), F.coalesce("_repo", F.lit("\0")).alias("_repo")).distinct()
-    by_owner = pairs.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"))
-    owners = by_owner.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repos"))
-    judged = found.withColumn("_hash", F.col("_span.hash")).join(owners, "_hash")
+    pairs = found.select(F.col("_span.hash").alias("_hash"), F.coalesce("_owner", F.lit("\0")).alias("_owner"), F.coalesce("_repo", F.lit("\0")).alias("_repo"))
+    pairs = pairs.groupBy("_hash", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_times"))
+    by_owner = pairs.groupBy("_hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"), F.sum("_times").alias("_times"))
+    owners = by_owner.groupBy("_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("_repos").alias("repos"), F.sum("_times").alias("_times"))
+    # a widely copied value's spans are dealt over tasks
+    judged = lookup(found.withColumn("_hash", F.col("_span.hash")), owners, ["_hash"], "_times", row_bytes=120)
     live = (F.col("owners") < example_owners) & F.col("_span.random")
     if example_repos is not None:
         live &= F.col("repos") < example_repos
