@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .session import cut
+from .session import cut, small_batches
 from .textbytes import Words, chunks, strings
 
 _B = np.arange(256)
@@ -144,8 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: in
     """Fit on at most `rows` labelled documents whose crc32(doc_id) mod modulus isn't remainder.
 
     Two thirds of them (by a hash of the id) give the ridge, one third the isotonic levels. Only
-    statistics leave the executors: `parts` matrices, and the scores of the last third.
+    statistics leave the executors: `parts` matrices, and the statistics of the last third. Null
+    and empty texts have statistics of 0. Null ids and null labels are left out; of repeated ids one
+    text counts, of conflicting labels 1. With fewer than 20 rows, or with one label only, every text
+    gets the share of label 1. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +188,7 @@ def score(docs: DataFrame, model: Model, *, modulus: int = 4, remainder: int = 2
     Null and empty texts are scored by statistics of 0. Null ids aren't held out. Repeated rows are
     scored each. labels, lang, source and doc_id aren't used. Empty in, empty out.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
