@@ -81,8 +81,8 @@ def test_ranks_and_rolling_means(spark):
     rows = [(rng.choice(["hot"] * 9 + ["a", None]), i, rng.choice([None, rng.random()])) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t int, v double").repartition(5)
     ranked = {(r.k, r.t): r._rank for r in prefix.ranked(df, ["k"], ["t"]).collect()}
-    for n, block in ((1, 10), (7, 10), (50, 60)):
-        got = {(r.k, r.t): r.rolling_avg for r in metrics.rolling_average(df, ["k"], "v", ["t"], n, block).collect()}
+    for n in (1, 7, 50, 4000):
+        got = {(r.k, r.t): r.rolling_avg for r in metrics.rolling_average(df, ["k"], "v", ["t"], n).collect()}
         for key in ("hot", "a", None):
             own = [r for r in rows if r[0] == key]
             for i, (_, t, _) in enumerate(own):
@@ -91,6 +91,47 @@ def test_ranks_and_rolling_means(spark):
                 assert got[key, t] == (pytest.approx(sum(vs) / len(vs)) if vs else None)
 
 
+def test_special_values_leave_the_rolling_mean(spark):
+    rng = random.Random(2)
+    kinds = [math.nan, math.inf, -math.inf, 1e17, -1e17, 1e300, 1e-13, None, 0.5, 1.0, 2.0, 3.0]
+    values = [rng.choice(kinds) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(values)), "t int, v double").withColumn("k", F.lit("x")).repartition(3)
+    for n in (1, 2, 3, 10):
+        for r in metrics.rolling_average(df, ["k"], "v", ["t"], n).collect():
+            vs = [v for v in values[max(0, r.t - n + 1) : r.t + 1] if v is not None]
+            want = math.fsum(vs) / len(vs) if vs and all(map(math.isfinite, vs)) else sum(vs) / len(vs) if vs else None
+            near = 1e-15 * sum(map(abs, vs))  # of a plain sum of so few values
+            assert r.rolling_avg == want or (want is not None and (math.isnan(want) and math.isnan(r.rolling_avg) or abs(r.rolling_avg - want) <= near)), (n, vs)
+
+
+@pytest.mark.parametrize("key", [["k"], []])
+def test_floored_gauge_over_tasks(spark, key):
+    """One key with all rows in many ranges, small ones and a null key; null changes do nothing."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 20 + ["a", None]), i, rng.choice([1, 1, -1, -1, -1, None])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, t int, c int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r.t: (r.gauge, r.active) for r in metrics.running_gauge(df, key, F.col("c"), ["t"]).collect()}
+        tasks = prefix.chunked(df, key, ["t"]).where("k = 'hot'").select(prefix.CHUNK).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert tasks > 2
+    state = {}
+    for k, t, c in rows:
+        at = k if key else ""
+        gauge, active = state.get(at, (0, 0))
+        state[at] = (gauge + (c or 0), max(0, active + (c or 0)))
+        assert got[t] == state[at]
+    assert metrics.running_gauge(df.limit(0), key, F.col("c"), ["t"]).count() == 0
+
+
+def test_confusion_has_all_labels(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), ("c", "a"), ("c", None)], "y string, p string")
+    rows = {r.y: (r.pred_a, r.pred_b, r.pred_c) for r in evaluate.confusion(df, "y", "p", ["a", "b", "c"]).collect()}
+    assert {k: v for k, v in rows.items() if k is not None} == {"a": (1, 2, 0), "b": (0, 0, 0), "c": (1, 0, 0)}
+
+
 def _brute_tree(x, y, w, classes, p, subset=None):
     """Nodes in pre-order by plain loops: (left, right, feature, threshold, impurity, rows, weight, shares)."""
     x, total, out = x.astype(np.float32).astype(float), w.sum(), []
@@ -232,6 +273,50 @@ def test_train_and_detect(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_files_by_their_own_headers(spark, tmp_path):
+    """Any order of columns, columns besides, Label first with nulls and repeats: the same as the batch reader; what a schema lacks raises."""
+    landing = tmp_path / "landing"
+    a = _csv(landing, "a.csv", ["x,Label,y", "1,BENIGN,10", "2,BENIGN,20", "2,BENIGN,20"])
+    b = _csv(landing, "b.csv", ["Label,y,z,x", "BENIGN,10,q,1", ",20,q,2", "DoS Hulk,30,q,inf", "No Label,NaN,q,4", "No Label,50,q,5"])
+    _csv(landing, "c.csv", ["y,x,Label"])
+    (landing / "d.csv").write_text("")
+    schema = S.T.StructType([S.T.StructField(n, t) for n, t in (("x", S.T.DoubleType()), ("y", S.T.LongType()), ("Label", S.T.StringType()))])
+    whole = S.read_files(spark, [a, b], schema)
+    assert whole.columns == ["x", "y", "Label"]
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, S.read_flows(spark, a, schema).unionAll(S.read_flows(spark, b, schema)).collect()))
+    seen = []
+
+    def predict(df):
+        seen.append(sorted(map(tuple, df.select("x", "y").collect())))
+        assert "Label" not in df.columns
+        return df.withColumn("label_predicted", F.lit("BENIGN"))
+
+    detect.detect_files(S.stream_files(spark, f"file://{landing}"), schema, predict, ["BENIGN"], f"file://{tmp_path}/out", f"file://{tmp_path}/c", remove=[]).awaitTermination()
+    assert sorted(seen) == [[], [], [(1.0, 10), (2.0, 20)], [(1.0, 10), (5.0, 50)]]
+    assert sorted((r.label, r.n) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("BENIGN", 0), ("BENIGN", 0), ("BENIGN", 2), ("BENIGN", 2)]
+    # without a schema types come from the file
+    assert dict(S.read_files(spark, [b]).dtypes) == {"Label": "string", "y": "bigint", "z": "string", "x": "double"}
+    with pytest.raises(ValueError):
+        S.read_files(spark, [a, b])
+    _csv(landing, "e.csv", ["x,Label", "1,BENIGN"])
+    with pytest.raises(Exception, match="no such columns"):
+        detect.detect_files(S.stream_files(spark, f"file://{landing}"), schema, predict, ["BENIGN"], f"file://{tmp_path}/out", f"file://{tmp_path}/c", remove=[]).awaitTermination()
+    # a plain stream of rows takes columns by place, so a header in another order is an error
+    with pytest.raises(Exception, match="(?i)header"):
+        S.stream_flows(spark, f"file://{landing}", schema).writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c3").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_finished_files_are_deleted(spark, tmp_path):
+    landing = tmp_path / "landing"
+    for i in range(3):
+        _csv(landing, f"{i}.csv", ["x", "1"])
+    stream = S.stream_files(spark, f"file://{landing}", finished="deleted")
+    schema = S.T.StructType([S.T.StructField("x", S.T.LongType())])
+    rule = lambda df: df.withColumn("label_predicted", F.lit("a"))
+    detect.detect_files(stream, schema, rule, ["a"], f"file://{tmp_path}/out", f"file://{tmp_path}/c", remove=[]).awaitTermination()
+    assert spark.read.parquet(f"file://{tmp_path}/out").agg(F.sum("n")).first()[0] == 3 and len(list(landing.glob("*.csv"))) < 3
+
+
 def _requests(spark, folder, files):
     for i, rows in enumerate(files):
         spark.createDataFrame(rows, "k string, ts timestamp, duration double, status int, change int").coalesce(1).write.parquet(f"file://{folder}/f{i}")
@@ -239,26 +324,107 @@ def _requests(spark, folder, files):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{folder}")
 
 
-def test_request_state_over_micro_batches(spark, tmp_path):
+def _server(rows, kept, seconds):
+    """The state of each key by plain steps, as a server keeps it."""
+    from datetime import timedelta
+
+    state = {}
+    for k, ts, duration, status, change in rows:
+        if ts is None:
+            continue
+        s = state.setdefault(k, {"total": 0, "errors": 0, "active": 0, "durations": [], "minutes": {}, "newest": ts})
+        s["newest"] = max(s["newest"], ts)
+        s["active"] = max(0, s["active"] + (change or 0))
+        if change and change < 0:
+            s["total"], s["errors"] = s["total"] + 1, s["errors"] + (status >= 400)
+            s["durations"] = (s["durations"] + ([] if duration is None else [duration]))[-kept:]
+            minute = ts.replace(second=0, microsecond=0)
+            s["minutes"][minute] = s["minutes"].get(minute, 0) + 1
+        s["minutes"] = {m: n for m, n in s["minutes"].items() if s["newest"] - m <= timedelta(seconds=seconds)}
+    return {k: (s["total"], s["errors"], s["active"], sum(s["durations"]) / len(s["durations"]) if s["durations"] else 0.0, s["minutes"].get(s["newest"].replace(second=0, microsecond=0), 0), {m.strftime("%Y-%m-%d %H:%M"): n for m, n in s["minutes"].items()}) for k, s in state.items()}
+
+
+@pytest.mark.parametrize("kept", [7, 250])
+def test_request_state_over_micro_batches(spark, tmp_path, kept):
+    """Counters, gauge, kept durations over blocks, and minutes that leave strictly after an hour, against plain steps; null rows."""
     from datetime import datetime, timedelta
 
-    start = datetime(2030, 1, 1)
-    rows = [("s", start + timedelta(seconds=90 * i), float(i), 399 + i % 2, 1 if i % 3 == 0 else -1) for i in range(90)]
-    stream = _requests(spark, tmp_path / "in", [rows[:40], rows[40:]])
-    kept = []
-    q = detect.server_state(stream, "k", kept=7).writeStream.outputMode("update").foreachBatch(lambda df, i: kept.append(df.collect())).option("checkpointLocation", f"file://{tmp_path}/c1").trigger(availableNow=True).start()
+    start, rng = datetime(2030, 1, 1), random.Random(4)
+    rows = [("s", start + timedelta(seconds=30 * i), rng.choice([None, float(i)]), 399 + i % 2, rng.choice([1, -1, -1, None])) for i in range(400)]
+    rows += [("t", start + timedelta(hours=1), 1.0, 200, -1), ("t", start, 2.0, 500, -1)]
+    files = [[*rows[:150], ("s", None, 9.0, 500, -1), rows[-1]], [*rows[150:300], rows[-2]], rows[300:400]]
+    stream = _requests(spark, tmp_path / "in", files)
+    found = []
+    q = detect.server_state(stream, "k", kept=kept).writeStream.outputMode("append").foreachBatch(lambda df, i: found.append(df.collect())).option("checkpointLocation", f"file://{tmp_path}/c1").trigger(availableNow=True).start()
     q.awaitTermination()
-    closed, active = [r for r in rows if r[4] < 0], 0
-    for r in rows:
-        active = max(0, active + r[4])
-    assert len(kept) == 2 and kept[-1][0] == ("s", len(closed), sum(r[3] >= 400 for r in closed), active, sum(r[2] for r in closed[-7:]) / 7)
+    done = []
+    for own, got in zip(files, found, strict=False):
+        done += own
+        want = _server(done, kept, 3600)
+        for r in got:
+            if r.k == "t" and own is files[2]:
+                continue  # by then the watermark is past its first minute
+            assert (*tuple(r)[1:4], *tuple(r)[5:]) == (*want[r.k][:3], *want[r.k][4:]) and r.avg_duration == pytest.approx(want[r.k][3])
+    assert {r.k for r in found[0]} == {"s", "t"}
+    # exactly an hour after its start a minute still counts
+    assert next(r for r in found[1] if r.k == "t").minutes == {"2030-01-01 00:00": 1, "2030-01-01 01:00": 1}
+
+
+def test_a_silent_key_loses_its_minutes(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2030, 1, 1)
+    row = lambda k, s: (k, start + timedelta(seconds=s), 1.0, 200, -1)
+    stream = _requests(spark, tmp_path / "in", [[row("a", 0), row("b", 0)], [row("b", 9000)], [row("b", 9001)]])
+    found = []
+    detect.server_state(stream, "k", late="10 seconds").writeStream.outputMode("append").foreachBatch(lambda df, i: found.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert [r.minutes for r in found if r.k == "a"] == [{"2030-01-01 00:00": 1}, {}]
+    assert [(r.total_requests, len(r.minutes)) for r in found if r.k == "b"] == [(1, 1), (2, 1), (3, 1)]
 
-    detect.snapshots(stream, "duration", F.col("status") >= 400, ["ts"], f"file://{tmp_path}/state", f"file://{tmp_path}/c2", kept=10).awaitTermination()
-    shots = sorted(spark.read.parquet(f"file://{tmp_path}/state").collect(), key=lambda r: r.batch_id)
-    assert [s.total_requests for s in shots] == [40, 90] and shots[1].errors == 45 and shots[1].avg_duration == sum(range(80, 90)) / 10
+
+def test_snapshots_over_micro_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, rng = datetime(2030, 1, 1), random.Random(6)
+    rows = [("s", start + timedelta(seconds=90 * i), None if i % 9 == 0 else float(i), 399 + i % 2, rng.choice([1, -1, -1])) for i in range(90)]
+    files = [rows[:40], [*rows[40:60], ("s", None, 1.0, 200, None)], rows[60:]]
+    stream = _requests(spark, tmp_path / "in", files)
+    sink = f"file://{tmp_path}/shots"
+    detect.snapshots(stream, "duration", F.col("status") >= 400, ["ts"], sink, f"file://{tmp_path}/c2", change=F.col("change"), kept=10).awaitTermination()
+    shots = sorted(spark.read.parquet(sink).collect(), key=lambda r: r.batch_id)
+    assert [s.total_requests for s in shots] == [40, 61, 91] and shots[2].errors == 45
+    assert shots[2].avg_duration == sum([r[2] for r in rows if r[2] is not None][-10:]) / 10
+    active, at = 0, []
+    for i, r in enumerate(rows):
+        active = max(0, active + r[4])
+        if i in (39, 59, 89):
+            at.append(active)
+    assert [s.active for s in shots] == at
     newest = rows[-1][1]
     live = {m for m in (r[1].strftime("%Y-%m-%d %H:%M") for r in rows) if (newest - datetime.strptime(m, "%Y-%m-%d %H:%M")).total_seconds() <= 3600}
-    assert set(shots[1].minutes) == live and shots[1].requests_per_minute == 1
+    assert set(shots[2].minutes) == live and shots[2].requests_per_minute == 1
+    assert sorted(p.name for p in (tmp_path / "shots" / "_state").iterdir()) == ["batch=1", "batch=2"]
+    assert detect.latest_snapshot(spark, sink).first().batch_id == 2 and detect.latest_snapshot(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_monitor_goes_on_after_failures(spark, tmp_path):
+    taken = []
+
+    def sample():
+        taken.append(1)
+        if len(taken) == 2:
+            raise OSError("no sample")
+        return {"cpu_percent": 1.0, "memory_mb": 2.0}
+
+    running = detect.monitor(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/log", f"file://{tmp_path}/c", period="200 milliseconds", sample=sample, backoff=0.1)
+    for _ in range(60):
+        if len(taken) > 3 or not running.isActive:
+            break
+        running.awaitTermination(1)
+    running.stop()
+    rows = sorted(spark.read.parquet(f"file://{tmp_path}/log").collect(), key=lambda r: r.at)
+    assert len(rows) >= 2 and rows[0].uptime < rows[-1].uptime and {r.message for r in rows} == {"Server metrics - Requests: 0 | Active: 0 | Avg Response: 0.0000s | Rate: 0/min | Errors: 0"}
+    assert '"resources":{"cpu_percent":1.0,"memory_mb":2.0}' in rows[0].status and '"active":0' in rows[0].status
 
 
 def test_minutes_leave_the_state(spark, tmp_path):

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def confusion(df: DataFrame, label: str, predicted: str, classes: Sequence[str]) -> DataFrame:
-    """A row for each label, a column pred_<class> for each class: counts, zero where there are none."""
-    sums = df.groupBy(label).agg(*[F.count_if(F.col(predicted) == c).alias(f"pred_{c}") for c in classes])
-    return sums
+    """A row for each label that is true or predicted anywhere, a column pred_<class> for each class: counts, zero where there are none."""
+    pairs = df.groupBy(F.col(label).alias("_y"), F.col(predicted).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    own, other = F.struct("_y", "_p", "_n"), F.struct(F.col("_p").alias("_y"), F.col("_p"), F.lit(0).cast("long").alias("_n"))
+    sides = pairs.select(F.inline(F.array(own, other)))
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("_p") == c, F.col("_n"))), F.lit(0).cast("long"))
+    return sides.groupBy(F.col("_y").alias(label)).agg(*[count(c).alias(f"pred_{c}") for c in classes])
 
 
 def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:

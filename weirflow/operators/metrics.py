@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import ranked
+from .prefix import ranked, walked
 
 KEPT_DURATIONS = 1000
 KEPT_SECONDS = 3600
@@ -27,25 +27,31 @@ def last_n_average(df: DataFrame, value: str, order: Sequence[str], n: int = KEP
     return last_durations(df, order, n).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("avg_duration"), F.count(F.lit(1)).alias("n"))
 
 
-def rolling_average(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], n: int = KEPT_DURATIONS, block: int = 100_000) -> DataFrame:
+def rolling_average(df: DataFrame, key: Sequence[str], value: str, order: Sequence[str], n: int = KEPT_DURATIONS) -> DataFrame:
     """Mean over each row and the n - 1 before it, for each key; null values don't count.
 
-    A row's sum is the running sum less that of n rows before. The running sums are exact decimals
-    (12 places) and start anew in each block of a key's rows, to which the n rows before it go too:
-    a key of any size is dealt over tasks, and a row costs the same for any n.
+    A key's rows are cut into blocks of n. A window is the end of one block and the beginning of the
+    next, so its sum is a running sum from the end of the block before plus one from the beginning of
+    its own: nothing is taken off again, and NaN, infinities and values of very different sizes leave
+    the mean when they leave the window. A key of any size is dealt over tasks by its blocks, and a
+    row costs the same for any n.
     """
-    block = max(block, n)
-    at = F.floor((F.col("_rank") - 1) / block)
-    rows = ranked(df, key, order).withColumn("_block", at)
-    last = F.col("_rank") - F.col("_block") * block > block - n
-    rows = rows.withColumn("_in", F.explode(F.when(last, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))))
-    own = W.partitionBy(*key, "_in").orderBy("_rank")
-    upto = own.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns({"_sum": F.sum(F.col(value).try_cast("decimal(28,12)")).over(upto), "_count": F.count(value).over(upto)})
-    rows = rows.withColumns({"_less": F.lag("_sum", n).over(own), "_fewer": F.lag("_count", n).over(own)}).where("_in = _block")
-    total = F.coalesce("_sum", F.lit(0)) - F.coalesce("_less", F.lit(0))
-    mean = F.try_divide(total.cast("double"), F.col("_count") - F.coalesce("_fewer", F.lit(0)))
-    return rows.select(*df.columns, mean.alias("rolling_avg"))
+    rows = ranked(df, key, order).withColumn("_block", F.floor((F.col("_rank") - 1) / n))
+    whole = rows.select(*key, "_rank", "_block", F.col(f"`{value}`").cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    # to its own block with all columns, to the next one with its value
+    dealt = whole.withColumn("_in", F.explode(F.array("_block", F.col("_block") + 1))).withColumn("_row", F.when(F.col("_in") == F.col("_block"), F.col("_row")))
+    dealt = dealt.repartition(*key, "_in")
+    block = W.partitionBy(*key, "_in", "_block")
+    upto = block.orderBy("_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rest = block.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = dealt.withColumns({"_sum": F.sum("_v").over(upto), "_count": F.count("_v").over(upto)}).withColumns({"_end": F.struct(F.sum("_v").over(rest).alias("sum"), F.count("_v").over(rest).alias("count"))})
+    both = W.partitionBy(*key, "_in").orderBy("_rank")
+    found = summed.withColumn("_end", F.lag("_end", n - 1).over(both) if n > 1 else F.lit(None).cast(summed.schema["_end"].dataType)).where("_in = _block")
+    # the last row of a block has its whole window in the block
+    end = F.when(F.col("_rank") % n != 0, F.col("_end"))
+    total = F.coalesce("_sum", F.lit(0.0)) + F.coalesce(end["sum"], F.lit(0.0))
+    mean = F.try_divide(total, F.col("_count") + F.coalesce(end["count"], F.lit(0)))
+    return found.select("_row.*", mean.alias("rolling_avg"))
 
 
 def live_minutes(minutes: DataFrame, now: Column, seconds: int = KEPT_SECONDS) -> DataFrame:
@@ -55,10 +61,12 @@ def live_minutes(minutes: DataFrame, now: Column, seconds: int = KEPT_SECONDS) -
 
 
 def running_gauge(df: DataFrame, key: Sequence[str], change: Column, order: Sequence[str]) -> DataFrame:
-    """Running sum of changes and the same floored at 0: a floored walk is the walk less its lowest point below 0."""
-    w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = df.withColumn("gauge", F.sum(change).over(w))
-    return rows.withColumn("active", F.col("gauge") - F.least(F.lit(0), F.min("gauge").over(w)))
+    """Running sum of changes (gauge) and the same floored at 0 (active): a floored walk is the walk less its lowest point below 0.
+
+    The order should identify the rows of a key. A key with all rows is dealt over tasks.
+    """
+    rows = walked(df, key, order, change, "gauge", "_lowest")
+    return rows.withColumn("active", F.col("gauge") - F.least(F.lit(0), "_lowest")).drop("_lowest")
 
 
 def current_minute(df: DataFrame, now: Column, ts: str = "ts") -> DataFrame:

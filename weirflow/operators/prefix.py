@@ -35,13 +35,37 @@ def before(chunks: DataFrame, key: Sequence[str], sums: dict[str, Column]) -> Da
     return own.select(*key, CHUNK, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
+def _placed(chunks: DataFrame, at: DataFrame, key: Sequence[str]) -> DataFrame:
+    """chunks with the row of `at` of their key and chunk; null keys are a key. The key and chunk of `at` don't come along."""
+    names = {k: f"_k{i}" for i, k in enumerate([*key, CHUNK])}
+    at = at.withColumnsRenamed(names)
+    same = F.col(CHUNK) == F.col(names[CHUNK])
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(names[k]))
+    return chunks.join(at, same).drop(*names.values())
+
+
+def walked(df: DataFrame, key: Sequence[str], order: Sequence[str], change: Column, walk: str = "_walk", lowest: str = "_lowest") -> DataFrame:
+    """df with the running sum of the changes of its key in this order, and the least that it has been so far.
+
+    A chunk's effect is its sum and the lowest point of its own walk; these two are associative: after
+    (s, l) comes (t, m) as (s + t, least(l, s + m)). A key of any size, or all rows if there is no key,
+    is dealt over tasks; a row for each key and chunk is combined. Null changes count as 0.
+    """
+    chunks = chunked(df.withColumn("_change", F.coalesce(change.cast("long"), F.lit(0).cast("long"))), key, order)
+    run = upto(order, key)
+    inside = chunks.withColumn(walk, F.sum("_change").over(run)).withColumn(lowest, F.min(walk).over(run))
+    sums = inside.groupBy(*key, CHUNK).agg(F.sum("_change").alias("_sum"), F.min(lowest).alias("_low"))
+    earlier = W.partitionBy(*key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*key, CHUNK, "_low", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    starts = starts.select(*key, CHUNK, "_start", F.min(F.col("_start") + F.col("_low")).over(earlier).alias("_before"))
+    found = _placed(inside, starts, key)
+    return found.select(*df.columns, (F.col("_start") + F.col(walk)).alias(walk), F.least("_before", F.col("_start") + F.col(lowest)).alias(lowest))
+
+
 def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "_rank") -> DataFrame:
     """df with the rank of each row within its key, from 1; rows that tie in order rank in any order. Null keys are a key."""
     chunks = chunked(df, key, order)
     at = before(chunks, key, {"_before": F.count(F.lit(1))})
-    at = at.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(CHUNK).alias("_c"), "_before")
-    same = F.col(CHUNK) == F.col("_c")
-    for i, k in enumerate(key):
-        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     numbered = chunks.withColumn(name, F.row_number().over(W.partitionBy(CHUNK, *key).orderBy(*order)))
-    return numbered.join(at, same).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+    return _placed(numbered, at, key).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

@@ -432,21 +432,78 @@ def stream_minutes(spark, d):
     return _streamed(spark, d, "events", run)
 
 
-@query("""SELECT event_type, count(*) AS total_requests, count(*) FILTER (value > 1) AS errors, 0::BIGINT AS active, round(avg(value) FILTER (k <= 1000), 6) AS avg_duration
- FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k FROM events) GROUP BY ALL""")
+def _thirds(spark, d) -> str:
+    """A folder of the shared one with events in three files, in the order of their time."""
+    path, rows = table_path(spark, "thirds"), _t(spark, d, "events")
+    lo, hi = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    third = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) * 3 / (hi - lo + 1)), F.lit(2))
+    for i in range(3):  # one after another: a stream takes older files first
+        rows.where(third == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    return path
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k, max(ts) OVER (PARTITION BY event_type) AS newest FROM events),
+ m AS (SELECT event_type, date_trunc('minute', ts) AS minute, newest, count(*) AS n FROM e GROUP BY ALL)
+ SELECT event_type, count(*) AS total_requests, count(*) FILTER (value > 1) AS errors, 0::BIGINT AS active, round(avg(value) FILTER (k <= 1000), 6) AS avg_duration,
+  (SELECT n FROM m WHERE m.event_type = e.event_type AND minute = date_trunc('minute', newest)) AS requests_per_minute,
+  (SELECT count(*) FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000) AS live_minutes,
+  (SELECT sum(n)::BIGINT FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000) AS live_requests FROM e GROUP BY event_type""")
 def stream_state(spark, d):
-    def run(stream, sink, at):
-        requests = stream.select("event_type", "ts", F.col("value").alias("duration"), F.when(F.col("value") > 1, 500).otherwise(200).alias("status"), F.lit(-1).alias("change"))
-        keep = lambda df, batch_id: df.write.mode("append").parquet(sink)
-        return detect.server_state(requests, "event_type").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
-
-    return _streamed(spark, d, "events", run).withColumn("avg_duration", F.round("avg_duration", 6))
+    """The state of each kind of event after three micro-batches; old minutes have left it."""
+    base, source = table_path(spark, "stream"), _thirds(spark, d)
+    stream = spark.readStream.schema(spark.read.parquet(f"{source}/part=0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    requests = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), F.when(F.col("value") > 1, 500).otherwise(200).alias("status"), F.lit(-1).alias("change"))
+    keep = lambda df, batch_id: df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+    detect.server_state(requests, "event_type", slice_seconds=6 * 3600).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, source, f"{base}/checkpoint")
+    last = spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.max_by(F.struct("total_requests", "errors", "active", "avg_duration", "requests_per_minute", "minutes"), "batch").alias("s"))
+    return last.select(
+        "event_type", "s.total_requests", "s.errors", "s.active", F.round("s.avg_duration", 6).alias("avg_duration"), "s.requests_per_minute",
+        F.size("s.minutes").cast("long").alias("live_minutes"), F.aggregate(F.map_values("s.minutes"), F.lit(0).cast("long"), lambda a, n: a + n).alias("live_requests"),
+    )
+
+
+_GAUGE_SQL = """(SELECT max_by(g, (ts, event_id)) - least(0, min(g)) FROM (SELECT ts, event_id, sum(CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM events))"""
+
+
+def _shots(spark, d, sink, at):
+    """Snapshots of events from three micro-batches in the order of time."""
+    source = _thirds(spark, d)
+    stream = spark.readStream.schema(spark.read.parquet(f"{source}/part=0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
+    detect.snapshots(stream, "value", F.col("event_type") == "error", ["ts", "event_id"], sink, at, change=change).awaitTermination()
+    remove(spark, source, at)
 
 
-@query(_SNAPSHOT)
+@query(f"SELECT s.*, {_GAUGE_SQL} AS active FROM ({_SNAPSHOT}) s")
 def stream_snapshot(spark, d):
-    found = _streamed(spark, d, "events", lambda s, sink, at: detect.snapshots(s, "value", F.col("event_type") == "error", ["ts", "event_id"], sink, at))
-    return found.select("total_requests", "errors", F.round("avg_duration", 6).alias("avg_duration"), "requests_per_minute")
+    """The last of three snapshots, with the gauge."""
+    base = table_path(spark, "stream")
+    _shots(spark, d, f"{base}/out", f"{base}/checkpoint")
+    return detect.latest_snapshot(spark, f"{base}/out").select("total_requests", "errors", F.round("avg_duration", 6).alias("avg_duration"), "requests_per_minute", "active")
+
+
+@query(f"""SELECT 'Server metrics - Requests: ' || total_requests || ' | Active: ' || {_GAUGE_SQL} || ' | Avg Response: ' || printf('%.4f', avg_duration) || 's | Rate: ' || requests_per_minute || '/min | Errors: ' || errors AS message,
+ true AS sampled, true AS several FROM ({_SNAPSHOT})""")
+def stream_monitor(spark, d):
+    """What the monitor logs of the state while it runs; its resources and times differ from run to run, so only whether they are there."""
+    base = table_path(spark, "stream")
+    _shots(spark, d, f"{base}/out", f"{base}/checkpoint")
+    taken: list[dict[str, float]] = []
+
+    def sample() -> dict[str, float]:
+        taken.append(detect.resources(0.05))
+        return taken[-1]
+
+    running = detect.monitor(spark, f"{base}/out", f"{base}/log", f"{base}/monitor", period="500 milliseconds", sample=sample)
+    try:
+        while running.isActive and len(taken) < 3:  # then two are written
+            running.awaitTermination(1)
+    finally:
+        running.stop()
+    log = spark.read.parquet(f"{base}/log")
+    sampled = (F.col("memory_mb") > 0) & (F.col("cpu_percent") >= 0) & (F.col("uptime") > 0) & (F.get_json_object("status", "$.status") == "running")
+    return log.groupBy("message").agg(F.bool_and(sampled).alias("sampled"), (F.count(F.lit(1)) > 1).alias("several"))
 
 
 #: lineitem in the shape of a flow file: name, Spark expression, SQL expression.
@@ -485,6 +542,48 @@ def flow_table(spark, d) -> DataFrame:
     return _t(spark, d, "lineitem").select(*[F.expr(e).alias(name) for name, e, _ in _FLOW])
 
 
+def _flow_files(spark, d) -> str:
+    """lineitem as flow files whose columns lie in different orders, with a column more in some; rows that are equal lie in one file."""
+    path, rows = table_path(spark, "landing"), flow_table(spark, d)
+    rows = rows.withColumn("Label", F.when(F.col("`Flow Duration`") % 7 < 1, None).otherwise(F.col("Label")))
+    names, side = rows.columns, F.pmod(F.xxhash64("Flow ID"), F.lit(3))
+    for i, order in enumerate((names, ["Label", *names[:-1]], [*reversed(names), "Comment"])):
+        own = rows.where(side == i).withColumn("Comment", F.lit("none")).repartition(2, "Flow ID")
+        own.select(*[f"`{c}`" for c in order]).write.option("header", True).csv(f"{path}/{i}")
+    return path
+
+
+_LABELLED = """(SELECT *, CASE WHEN "Flow Duration" % 7 < 1 THEN NULL ELSE "Label" END AS seen FROM """
+
+
+@query(f"""SELECT label, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN "ACK Flag Count" > 3 THEN 'DoS Hulk' ELSE 'BENIGN' END AS label, 1 AS n
+ FROM (SELECT DISTINCT * FROM {_LABELLED} {"{}"}) WHERE NOT isinf("Flow Bytes/s") AND seen IS NOT NULL) UNION ALL SELECT unnest(['BENIGN', 'DoS Hulk', 'DoS GoldenEye', 'DoS slowloris']), 0) GROUP BY label""".replace("{}", _FLOW_SQL))
+def stream_flow_files(spark, d):
+    """Detection over a landing folder of CSV files, each read by its own header; a rule stands for the model so that counts are known."""
+    landing, base = _flow_files(spark, d), table_path(spark, "stream")
+    rule = lambda df: df.withColumn("label_predicted", F.when(F.col("`ACK Flag Count`") > 3, "DoS Hulk").otherwise("BENIGN"))
+    detect.detect_files(S.stream_files(spark, f"{landing}/*"), flow_table(spark, d).schema, rule, clean.LABELS, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    remove(spark, landing, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").groupBy("label").agg(F.sum("n").alias("n"))
+
+
+@query(f"""SELECT "Label" AS label, count(*) AS n, round(sum("Fwd IAT Mean"), 2) AS iat, count(*) FILTER (isinf("Flow Bytes/s")) AS infinite, sum("ACK Flag Count")::BIGINT AS acks FROM {_FLOW_SQL} GROUP BY ALL""")
+def csv_flows(spark, d):
+    """A flow CSV file, its types found from its rows."""
+    path = table_path(spark, "csv")
+    flow_table(spark, d).write.option("header", True).csv(path)
+    rows = S.read_flows(spark, path).groupBy(F.col("Label").alias("label"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Fwd IAT Mean"), 2).alias("iat"), F.count_if(F.abs("Flow Bytes/s") == float("inf")).alias("infinite"), F.sum("ACK Flag Count").alias("acks"))
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def log_files(spark, d):
+    """Log files as text, read back by their lines."""
+    path, rows = table_path(spark, "log"), _t(spark, d, "events")
+    rows.select(S.log_line(F.col("ts"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO"), F.concat(F.lit("took "), "value"))).write.text(path)
+    return S.read_log(spark, path).where("level IS NOT NULL").groupBy("level", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""SELECT "Label" AS label, "Flow Duration" AS duration, "Flow Bytes/s" AS rate, "ACK Flag Count" AS acks FROM {_CLEAN_SQL}""")
 def flow_clean(spark, d):
     rows = clean.clean_flows(flow_table(spark, d))

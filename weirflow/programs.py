@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from .functions.features import engineer
 from .operators import analyze, evaluate, forest
 from .operators.clean import LABELS, REMOVE, clean_flows, infinite_to_null, null_counts
-from .sources.flows import stream_flows
+from .sources.flows import stream_files
 from .storage import cut, wide_plans
-from .streaming.detect import detect, model_predictor
+from .streaming.detect import detect_files, model_predictor
 
 
 @dataclass
@@ -69,8 +69,12 @@ def _features(flows: DataFrame, label: str, labels: Sequence[str], remove: Seque
     return engineer(kept).withColumn(label, F.col(f"`{label}`.text"))
 
 
-def detect_flows(spark: SparkSession, landing: str, schema: T.StructType, model: str, sink: str, checkpoint: str, *, labels: Sequence[str] = LABELS, remove: Sequence[str] = REMOVE, period: str | None = None, finished: str | None = None) -> StreamingQuery:
-    """Label counts of each flow file that lands in a folder, by the saved model. A label column in the files is ignored."""
+def detect_flows(spark: SparkSession, landing: str, schema: T.StructType | None, model: str, sink: str, checkpoint: str, *, labels: Sequence[str] = LABELS, remove: Sequence[str] = REMOVE, period: str | None = None, finished: str | None = None) -> StreamingQuery:
+    """Label counts of each flow file that lands in a folder, by the saved model.
+
+    A file's columns are found by its header, in any order. schema None: all of them, with types found
+    from the file; else those of the schema, and a file that lacks one is an error. Rows with a null in
+    any of these columns and repeated rows are dropped while Label is still among them.
+    """
     predict, classes = model_predictor(spark, model)
-    stream = stream_flows(spark, landing, T.StructType([f for f in schema if f.name != "Label"]), finished=finished)
-    return detect(stream, predict, list(dict.fromkeys([*labels, *classes])), sink, checkpoint, remove=remove, period=period)
+    return detect_files(stream_files(spark, landing, finished=finished), schema, predict, list(dict.fromkeys([*labels, *classes])), sink, checkpoint, remove=remove, period=period)

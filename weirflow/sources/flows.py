@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,18 +43,50 @@ def typed(text: DataFrame, schema: T.StructType) -> DataFrame:
     return text.select(*[cast(f).alias(f.name) for f in schema])
 
 
-def stream_flows(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, finished: str | None = None) -> DataFrame:
-    """The same as a stream over a landing folder, with a given schema; a file is a micro-batch.
+def read_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """The rows of several flow files as read_flows gives them: every file's columns are found by its own header.
 
-    finished: files that have been read are "deleted", or moved to a folder of that name, so that a
-    landing folder of alternating captures doesn't fill up; None leaves them.
+    Files may order their columns differently and hold others besides; a file that lacks a column of
+    the schema is an error. Without a schema all files need the same names, and types are found from
+    all their rows. Files of one header are read together, so a large one is read by many tasks; a file
+    without a line has no rows.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    reader = spark.readStream.schema(text).option("header", True).option("maxFilesPerTrigger", files_per_batch)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        if header := tuple(spark.read.option("header", True).csv(path).columns):
+            by_header.setdefault(header, []).append(path)
+    texts = [spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).option("header", True).csv(own) for header, own in by_header.items()]
+    if schema is not None:
+        parts = [typed(missing_to_null(t), schema) for t in texts] or [spark.createDataFrame([], schema)]
+        return reduce(DataFrame.unionByName, parts)
+    if not texts:
+        raise ValueError("without a schema a batch needs a file with a header")
+    if len({frozenset(t.columns) for t in texts}) > 1:
+        raise ValueError(f"files of one batch differ in their columns: {[t.columns for t in texts]}")
+    text = reduce(DataFrame.unionByName, texts)
+    return typed(missing_to_null(text), flow_types(text))
+
+
+def stream_files(spark: SparkSession, path: str, files_per_batch: int = 1, finished: str | None = None) -> DataFrame:
+    """A landing folder as a stream of the paths of its files, a file is a micro-batch; read_files() gives a batch's rows.
+
+    Spark's streams of CSV files take columns by their place, whatever a header says. The stream of
+    paths only lists files, and no content is read for it. finished: files that have been read are
+    "deleted", or moved to a folder of that name, so that a landing folder of alternating captures
+    doesn't fill up; None leaves them.
+    """
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch)
     if finished == "deleted":
         reader = reader.option("cleanSource", "delete")
     elif finished:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", finished)
+    return reader.load(path).select("path")
+
+
+def stream_flows(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
+    """A stream of rows for transformations across files; all files need the schema's names in its order, another header is an error."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    reader = spark.readStream.schema(text).option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", files_per_batch)
     return typed(missing_to_null(reader.csv(path)), schema)
 
 
@@ -71,6 +104,15 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(F.col(f"`{c}`").isin(*MISSING), None).otherwise(F.col(f"`{c}`")).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])
 
 
+#: The layout of a log line (fixed values).
+LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d{3})? - ([A-Z]+) - (.*)$"
+
+
+def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(value, ts, level, message) of the lines of log files: of a folder or file, or of a folder's files as they come."""
+    return parse_log((spark.readStream if stream else spark.read).text(path))
+
+
 def log_line(ts: Column, level: Column, message: Column) -> Column:
     """`time - LEVEL - message`."""
     return F.concat_ws(" - ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), level, message)
@@ -78,13 +120,12 @@ def log_line(ts: Column, level: Column, message: Column) -> Column:
 
 def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
     """lines with ts, level and message of the log line in col; null where it isn't one."""
-    pattern = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)(?:,\d{3})? - ([A-Z]+) - (.*)$"
-    part = lambda i: F.when(F.col(col).rlike(pattern), F.regexp_extract(F.col(col), pattern, i))
+    part = lambda i: F.when(F.col(col).rlike(LOG_LINE), F.regexp_extract(F.col(col), LOG_LINE, i))
     return lines.withColumns({"ts": F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss"), "level": part(2), "message": part(3)})
 
 
 def metrics_message(metrics: DataFrame) -> Column:
-    """The log message of a snapshot (total_requests, active, avg_duration, requests_per_minute, errors)."""
+    """The log message of a snapshot (total_requests, active, avg_duration, requests_per_minute, errors); its wording is fixed."""
     return F.format_string("Server metrics - Requests: %d | Active: %d | Avg Response: %.4fs | Rate: %d/min | Errors: %d", *[metrics[c] for c in ("total_requests", "active", "avg_duration", "requests_per_minute", "errors")])
 
 
