@@ -106,10 +106,22 @@ def test_shards(odd, nothing, documents):
 
 
 def test_equal_texts_lie_together(spark):
-    df = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 9) AS text", "'en' AS lang", "'a' AS source")
-    rows = sorted(hilbert.hilbert_shards(df, shards=4).collect(), key=lambda r: (r.shard, r.slot))
-    changes = sum(a.text_crc32 != b.text_crc32 for a, b in zip(rows, rows[1:], strict=False))
-    assert changes == 8
+    """Copies in different languages and sources, hot ones and those of tables: one run of the curve each, cut only where a shard ends."""
+    made = spark.range(600).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', concat('text ', id % 90)) AS text", "concat('l', id % 4) AS lang", "concat('s', id % 7) AS source")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    for df in (made, more):
+        rows = sorted(hilbert.hilbert_shards(df, shards=8).collect(), key=lambda r: (r.shard, r.slot))
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        runs = [texts[a.doc_id] for i, a in enumerate(rows) if not i or texts[rows[i - 1].doc_id] != texts[a.doc_id]]
+        assert len(runs) == len(set(texts.values()))
+        shards = {}
+        for r in rows:
+            shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+        assert all(max(s) - min(s) == len(s) - 1 for s in shards.values()) and sum(len(s) - 1 for s in shards.values()) <= 7
+        indices = {}
+        for r in rows:
+            indices.setdefault(texts[r.doc_id], set()).add(r.hilbert)
+        assert all(len(h) == 1 for h in indices.values())
 
 
 def test_written_shards_can_be_pruned(spark, documents, tmp_path):

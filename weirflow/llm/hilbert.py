@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .session import cut, fresh
+from .session import cut, fresh, lookup
 
 
 def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
@@ -68,17 +68,23 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 5) -> DataFrame
     """doc_id, size, text_crc32, hilbert, shard, slot for each row; runs of the curve of equal row counts.
 
     Law `rows`: the counts of shards differ by one at most. Size is the UTF-8 bytes of the text
-    plus 1; a null text has none. Rows in the same cell go by crc, size and doc_id, so copies of a
-    text lie next to each other and are cut only where a shard ends, and a cell may hold any share
-    of the table. Repeated rows each get a slot. Null metadata is a value of its own; missing columns raise. Empty in, empty out.
+    plus 1; a null text has none. Texts are equal when their size, crc and 64-bit hash are. All rows of
+    a text take the least curve index among them, whatever their language and source, and lie next to
+    each other: a group of copies is cut only where a shard ends, and a cell may hold any share of the
+    table. Repeated rows each get a slot. Null metadata is a value of its own; missing columns raise.
+    Empty in, empty out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lang, source, size = quantised(docs, bits)
-    slim = docs.select(
+    slim = cut(docs.select(
         "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hilbert_index([lang, source, size], bits).alias("hilbert"),
-    )
-    order = ["hilbert", "text_crc32", "size", "doc_id"]
+        F.xxhash64(text).alias("_hash"), hilbert_index([lang, source, size], bits).alias("hilbert"),
+    ))
+    same = ["_hash", "text_crc32", "size"]
+    # a hot text comes down to a row for each task before the shuffle, and its rows are dealt over tasks after it
+    least = slim.groupBy(*same).agg(F.min("hilbert").alias("_least"), F.max("hilbert").alias("_most"), F.count(F.lit(1)).alias("_times")).where("_least < _most").drop("_most")
+    slim = lookup(slim, least, same, "_times", how="left", row_bytes=40).withColumn("hilbert", F.coalesce("_least", "hilbert")).drop("_least")
+    order = ["hilbert", "text_crc32", "size", "_hash", "doc_id"]
     # the id's lower half is the place in the sorted partition: a global rank without a window over all rows
     placed = cut(slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
