@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weirflow import programs
 from weirflow.functions import features as X
-from weirflow.operators import analyze, clean, evaluate, forest, metrics, prefix, split, tree
+from weirflow.operators import analyze, clean, compiled, evaluate, forest, grow, metrics, prefix, split, tree
 from weirflow.plans import registry
 from weirflow.sources import flows as S
 from weirflow.streaming import detect
@@ -196,11 +196,130 @@ def test_hand_computed_tree(spark):
     assert split.split_candidates(close.selectExpr("0 AS node", "x", "y"), "node", ["x"], "y", ["a", "b"]).count() == 0
 
 
-def test_feature_subset_and_thresholds(spark):
-    df = spark.createDataFrame([(float(i % 2), float(i), float(-i), 1.0, "ab"[i % 2]) for i in range(40)], "a double, b double, c double, d double, y string").selectExpr("0 AS node", "*")
-    candidates = split.split_candidates(df, "node", ["a", "b", "c", "d"], "y", ["a", "b"])
-    drawn = {split.best_split(candidates, "node", max_features=1, seed=s).first().feature for s in range(30)}
-    assert drawn == {"a", "b", "c"} and split.best_split(candidates, "node").first().feature == "a"
+def _drawn_tree(x, y, w, classes, p, seed, subset):
+    """A tree by plain loops whose nodes try features in their random order until `subset` are tried, known constants too, and one isn't constant."""
+    nodes = []
+    impurity = lambda c: 1 - (c**2).sum() / c.sum() ** 2
+    weights = lambda i: np.array([w[i][y[i] == c].sum() for c in range(classes)])
+    nodes.append([np.flatnonzero(w > 0), frozenset(), None])
+    level, depth = [0], 0
+    while level and depth < p.max_depth:
+        following = []
+        for at in level:
+            i, known, _ = nodes[at]
+            c = weights(i)
+            if len(i) < 2 or impurity(c) <= grow.EPSILON:
+                continue
+            tried, found, best = 0, set(known), None
+            for f in grow.draw(seed, at, x.shape[1]):
+                if tried >= subset and any(g not in found for g in visited):
+                    break
+                if tried == 0:
+                    visited = []
+                tried += 1
+                visited.append(f)
+                values = np.unique(x[i, f])
+                if values[-1] - values[0] <= split.GAP:
+                    found.add(f)
+                    continue
+                for lo, hi in zip(values, values[1:], strict=False):
+                    l, r = i[x[i, f] <= lo], i[x[i, f] > lo]
+                    cl, cr = weights(l), weights(r)
+                    key = ((cl**2).sum() / cl.sum() + (cr**2).sum() / cr.sum(), -f, -lo)
+                    if best is None or key > best[0]:
+                        best = (key, f, lo / 2 + hi / 2, l, r)
+            if best:
+                nodes[at][2] = (best[1], best[2], len(nodes), len(nodes) + 1)
+                following += [len(nodes), len(nodes) + 1]
+                nodes += [[best[3], frozenset(found), None], [best[4], frozenset(found), None]]
+        level, depth = following, depth + 1
+    return [(len(i), s) for i, _, s in nodes]
+
+
+@pytest.mark.parametrize("subset", [1, 2])
+def test_features_are_drawn_with_constants(spark, subset):
+    """Columns that are constant from the start, or become so: drawn ones count as tried, the next that isn't constant is added."""
+    rng = np.random.default_rng(8)
+    x = np.stack([np.full(70, 3.0), rng.integers(0, 2, 70), np.round(rng.normal(size=70), 1), np.full(70, -1.0), rng.integers(0, 3, 70)], axis=1)
+    x[:, 3] = np.where(x[:, 1] > 0, rng.integers(0, 4, 70), 7.0)
+    y = rng.integers(0, 2, 70)
+    y[x[:, 2] > 0.7] = 1
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(*map(float, a), "ab"[b]) for a, b in zip(x, y, strict=True)], "f0 double, f1 double, f2 double, f3 double, f4 double, y string")
+    rows = tree.checked_rows(df, [f"f{i}" for i in range(5)], "y", None).select("x", F.when(F.col("_label") == "a", 0).otherwise(1).alias("y"), "w", F.array(F.lit(0), F.lit(1)).alias("trees"), F.array(F.lit(1), F.lit(1)).alias("times"))
+    p = tree.Tree(max_depth=5, max_features=subset, random_state=11)
+    both = grow.grow(rows.cache(), 5, 2, p.rules(5, trees=2))
+    for t, nodes in enumerate(both):
+        got = [(n.rows, None if n.left < 0 else (n.feature, n.threshold, n.left, n.right)) for n in nodes]
+        assert got == _drawn_tree(x, y, np.ones(70), 2, p, 11 + t, subset)
+    assert both[0][0].feature != 0 and any(n.feature == 3 for t in both for n in t)
+
+
+def test_all_trees_at_once_are_the_trees_one_by_one(spark):
+    """A forest over real samples equals each tree grown alone on its own sample's weights."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    df = spark.createDataFrame([(i, *map(float, a), "pqr"[int(a[0] + a[1] > 0) + int(a[2] > 0)]) for i, a in enumerate(x)], "id int, a double, b double, c double, y string")
+    p = forest.ForestParams(n_estimators=4, max_depth=4, max_features=None, max_samples=0.8)
+    nodes, classes, accuracy = forest.fit_exact_forest(df, ["a", "b", "c"], "y", p, ["id"])
+    assert accuracy is None
+    for t in range(4):
+        slots = spark.range(forest.samples_drawn(60, 0.8))
+        draws = slots.select(forest.drawn_row(F.lit(t), F.col("id"), 60, p.random_state).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+        own = tree.Tree(max_depth=4)
+        alone = own.fit(df.join(draws, "id"), ["a", "b", "c"], "y", "times").orderBy("node_id").collect()
+        assert own.classes == classes
+        assert [tuple(r)[1:] for r in alone] == [tuple(r)[1:] for r in nodes.where(f"tree_id = {t}").orderBy("node_id").collect()]
+
+
+def test_compiled_forests_of_any_depth(spark, monkeypatch):
+    """Array descent equals plain descent: missing values go right, a chain deeper than MLlib's trees, groups of trees."""
+    rng = random.Random(10)
+    chain = [(0, i, i + 1 if i < 80 else -1, i + 81 if i < 80 else -1, i % 2 if i < 80 else -2, float(80 - i), 0.0, 1, 1.0, [i / 80, 1 - i / 80], 0.0) for i in range(81)]
+    chain += [(0, i, -1, -1, -2, -2.0, 0.0, 1, 1.0, [1.0, 0.0], 0.0) for i in range(81, 161)]
+    stump = [(3, 0, 1, 2, 1, 0.5, 0.0, 1, 1.0, [0.5, 0.5], 0.0), (3, 1, -1, -1, -2, -2.0, 0.0, 1, 1.0, [0.25, 0.75], 0.0), (3, 2, -1, -1, -2, -2.0, 0.0, 1, 1.0, [0.75, 0.25], 0.0)]
+    nodes = spark.createDataFrame([*stump, *rng.sample(chain, len(chain))], S.NODE_SCHEMA)
+    rows = [(f"r{i}", rng.choice([None, float("nan"), rng.uniform(-5, 90)]), rng.uniform(-5, 90)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, a double, b double")
+    table = {(n[0], n[1]): n for n in [*stump, *chain]}
+
+    def leaf(t, a, b):
+        at = table[t, 0]
+        while at[2] >= 0:
+            v = (a, b)[at[4]]
+            at = table[t, at[2] if v is not None and np.float32(v) <= at[5] else at[3]]
+        return at
+
+    want = {(r[0], t): leaf(t, *r[1:])[1] for r in rows for t in (0, 3)}
+    for most in (forest.BROADCAST_NODES, 161):
+        monkeypatch.setattr(forest, "compiled", lambda n, most=most: compiled.compiled(n, most))
+        assert {(r.id, r.tree_id): r.node_id for r in forest.descend(df, nodes, "id", ["a", "b"]).collect()} == want
+        scored = forest.score_nodes(df, nodes, ["a", "b"], ["x", "y"])
+        assert scored.columns == ["id", "a", "b", "p0", "p1", "label_predicted"]
+        for r in scored.collect():
+            p0 = (leaf(0, r.a, r.b)[9][0] + leaf(3, r.a, r.b)[9][0]) / 2
+            assert r.p0 == pytest.approx(p0) and r.label_predicted == ("x" if r.p0 >= r.p1 else "y")
+    plan = forest.score_nodes(df, nodes, ["a", "b"], ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(forest, "compiled", lambda n: compiled.compiled(n, 100))
+    with pytest.raises(ValueError, match="161 nodes"):
+        forest.descend(df, nodes, "id", ["a", "b"])
+
+
+def test_bad_input_raises(spark):
+    df = spark.createDataFrame([(1.0, "a", "x", -1.0), (2.0, "b", "y", 1.0)], "f double, y string, t string, w double")
+    for bad in (lambda: tree.Tree().fit(df, ["t"], "y"), lambda: tree.Tree().fit(df, ["f"], "none"), lambda: tree.Tree().fit(df, ["none"], "y"), lambda: tree.Tree().fit(df, [], "y")):
+        with pytest.raises(TypeError):
+            bad()
+    with pytest.raises(Exception, match="below zero"):
+        tree.Tree().fit(df, ["f"], "y", "w")
+
+
+def test_a_model_that_grows_too_large_raises(spark, monkeypatch):
+    monkeypatch.setattr(grow, "MODEL_NODES", 4)
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(8)], "f double, y string")
+    with pytest.raises(ValueError, match="limit max_depth"):
+        tree.Tree().fit(df, ["f"], "y")
 
 
 def test_forest_rules():

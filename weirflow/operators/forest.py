@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,10 +21,9 @@ from pyspark.sql import functions as F
 from ..functions.features import xorshift32
 from ..sources.flows import save_nodes
 from ..storage import cut, remove, table_path
+from .compiled import BROADCAST_NODES, Compiled, compiled, matrix
 from .prefix import ranked
 
-#: A node table is broadcast if it has at most so many nodes (about 100 bytes each).
-BROADCAST_NODES = 400_000
 MLLIB_DEPTH = 30
 
 
@@ -157,45 +160,64 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str, *, n_estimato
 def fit_exact_forest(df: DataFrame, features: Sequence[str], label: str, params: ForestParams, order: Sequence[str], weight: str | None = None) -> tuple[DataFrame, list[str], float | None]:
     """(node table, labels, out-of-bag accuracy if asked for): trees of exact splits over samples with replacement.
 
-    Each tree weighs a row by how often its sample holds it. One pass over the rows for each level of
-    each tree; for large forests over large tables use fit_forest.
+    All trees grow together: a pass over the rows, which are written once, for each level. Each row
+    carries the trees whose samples hold it and how often, and a tree weighs it so; `order` should
+    identify the rows, which are drawn by their rank in it.
     """
-    from .tree import Tree
+    from .grow import grow
+    from .grow import node_table as grown
+    from .tree import Tree, checked_rows
 
     p = params.checked(exact=True)
     by_class = class_weights(df, label, p.class_weight)
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    kept = cut(checked_rows(df, features, label, weight, *order))
     if by_class:
-        w = w * F.coalesce(F.element_at(F.create_map(*[x for c, v in by_class.items() for x in (F.lit(c), F.lit(float(v)))]), F.col(f"`{label}`")), F.lit(1.0))
-    rows = cut(ranked(df.withColumn("_all", F.lit(1)), ["_all"], order, "_row").drop("_all").withColumn("_w", w))
-    n = rows.count()
-    classes = [r[0] for r in label_index(rows, label).orderBy("code").collect()]
-    tables, votes = [], None
-    for t in range(p.n_estimators):
-        own = rows
-        if p.bootstrap and n:
-            slots = df.sparkSession.range(samples_drawn(n, p.max_samples))
-            draws = slots.select((drawn_row(F.lit(t), F.col("id"), n, p.random_state) + 1).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_times"))
-            own = cut(rows.join(draws, "_row", "left").withColumn("_times", F.coalesce("_times", F.lit(0))).withColumn("_w", F.col("_w") * F.col("_times")))
-        tree = Tree(p.max_depth, p.min_samples_split, p.min_samples_leaf, p.min_weight_fraction_leaf, p.max_features, p.min_impurity_decrease, p.random_state + t)
-        nodes = tree.fit(own, features, label, "_w")
-        # a sample may lack a class: its share is 0
-        place = {c: i for i, c in enumerate(tree.classes)}
-        shares = F.array(*[F.get("value", F.lit(place[c])) if c in place else F.lit(0.0) for c in classes])
-        nodes = cut(nodes.withColumns({"tree_id": F.lit(t), "value": shares}))
-        tables.append(nodes)
-        if p.oob_score:
-            out = own.where("_times = 0")
-            seen = leaf_values(descend(out, nodes, "_row", features), nodes).select("_row", "tree_id", "value")
-            votes = seen if votes is None else votes.unionAll(seen)
-    table = tables[0]
-    for more in tables[1:]:
-        table = table.unionAll(more)
-    accuracy = None
-    if votes is not None:
-        said = vote(votes, "_row", classes).join(rows.select("_row", F.col(f"`{label}`").alias("_true")), "_row")
-        accuracy = said.agg(F.avg((F.col("label_predicted") == F.col("_true")).cast("double"))).first()[0]
-    return table, classes, accuracy
+        kept = kept.withColumn("w", F.col("w") * F.coalesce(F.element_at(F.create_map(*[x for c, v in by_class.items() for x in (F.lit(c), F.lit(float(v)))]), F.col("_label")), F.lit(1.0)))
+    numbered = ranked(kept.withColumn("_all", F.lit(1)), ["_all"], order, "_row").withColumn("_row", F.col("_row") - 1)
+    n = kept.count()
+    every = F.array(*map(F.lit, range(p.n_estimators)))
+    if p.bootstrap and n:
+        slots = df.sparkSession.range(samples_drawn(n, p.max_samples)).select(F.explode(every.cast("array<int>")).alias("tree"), F.col("id").alias("_slot"))
+        draws = slots.select("tree", drawn_row(F.col("tree"), F.col("_slot"), n, p.random_state).alias("_row")).groupBy("_row", "tree").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        bags = draws.groupBy("_row").agg(F.collect_list(F.struct("tree", "times")).alias("bag"))  # an entry for each tree
+        rows = numbered.join(bags, "_row", "left").withColumns({"trees": F.coalesce("bag.tree", F.array().cast("array<int>")), "times": F.coalesce("bag.times", F.array().cast("array<int>"))})
+    else:
+        rows = numbered.withColumns({"trees": every.cast("array<int>"), "times": F.array_repeat(F.lit(1), p.n_estimators)})
+    classes = [r[0] for r in label_index(kept, "_label").orderBy("code").collect()]
+    code = F.array_position(F.array(*map(F.lit, classes)), F.col("_label")).cast("int") - 1 if classes else F.lit(0)
+    rows = cut(rows.select("_row", "x", code.alias("y"), "w", "trees", "times"))
+    tree = Tree(p.max_depth, p.min_samples_split, p.min_samples_leaf, p.min_weight_fraction_leaf, p.max_features, p.min_impurity_decrease, p.random_state)
+    table = cut(grown(df, grow(rows, len(features), max(1, len(classes)), tree.rules(len(features), p.n_estimators)), features))
+    return table, classes, _out_of_bag(rows, table) if p.oob_score and n else None
+
+
+def _out_of_bag(rows: DataFrame, nodes: DataFrame) -> float | None:
+    """The share of rows whose class most of the trees say whose samples don't hold them; rows that all hold are left out."""
+    said = None
+    for model in compiled(nodes):
+
+        def run(batches: Iterator[pa.RecordBatch], model: Compiled = model) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+                out = np.ones((b.num_rows, int(model.trees.max()) + 1 if len(model.trees) else 0), bool)
+                row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+                tree = b.column(2).flatten().to_numpy()
+                inside = tree < out.shape[1]
+                out[row[inside], tree[inside]] = False
+                at = model.leaves(x)
+                shares = sum((model.values[at[:, k]] * out[:, t, None] for k, t in enumerate(model.trees)), np.zeros((b.num_rows, model.values.shape[1])))
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array(list(shares), pa.list_(pa.float64()))], ["id", "y", "shares"])
+
+        # the sums of groups of trees meet by the row
+        part = rows.select("x", "y", "trees", F.col("_row").cast("long").alias("id")).mapInArrow(run, "id long, y int, shares array<double>")
+        said = part if said is None else said.unionAll(part)
+    if said is None:
+        return None
+    if len(list(compiled(nodes))) > 1:
+        width = len(said.first().shares)
+        said = said.groupBy("id", "y").agg(F.array(*[F.sum(F.get("shares", F.lit(i))) for i in range(width)]).alias("shares"))
+    right = (F.array_position("shares", F.array_max("shares")) - 1 == F.col("y")).cast("double")
+    return said.where(F.array_max("shares") > 0).agg(F.avg(right)).first()[0]
 
 
 def score(model: RandomForestClassificationModel, df: DataFrame, features: Sequence[str], classes: Sequence[str], proba: bool = False) -> DataFrame:
@@ -234,6 +256,7 @@ def node_table(spark: SparkSession, model: RandomForestClassificationModel, save
         F.col("treeID").cast("int").alias("tree_id"), F.col("id").cast("int").alias("node_id"), F.when(inner, F.col("leftChild")).otherwise(-1).cast("int").alias("left"), F.when(inner, F.col("rightChild")).otherwise(-1).cast("int").alias("right"),
         F.when(inner, F.col("split.featureIndex")).otherwise(-2).cast("int").alias("feature"), F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).otherwise(-2.0).alias("threshold"),
         "impurity", F.col("rawCount").cast("long").alias("n_node_samples"), total.alias("weighted_n"), F.transform(stats, lambda x: F.when(total > 0, x / total).otherwise(0.0)).alias("value"),
+        F.when(inner, F.col("gain") * total).otherwise(0.0).alias("decrease"),
     )
     nodes = cut(nodes)
     if saved is None:
@@ -242,29 +265,53 @@ def node_table(spark: SparkSession, model: RandomForestClassificationModel, save
 
 
 def descend(rows: DataFrame, nodes: DataFrame, key: str, features: Sequence[str], depth: int | None = None) -> DataFrame:
-    """(key, tree_id, node_id) of the leaf that each row reaches in each tree.
+    """(key, tree_id, node_id) of the leaf that each row reaches in each tree: one scan, no join, whatever the depth.
+
+    A model of more than BROADCAST_NODES nodes goes in groups of trees, with a scan for each. A
+    depth that is given must not be smaller than the model's.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    found = None
+    for model in compiled(cut(nodes)):
+        if depth is not None and depth < model.depth():
+            raise ValueError(f"the model has a depth of {model.depth()}, not {depth}")
+
+        def run(batches: Iterator[pa.RecordBatch], model: Compiled = model) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = model.leaves(matrix(b.columns[1:]))
+                ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), len(model.trees))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(model.trees, b.num_rows).astype(np.int32)), pa.array(model.node[at.ravel()].astype(np.int32))], [key, "tree_id", "node_id"])
+
+        x = rows.select(key, *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+        own = x.mapInArrow(run, f"`{key}` {kind}, tree_id int, node_id int")
+        found = own if found is None else found.unionAll(own)
+    return rows.sparkSession.createDataFrame([], f"`{key}` {kind}, tree_id int, node_id int") if found is None else found
+
+
+def _shares(model: Compiled):
+    def summed(*columns: pd.Series) -> pd.Series:
+        return pd.Series(list(model.shares(matrix(columns))))
+
+    return F.pandas_udf(summed, "array<double>")
+
+
+def score_nodes(df: DataFrame, nodes: DataFrame, features: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    """df with p0, p1, ... (the mean of the trees' class shares) and label_predicted (of the largest, the first of equal ones).
 
-    Every step joins the rows with the node table; a table that is small enough is broadcast and the
-    rows stay where they are, else the join shuffles. The number of steps is the depth of the model,
-    which is found from the nodes; a depth that is given must not be smaller.
+    One scan: each group of trees is an expression over the features' columns; shares are summed in
+    the order of the trees, so that equal votes are equal to the last bit.
     """
-    model = cut(nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold"))
-    own = F.broadcast(model) if model.count() <= BROADCAST_NODES else model
-    inner, deep = model.where("left >= 0 AND node_id = 0").select("tree_id", "left", "right"), 0
-    while not inner.isEmpty():
-        deep += 1
-        below = cut(inner.select("tree_id", F.explode(F.array("left", "right")).alias("node_id")).join(own, ["tree_id", "node_id"]))
-        inner = below.where("left >= 0").select("tree_id", "left", "right")
-    if depth is not None and depth < deep:
-        raise ValueError(f"the model has a depth of {deep}, not {depth}")
-    x = rows.select(key, F.array(*[F.col(f"`{c}`").cast("float").cast("double") for c in features]).alias("_x"))
-    trees = [r[0] for r in model.select("tree_id").distinct().orderBy("tree_id").collect()]
-    at = x.select("*", F.explode(F.array(*map(F.lit, trees)).cast("array<int>")).alias("tree_id")).withColumn("node_id", F.lit(0))
-    for _ in range(deep):
-        step = at.join(own, ["tree_id", "node_id"])
-        goes = F.when(F.get("_x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
-        at = step.select(key, "_x", "tree_id", F.when(F.col("left") < 0, F.col("node_id")).otherwise(goes).alias("node_id"))
-    return at.select(key, "tree_id", "node_id")
+    models = list(compiled(cut(nodes)))
+    if not models:
+        raise ValueError("a model without nodes")
+    sums = [_shares(model)(*[F.col(f"`{c}`").cast("double") for c in features]) for model in models]
+    trees = float(sum(len(m.trees) for m in models))
+    rows = df.withColumns({f"_s{k}": s for k, s in enumerate(sums)})
+    total = lambda i: reduce(lambda a, b: a + b, [F.get(f"_s{k}", F.lit(i)) for k in range(len(sums))])
+    scored = rows.withColumns({f"p{i}": total(i) / trees for i in range(len(classes))})
+    shares_ = F.array(*[F.col(f"p{i}") for i in range(len(classes))])
+    named = F.element_at(F.array(*map(F.lit, classes)), F.array_position(shares_, F.array_max(shares_)).cast("int"))
+    return scored.withColumn("label_predicted", named).drop(*[f"_s{k}" for k in range(len(sums))])
 
 
 def leaf_values(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -287,11 +334,8 @@ def vote(values: DataFrame, key: str, classes: Sequence[str]) -> DataFrame:
 
 
 def tree_importance(nodes: DataFrame) -> DataFrame:
-    """(tree_id, feature, importance): weighted impurity decrease, normalised for each tree."""
-    child = lambda p: nodes.select(F.col("tree_id"), F.col("node_id").alias(p), (F.col("weighted_n") * F.col("impurity")).alias(f"_{p}"))
-    inner = nodes.where("left >= 0").join(child("left"), ["tree_id", "left"]).join(child("right"), ["tree_id", "right"])
-    root = nodes.where("node_id = 0").select("tree_id", F.col("weighted_n").alias("_root"))
-    drop = inner.join(root, "tree_id").groupBy("tree_id", "feature").agg(F.sum((F.col("weighted_n") * F.col("impurity") - F.col("_left") - F.col("_right")) / F.col("_root")).alias("raw"))
+    """(tree_id, feature, importance): the impurity that a feature's splits take off, as a share of each tree's; the nodes know it, so there is no join."""
+    drop = nodes.where("left >= 0").groupBy("tree_id", "feature").agg(F.sum("decrease").alias("raw"))
     total = F.sum("raw").over(W.partitionBy("tree_id"))
     return drop.select("tree_id", "feature", F.when(total > 0, F.col("raw") / total).otherwise(0.0).alias("importance"))
 

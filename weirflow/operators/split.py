@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,21 +42,22 @@ def adjacent_values(df: DataFrame, partition: Sequence[str], value: str, gap: fl
     return _next_value(chunks, partition, value).select(*partition, value, F.col("above").alias("next_value")).where(F.col("next_value") - F.col(value) > gap)
 
 
-def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Every threshold of every node and feature with the class weights to its left and right.
+@dataclass
+class Candidates:
+    """rated: every threshold of every node and feature; spans: (node, place, low, high), the range of each feature's values in a node."""
+
+    rated: DataFrame
+    spans: DataFrame
+
+
+def candidates(counts: DataFrame, classes: int, node: str = "node") -> Candidates:
+    """From (node, place, value, c, n0, ...), rows and class weights of each value: thresholds with the class weights to their left and right.
 
-    Rows are summed for each value first (with map-side combine); the running sums of a node and
-    feature, the root's too, are dealt over tasks by ranges of the value. nl, nr and n are weights,
-    cl and cr numbers of rows. Rows with a weight of zero and null values don't count.
+    The running sums of a node and feature, the root's too, are dealt over tasks by ranges of the
+    value. nl, nr and n are weights, cl and cr numbers of rows.
     """
-    rows = df if weight is None else df.where(F.col(weight) != 0)
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = rows.select(node, label, w.alias("_w"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-    places = [f"f{i}" for i in range(len(features))]
-    long = rows.unpivot([node, label, "_w"], places, "feature", "value") if len(features) > 1 else rows.select(node, label, "_w", F.lit("f0").alias("feature"), F.col("f0").alias("value"))
-    k = range(len(classes))
-    counts = long.where("value IS NOT NULL").groupBy(node, "feature", "value").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.when(F.col(label) == c, F.col("_w")).otherwise(0.0)).alias(f"n{i}") for i, c in enumerate(classes)])
-    key, sums = [node, "feature"], ["c", *[f"n{i}" for i in k]]
+    k, key = range(classes), [node, "place"]
+    sums = ["c", *[f"n{i}" for i in k]]
     chunks = chunked(counts, key, ["value"])
     earlier = before(chunks, key, {f"b_{s}": F.sum(s) for s in sums})
     totals = chunks.groupBy(*key).agg(*[F.sum(s).alias(f"t_{s}") for s in sums])
@@ -65,38 +67,44 @@ def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: s
     left, all_ = lambda i: F.col(f"l_n{i}") + F.col(f"b_n{i}"), lambda i: F.col(f"t_n{i}")
     total = lambda e: sum((e(i) for i in k[1:]), e(0))
     square = lambda e: sum((e(i) * e(i) for i in k[1:]), e(0) * e(0))
-    names = F.array(*map(F.lit, features))
     rows = rows.select(
-        node, F.substring("feature", 2, 10).cast("int").alias("place"), "value", "above",
+        node, "place", "value", "above",
         total(all_).alias("n"), total(left).alias("nl"), (F.col("l_c") + F.col("b_c")).alias("cl"), (F.col("t_c") - F.col("l_c") - F.col("b_c")).alias("cr"),
         square(left).alias("_ql"), square(lambda i: all_(i) - left(i)).alias("_qr"), square(all_).alias("_q"),
         F.array(*[left(i) for i in k]).alias("left_weights"), F.array(*[all_(i) - left(i) for i in k]).alias("right_weights"),
     ).withColumn("nr", F.col("n") - F.col("nl"))
     middle = F.col("value") / 2 + F.col("above") / 2
-    return rows.select(
-        node, F.get(names, F.col("place")).alias("feature"), "place", F.when((middle == F.col("above")) | (F.abs(middle) == float("inf")), F.col("value")).otherwise(middle).alias("threshold"),
+    rated = rows.select(
+        node, "place", F.when((middle == F.col("above")) | (F.abs(middle) == float("inf")), F.col("value")).otherwise(middle).alias("threshold"),
         "n", "nl", "nr", "cl", "cr", (F.col("_ql") / F.col("nl") + F.col("_qr") / F.col("nr")).alias("proxy"),
         (F.lit(1.0) - F.col("_q") / (F.col("n") * F.col("n"))).alias("impurity"),
         (F.lit(1.0) - F.col("_ql") / (F.col("nl") * F.col("nl"))).alias("impurity_left"), (F.lit(1.0) - F.col("_qr") / (F.col("nr") * F.col("nr"))).alias("impurity_right"),
         "left_weights", "right_weights",
     )
+    return Candidates(rated, chunks.groupBy(*key).agg(F.min("value").alias("low"), F.max("value").alias("high")))
 
 
-def best_split(candidates: DataFrame, node: str, min_leaf: int = 1, min_weight_leaf: float = 0.0, max_features: int | None = None, seed: int = 0) -> DataFrame:
-    """The candidate with the largest proxy of each node; equal ones: first feature, least threshold. Proxies are compared as they are.
+def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Every threshold of every node and feature of a table, with the feature's name; see candidates().
 
-    max_features: only so many features of a node, drawn by a hash of (seed, node, feature) among
-    those that aren't constant in it.
+    Rows are summed for each value first (with map-side combine). Rows with a weight of zero and null
+    values don't count.
     """
+    rows = df if weight is None else df.where(F.col(weight) != 0)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = rows.select(node, label, w.alias("_w"), *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    long = rows.select(node, label, "_w", F.posexplode(F.array(*[f"f{i}" for i in range(len(features))])).alias("place", "value"))
+    counts = long.where("value IS NOT NULL").groupBy(node, "place", "value").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.when(F.col(label) == c, F.col("_w")).otherwise(0.0)).alias(f"n{i}") for i, c in enumerate(classes)])
+    rated = candidates(counts, len(classes), node).rated
+    return rated.select(node, F.get(F.array(*map(F.lit, features)), F.col("place")).alias("feature"), *[c for c in rated.columns if c != node])
+
+
+def best_split(candidates: DataFrame, node: str, min_leaf: int = 1, min_weight_leaf: float = 0.0) -> DataFrame:
+    """The candidate with the largest proxy of each node; equal ones: first feature, least threshold. Proxies are compared as they are."""
     order = F.struct((-F.col("proxy")).alias("p"), "place", "threshold")
     rest = [c for c in candidates.columns if c != node]
     allowed = (F.col("cl") >= min_leaf) & (F.col("cr") >= min_leaf) & (F.col("nl") >= min_weight_leaf) & (F.col("nr") >= min_weight_leaf)
-    one = F.min_by(F.struct(*rest), F.when(allowed, order)).alias("_best")
-    if max_features is not None:
-        each = candidates.groupBy(node, "place").agg(one)  # a constant feature has no candidate
-        draw = F.row_number().over(W.partitionBy(node).orderBy(F.xxhash64(F.lit(seed), node, "place"), "place"))
-        candidates = each.withColumn("_draw", draw).where((F.col("_draw") <= max_features) & F.col("_best").isNotNull()).select(node, *[f"_best.{c}" for c in rest])
-    best = candidates.where(allowed).groupBy(node).agg(one)
+    best = candidates.where(allowed).groupBy(node).agg(F.min_by(F.struct(*rest), order).alias("_best"))
     return best.select(node, *[f"_best.{c}" for c in rest])
 
 

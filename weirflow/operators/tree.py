@@ -1,4 +1,4 @@
-"""One exact classification tree, grown level by level: each level is one aggregate over all rows."""
+"""Exact decision trees."""
 
 from __future__ import annotations
 
@@ -7,14 +7,30 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.flows import NODE_SCHEMA
 from ..storage import cut
 from .forest import label_index, max_features
-from .split import best_split, split_candidates
+from .grow import EPSILON, Rules, grow, node_table
 
-#: Below this an impurity counts as zero, and a split may fall short of the decrease asked for (fixed value: the double's epsilon).
-EPSILON = 2.220446049250313e-16
+__all__ = ["EPSILON", "Tree", "checked_rows"]
+
+
+def checked_rows(df: DataFrame, features: Sequence[str], label: str, weight: str | None, *more: str) -> DataFrame:
+    """(*more, x, _label, w) of the rows that a tree is grown on: features as float32 values, weights as doubles.
+
+    A feature or weight that isn't a number is an error. Rows with a null feature or label, or
+    without weight, are left out; a weight below zero is an error when it is read.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    wrong = [c for c in [*features, *([weight] if weight else [])] if not isinstance(kinds.get(c), (T.NumericType, T.BooleanType))]
+    if wrong or label not in kinds or not features:
+        raise TypeError(f"not a number, or no such column: {wrong or label}")
+    w = F.lit(1.0) if weight is None else F.col(f"`{weight}`").cast("double")
+    w = F.when(w < 0, F.raise_error(F.lit("a weight is below zero")).cast("double")).otherwise(w)
+    x = F.array(*[F.col(f"`{f}`").cast("float").cast("double") for f in features])
+    rows = df.select(*more, x.alias("x"), F.col(f"`{label}`").alias("_label"), w.alias("w"))
+    return rows.where(F.col("_label").isNotNull() & (F.coalesce("w", F.lit(0.0)) != 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
 
 
 @dataclass
@@ -34,67 +50,18 @@ class Tree:
     random_state: int = 0
     classes: list[str] = field(default_factory=list)
 
+    def rules(self, features: int, trees: int = 1) -> Rules:
+        subset = max_features(self.max_features, features)
+        return Rules(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_weight_fraction_leaf, subset, self.min_impurity_decrease, [self.random_state + t for t in range(trees)])
+
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
         """The nodes, numbered in pre-order, with `feature_name`; a value is the share of each class, in the order of `classes`.
 
-        What comes to the driver is the model: class weights and the split of each node. The rows
-        are cut into the shared folder at each level. Rows with a null feature or label, or without
-        weight, are left out. Features are compared as float32.
+        What comes to the driver is the model, of bounded size (see grow.MODEL_NODES). The rows are cut
+        into the shared folder once and read for each level. See checked_rows() for nulls; no rows, no nodes.
         """
-        rows = df.select(F.col(f"`{label}`").alias("_label"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_weight"), *[F.col(f"`{f}`").cast("float").cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-        rows = cut(rows.na.drop("any").where("_weight <> 0").withColumn("_node", F.lit(0)))
+        rows = checked_rows(df, features, label, weight)
+        rows = cut(rows.withColumns({"trees": F.array(F.lit(0)), "times": F.array(F.lit(1))}))
         self.classes = [r[0] for r in label_index(rows, "_label").orderBy("code").collect()]
-        names, subset = [f"x{i}" for i in range(len(features))], max_features(self.max_features, len(features))
-        least = max(self.min_samples_split, 2 * self.min_samples_leaf)
-        counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("_label").agg(F.sum("_weight"), F.count(F.lit(1))).collect()}
-        weights = [counts[c][0] for c in self.classes]
-        total = sum(weights)
-        nodes = [_Node(weights, sum(n for _, n in counts.values()))]
-        if not total:
-            return self._table(df, [], features)
-        least_weight, frontier, depth = self.min_weight_fraction_leaf * total, [0], 0
-        while frontier and (self.max_depth is None or depth < self.max_depth):
-            open_ = [i for i in frontier if nodes[i].rows >= least and nodes[i].weight >= 2 * least_weight and nodes[i].impurity > EPSILON]
-            if not open_:
-                break
-            rows = rows.where(F.col("_node").isin(open_)) if len(open_) < 1000 else rows.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in open_], "_node int")), "_node")
-            found = best_split(split_candidates(rows, "_node", names, "_label", self.classes, "_weight"), "_node", self.min_samples_leaf, least_weight, subset if subset < len(names) else None, self.random_state)
-            frontier, table = [], []
-            for s in found.collect():
-                at = nodes[s["_node"]]
-                gain = at.weight / total * (at.impurity - s.nr / s.n * s.impurity_right - s.nl / s.n * s.impurity_left)
-                if gain + EPSILON < self.min_impurity_decrease:
-                    continue
-                at.feature, at.threshold, at.left, at.right = s.place, s.threshold, len(nodes), len(nodes) + 1
-                nodes += [_Node(list(s.left_weights), s.cl), _Node(list(s.right_weights), s.cr)]
-                frontier += [at.left, at.right]
-                table.append((s["_node"], s.place, s.threshold, at.left, at.right))
-            if table:
-                # a row for each node of the level: the model's size
-                step = df.sparkSession.createDataFrame(table, "_node int, _place int, _threshold double, _left int, _right int")
-                moved = rows.join(F.broadcast(step), "_node").withColumn("_node", F.when(F.get(F.array(*names), F.col("_place")) <= F.col("_threshold"), F.col("_left")).otherwise(F.col("_right")))
-                rows = cut(moved.select("_label", "_weight", *names, "_node"))
-            depth += 1
-        return self._table(df, nodes, features)
-
-    def _table(self, df: DataFrame, nodes: list[_Node], features: Sequence[str]) -> DataFrame:
-        out: list[tuple] = []
-        stack = [(0, None, 0)] if nodes else []  # node, row of its parent, which child
-        while stack:
-            at, parent, side = stack.pop()
-            node, number = nodes[at], len(out)
-            if parent is not None:
-                out[parent] = (*out[parent][: 2 + side], number, *out[parent][3 + side :])
-            leaf = node.left < 0
-            out.append((0, number, -1, -1, -2 if leaf else node.feature, -2.0 if leaf else node.threshold, node.impurity, node.rows, node.weight, [w / node.weight for w in node.weights], None if leaf else features[node.feature]))
-            if not leaf:
-                stack += [(node.right, number, 1), (node.left, number, 0)]
-        return df.sparkSession.createDataFrame(out, NODE_SCHEMA + ", feature_name string")
-
-
-class _Node:
-    def __init__(self, weights: list[float], rows: int):
-        self.weights, self.rows, self.weight = weights, rows, sum(weights)
-        self.impurity = 1.0 - sum(w * w for w in weights) / (self.weight * self.weight) if self.weight else 0.0
-        self.left = self.right = -1
-        self.feature, self.threshold = -2, -2.0
+        coded = rows.withColumn("y", F.array_position(F.array(*map(F.lit, self.classes)), F.col("_label")).cast("int") - 1) if self.classes else rows.withColumn("y", F.lit(0))
+        return node_table(df, grow(coded, len(features), max(1, len(self.classes)), self.rules(len(features))), features)

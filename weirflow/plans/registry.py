@@ -251,63 +251,96 @@ def class_report(spark, d):
     return found.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-#: Two small trees over (l_quantity, l_extendedprice, l_discount, l_tax).
-NODES = [
-    (0, 0, 1, 2, 0, 25.0, 0.64, 100, 100.0, [0.3, 0.4, 0.3]), (0, 1, -1, -1, -2, -2.0, 0.32, 40, 40.0, [0.8, 0.2, 0.0]), (0, 2, 3, 4, 2, 0.05, 0.5, 60, 60.0, [0.0, 0.5, 0.5]),
-    (0, 3, -1, -1, -2, -2.0, 0.18, 35, 35.0, [0.0, 0.9, 0.1]), (0, 4, -1, -1, -2, -2.0, 0.0, 25, 25.0, [0.0, 0.0, 1.0]),
-    (1, 0, 1, 2, 3, 0.04, 0.6, 100, 100.0, [0.2, 0.5, 0.3]), (1, 1, -1, -1, -2, -2.0, 0.42, 50, 50.0, [0.3, 0.7, 0.0]), (1, 2, -1, -1, -2, -2.0, 0.46, 50, 50.0, [0.1, 0.3, 0.6]),
-]
-_NODES_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"[{', '.join(f'{v}::DOUBLE' for v in x)}]" if isinstance(x, list) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in n) + ")" for n in NODES) + ") n(tree_id, node_id, l, r, feature, threshold, impurity, n_node_samples, weighted_n, value)"
-_X = "[q::FLOAT::DOUBLE, p::FLOAT::DOUBLE, s::FLOAT::DOUBLE, t::FLOAT::DOUBLE]"
-_DESCENT = f"""WITH RECURSIVE n AS (SELECT * FROM {_NODES_SQL}), x AS (SELECT event_id AS id, [(event_id % 50 + 1)::FLOAT::DOUBLE, value::FLOAT::DOUBLE, (event_id % 11 / 100)::FLOAT::DOUBLE, (event_id % 9 / 100)::FLOAT::DOUBLE] AS x FROM events),
- w AS (SELECT id, x, tree_id, 0 AS node_id FROM x, (SELECT DISTINCT tree_id FROM n) UNION ALL
-  SELECT w.id, w.x, w.tree_id, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l >= 0),
- leaf AS (SELECT w.id, w.tree_id, w.node_id, n.value FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l < 0) """
-
-
-def _nodes(spark):
-    return spark.createDataFrame(NODES, S.NODE_SCHEMA)
-
-
-def _leaves(spark, d):
-    rows = _t(spark, d, "events").select("event_id", (F.col("event_id") % 50 + 1).alias("q"), F.col("value").alias("p"), (F.col("event_id") % 11 / 100).alias("s"), (F.col("event_id") % 9 / 100).alias("t"))
-    return forest.descend(rows, _nodes(spark), "event_id", ["q", "p", "s", "t"])
-
-
-@query(_DESCENT + "SELECT id AS event_id, tree_id, node_id FROM leaf")
+#: Two exact trees of depth 2 over lineitem: one of all rows and features, one of the open lines without the price.
+_GROWN = ((0, "true", [0, 1, 2, 3]), (1, "l_linestatus = 'F'", [0, 2, 3]))
+
+
+def _grown_sql(tree: int, where: str, places: list[int]) -> str:
+    """CTEs of one tree, grown twice by the same steps: counts of values, running sums, the best threshold of each node."""
+    t, x = f"t{tree}", ", ".join(f"{NUM[p]}::FLOAT::DOUBLE" for p in places)
+
+    def level(name: str, rows: str) -> str:
+        long = " UNION ALL ".join(f"SELECT node, {p} AS place, x[{i + 1}] AS v, y FROM {rows}" for i, p in enumerate(places))
+        return f"""{name}_v AS (SELECT node, place, v, count(*) FILTER (y = 'A')::DOUBLE a, count(*) FILTER (y = 'N')::DOUBLE b, count(*) FILTER (y = 'R')::DOUBLE c FROM ({long}) GROUP BY ALL),
+ {name}_w AS (SELECT *, lead(v) OVER o AS z, sum(a) OVER (o ROWS UNBOUNDED PRECEDING) la, sum(b) OVER (o ROWS UNBOUNDED PRECEDING) lb, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) lc, sum(a) OVER p ta, sum(b) OVER p tb, sum(c) OVER p tc FROM {name}_v WINDOW o AS (PARTITION BY node, place ORDER BY v), p AS (PARTITION BY node, place)),
+ {name}_s AS (SELECT *, la + lb + lc AS nl, ta + tb + tc AS n, ta + tb + tc - (la + lb + lc) AS nr FROM {name}_w WHERE z - v > 1e-7),
+ {name}_k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY (la*la + lb*lb + lc*lc) / nl + ((ta-la)*(ta-la) + (tb-lb)*(tb-lb) + (tc-lc)*(tc-lc)) / nr DESC, place, v) AS k FROM {name}_s),
+ {name} AS (SELECT node, place, v / 2 + z / 2 AS threshold, la, lb, lc, ta - la AS ra, tb - lb AS rb, tc - lc AS rc, nl, nr, n, 1 - (ta*ta + tb*tb + tc*tc) / (n * n) AS impurity FROM {name}_k WHERE k = 1 AND ta*ta + tb*tb + tc*tc < n * n)"""
+
+    at = "x[" + "CASE place " + " ".join(f"WHEN {p} THEN {i + 1}" for i, p in enumerate(places)) + " END]"
+    half = lambda s: f"(1 - ({s}a*{s}a + {s}b*{s}b + {s}c*{s}c) / (n{s} * n{s}))"
+    inner = lambda k, own: f"SELECT {own} AS path, place AS feature, threshold, impurity, n, ta AS a, tb AS b, tc AS c FROM (SELECT *, la + ra AS ta, lb + rb AS tb, lc + rc AS tc FROM {k})"
+    leaf = lambda k, own, s: f"SELECT {own} AS path, -2, -2.0, {half(s)}, n{s}, {s}a, {s}b, {s}c FROM {k}"
+    return f"""{t}_r AS (SELECT 0 AS node, [{x}] AS x, l_returnflag AS y FROM lineitem WHERE {where}), {level(t + "_0", t + "_r")},
+ {t}_q AS (SELECT CASE WHEN {at} <= threshold THEN 1 ELSE 2 END AS node, x, y FROM {t}_r, (SELECT place, threshold FROM {t}_0)), {level(t + "_1", t + "_q")},
+ {t}_p AS ({inner(t + "_0", "''")} UNION ALL {inner(t + "_1", "node::VARCHAR")} UNION ALL {leaf(t + "_0", "'1'", "l")} WHERE NOT EXISTS (SELECT 1 FROM {t}_1 WHERE node = 1) UNION ALL {leaf(t + "_0", "'2'", "r")} WHERE NOT EXISTS (SELECT 1 FROM {t}_1 WHERE node = 2)
+  UNION ALL {leaf(t + "_1", "node || '1'", "l")} UNION ALL {leaf(t + "_1", "node || '2'", "r")}),
+ {t}_i AS (SELECT *, (row_number() OVER (ORDER BY path) - 1)::INT AS node_id FROM {t}_p),
+ {t}_n AS (SELECT {tree} AS tree_id, i.node_id, coalesce(l.node_id, -1) AS l, coalesce(r.node_id, -1) AS r, i.feature, i.threshold, i.impurity, i.n, [i.a / i.n, i.b / i.n, i.c / i.n] AS value,
+  coalesce(i.n * i.impurity - l.n * l.impurity - r.n * r.impurity, 0) AS decrease FROM {t}_i i LEFT JOIN {t}_i l ON l.path = i.path || '1' LEFT JOIN {t}_i r ON r.path = i.path || '2')"""
+
+
+_TREES = f"WITH RECURSIVE {', '.join(_grown_sql(*g) for g in _GROWN)}, n AS (SELECT * FROM t0_n UNION ALL SELECT * FROM t1_n)"
+_DESCENT = f"""{_TREES}, x AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, [{', '.join(f"{c}::FLOAT::DOUBLE" for c in NUM)}] AS x FROM lineitem),
+ w AS (SELECT id, l_orderkey, l_linenumber, x, tree_id, 0 AS node_id FROM x, (SELECT DISTINCT tree_id FROM n) UNION ALL
+  SELECT w.id, w.l_orderkey, w.l_linenumber, w.x, w.tree_id, CASE WHEN w.x[n.feature + 1] <= n.threshold THEN n.l ELSE n.r END FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l >= 0),
+ leaf AS (SELECT id, l_orderkey, l_linenumber, w.tree_id, w.node_id, n.value FROM w JOIN n ON w.tree_id = n.tree_id AND w.node_id = n.node_id WHERE n.l < 0) """
+_IMPORTANCE = f"""{_TREES}, t AS (SELECT tree_id, feature, sum(decrease) / sum(sum(decrease)) OVER (PARTITION BY tree_id) AS importance FROM n WHERE l >= 0 GROUP BY tree_id, feature),
+ f AS (SELECT feature, sum(importance) / (SELECT count(DISTINCT tree_id) FROM t) AS importance FROM t GROUP BY feature) """
+
+
+def _grown(spark, d) -> DataFrame:
+    """The nodes of the two trees, with features by their place in NUM."""
+    rows, tables = _t(spark, d, "lineitem"), []
+    for number, where, places in _GROWN:
+        nodes = tree.Tree(max_depth=2).fit(rows.where(where), [NUM[p] for p in places], "l_returnflag")
+        place = F.get(F.array(*map(F.lit, places)), F.when(F.col("feature") >= 0, F.col("feature")))
+        tables.append(nodes.withColumns({"tree_id": F.lit(number), "feature": F.coalesce(place, F.lit(-2))}))
+    return tables[0].unionAll(tables[1])
+
+
+def _line(rows: DataFrame) -> DataFrame:
+    """lineitem with one key of a line."""
+    return rows.withColumn("line", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+
+
+@query(_DESCENT + "SELECT l_orderkey * 100 + l_linenumber AS line, tree_id, node_id FROM leaf")
 def tree_descend(spark, d):
-    return _leaves(spark, d)
+    return forest.descend(_line(_t(spark, d, "lineitem")), _grown(spark, d), "line", NUM)
 
 
-@query(_DESCENT + "SELECT id AS event_id, tree_id, value[1] AS p0, value[2] AS p1, value[3] AS p2 FROM leaf")
+@query(_DESCENT + "SELECT l_orderkey * 100 + l_linenumber AS line, tree_id, round(value[1], 8) AS p0, round(value[2], 8) AS p1, round(value[3], 8) AS p2 FROM leaf")
 def tree_predict_proba(spark, d):
-    return forest.leaf_values(_leaves(spark, d), _nodes(spark)).select("event_id", "tree_id", *[F.col("value")[i].alias(f"p{i}") for i in range(3)])
+    nodes = _grown(spark, d)
+    leaves = forest.descend(_line(_t(spark, d, "lineitem")), nodes, "line", NUM)
+    return forest.leaf_values(leaves, nodes).select("line", "tree_id", *[F.round(F.col("value")[i], 8).alias(f"p{i}") for i in range(3)])
 
 
-@query(_DESCENT + ", m AS (SELECT id, round(avg(value[1]), 6) AS p0, round(avg(value[2]), 6) AS p1, round(avg(value[3]), 6) AS p2 FROM leaf GROUP BY id) SELECT id AS event_id, p0, p1, p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS label_predicted FROM m")
+@query(_DESCENT + ", m AS (SELECT id, l_orderkey, l_linenumber, avg(value[1]) AS p0, avg(value[2]) AS p1, avg(value[3]) AS p2 FROM leaf GROUP BY ALL) SELECT l_orderkey, l_linenumber, round(p0, 6) AS p0, round(p1, 6) AS p1, round(p2, 6) AS p2, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS label_predicted FROM m")
 def forest_vote(spark, d):
-    votes = forest.vote(forest.leaf_values(_leaves(spark, d), _nodes(spark)), "event_id", CLASSES)
-    return votes.select("event_id", *[F.round(f"p{i}", 6).alias(f"p{i}") for i in range(3)], "label_predicted")
+    votes = forest.score_nodes(_t(spark, d, "lineitem"), _grown(spark, d), NUM, CLASSES)
+    return votes.select("l_orderkey", "l_linenumber", *[F.round(f"p{i}", 6).alias(f"p{i}") for i in range(3)], "label_predicted")
 
 
-_IMPORTANCE = f"""WITH n AS (SELECT * FROM {_NODES_SQL}), g AS (SELECT p.tree_id, p.feature, (p.weighted_n * p.impurity - a.weighted_n * a.impurity - b.weighted_n * b.impurity) / (SELECT weighted_n FROM n r WHERE r.tree_id = p.tree_id AND r.node_id = 0) AS gain
- FROM n p JOIN n a ON a.tree_id = p.tree_id AND a.node_id = p.l JOIN n b ON b.tree_id = p.tree_id AND b.node_id = p.r),
- t AS (SELECT tree_id, feature, sum(gain) / sum(sum(gain)) OVER (PARTITION BY tree_id) AS importance FROM g GROUP BY tree_id, feature), f AS (SELECT feature, sum(importance) / (SELECT count(DISTINCT tree_id) FROM t) AS importance FROM t GROUP BY feature) """
+@query(_TREES + " SELECT tree_id, node_id, l AS \"left\", r AS \"right\", feature, round(threshold, 6) AS threshold, round(impurity, 8) AS impurity, n::BIGINT AS n_node_samples, round(decrease, 4) AS decrease FROM n")
+def exact_nodes(spark, d):
+    """Two exact trees of depth 2, node by node."""
+    return _grown(spark, d).select("tree_id", "node_id", "left", "right", "feature", *[F.round(c, k).alias(c) for c, k in (("threshold", 6), ("impurity", 8))], "n_node_samples", F.round("decrease", 4).alias("decrease"))
 
 
 @query(_IMPORTANCE + "SELECT tree_id, feature, round(importance, 8) AS importance FROM t")
 def tree_importance(spark, d):
-    return forest.tree_importance(_nodes(spark)).withColumn("importance", F.round("importance", 8))
+    return forest.tree_importance(_grown(spark, d)).withColumn("importance", F.round("importance", 8))
 
 
 @query(_IMPORTANCE + "SELECT feature, round(importance, 8) AS importance FROM f WHERE importance >= 0.3")
 def importance_select(spark, d):
-    return analyze.select_by_importance(forest.forest_importance(_nodes(spark)), 0.3).withColumn("importance", F.round("importance", 8))
+    return analyze.select_by_importance(forest.forest_importance(_grown(spark, d)), 0.3).withColumn("importance", F.round("importance", 8))
 
 
 @query(_IMPORTANCE + "SELECT feature, round(importance, 8) AS importance FROM f ORDER BY f.importance DESC, feature LIMIT 2")
 def top_n(spark, d):
-    return forest.forest_importance(_nodes(spark)).orderBy(F.desc("importance"), "feature").limit(2).withColumn("importance", F.round("importance", 8))
+    return forest.forest_importance(_grown(spark, d)).orderBy(F.desc("importance"), "feature").limit(2).withColumn("importance", F.round("importance", 8))
 
 
 def model_nodes(spark, d):
@@ -637,4 +670,4 @@ def tree_fit(spark, d):
 
 @query(_IMPORTANCE + "SELECT x.name AS feature_name, round(coalesce(importance, 0), 8) AS importance FROM (VALUES (0, 'l_quantity'), (1, 'l_extendedprice'), (2, 'l_discount'), (3, 'l_tax')) x(feature, name) LEFT JOIN f USING (feature)")
 def named_importance(spark, d):
-    return forest.named_importance(forest.forest_importance(_nodes(spark)), NUM).withColumn("importance", F.round("importance", 8))
+    return forest.named_importance(forest.forest_importance(_grown(spark, d)), NUM).withColumn("importance", F.round("importance", 8))

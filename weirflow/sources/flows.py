@@ -129,7 +129,7 @@ def metrics_message(metrics: DataFrame) -> Column:
     return F.format_string("Server metrics - Requests: %d | Active: %d | Avg Response: %.4fs | Rate: %d/min | Errors: %d", *[metrics[c] for c in ("total_requests", "active", "avg_duration", "requests_per_minute", "errors")])
 
 
-NODE_SCHEMA = "tree_id int, node_id int, left int, right int, feature int, threshold double, impurity double, n_node_samples long, weighted_n double, value array<double>"
+NODE_SCHEMA = "tree_id int, node_id int, left int, right int, feature int, threshold double, impurity double, n_node_samples long, weighted_n double, value array<double>, decrease double"
 
 
 def save_nodes(nodes: DataFrame, path: str) -> None:
