@@ -76,6 +76,33 @@ def test_correlations_against_numpy(spark):
     assert analyze.correlations(df.limit(0), ["c 0", "c 1"]).collect() == [("c 1", "c 0", None)]
 
 
+def test_pairs_with_missing_values_against_pandas(spark):
+    """Each pair over its own complete rows, in few and many partitions; large means, infinities, constants and empty columns."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 7))
+    x[:, 1] = 1e9 + x[:, 0] + 0.1 * x[:, 1]
+    x[:, 2], x[:, 4], x[:, 5] = 0.1, np.nan, -x[:, 0] ** 3
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:490, 6] = np.nan
+    table = pd.DataFrame(x, columns=[f"c {i}" for i in range(7)])
+    df = spark.createDataFrame([tuple(None if v != v and i % 2 else float(v) for i, v in enumerate(r)) for r in x], ", ".join(f"`c {i}` double" for i in range(7)))
+    want = table.corr(min_periods=2)
+    for parts in (1, 9):
+        got = {(r.feature_a, r.feature_b): r.r for r in analyze.correlations(df.repartition(parts), df.columns).collect()}
+        assert len(got) == 21
+        for (a, b), r in got.items():
+            w = want.loc[a, b]
+            assert r is None if 2 in (int(a[2:]), int(b[2:])) or w != w else r == pytest.approx(w, abs=1e-7), (a, b)
+        flat, _ = analyze.analyse(df.repartition(parts), df.columns)
+        assert flat == ["c 2"]
+        spread = {r.feature: r.variance for r in analyze.variances(analyze.moments(df.repartition(parts), df.columns), df.columns).collect()}
+        assert all(spread[c] == pytest.approx(table[c].var(), rel=1e-6) for c in ("c 0", "c 1", "c 3", "c 5", "c 6")) and "c 4" not in spread
+    odd = spark.createDataFrame([(1.0, 2.0), (float("inf"), 3.0)], "a double, b double")
+    assert analyze.correlations(odd, ["a", "b"]).first().r is None
+
+
 def test_ranks_and_rolling_means(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot"] * 9 + ["a", None]), i, rng.choice([None, rng.random()])) for i in range(3000)]

@@ -117,11 +117,13 @@ def low_variance(spark, d):
     return analyze.low_variance(_t(spark, d, "lineitem"), NUM).select("feature", F.round("variance", 8).alias("variance"))
 
 
-_NET = "(SELECT *, l_extendedprice * (1 - l_discount) AS net, -l_extendedprice AS owed FROM lineitem)"
+#: Derived columns with nulls in different rows.
+_NET = "(SELECT *, CASE WHEN l_linenumber <> 2 THEN l_extendedprice * (1 - l_discount) END AS net, CASE WHEN l_discount <= 0.05 THEN -l_extendedprice END AS owed FROM lineitem)"
 
 
 def _net(spark, d):
-    return _t(spark, d, "lineitem").select(*NUM, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), (-F.col("l_extendedprice")).alias("owed"))
+    net, owed = F.col("l_extendedprice") * (1 - F.col("l_discount")), -F.col("l_extendedprice")
+    return _t(spark, d, "lineitem").select(*NUM, F.when(F.col("l_linenumber") != 2, net).alias("net"), F.when(F.col("l_discount") <= 0.05, owed).alias("owed"))
 
 
 def _pairs_sql(cols: list[str]) -> str:

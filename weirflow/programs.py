@@ -38,20 +38,20 @@ def train(train: DataFrame, test: DataFrame, path: str, *, label: str = "Label",
     """Clean, derive features, drop flat and correlated ones, select by a forest's importances, fit, evaluate, save to path.
 
     What is dropped and selected is decided on the training table alone and applied to both. Of a
-    pair correlated above the limit the later column goes; negative correlations are reported only.
+    pair correlated above the limit the later column goes; negative correlations are reported only. If
+    no feature is important enough, all that are left are used.
     """
     spark = train.sparkSession
     with wide_plans(spark):
         rows = cut(_features(train, label, labels, remove))
         names = [f.name for f in rows.schema if isinstance(f.dataType, T.NumericType)]
-        flat = [r[0] for r in analyze.low_variance(rows, names, variance).collect()]  # one row for each column at most
-        pairs = analyze.correlations(rows, names)
+        flat, pairs = analyze.analyse(rows, names, variance)
         out = analyze.correlated_to_drop([tuple(r) for r in pairs.collect()], names, above)
         kept = [c for c in names if c not in {*flat, *out}]
         selector, classes = forest.fit_forest(rows, kept, label, n_estimators=trees, max_depth=depth, seed=seed)
         importances = cut(forest.named_importance(forest.forest_importance(forest.node_table(spark, selector)), kept))
         found = {r.feature_name for r in importances.where(F.col("importance") >= least_importance).collect()}
-        selected = [c for c in kept if c in found] or kept
+        selected = [c for c in kept if c in found] or kept  # no feature is that important: all stay
         model, classes = forest.fit_forest(rows, selected, label, n_estimators=trees, max_depth=depth, seed=seed)
         forest.save_forest(spark, path, model, selected, classes)
         held = forest.score(model, _features(test, label, labels, remove), selected, classes)
