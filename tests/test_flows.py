@@ -318,7 +318,7 @@ def test_compiled_forests_of_any_depth(spark, monkeypatch):
         return at
 
     want = {(r[0], t): leaf(t, *r[1:])[1] for r in rows for t in (0, 3)}
-    for most in (forest.BROADCAST_NODES, 161):
+    for most in (compiled.BROADCAST_NODES, 161):
         monkeypatch.setattr(forest, "compiled", lambda n, most=most: compiled.compiled(n, most))
         assert {(r.id, r.tree_id): r.node_id for r in forest.descend(df, nodes, "id", ["a", "b"]).collect()} == want
         scored = forest.score_nodes(df, nodes, ["a", "b"], ["x", "y"])
@@ -607,3 +607,31 @@ def test_a_table_may_be_a_folder(spark, tmp_path):
     spark.read.parquet(f"{SF}/lineitem.parquet").repartition(3).write.parquet(f"file://{tmp_path}/lineitem.parquet")
     rows = registry.stream_detect(spark, f"file://{tmp_path}").collect()
     assert {r.batch_id for r in rows} == {0} and sorted(map(tuple, rows)) == sorted(map(tuple, registry.stream_detect(spark, SF).collect()))
+
+
+def test_cuts_are_deleted_when_nothing_reads_them(spark):
+    """Checkpoints of a tree's growth leave the shared folder after the frames are gone."""
+    import gc
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from weirflow import storage
+
+    storage.shared_dir(spark)
+    folder = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    before = {p.name for p in folder.iterdir()}
+    held = storage.cut(spark.range(10))
+    kept = {p.name for p in folder.iterdir()} - before
+    cut = storage.cut(spark.range(20))
+    df = spark.createDataFrame([(float(i % 7), "ab"[i % 2]) for i in range(60)], "f double, y string")
+    nodes = tree.Tree(max_depth=3).fit(df, ["f"], "y")
+    assert kept and kept < {p.name for p in folder.iterdir()} - before and cut.count() == 20 and nodes.count() > 0
+    del cut, nodes
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        if {p.name for p in folder.iterdir()} - before <= kept:
+            break
+    assert {p.name for p in folder.iterdir()} - before == kept and held.count() == 10

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.features import xorshift32
 from ..sources.flows import save_nodes
-from ..storage import cut, remove, table_path
-from .compiled import BROADCAST_NODES, Compiled, compiled, matrix
+from ..storage import cut, remove, small, table_path
+from .compiled import BROADCAST_NODES, Compiled, compiled, matrix  # noqa: F401
 from .prefix import ranked
 
 MLLIB_DEPTH = 30
@@ -316,8 +316,7 @@ def score_nodes(df: DataFrame, nodes: DataFrame, features: Sequence[str], classe
 
 def leaf_values(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """leaves with the class shares of their node; the node table is broadcast if it is small enough."""
-    values = nodes.select("tree_id", "node_id", "value")
-    return leaves.join(F.broadcast(values) if values.count() <= BROADCAST_NODES else values, ["tree_id", "node_id"])
+    return leaves.join(small(cut(nodes.select("tree_id", "node_id", "value"))), ["tree_id", "node_id"])
 
 
 def vote(values: DataFrame, key: str, classes: Sequence[str]) -> DataFrame:

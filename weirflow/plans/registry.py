@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import features as X
 from ..operators import analyze, clean, evaluate, forest, metrics, split, tree
 from ..sources import flows as S
-from ..storage import remove, table_path
+from ..storage import cut, remove, small, table_path
 from ..streaming import detect
 from .flagship import FEATURES, flagship, flows
 
@@ -195,8 +195,8 @@ def split_gain(spark, d):
 
 @query(_SPLIT + "SELECT l.l_linestatus, CASE WHEN l.l_extendedprice <= b.x / 2 + b.y / 2 THEN 0 ELSE 1 END AS side, count(*) AS n FROM lineitem l JOIN b ON l.l_linestatus = b.l_linestatus AND b.k = 1 GROUP BY ALL")
 def node_route(spark, d):
-    best = _best(spark, d).select("l_linestatus", "threshold")  # one row for each node
-    rows = _t(spark, d, "lineitem").join(F.broadcast(best), "l_linestatus")
+    best = small(cut(_best(spark, d).select("l_linestatus", "threshold")))
+    rows = _t(spark, d, "lineitem").join(best, "l_linestatus")
     return split.route(rows, F.col("l_extendedprice"), F.col("threshold")).groupBy("l_linestatus", "side").agg(F.count(F.lit(1)).alias("n"))
 
 

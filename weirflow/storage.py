@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster that names none this raises: no folder of the driver's machine can be read by executors.
     """
     sc = spark.sparkContext
+    # Spark reads it with each checkpoint, from the context's own settings: a cut goes once no frame refers to it
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -31,11 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder: computed once, survives lost executors."""
+    """Checkpoint into the shared folder: computed once, survives lost executors, deleted by Spark's cleaner after the last frame that reads it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A frame is broadcast only when it was measured and holds at most so much, with what a hash table adds to each row.
+BROADCAST_BYTES, TABLE_ROW = 48 << 20, 100
+
+
+def small(df: DataFrame, row_bytes: int | Column = 100) -> DataFrame:
+    """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a merge that AQE can split.
+
+    The merge is asked for, since Spark takes a checkpoint's size from its plan, where an explode adds nothing.
+    """
+    size = df.agg(F.sum((row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)) + TABLE_ROW).cast("long")).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df.hint("merge")
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
