@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import programs
 from ..functions import features as X
 from ..operators import analyze, clean, evaluate, forest, metrics, split, tree
 from ..sources import flows as S
@@ -458,15 +459,6 @@ def stream_detect(spark, d):
     return found.select(F.col("batch_id").cast("long").alias("batch_id"), "label", "n")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events GROUP BY ALL")
-def stream_minutes(spark, d):
-    def run(stream, sink, at):
-        keep = lambda df, batch_id: df.write.mode("overwrite").parquet(sink)
-        return detect.minute_counts(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
-
-    return _streamed(spark, d, "events", run)
-
-
 def _thirds(spark, d) -> str:
     """A folder of the shared one with events in three files, in the order of their time."""
     path, rows = table_path(spark, "thirds"), _t(spark, d, "events")
@@ -477,6 +469,33 @@ def _thirds(spark, d) -> str:
     return path
 
 
+def _in_thirds(spark, d) -> tuple[DataFrame, str]:
+    """events as a stream of three micro-batches, and the folder that it reads."""
+    source = _thirds(spark, d)
+    stream = spark.readStream.schema(spark.read.parquet(f"{source}/part=0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    return stream, source
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events GROUP BY ALL")
+def stream_minutes(spark, d):
+    """The last count of each minute over three micro-batches; a minute that the watermark has passed is out of the state."""
+    base, (stream, source) = table_path(spark, "stream"), _in_thirds(spark, d)
+    keep = lambda df, batch_id: df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
+    detect.minute_counts(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, source, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").groupBy("minute").agg(F.max_by("requests", "batch").alias("requests"))
+
+
+@query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS requests FROM events GROUP BY date_trunc('minute', ts) HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def stream_closed_minutes(spark, d):
+    """The minutes that have left the state: each is given once, when the watermark, an hour behind the latest request, is past its end."""
+    base, (stream, source) = table_path(spark, "stream"), _in_thirds(spark, d)
+    keep = lambda df, batch_id: df.write.mode("append").parquet(f"{base}/out")
+    detect.minute_counts(stream).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    remove(spark, source, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k, max(ts) OVER (PARTITION BY event_type) AS newest FROM events),
  m AS (SELECT event_type, date_trunc('minute', ts) AS minute, newest, count(*) AS n FROM e GROUP BY ALL)
  SELECT event_type, count(*) AS total_requests, count(*) FILTER (value > 1) AS errors, 0::BIGINT AS active, round(avg(value) FILTER (k <= 1000), 6) AS avg_duration,
@@ -485,8 +504,7 @@ def _thirds(spark, d) -> str:
   (SELECT sum(n)::BIGINT FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000) AS live_requests FROM e GROUP BY event_type""")
 def stream_state(spark, d):
     """The state of each kind of event after three micro-batches; old minutes have left it."""
-    base, source = table_path(spark, "stream"), _thirds(spark, d)
-    stream = spark.readStream.schema(spark.read.parquet(f"{source}/part=0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    base, (stream, source) = table_path(spark, "stream"), _in_thirds(spark, d)
     requests = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), F.when(F.col("value") > 1, 500).otherwise(200).alias("status"), F.lit(-1).alias("change"))
     keep = lambda df, batch_id: df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
     detect.server_state(requests, "event_type", slice_seconds=6 * 3600).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -503,8 +521,7 @@ _GAUGE_SQL = """(SELECT max_by(g, (ts, event_id)) - least(0, min(g)) FROM (SELEC
 
 def _shots(spark, d, sink, at):
     """Snapshots of events from three micro-batches in the order of time."""
-    source = _thirds(spark, d)
-    stream = spark.readStream.schema(spark.read.parquet(f"{source}/part=0").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    stream, source = _in_thirds(spark, d)
     change = F.when(F.col("event_type").isin("click", "view"), 1).otherwise(-1)
     detect.snapshots(stream, "value", F.col("event_type") == "error", ["ts", "event_id"], sink, at, change=change).awaitTermination()
     remove(spark, source, at)
@@ -654,6 +671,26 @@ def flow_select(spark, d):
     return spark.createDataFrame([(c,) for c in analyze.kept_features(_engineered(spark, d).select(*[f"`{c}`" for c in _FLOW_COLS]), _FLOW_COLS)], "feature string")
 
 
+def _part_sql(side: str) -> str:
+    """The CTEs' sources over the lines of one side of the split of files for training and testing."""
+    return _ENGINEER_SQL.replace("FROM lineitem)", f"FROM lineitem WHERE l_partkey % 5 {side} 0)")
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT * FROM {_part_sql("<>")}), k AS (SELECT a FROM ({_FLOW_PAIRS}) WHERE ok AND r > 0.95)
+ SELECT 'missing' AS kind, 'Flow Bytes/s' AS name, count(*) AS n FROM lineitem WHERE l_partkey % 5 <> 0 AND l_tax = 0
+ UNION ALL SELECT 'flat', feature, 0 FROM ({_FLOW_VARS}) WHERE v < 0.01 UNION ALL SELECT DISTINCT 'dropped', a, 0 FROM k UNION ALL SELECT 'tested', 'rows', count(*) FROM {_part_sql("=")}""")
+def flow_train(spark, d):
+    """A training run from flow tables to a saved and evaluated model: what doesn't hang on random draws of it. Forests of 5 trees of depth 5."""
+    rows, path = flow_table(spark, d), table_path(spark, "model")
+    own = F.col("`Src Port`") % 5
+    run = programs.train(rows.where(own != 0), rows.where(own == 0), path, trees=5, depth=5)
+    remove(spark, path)
+    small_parts = [("flat", c, 0) for c in run.low_variance] + [("dropped", c, 0) for c in run.dropped]
+    found = run.missing.select(F.lit("missing").alias("kind"), F.col("column").alias("name"), F.col("n_null").alias("n"))
+    tested = run.report.where("class = 'accuracy'").select(F.lit("tested").alias("kind"), F.lit("rows").alias("name"), F.col("support").alias("n"))
+    return found.unionAll(spark.createDataFrame(small_parts, "kind string, name string, n long")).unionAll(tested)
+
+
 _LONG = " UNION ALL ".join(f"SELECT {i} AS place, {c}::FLOAT::DOUBLE AS x, l_returnflag AS y FROM lineitem" for i, c in enumerate(NUM))
 
 
