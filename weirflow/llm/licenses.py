@@ -384,7 +384,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 for i in range(len(offsets) - 1):
                     a, b = int(words.first[i]), int(words.first[i + 1])
                     row = [b - a, 0, None, None, "", "", 0.0, []]
-                    keys = {k for k in set(gate.findall(lower, int(offsets[i]), int(offsets[i + 1])))}
+                    keys = set(gate.findall(lower[int(offsets[i]) : int(offsets[i + 1])]))  # a slice: a look behind would see the text before
                     if keys:
                         row[1:] = _detect(lower, words, a, b, keys, by_key, base)
                     for c, x in zip(columns[1:], row, strict=True):
