@@ -122,6 +122,18 @@ def test_one_document_is_fetched(spark, odd):
     assert bitpack.fetch_tokens(spark, path, []).count() == 0
 
 
+def test_many_documents_are_fetched(spark, tmp_path):
+    """Thousands of ids in far apart runs come from a bounded plan; the vocabulary's size is the file's."""
+    df = spark.range(6000).selectExpr("id * 7 AS doc_id", "concat('text ', id % 50) AS text")
+    path = f"file://{tmp_path}/tokens"
+    bitpack.write_tokens(df, path, segment_ids=500)
+    ids = [*range(0, 7000, 2), 35_000, 41_993, 10**9]
+    got = [r.doc_id for r in bitpack.fetch_tokens(spark, path, ids).collect()]
+    assert sorted(got) == sorted(i for i in ids if i % 7 == 0 and i < 42_000)
+    assert bitpack._ranges([1, 2, 3, 10, 11, 50], 3) == [(1, 3), (10, 11), (50, 50)] and bitpack._ranges([4], 3) == [(4, 4)]
+    assert bitpack.vocabulary_size(default_path("byte_bpe_50k.json")) == 50257
+
+
 def test_license_places(odd, documents, nothing):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     columns = ["doc_id", "text"]

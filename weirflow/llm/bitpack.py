@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .session import small_batches
-from .tokens import default_path, worker_encoder
+from .tokens import default_path, vocabulary_size, worker_encoder
 
 HEAD = struct.Struct("<4sBBHIIQII")
 MAGIC, VERSION = b"WFBP", 1
@@ -95,13 +95,15 @@ class Segment:
         return np.concatenate(parts)[start - first * self.block_ids : stop - first * self.block_ids]
 
 
-def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, joins_space: bool = True, vocabulary: int = 50257, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, joins_space: bool = True, vocabulary: int | None = None, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode all documents and write their ids in ascending doc_id order.
 
     Null ids come first; repeated ids go by a hash of their texts. A null or empty text is the end
-    id alone. A document lies in one segment whole. Only doc_id and text are read.
+    id alone. A document lies in one segment whole. Only doc_id and text are read. vocabulary: the
+    number of ids, the tokenizer's own unless it is given.
     """
-    file, bits = tokenizer or default_path("byte_bpe_50k.json"), width_for(vocabulary)
+    file = tokenizer or default_path("byte_bpe_50k.json")
+    bits = width_for(vocabulary or vocabulary_size(file))
     schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +164,24 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _ranges(ids: Sequence[int], most: int) -> list[tuple[int, int]]:
+    """At most so many ranges that hold these rising ids, cut at the widest gaps."""
+    widest = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[: most - 1]
+    cuts = [0, *sorted(widest), len(ids)]
+    return [(ids[a], ids[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def fetch_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
     """doc_id, n_tokens, ids of these documents only: the segments whose range holds one are read, and of them the blocks that it touches.
 
-    The statistics of first_doc and last_doc let Parquet skip all other row groups. An id that stands
-    several times has a row for each; one that isn't there has none.
+    The statistics of first_doc and last_doc let Parquet skip other row groups; of many ids those
+    between the ids' widest gaps are read. An id that stands several times has a row for each; one
+    that isn't there has none.
     """
-    wanted = sorted(set(doc_ids))
+    wanted = frozenset(doc_ids)
     if not wanted:
         return spark.createDataFrame([], "doc_id long, n_tokens long, ids binary")
-    near = reduce(or_, [(F.col("first_doc") <= d) & (F.col("last_doc") >= d) for d in wanted])
+    near = reduce(or_, [(F.col("first_doc") <= b) & (F.col("last_doc") >= a) for a, b in _ranges(sorted(wanted), 100)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

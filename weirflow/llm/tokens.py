@@ -26,6 +26,14 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def vocabulary_size(path: str) -> int:
+    """How many ids a tokenizer's file has, with its special tokens."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts. joins_space: a token may begin with one space (byte-level BPE)."""
 
