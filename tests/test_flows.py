@@ -291,8 +291,8 @@ def test_all_trees_at_once_are_the_trees_one_by_one(spark):
     nodes, classes, accuracy = forest.fit_exact_forest(df, ["a", "b", "c"], "y", p, ["id"])
     assert accuracy is None
     for t in range(4):
-        slots = spark.range(forest.samples_drawn(60, 0.8))
-        draws = slots.select(forest.drawn_row(F.lit(t), F.col("id"), 60, p.random_state).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+        slots = spark.range(forest.samples_drawn(60, 0.8)).selectExpr("id AS slot", f"{t} AS tree")
+        draws = forest.drawn_rows(slots, "tree", "slot", 60, p.random_state, "id").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
         own = tree.Tree(max_depth=4)
         alone = own.fit(df.join(draws, "id"), ["a", "b", "c"], "y", "times").orderBy("node_id").collect()
         assert own.classes == classes

@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.features import xorshift32
 from ..sources.flows import save_nodes
 from ..storage import cut, remove, small, table_path
 from .compiled import BROADCAST_NODES, Compiled, compiled, matrix  # noqa: F401
@@ -43,11 +42,23 @@ def samples_drawn(n_rows: int, max_samples: int | float | None) -> int:
     return max(round(n_rows * max_samples), 1)
 
 
-def drawn_row(tree: Column, slot: Column, n_rows: int, seed: int) -> Column:
-    """The number of the row that a slot of a tree's sample draws: two xorshift steps over a mixed counter."""
-    mask = F.lit(0xFFFFFFFF).cast("long")
-    state = (slot.cast("long") * F.lit(40503).cast("long") + tree.cast("long") * F.lit(69069).cast("long") + F.lit(seed).cast("long")).bitwiseAND(mask)
-    return xorshift32(xorshift32(state) * F.lit(2).cast("long") + F.lit(1).cast("long")) % F.lit(n_rows).cast("long")
+def drawn_rows(slots: DataFrame, tree: str, slot: str, n_rows: int, seed: int, name: str = "_row") -> DataFrame:
+    """slots with the number of the row that each slot of a tree's sample draws: two xorshift steps over a mixed counter.
+
+    Every shift is a projection of its own, which Spark doesn't inline: as one expression the steps
+    would repeat each other so often that no code is generated for them.
+    """
+    long, s = lambda v: F.lit(v).cast("long"), F.col(name)
+    mask = long(0xFFFFFFFF)
+    out = slots.withColumn(name, (F.col(slot).cast("long") * long(40503) + F.col(tree).cast("long") * long(69069) + long(seed)).bitwiseAND(mask))
+    for last in (False, True):
+        out = out.withColumn(name, F.when(s == 0, long(1)).otherwise(s.bitwiseAND(mask)))
+        out = out.withColumn(name, s.bitwiseXOR(F.shiftleft(s, 13)).bitwiseAND(mask))
+        out = out.withColumn(name, s.bitwiseXOR(F.shiftright(s, 17)))
+        out = out.withColumn(name, s.bitwiseXOR(F.shiftleft(s, 5)).bitwiseAND(mask) % long(1 << 31))
+        out = out.withColumn(name, s % long(n_rows) if last else s * long(2) + long(1))
+    # never null, as Spark knows by this: no join needs to filter it below these steps
+    return out.withColumn(name, F.coalesce(s, long(0)))
 
 
 def bootstrap(df: DataFrame, order: Sequence[str], *, trees: int = 1, seed: int = 42, max_samples: int | float | None = None, n_rows: int | None = None) -> DataFrame:
@@ -61,7 +72,7 @@ def bootstrap(df: DataFrame, order: Sequence[str], *, trees: int = 1, seed: int
     if not n:
         return numbered.drop("_row").select(F.lit(0).alias("tree_id"), "*", F.lit(0).cast("long").alias("times"))
     slots = df.sparkSession.range(samples_drawn(n, max_samples)).select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"), F.col("id").alias("_slot"))
-    draws = slots.select("tree_id", drawn_row(F.col("tree_id"), F.col("_slot"), n, seed).alias("_row")).groupBy("tree_id", "_row").agg(F.count(F.lit(1)).alias("times"))
+    draws = drawn_rows(slots, "tree_id", "_slot", n, seed).groupBy("tree_id", "_row").agg(F.count(F.lit(1)).alias("times"))
     return numbered.join(draws, "_row").select("tree_id", *df.columns, "times")
 
 
@@ -178,7 +189,7 @@ def fit_exact_forest(df: DataFrame, features: Sequence[str], label: str, params:
     every = F.array(*map(F.lit, range(p.n_estimators)))
     if p.bootstrap and n:
         slots = df.sparkSession.range(samples_drawn(n, p.max_samples)).select(F.explode(every.cast("array<int>")).alias("tree"), F.col("id").alias("_slot"))
-        draws = slots.select("tree", drawn_row(F.col("tree"), F.col("_slot"), n, p.random_state).alias("_row")).groupBy("_row", "tree").agg(F.count(F.lit(1)).cast("int").alias("times"))
+        draws = drawn_rows(slots, "tree", "_slot", n, p.random_state).groupBy("_row", "tree").agg(F.count(F.lit(1)).cast("int").alias("times"))
         bags = draws.groupBy("_row").agg(F.collect_list(F.struct("tree", "times")).alias("bag"))  # an entry for each tree
         rows = numbered.join(bags, "_row", "left").withColumns({"trees": F.coalesce("bag.tree", F.array().cast("array<int>")), "times": F.coalesce("bag.times", F.array().cast("array<int>"))})
     else:

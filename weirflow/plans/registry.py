@@ -497,13 +497,13 @@ def stream_closed_minutes(spark, d):
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k, max(ts) OVER (PARTITION BY event_type) AS newest FROM events),
- m AS (SELECT event_type, date_trunc('minute', ts) AS minute, newest, count(*) AS n FROM e GROUP BY ALL)
+ m AS (SELECT event_type, date_trunc('minute', ts) AS minute, newest, count(*) AS n FROM e GROUP BY ALL HAVING date_trunc('minute', ts) + INTERVAL 1 HOUR >= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))
  SELECT event_type, count(*) AS total_requests, count(*) FILTER (value > 1) AS errors, 0::BIGINT AS active, round(avg(value) FILTER (k <= 1000), 6) AS avg_duration,
-  (SELECT n FROM m WHERE m.event_type = e.event_type AND minute = date_trunc('minute', newest)) AS requests_per_minute,
+  coalesce((SELECT n FROM m WHERE m.event_type = e.event_type AND minute = date_trunc('minute', newest)), 0) AS requests_per_minute,
   (SELECT count(*) FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000) AS live_minutes,
-  (SELECT sum(n)::BIGINT FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000) AS live_requests FROM e GROUP BY event_type""")
+  coalesce((SELECT sum(n)::BIGINT FROM m WHERE m.event_type = e.event_type AND epoch_us(newest) - epoch_us(minute) <= 3600000000), 0) AS live_requests FROM e GROUP BY event_type""")
 def stream_state(spark, d):
-    """The state of each kind of event after three micro-batches; old minutes have left it."""
+    """The state of each kind of event after three micro-batches; minutes have left it that are older than an hour by the kind's own latest request, or by the watermark."""
     base, (stream, source) = table_path(spark, "stream"), _in_thirds(spark, d)
     requests = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("duration"), F.when(F.col("value") > 1, 500).otherwise(200).alias("status"), F.lit(-1).alias("change"))
     keep = lambda df, batch_id: df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
@@ -707,6 +707,57 @@ def tree_fit(spark, d):
     return nodes.select("node_id", "feature", F.round("threshold", 6).alias("threshold"), "n_node_samples", F.round("impurity", 8).alias("impurity"), F.round(F.get("value", F.lit(0)), 8).alias("p0"))
 
 
+def _stumps_sql(rows: str, classes: list[str], where: str = "true") -> str:
+    """Trees of depth 1 from (tree_id, place, x, y, w): rows counted, classes weighed, the best threshold that `where` allows."""
+    k = range(len(classes))
+    total = lambda p: " + ".join(f"{p}{i}" for i in k)
+    squares = lambda p: " + ".join(f"{p}{i} * {p}{i}" for i in k)
+    share = lambda p, n: f"round(1 - ({squares(p)}) / ({n} * {n}), 8) AS impurity, round({p}0 / {n}, 8) AS p0"
+    return f"""WITH v AS (SELECT tree_id, place, x, count(*) AS c, {", ".join(f"coalesce(sum(w) FILTER (y = '{y}'), 0)::DOUBLE AS c{i}" for i, y in enumerate(classes))} FROM ({rows}) WHERE w <> 0 GROUP BY ALL),
+ w AS (SELECT *, lead(x) OVER o AS z, sum(c) OVER (o ROWS UNBOUNDED PRECEDING) AS cl, sum(c) OVER p AS ct, {", ".join(f"sum(c{i}) OVER (o ROWS UNBOUNDED PRECEDING) AS l{i}, sum(c{i}) OVER p AS t{i}" for i in k)} FROM v WINDOW o AS (PARTITION BY tree_id, place ORDER BY x), p AS (PARTITION BY tree_id, place)),
+ r AS (SELECT *, {", ".join(f"t{i} - l{i} AS r{i}" for i in k)}, {total("l")} AS nl, {total("t")} AS n, ct - cl AS cr FROM w WHERE z - x > 1e-7),
+ s AS (SELECT *, n - nl AS nr FROM r),
+ k AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY ({squares("l")}) / nl + ({squares("r")}) / nr DESC, place, x) AS best FROM s WHERE {where})
+ SELECT tree_id, 0 AS node_id, place AS feature, round(x / 2 + z / 2, 6) AS threshold, ct::BIGINT AS n_node_samples, n AS weighted_n, {share("t", "n")} FROM k WHERE best = 1
+ UNION ALL SELECT tree_id, 1, -2, -2.0, cl::BIGINT, nl, {share("l", "nl")} FROM k WHERE best = 1
+ UNION ALL SELECT tree_id, 2, -2, -2.0, cr::BIGINT, nr, {share("r", "nr")} FROM k WHERE best = 1"""
+
+
+def _stumps(nodes: DataFrame) -> DataFrame:
+    return nodes.select("tree_id", "node_id", "feature", F.round("threshold", 6).alias("threshold"), "n_node_samples", "weighted_n", F.round("impurity", 8).alias("impurity"), F.round(F.get("value", F.lit(0)), 8).alias("p0"))
+
+
+_WEIGHED = " UNION ALL ".join(f"SELECT 0 AS tree_id, {i} AS place, {c}::FLOAT::DOUBLE AS x, l_returnflag AS y, (l_linenumber - 1) AS w FROM lineitem" for i, c in enumerate(NUM))
+
+
+@query(_stumps_sql(_WEIGHED, CLASSES, "cl >= 100 AND cr >= 100 AND nl >= 0.45 * n AND nr >= 0.45 * n"))
+def weighted_tree(spark, d):
+    """An exact tree of depth 1 over weighted rows, those of weight 0 left out, with bounds on the rows and the weight of a leaf."""
+    rows = _t(spark, d, "lineitem").withColumn("weight", F.col("l_linenumber") - 1)
+    return _stumps(tree.Tree(max_depth=1, min_samples_leaf=100, min_weight_fraction_leaf=0.45).fit(rows, NUM, "l_returnflag", "weight"))
+
+
+_BAGGED = " UNION ALL ".join(f"SELECT tree_id, {i} AS place, {c}::FLOAT::DOUBLE AS x, o_orderstatus AS y, times AS w FROM bag JOIN orders USING (o_orderkey)" for i, c in enumerate(("o_custkey", "o_totalprice")))
+
+
+@query(f"WITH bag AS MATERIALIZED ({_draws_sql(3, '(SELECT count(*) FROM orders)')}) {_stumps_sql(_BAGGED, ['F', 'O', 'P']).replace('WITH v AS', ', v AS', 1)}")
+def exact_forest(spark, d):
+    """Three exact trees of depth 1, each over its own sample of orders with replacement."""
+    params = forest.ForestParams(n_estimators=3, max_depth=1, max_features=None)
+    nodes, _, _ = forest.fit_exact_forest(_t(spark, d, "orders"), ["o_custkey", "o_totalprice"], "o_orderstatus", params, ["o_orderkey"])
+    return _stumps(nodes)
+
+
+@query(_TREES + " SELECT tree_id, count(*) AS nodes, count(*) FILTER (l < 0) AS leaves, round(sum(decrease), 4) AS decrease FROM n GROUP BY tree_id")
+def saved_nodes(spark, d):
+    """A node table written and read back with its schema checked."""
+    path = table_path(spark, "nodes")
+    S.save_nodes(_grown(spark, d), path)
+    nodes = cut(S.load_nodes(spark, path))
+    remove(spark, path)
+    return nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("left") < 0).alias("leaves"), F.round(F.sum("decrease"), 4).alias("decrease"))
+
+
 @query(_IMPORTANCE + "SELECT x.name AS feature_name, round(coalesce(importance, 0), 8) AS importance FROM (VALUES (0, 'l_quantity'), (1, 'l_extendedprice'), (2, 'l_discount'), (3, 'l_tax')) x(feature, name) LEFT JOIN f USING (feature)")
 def named_importance(spark, d):
     return forest.named_importance(forest.forest_importance(_grown(spark, d)), NUM).withColumn("importance", F.round("importance", 8))
