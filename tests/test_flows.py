@@ -452,6 +452,32 @@ def test_files_by_their_own_headers(spark, tmp_path):
         S.stream_flows(spark, f"file://{landing}", schema).writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/c3").trigger(availableNow=True).start().awaitTermination()
 
 
+def test_detection_goes_on_by_a_period(spark, tmp_path):
+    """A query with a trigger takes a file that lands while it runs, and a restart goes on after the last one."""
+    landing, out = tmp_path / "landing", f"file://{tmp_path}/out"
+    schema = S.T.StructType([S.T.StructField("x", S.T.LongType())])
+    rule = lambda df: df.withColumn("label_predicted", F.lit("a"))
+    _csv(landing, "0.csv", ["x", "1"])
+
+    def upto(n, more=None):
+        running = detect.detect_files(S.stream_files(spark, f"file://{landing}"), schema, rule, ["a"], out, f"file://{tmp_path}/c", remove=[], period="200 milliseconds")
+        for _ in range(60):
+            done = len(list((tmp_path / "out").glob("batch=*/_SUCCESS")))
+            if done >= n or not running.isActive:
+                break
+            if done and more:
+                _csv(landing, *more)
+                more = None
+            running.awaitTermination(1)
+        assert running.isActive
+        running.stop()
+        return [r.n for r in spark.read.parquet(out).orderBy("batch_id").collect()]
+
+    assert upto(2, ("1.csv", ["x", "1", "2"])) == [1, 2]
+    _csv(landing, "2.csv", ["x", "1", "2", "3"])
+    assert upto(3) == [1, 2, 3]
+
+
 def test_finished_files_are_deleted(spark, tmp_path):
     landing = tmp_path / "landing"
     for i in range(3):

@@ -469,6 +469,20 @@ def _thirds(spark, d) -> str:
     return path
 
 
+_VOTED = """, m AS (SELECT id, avg(value[1]) AS p0, avg(value[2]) AS p1, avg(value[3]) AS p2 FROM leaf GROUP BY id),
+ c AS (SELECT CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'A' WHEN p1 >= p2 THEN 'N' ELSE 'R' END AS label, 1 AS n FROM m UNION ALL SELECT unnest(['A', 'N', 'R', 'none']), 0)
+ SELECT 0::BIGINT AS batch_id, label, sum(n)::BIGINT AS n FROM c GROUP BY label"""
+
+
+@query(_DESCENT.replace("AS x FROM lineitem)", "AS x FROM (SELECT DISTINCT * FROM lineitem))") + _VOTED)
+def stream_scores(spark, d):
+    """Detection with a model: a micro-batch is cleaned, scored by two exact trees and counted for each label."""
+    nodes = _grown(spark, d)
+    predict = lambda df: forest.score_nodes(df, nodes, NUM, CLASSES)
+    found = _streamed(spark, d, "lineitem", lambda s, sink, at: detect.detect(s, predict, [*CLASSES, "none"], sink, at, remove=["l_orderkey", "l_partkey"]))
+    return found.select(F.col("batch_id").cast("long").alias("batch_id"), "label", "n")
+
+
 def _in_thirds(spark, d) -> tuple[DataFrame, str]:
     """events as a stream of three micro-batches, and the folder that it reads."""
     source = _thirds(spark, d)
