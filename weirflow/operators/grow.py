@@ -31,7 +31,7 @@ ROWS = 1 << 12
 
 @dataclass
 class Rules:
-    """When a node is split: as the parameters of a tree say, for all trees. seeds: one for each tree's draws."""
+    """When a node is split, as the parameters of a tree say, for all trees. seeds: one for each tree."""
 
     max_depth: int | None
     min_samples_split: int
@@ -40,6 +40,8 @@ class Rules:
     subset: int
     min_impurity_decrease: float
     seeds: Sequence[int]
+    #: Whether nodes try some of the features only.
+    draws: bool
 
 
 @dataclass
@@ -91,7 +93,7 @@ def grow(rows: DataFrame, features: int, classes: int, rules: Rules) -> list[lis
         enough = lambda t, x: x.rows >= least and x.weight >= 2 * rules.min_weight_fraction_leaf * total[t] and x.impurity > EPSILON
         open_ = [(t, i) for t, i in frontier if enough(t, trees[t][i]) and len(trees[t][i].constant) < features]
         frontier = []
-        orders = [draw(rules.seeds[t], i, features) if rules.subset < features else list(range(features)) for t, i in open_]
+        orders = [draw(rules.seeds[t], i, features) if rules.draws else list(range(features)) for t, i in open_]
         tried = [[p for p in order[: rules.subset] if p not in trees[t][i].constant] for order, (t, i) in zip(orders, open_, strict=True)]
         splits, again = {}, []
         for slot, split, constant in _level(rows, trees, open_, tried, classes, rules, total):
@@ -138,7 +140,8 @@ def _level(rows: DataFrame, trees: list[list[Node]], open_: list[tuple[int, int]
         return
     found = candidates(_counted(rows, trees, open_, tried, classes), classes)
     weights = rows.sparkSession.createDataFrame([(slot, rules.min_weight_fraction_leaf * total[t]) for slot, (t, _) in enumerate(open_)], "node int, least double") if rules.min_weight_fraction_leaf else None
-    spans = {(r.node, r.place): r for r in found.spans.collect()}  # a row for each node and feature that it tries
+    # a row for each node and feature that it tries; a node that tries all needn't know which are constant
+    spans = {(r.node, r.place): r for r in found.spans.collect()} if rules.draws else {}
     constant = [frozenset(p for p in own if (slot, p) in spans and not spans[slot, p].high - spans[slot, p].low > GAP) for slot, own in enumerate(tried)]
     rated = found.rated
     if weights is not None:

@@ -52,7 +52,7 @@ class Tree:
 
     def rules(self, features: int, trees: int = 1) -> Rules:
         subset = max_features(self.max_features, features)
-        return Rules(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_weight_fraction_leaf, subset, self.min_impurity_decrease, [self.random_state + t for t in range(trees)])
+        return Rules(self.max_depth, self.min_samples_split, self.min_samples_leaf, self.min_weight_fraction_leaf, subset, self.min_impurity_decrease, [self.random_state + t for t in range(trees)], subset < features)
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
         """The nodes, numbered in pre-order, with `feature_name`; a value is the share of each class, in the order of `classes`.
