@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from weirflow import storage
 from weirflow.llm import content_dedup, decontaminate, hilbert, queries, secrets
 
 SF = "/root/testdata/sf0.001"
@@ -218,6 +219,24 @@ def test_decontamination_against_brute_force(spark, documents):
     assert {(r.doc_id, r.item_id) for r in rows if r.doc_id in some} == _brute_windows(some, items)
 
 
+def test_sieve_holds_all_known_shingles(spark, monkeypatch):
+    """A benchmark too large to broadcast: the bitmap lets all of its shingles through, of others few, and the result is the same."""
+    known = spark.range(3000).selectExpr("xxhash64(id) AS _h")
+    bitmap, bits = decontaminate.sieve(known, 3000)
+    longs = bitmap.first()[0]
+    assert bits == 1 << 16 and len(longs) == bits // 64
+    passes = lambda h: longs[h % bits // 64] >> h % bits % 64 & 1
+    assert all(passes(r[0]) for r in known.collect())
+    assert sum(passes(r[0]) for r in spark.range(3000, 6000).selectExpr("xxhash64(id)").collect()) < 300
+    plain = {tuple(r) for r in queries.op7_simhash_decontamination(spark, SF).collect()}
+    for module in (decontaminate, storage):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert plain and {tuple(r) for r in queries.op7_simhash_decontamination(spark, SF).collect()} == plain
+    monkeypatch.setattr(decontaminate, "SIEVE_MOST", 64)
+    monkeypatch.setattr(decontaminate, "SIEVE_LEAST", 64)
+    assert {tuple(r) for r in queries.op7_simhash_decontamination(spark, SF).collect()} == plain
+
+
 def _native(spark, column, sql):
     return spark.createDataFrame([(column,)], "v array<bigint>").selectExpr(f"{sql} AS x").first().x
 

@@ -21,13 +21,15 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, fresh, small
+from .session import BROADCAST_BYTES, TABLE_ROW, cut, fresh, small
 
 WORD_GAP = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Bits of a fingerprint and of a block, radius of a pair and, by pigeonhole, of one of its blocks.
 BITS, BLOCK_BITS, RADIUS = 256, 16, 63
 LONGS, BLOCKS = BITS // 64, BITS // BLOCK_BITS
 BLOCK_RADIUS = RADIUS // BLOCKS
+#: Bits of the bitmap of items' shingles: so many for each, and at most (8 MB) and at least so many.
+SIEVE_EACH, SIEVE_MOST, SIEVE_LEAST = 16, 1 << 26, 1 << 12
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -112,12 +114,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, th
     return out.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", (-F.col("_best._start")).alias("start_word"), "_best.n_words", "_best.similarity")
 
 
+def sieve(known: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row with one array, a bitmap that has a bit for each hash `_h` of the n of known, and the number of its bits."""
+    bits = min(max(SIEVE_LEAST, 1 << (SIEVE_EACH * n - 1).bit_length()), SIEVE_MOST)
+    at = known.select(F.expr(f"pmod(_h, {bits}L)").alias("_at"))
+    set_ = at.groupBy(F.expr("_at div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, CAST(_at % 64 AS INT)))").alias("_v"))
+    longs = known.sparkSession.range(bits // 64).join(set_, "id", "left").select("id", F.coalesce("_v", F.lit(0)).alias("_v"))
+    return cut(longs.agg(F.expr("transform(sort_array(collect_list(struct(id, _v))), x -> x._v)").alias("_bits"))), bits
+
+
 def _windows(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """(_id, _own, _sizes): for each document with such windows the starts of those of each size."""
     known = cut(items.select("_m", F.explode(F.array_distinct("_item")).alias("_h")).distinct())
     hashed = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.expr(_shingles(_words("text"), k)).alias("_sh")).withColumn("_n", F.size("_sh"))
     # the outer form: Spark would infer a filter from the plain one and compute the shingles for it once more
     at = hashed.select("doc_id", "_key", "_n", F.posexplode_outer("_sh").alias("_pos", "_h"))
+    n = known.count()
+    if n * (16 + TABLE_ROW) > BROADCAST_BYTES:
+        # both sides of the join are shuffled: only the shingles that the bitmap lets through
+        bitmap, bits = sieve(known, n)
+        at = at.withColumn("_long", F.get(bitmap.scalar(), F.expr(f"CAST(pmod(_h, {bits}L) div 64 AS INT)")))
+        at = at.where(f"(shiftrightunsigned(_long, CAST(pmod(_h, {bits}L) % 64 AS INT)) & 1) = 1").drop("_long")
     hits = at.join(small(known, 16), "_h").groupBy("doc_id", "_key", "_m", "_n").agg(F.sort_array(F.collect_set("_pos")).alias("_p"))
     whole, part = 2 * threshold / (1 + threshold), threshold
     need = f"greatest(1, CAST(ceil(IF(_n >= _m, {whole!r}, {part!r}) * _m - 1e-9D) AS INT))"

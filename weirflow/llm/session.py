@@ -5,28 +5,17 @@ from __future__ import annotations
 import gc
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, fresh, remove, shared_dir, table_path
+from ..storage import BROADCAST_BYTES, TABLE_ROW, cut, fresh, remove, shared_dir, small, table_path
 
-__all__ = ["cut", "fresh", "lookup", "release", "remove", "shared_dir", "small", "small_batches", "table_path", "written"]
+__all__ = ["BROADCAST_BYTES", "TABLE_ROW", "cut", "fresh", "lookup", "release", "remove", "shared_dir", "small", "small_batches", "table_path", "written"]
 
-#: A frame is broadcast only when it was measured and holds at most so much, with what a hash table adds to each row.
-BROADCAST_BYTES, TABLE_ROW = 48 << 20, 100
 #: Rows of one key that a join sends to one task.
 TASK_ROWS = 10_000
 
 
-def small(df: DataFrame, row_bytes: int | Column = 100) -> DataFrame:
-    """Broadcast a checkpointed frame if its rows, at row_bytes each, fit; else it joins by a merge that AQE can split.
-
-    The merge is asked for, since Spark takes a checkpoint's size from its plan, where an explode adds nothing.
-    """
-    size = df.agg(F.sum((row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)) + TABLE_ROW).cast("long")).first()[0]
-    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df.hint("merge")
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str, how: str = "inner", row_bytes: int = 100, most: int | None = None) -> DataFrame:
     """left joined with right, which has each key once and in `times` how many rows of left have it.
 
