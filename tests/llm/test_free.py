@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weirflow import storage
 from weirflow.llm import bitpack, components, licenses, order_minhash, packing, quality, queries, session, textbytes, toxicity
 from weirflow.llm.tokens import Encoder, default_path
 
@@ -337,6 +338,7 @@ def test_components(spark):
 
 def test_lookup_deals_hot_keys_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(session, "TASK_ROWS", 10)
     left = spark.range(1000).selectExpr("IF(id < 600, 0, id) AS k", "id")
     right = left.groupBy("k").count().selectExpr("k", "k * 2 AS v", "`count` AS n").where("k <> 700")
@@ -369,6 +371,24 @@ def test_near_duplicates_against_brute_force(spark, odd, nothing, documents):
     assert order_minhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, storage.BROADCAST_BYTES])
+def test_a_document_in_many_pairs_is_dealt_over_tasks(spark, monkeypatch, broadcast):
+    """One document at either end of most pairs; id 7 has two texts, so each of its pairs is aligned twice."""
+    base = [f"u{i}" for i in range(60)]
+    texts = [(i, " ".join(base[: 60 - i % 20])) for i in range(80)] + [(7, " ".join(base))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = storage.cut(spark.createDataFrame([(0, i) for i in range(1, 80)] + [(i, 79) for i in range(1, 79)] + [(3, 5)], "a long, b long"))
+    once = {tuple(r) for r in order_minhash._verified(pairs, docs, 5, 0.8).collect()}
+    assert order_minhash._hot_ends(pairs, "a").isEmpty()
+    monkeypatch.setattr(order_minhash, "TASK_ROWS", 8)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", broadcast)
+    assert {tuple(r) for r in order_minhash._hot_ends(pairs, "a").collect()} == {(0, 10)}
+    assert {tuple(r) for r in order_minhash._hot_ends(pairs, "b").collect()} == {(79, 10)}
+    assert {tuple(r) for r in order_minhash._verified(pairs, docs, 5, 0.8).collect()} == once
+    sizes = {i: {len(t.split()) - 4 for d, t in texts if d == i} for i in range(80)}
+    assert once == {(a, b) for a, b in map(tuple, pairs.collect()) if any(min(x, y) / max(x, y) >= 0.8 for x in sizes[a] for y in sizes[b])}
+
+
 def test_classes_are_the_components_of_all_links(spark, documents):
     """Every pair of documents that shares a k-mer is aligned: the same classes, so neither a missed link nor a false merge."""
     words = lambda t: textbytes.Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).hashes()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, joined
-from .session import cut, fresh, lookup, release, remove, small, small_batches, written
+from .session import TASK_ROWS, cut, fresh, lookup, release, remove, small, small_batches, written
 from .textbytes import Words, chunks, labelled, mix, shingles, strings
 
 
@@ -123,13 +123,28 @@ def _kmers(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return named.join(small(ids), "id", "left_semi").mapInArrow(run, "id long, seq binary")
 
 
+def _hot_ends(pairs: DataFrame, end: str) -> DataFrame:
+    """(end, pieces): the documents at this end of more pairs than a task takes."""
+    times = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > TASK_ROWS)
+    return cut(times.select(end, F.ceil(F.col("times") / TASK_ROWS).cast("int").alias("pieces")))
+
+
+def _with_kmers(pairs: DataFrame, hot: DataFrame, seqs: DataFrame, end: str) -> DataFrame:
+    """pairs with the k-mers of one end; the pairs of a hot end are dealt over tasks, and its k-mers go to each of these."""
+    side = seqs.select(F.col("id").alias(end), F.col("seq").alias(f"s{end}"))
+    if hot.isEmpty():
+        return pairs.join(side, end)
+    pieces, hot = F.coalesce("pieces", F.lit(1)), small(hot, 12)
+    dealt = pairs.join(hot, end, "left").withColumn("piece", F.pmod(F.xxhash64("a", "b"), pieces).cast("int")).drop("pieces")
+    copied = side.join(hot, end, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    return dealt.join(copied, [end, "piece"]).drop("piece")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float, seqs: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the threshold; seqs: the k-mers of all of them, if they were read before."""
     if seqs is None:
         ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
         seqs = _kmers(docs, ids, k)
-    left = seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
-    right = seqs.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +153,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float, seqs:
                 good.append(alignment_similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), threshold) >= threshold)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    found = cut(joined.mapInArrow(run, "a long, b long").distinct())
+    both = pairs
+    for end in "ab":
+        both = _with_kmers(both, _hot_ends(pairs, end), seqs, end)
+    found = cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct())
     release(docs.sparkSession)
     return found
 
