@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from sqlcheck import against_sql
 
+from weirflow.sources import flows as S
+
 
 def _events(folder, rows):
     """An events table (id, time, value) in a folder of its own."""
@@ -18,3 +20,16 @@ def test_age_of_minutes_rounds_as_sql(spark, tmp_path, last):
     sf = _events(tmp_path / "sf", [(1, "2024-01-01 22:58:00", 1), (2, "2024-01-01 23:10:00", 1), (3, f"2024-01-01 {last}", 1)])
     mine, theirs = against_sql(spark, "state_ttl", sf)
     assert mine == theirs and mine
+
+
+@pytest.mark.parametrize("mean, text", [(53.40325, "53.4032"), (0.03125, "0.0312"), (1.00005, "1.0001"), (0.12345, "0.1235"), (2.0, "2.0000")])
+def test_mean_in_the_log_rounds_as_sql(spark, mean, text):
+    shot = spark.createDataFrame([(3, 1, mean, 2, 0)], "total_requests long, active long, avg_duration double, requests_per_minute long, errors long")
+    assert f"Avg Response: {text}s" in shot.select(S.metrics_message(shot).alias("m")).first().m
+    assert duckdb.sql(f"SELECT printf('%.4f', {mean}::DOUBLE)").fetchall()[0][0] == text
+
+
+def test_monitor_of_a_tie(spark, tmp_path):
+    sf = _events(tmp_path / "sf", [(1, "2024-01-01 22:58:00", 53.40325), (2, "2024-01-01 23:04:30", 53.40325), (3, "2024-01-01 23:10:00", 53.40325)])
+    mine, theirs = against_sql(spark, "stream_monitor", sf)
+    assert mine == theirs and len(mine) == 1

@@ -125,8 +125,13 @@ def parse_log(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def metrics_message(metrics: DataFrame) -> Column:
-    """The log message of a snapshot (total_requests, active, avg_duration, requests_per_minute, errors); its wording is fixed."""
-    return F.format_string("Server metrics - Requests: %d | Active: %d | Avg Response: %.4fs | Rate: %d/min | Errors: %d", *[metrics[c] for c in ("total_requests", "active", "avg_duration", "requests_per_minute", "errors")])
+    """The log message of a snapshot (total_requests, active, avg_duration, requests_per_minute, errors); its wording is fixed.
+
+    The mean is taken to the microsecond, then rounded by its exact binary value: Java's %.4f rounds
+    the shortest decimal, which differs where the fifth digit is a 5.
+    """
+    mean = F.udf(lambda v: None if v is None else f"{v:.4f}", "string")(F.round(metrics["avg_duration"], 6))
+    return F.format_string("Server metrics - Requests: %d | Active: %d | Avg Response: %ss | Rate: %d/min | Errors: %d", metrics["total_requests"], metrics["active"], mean, metrics["requests_per_minute"], metrics["errors"])
 
 
 NODE_SCHEMA = "tree_id int, node_id int, left int, right int, feature int, threshold double, impurity double, n_node_samples long, weighted_n double, value array<double>, decrease double"
