@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from sqlcheck import against_sql
 
+from weirflow.operators import forest
 from weirflow.sources import flows as S
 
 
@@ -33,3 +35,14 @@ def test_monitor_of_a_tie(spark, tmp_path):
     sf = _events(tmp_path / "sf", [(1, "2024-01-01 22:58:00", 53.40325), (2, "2024-01-01 23:04:30", 53.40325), (3, "2024-01-01 23:10:00", 53.40325)])
     mine, theirs = against_sql(spark, "stream_monitor", sf)
     assert mine == theirs and len(mine) == 1
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(forest, "PART_BYTES", 100_000)
+    parts, fit = [], forest.RandomForestClassifier.fit
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", lambda self, df: parts.append([r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]) or fit(self, df))
+    for n in (2_000, 8_000):  # all rows of a class are equal
+        df = spark.range(n).select((F.col("id") % 2).alias("x"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y"))
+        model, classes = forest.fit_forest(df, ["x"], "y", n_estimators=2, max_depth=2)
+        assert classes == ["a", "b"] and forest.score(model, df, ["x"], classes).where("label_predicted <> y").count() == 0
+    assert [sum(p) for p in parts] == [2_000, 8_000] and len(parts[1]) > 3 * len(parts[0]) and max(parts[1]) < 2 * max(parts[0])

@@ -48,11 +48,11 @@ def train(train: DataFrame, test: DataFrame, path: str, *, label: str = "Label",
         flat, pairs = analyze.analyse(rows, names, variance)
         out = analyze.correlated_to_drop([tuple(r) for r in pairs.collect()], names, above)
         kept = [c for c in names if c not in {*flat, *out}]
-        selector, classes = forest.fit_forest(rows, kept, label, n_estimators=trees, max_depth=depth, seed=seed)
+        selector, classes = forest.fit_forest(rows, kept, label, n_estimators=trees, max_depth=depth, seed=seed, written=True)
         importances = cut(forest.named_importance(forest.forest_importance(forest.node_table(spark, selector)), kept))
         found = {r.feature_name for r in importances.where(F.col("importance") >= least_importance).collect()}
         selected = [c for c in kept if c in found] or kept  # no feature is that important: all stay
-        model, classes = forest.fit_forest(rows, selected, label, n_estimators=trees, max_depth=depth, seed=seed)
+        model, classes = forest.fit_forest(rows, selected, label, n_estimators=trees, max_depth=depth, seed=seed, written=True)
         forest.save_forest(spark, path, model, selected, classes)
         held = forest.score(model, _features(test, label, labels, remove), selected, classes)
         predictions = cut(held.select(F.col(f"`{label}`").alias("label"), "label_predicted"))
