@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from sqlcheck import against_sql
 
-from weirflow.operators import forest
+from weirflow.operators import forest, prefix, split
 from weirflow.sources import flows as S
 
 
@@ -46,3 +46,33 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
         model, classes = forest.fit_forest(df, ["x"], "y", n_estimators=2, max_depth=2)
         assert classes == ["a", "b"] and forest.score(model, df, ["x"], classes).where("label_predicted <> y").count() == 0
     assert [sum(p) for p in parts] == [2_000, 8_000] and len(parts[1]) > 3 * len(parts[0]) and max(parts[1]) < 2 * max(parts[0])
+
+
+def test_split_in_bounded_chunks(spark, monkeypatch):
+    rows = [("u" if i % 3 else "v", None if i % 50 == 0 else float(i * 37 % 211), float(i % 4), "abc"[i * i % 7 % 3], 0.5 + i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "node string, x double, z double, y string, w double")
+    monkeypatch.setattr(prefix, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(split, "PART_VALUES", 100)
+    held, placed = [], prefix._placed
+    monkeypatch.setattr(prefix, "_placed", lambda chunks, *a: held.append([r[1] for r in chunks.groupBy(F.spark_partition_id()).count().collect()]) or placed(chunks, *a))
+    for fits in (lambda *a: True, lambda *a: False):  # the chunks' beginnings broadcast, or joined by a merge
+        monkeypatch.setattr(prefix, "fits", fits)
+        rated = split.split_candidates(df, "node", ["x", "z"], "y", ["a", "b", "c"], "w")
+        best = {r.node: r for r in split.best_split(rated, "node", 5).collect()}
+        found = {(r.node, r.feature, r.threshold): r for r in rated.collect()}
+        wanted = {}
+        for node in "uv":
+            for f, at in (("x", 1), ("z", 2)):
+                own = [r for r in rows if r[0] == node and r[at] is not None]
+                values = sorted({r[at] for r in own})
+                for low, high in zip(values, values[1:], strict=False):
+                    sums = [[sum(r[4] for r in own if (r[at] <= low) == side and r[3] == c) for c in "abc"] for side in (True, False)]
+                    wanted[node, f, (low + high) / 2] = (sums, sum(r[at] <= low for r in own), sum(r[at] > low for r in own))
+        assert found.keys() == wanted.keys()
+        for k, (sums, cl, cr) in wanted.items():
+            r = found[k]
+            assert (r.cl, r.cr) == (cl, cr) and r.left_weights == pytest.approx(sums[0]) and r.right_weights == pytest.approx(sums[1])
+        for node in "uv":
+            most = max(r.proxy for k, r in found.items() if k[0] == node and min(r.cl, r.cr) >= 5)
+            assert best[node].proxy == most
+    assert all(len(sizes) > 10 and max(sizes) <= 3 * prefix.CHUNK_ROWS for sizes in held)

@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.flows import NODE_SCHEMA
+from ..storage import cut
 from .compiled import Compiled
-from .split import GAP, best_split, candidates
+from .split import GAP, best_split, candidates, summed, tallied
 
 #: Below this an impurity counts as zero, and a split may fall short of the decrease asked for (fixed value: the double's epsilon).
 EPSILON = 2.220446049250313e-16
 #: A model is held on the driver and in every task; one that grows beyond so many nodes is an error.
 MODEL_NODES = 2_000_000
 #: Rows of a batch that are counted at a time.
-ROWS = 1 << 12
+ROWS = 1 << 14
 
 
 @dataclass
@@ -188,12 +189,13 @@ def _counted(rows: DataFrame, trees: list[list[Node]], open_: list[tuple[int, in
                     own = places[slot[r]]
                     k, j = np.nonzero(own >= 0)
                     rr = r[k]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(slot[rr].astype(np.int32)), pa.array(own[k, j].astype(np.int32)), pa.array(x[rr, own[k, j]]), pa.array(y[rr].astype(np.int32)), pa.array(w[rr] * held[rr, t]),
-                    ], ["node", "place", "value", "y", "w"])
+                    node, place, value, c, sums = tallied(slot[rr], own[k, j], x[rr, own[k, j]], y[rr], w[rr] * held[rr, t], classes)
+                    yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(value), pa.array(c), *map(pa.array, sums)], names)
 
-    long = rows.select("x", "y", "w", "trees", "times").mapInArrow(run, "node int, place int, value double, y int, w double")
-    return long.groupBy("node", "place", "value").agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0.0)).alias(f"n{k}") for k in range(classes)])
+    names = ["node", "place", "value", "c", *[f"n{k}" for k in range(classes)]]
+    tallies = rows.select("x", "y", "w", "trees", "times").mapInArrow(run, "node int, place int, value double, c long, " + ", ".join(f"n{k} double" for k in range(classes)))
+    most = sum(trees[t][i].rows * len(own) for (t, i), own in zip(open_, tried, strict=True))
+    return cut(summed(tallies, classes, most))
 
 
 def _arrays(trees: list[list[Node]], open_: list[tuple[int, int]]) -> tuple[Compiled, np.ndarray, np.ndarray]:
