@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: What a CSV reader of data frames takes for missing text (fixed values).
 MISSING = ("", "NA", "N/A", "NaN", "nan", "None", "null", "NULL")
+#: Rows that are looked at before all of them for what a column's type can't be.
+HEAD_ROWS = 1000
 
 
 def read_flows(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -24,14 +26,25 @@ def read_flows(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def flow_types(text: DataFrame) -> T.StructType:
-    """The types of columns of text, from one aggregate: long, else double, else string; a column without values is double."""
+    """The types of columns of text: long, else double, else string; a column without values is double.
+
+    A few rows already show of most columns what they aren't; only what these leave open is found by
+    one aggregate over all rows, so that no cast fails on every row of a column of text.
+    """
     rows = missing_to_null(text)
-    kinds = []
-    for i, c in enumerate(rows.columns):
-        x = F.col(f"`{c}`")
-        kinds += [F.count_if(x.isNotNull() & ~x.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias(f"l{i}"), F.count_if(x.isNotNull() & x.try_cast("double").isNull()).alias(f"d{i}"), F.count(x).alias(f"n{i}")]
-    found = rows.agg(*kinds).first()
-    pick = lambda i: T.StringType() if found[f"d{i}"] else T.DoubleType() if found[f"l{i}"] or not found[f"n{i}"] else T.LongType()
+
+    def found(df: DataFrame, columns: Sequence[int], doubles: frozenset[int] = frozenset()) -> dict[str, int]:
+        kinds = []
+        for i in columns:
+            x = F.col(f"`{df.columns[i]}`")
+            whole = F.lit(False) if i in doubles else x.rlike(r"^\s*[+-]?\d{1,18}\s*$")
+            kinds += [F.lit(1).alias(f"l{i}") if i in doubles else F.count_if(x.isNotNull() & ~whole).alias(f"l{i}"), F.count_if(x.isNotNull() & ~whole & x.try_cast("double").isNull()).alias(f"d{i}"), F.count(x).alias(f"n{i}")]
+        return df.agg(*kinds).first().asDict() if kinds else {}
+
+    first = found(rows.limit(HEAD_ROWS), range(len(rows.columns)))
+    open_ = [i for i in range(len(rows.columns)) if not first[f"d{i}"]]
+    seen = {**first, **found(rows, open_, frozenset(i for i in open_ if first[f"l{i}"]))}
+    pick = lambda i: T.StringType() if seen[f"d{i}"] else T.DoubleType() if seen[f"l{i}"] or not seen[f"n{i}"] else T.LongType()
     return T.StructType([T.StructField(c, pick(i)) for i, c in enumerate(rows.columns)])
 
 
