@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sqlcheck import against_sql
 
 from weirflow.operators import forest, prefix, split
+from weirflow.plans import registry
 from weirflow.sources import flows as S
 
 
@@ -76,3 +77,22 @@ def test_split_in_bounded_chunks(spark, monkeypatch):
             most = max(r.proxy for k, r in found.items() if k[0] == node and min(r.cl, r.cr) >= 5)
             assert best[node].proxy == most
     assert all(len(sizes) > 10 and max(sizes) <= 3 * prefix.CHUNK_ROWS for sizes in held)
+
+
+def test_flow_files_are_more_not_larger(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FILE_ROWS", 300)
+    landing, files = registry._flow_files(spark, "/root/testdata/sf0.001")
+    sizes = [r[0] for r in spark.read.text(f"{landing}/*").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert files == 4 and len(sizes) == 24 and max(sizes) < 2 * 300
+    mine, theirs = against_sql(spark, "stream_flow_files")
+    assert mine == theirs
+
+
+def test_types_of_later_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "HEAD_ROWS", 2)
+    rows = [("1", "1", "1", "a", "1.5", None, None), ("2", "2", "2", "b", "2", None, None), ("3", "x", "inf", "1", "3", "7", None), (" -4 ", "4", "4", "2", "y", None, "NaN")]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(7))).coalesce(1)
+    looked, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: looked.append(" ".join(map(str, a))) or agg(self, *a))
+    assert [f.dataType.simpleString() for f in S.flow_types(df)] == ["bigint", "string", "double", "string", "string", "bigint", "double"]
+    assert len(looked) == 2 and "c3" not in looked[1]  # text by the first rows: not looked at again
