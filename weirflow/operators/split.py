@@ -55,7 +55,8 @@ def tallied(node: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarra
     new = np.ones(len(value), bool)
     new[1:] = (node[1:] != node[:-1]) | (place[1:] != place[:-1]) | (value[1:] != value[:-1])
     first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    sums = [np.bincount(group[own], w[own], len(first)) for own in (y == k for k in range(classes))]
+    # a class without rows here gives whole zeros, whatever the weights are
+    sums = [np.bincount(group[own], w[own], len(first)).astype(float) for own in (y == k for k in range(classes))]
     return node[first], place[first], value[first], np.bincount(group, minlength=len(first)), sums
 
 
