@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from sqlcheck import against_sql
 
-from weirflow.operators import forest, prefix, split
+from weirflow.operators import forest, grow, prefix, split, tree
 from weirflow.plans import registry
 from weirflow.sources import flows as S
 
@@ -103,3 +103,34 @@ def test_tally_without_a_class():
     one = np.zeros(3, int)
     *_, sums = split.tallied(one, one, np.array([1.0, 1.0, 2.0]), one, np.full(3, 0.5), 2)
     assert [s.dtype for s in sums] == [float, float] and [s.tolist() for s in sums] == [[1.0, 0.5], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("params", [
+    {"max_depth": 3}, {"max_depth": 3, "min_samples_leaf": 150, "weight": "w"}, {"max_depth": 3, "min_weight_fraction_leaf": 0.2, "weight": "w"}, {"max_depth": 4, "max_features": 1, "random_state": 3},
+])
+def test_ranges_find_the_same_splits(spark, monkeypatch, params):
+    rng = np.random.default_rng(5)
+    n = 4_000
+    x = [rng.random(n) * 100, rng.integers(0, 8, n).astype(float), np.round(rng.normal(0, 1, n), 1), np.ones(n), np.where(rng.random(n) < 0.3, -np.inf, rng.exponential(2, n))]
+    y = np.where(rng.random(n) < 0.3, rng.integers(0, 3, n), (x[0] > 37.5).astype(int) + (x[4] > 1.5))
+    rows = [(*map(float, r), "abc"[c], float(w)) for *r, c, w in zip(*x, y, rng.integers(0, 4, n) / 2, strict=True)]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, f2 double, f3 double, f4 double, y string, w double").coalesce(3)
+    weight = params.pop("weight", None) if (params := dict(params)) else None
+    fit = lambda: [tuple(r) for r in tree.Tree(**params).fit(df, [f"f{i}" for i in range(5)], "y", weight).collect()]
+    one_by_one = fit()
+    counted, summed = [], grow.summed
+    monkeypatch.setattr(grow, "summed", lambda tallies, classes, most: counted.append(most) or summed(tallies, classes, most))
+    for name, value in (("RANGES", 128), ("LEAST_RANGES", 4), ("RANGE_ROWS", 2)):
+        monkeypatch.setattr(grow, name, value)
+    levels = []
+    by_ranges = grow._by_ranges
+    monkeypatch.setattr(grow, "_by_ranges", lambda *a: levels.append(1) or by_ranges(*a))
+    assert fit() == one_by_one and len(one_by_one) > 5
+    assert levels and counted[0] < n  # of all features' values, few are counted one by one at the root
+
+
+def test_scoring_without_a_list_for_each_row(spark):
+    nodes = spark.createDataFrame([(0, 0, 1, 2, 0, 1.5, [0.5, 0.5]), (0, 1, -1, -1, -2, -2.0, [1.0, 0.0]), (0, 2, -1, -1, -2, -2.0, [0.25, 0.75])], "tree_id int, node_id int, left int, right int, feature int, threshold double, value array<double>")
+    df = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double")
+    found = [(r.p0, r.p1, r.label_predicted) for r in forest.score_nodes(df, nodes, ["x"], ["a", "b"]).collect()]
+    assert found == [(1.0, 0.0, "a"), (0.25, 0.75, "b"), (0.25, 0.75, "b")]

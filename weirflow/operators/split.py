@@ -68,10 +68,10 @@ def summed(tallies: DataFrame, classes: int, most: int) -> DataFrame:
 
 @dataclass
 class Candidates:
-    """rated: every threshold of every node and feature; spans: (node, place, low, high), the range of each feature's values in a node."""
+    """rated: thresholds of nodes and features; spans: (node, place, low, high), the range of each feature's values in a node."""
 
     rated: DataFrame
-    spans: DataFrame
+    spans: DataFrame | None
 
 
 def candidates(counts: DataFrame, classes: int, node: str = "node") -> Candidates:
@@ -80,8 +80,14 @@ def candidates(counts: DataFrame, classes: int, node: str = "node") -> Candidate
     The running sums of a node and feature, the root's too, are dealt over tasks by ranges of the
     value. nl, nr and n are weights, cl and cr numbers of rows.
     """
-    k, key = range(classes), [node, "place"]
-    rows = scanned(counts, key, "value", ["c", *[f"n{i}" for i in k]], GAP)
+    key = [node, "place"]
+    rows = scanned(counts, key, "value", ["c", *[f"n{i}" for i in range(classes)]], GAP)
+    return Candidates(rated_rows(rows, classes, node), counts.groupBy(*key).agg(F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+def rated_rows(rows: DataFrame, classes: int, node: str) -> DataFrame:
+    """The thresholds between each value and the next, from running sums (node, place, value, above, l_c, l_n0, ..., t_c, t_n0, ...)."""
+    k = range(classes)
     left, all_ = lambda i: F.col(f"l_n{i}"), lambda i: F.col(f"t_n{i}")
     total = lambda e: sum((e(i) for i in k[1:]), e(0))
     square = lambda e: sum((e(i) * e(i) for i in k[1:]), e(0) * e(0))
@@ -92,14 +98,13 @@ def candidates(counts: DataFrame, classes: int, node: str = "node") -> Candidate
         F.array(*[left(i) for i in k]).alias("left_weights"), F.array(*[all_(i) - left(i) for i in k]).alias("right_weights"),
     ).withColumn("nr", F.col("n") - F.col("nl"))
     middle = F.col("value") / 2 + F.col("above") / 2
-    rated = rows.select(
+    return rows.select(
         node, "place", F.when((middle == F.col("above")) | (F.abs(middle) == float("inf")), F.col("value")).otherwise(middle).alias("threshold"),
         "n", "nl", "nr", "cl", "cr", (F.col("_ql") / F.col("nl") + F.col("_qr") / F.col("nr")).alias("proxy"),
         (F.lit(1.0) - F.col("_q") / (F.col("n") * F.col("n"))).alias("impurity"),
         (F.lit(1.0) - F.col("_ql") / (F.col("nl") * F.col("nl"))).alias("impurity_left"), (F.lit(1.0) - F.col("_qr") / (F.col("nr") * F.col("nr"))).alias("impurity_right"),
         "left_weights", "right_weights",
     )
-    return Candidates(rated, counts.groupBy(*key).agg(F.min("value").alias("low"), F.max("value").alias("high")))
 
 
 def split_candidates(df: DataFrame, node: str, features: Sequence[str], label: str, classes: Sequence[str], weight: str | None = None) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import cut
+from ..storage import written
 from .forest import label_index, max_features
-from .grow import EPSILON, Rules, grow, node_table
+from .grow import EPSILON, Rules, flat, grow, node_table
 
 __all__ = ["EPSILON", "Tree", "checked_rows"]
 
@@ -30,7 +30,10 @@ def checked_rows(df: DataFrame, features: Sequence[str], label: str, weight: str
     w = F.when(w < 0, F.raise_error(F.lit("a weight is below zero")).cast("double")).otherwise(w)
     x = F.array(*[F.col(f"`{f}`").cast("float").cast("double") for f in features])
     rows = df.select(*more, x.alias("x"), F.col(f"`{label}`").alias("_label"), w.alias("w"))
-    return rows.where(F.col("_label").isNotNull() & (F.coalesce("w", F.lit(0.0)) != 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    known = F.col("_label").isNotNull() & (F.coalesce("w", F.lit(0.0)) != 0)
+    for i in range(len(features)):
+        known &= F.get("x", F.lit(i)).isNotNull() & ~F.isnan(F.get("x", F.lit(i)))
+    return rows.where(known)
 
 
 @dataclass
@@ -57,11 +60,11 @@ class Tree:
     def fit(self, df: DataFrame, features: Sequence[str], label: str, weight: str | None = None) -> DataFrame:
         """The nodes, numbered in pre-order, with `feature_name`; a value is the share of each class, in the order of `classes`.
 
-        What comes to the driver is the model, of bounded size (see grow.MODEL_NODES). The rows are cut
+        What comes to the driver is the model, of bounded size (see grow.MODEL_NODES). The rows are written
         into the shared folder once and read for each level. See checked_rows() for nulls; no rows, no nodes.
         """
         rows = checked_rows(df, features, label, weight)
-        rows = cut(rows.withColumns({"trees": F.array(F.lit(0)), "times": F.array(F.lit(1))}))
-        self.classes = [r[0] for r in label_index(rows, "_label").orderBy("code").collect()]
-        coded = rows.withColumn("y", F.array_position(F.array(*map(F.lit, self.classes)), F.col("_label")).cast("int") - 1) if self.classes else rows.withColumn("y", F.lit(0))
-        return node_table(df, grow(coded, len(features), max(1, len(self.classes)), self.rules(len(features))), features)
+        with written(rows.select(*flat(len(features)), "_label", "w")) as rows:
+            self.classes = [r[0] for r in label_index(rows, "_label").orderBy("code").collect()]
+            coded = rows.withColumn("y", F.array_position(F.array(*map(F.lit, self.classes)), F.col("_label")).cast("int") - 1) if self.classes else rows.withColumn("y", F.lit(0))
+            return node_table(df, grow(coded, len(features), max(1, len(self.classes)), self.rules(len(features))), features)
