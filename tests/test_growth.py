@@ -9,6 +9,7 @@ from sqlcheck import against_sql
 from weirflow.operators import forest, grow, prefix, split, tree
 from weirflow.plans import registry
 from weirflow.sources import flows as S
+from weirflow.storage import wide_plans
 
 
 def _events(folder, rows):
@@ -134,3 +135,12 @@ def test_scoring_without_a_list_for_each_row(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double")
     found = [(r.p0, r.p1, r.label_predicted) for r in forest.score_nodes(df, nodes, ["x"], ["a", "b"]).collect()]
     assert found == [(1.0, 0.0, "a"), (0.25, 0.75, "b"), (0.25, 0.75, "b")]
+
+
+def test_wide_plans_run_as_compiled_code(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), wide_plans(spark):
+        assert int(spark.conf.get(name)) <= 8000  # the JVM interprets larger methods
+        raise KeyError
+    assert spark.conf.get(name) == before

@@ -14,7 +14,7 @@ from .functions.features import engineer
 from .operators import analyze, evaluate, forest
 from .operators.clean import LABELS, REMOVE, clean_flows, infinite_to_null, null_counts
 from .sources.flows import stream_files
-from .storage import cut, wide_plans
+from .storage import cut, wide_plans, written
 from .streaming.detect import detect_files, model_predictor
 
 
@@ -42,8 +42,7 @@ def train(train: DataFrame, test: DataFrame, path: str, *, label: str = "Label",
     no feature is important enough, all that are left are used.
     """
     spark = train.sparkSession
-    with wide_plans(spark):
-        rows = cut(_features(train, label, labels, remove))
+    with wide_plans(spark), written(_features(train, label, labels, remove)) as rows:
         names = [f.name for f in rows.schema if isinstance(f.dataType, T.NumericType)]
         flat, pairs = analyze.analyse(rows, names, variance)
         out = analyze.correlated_to_drop([tuple(r) for r in pairs.collect()], names, above)
